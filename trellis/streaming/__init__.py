@@ -1,0 +1 @@
+"""trellis.streaming."""
