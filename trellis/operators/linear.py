@@ -128,9 +128,17 @@ def _centred(n, sx, sy, S, sxy):
 
 
 def fit_ols(stats) -> tuple[float, np.ndarray]:
+    """Least squares with intercept; minimum-norm when features outnumber rows.
+
+    The centred matrix is scaled to unit diagonal before the pseudo-inverse, so
+    features on very different scales (prices vs discounts) do not fall under
+    the singular-value cut-off.
+    """
     n, sx, sy, S, sxy, _ = stats
     xbar, ybar, C, c = _centred(n, sx, sy, S, sxy)
-    beta = np.linalg.pinv(C, rcond=1e-12, hermitian=True) @ c
+    d = np.sqrt(np.clip(np.diag(C), 0.0, None))
+    d[d == 0] = 1.0
+    beta = (np.linalg.pinv(C / np.outer(d, d), rcond=1e-13, hermitian=True) @ (c / d)) / d
     return float(ybar - xbar @ beta), beta
 
 
