@@ -63,6 +63,25 @@ def _hash_positions(df, part_cols, hash_col, tie_col, pos_col, bits):
             .drop("_b", "_l", "_off"))
 
 
+def with_value_bucket(df: DataFrame, value_col: str, out: str = "_b",
+                      per_level: int = DEFAULT_VALUE_BUCKETS,
+                      accuracy: int = 100000) -> DataFrame:
+    """Add ``out``: order-preserving quantile bucket of ``value_col`` (see below)."""
+    k = per_level
+    probs = [i / (k * k) for i in range(1, k * k)]
+    q = df.select(F.percentile_approx(F.col(value_col).cast("double"), probs, accuracy)
+                  .alias("q")).scalar()
+    tmp = df.withColumn("_qb", q)          # subquery in a projection, not in a lambda
+    v = F.col(value_col).cast("double")
+    qb = F.col("_qb")
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.element_at(qb, i * k))
+    c = F.size(F.filter(coarse, lambda b: b < v))
+    tmp = tmp.withColumn("_qc", c)
+    fine = F.slice(qb, F.col("_qc") * k + 1, F.lit(k - 1))
+    f = F.size(F.filter(fine, lambda b: b < v))
+    return tmp.withColumn(out, F.coalesce(F.col("_qc") * k + f, F.lit(0))).drop("_qb", "_qc")
+
+
 def value_bucket(df: DataFrame, value_col: str, per_level: int = DEFAULT_VALUE_BUCKETS,
                  accuracy: int = 100000) -> Column:
     """Order-preserving bucket of a numeric value among approximate quantiles.
@@ -88,7 +107,7 @@ def weighted_positions(df: DataFrame, part_cols: list[str], value_col: str,
                        weight_col: str, per_level: int = DEFAULT_VALUE_BUCKETS) -> DataFrame:
     """For rows keyed by (group, value) with a weight: ``lo`` = total weight of
     the group's rows with a smaller value (ties share one row upstream)."""
-    tmp = df.withColumn("_b", value_bucket(df, value_col, per_level))
+    tmp = with_value_bucket(df, value_col, "_b", per_level)
     cells = tmp.groupBy(*part_cols, "_b").agg(F.sum(weight_col).alias("_n"))
     offs = _offsets(cells, part_cols, "_b", "_n")
     local = Window.partitionBy(*part_cols, "_b").orderBy(value_col).rowsBetween(
