@@ -65,3 +65,40 @@ def normal(*parts) -> Column:
 def sql_hash32(expr: str) -> str:
     """DuckDB twin of :func:`hash32` for an SQL text expression."""
     return f"CAST('0x' || substr(md5({expr}), 1, 8) AS BIGINT)"
+
+
+# ---------------------------------------------------------------- per-run draws
+# md5 is ~5 us per row; a 30-run holdout would pay it 30 times per row.  Instead
+# the row key is hashed once (``hash32``) and each seed gets its own draw by an
+# integer mixer.  Every product stays below 2^63, so DuckDB (which raises on
+# BIGINT overflow) computes exactly the same numbers as Spark.
+
+MIX_MULT = 73244475            # 0x45d9f3b, a 32-bit avalanche multiplier
+SEED_STEP = 2654435769         # 0x9e3779b9, golden-ratio step between seeds
+MOD32 = 4294967296
+
+
+def mix32(x: Column) -> Column:
+    """Avalanche a 32-bit value (two xor-shift-multiply rounds, mod 2^32)."""
+    for _ in range(2):
+        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX_MULT)) % F.lit(MOD32)
+    return F.shiftright(x, 16).bitwiseXOR(x)
+
+
+def seeded_hash(key_hash: Column | str, seed: Column | str | int) -> Column:
+    """32-bit draw for (row, seed) from the row's ``hash32`` of its key."""
+    h = F.col(key_hash) if isinstance(key_hash, str) else key_hash
+    s = F.col(seed) if isinstance(seed, str) else (seed if isinstance(seed, Column)
+                                                   else F.lit(int(seed)))
+    return mix32((h + s.cast("bigint") * F.lit(SEED_STEP)) % F.lit(MOD32))
+
+
+def sql_mix32(x: str) -> str:
+    for _ in range(2):
+        x = f"((xor(({x}) >> 16, ({x})) * {MIX_MULT}) % {MOD32})"
+    return f"xor(({x}) >> 16, ({x}))"
+
+
+def sql_seeded_hash(key_hash: str, seed: str) -> str:
+    """DuckDB twin of :func:`seeded_hash`."""
+    return sql_mix32(f"(({key_hash}) + CAST({seed} AS BIGINT) * {SEED_STEP}) % {MOD32}")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.functions.random import TWO32, hash32, key_string
+from trellis.functions.random import TWO32, hash32, key_string, seeded_hash
 from trellis.operators.ranking import hash_positions
 
 SEED_BASE = 41          # run r (1-based) uses seed 41 + r, so run 1 has seed 42
@@ -34,24 +34,31 @@ def with_runs(df: DataFrame, runs: int, run_col: str = "run",
             .withColumn(seed_col, F.col(run_col) + F.lit(SEED_BASE).cast("bigint")))
 
 
-def holdout(df: DataFrame, key: Column | str, test_frac: float = 0.2,
-            seed: Column | str | int = "seed", role_col: str = "role",
-            salt: str | None = None) -> DataFrame:
-    """``test`` where md5(key:seed) < test_frac * 2^32, else ``train``."""
+def add_key_hash(df: DataFrame, key: Column | str, out: str = "key_hash",
+                 salt: str | None = None) -> DataFrame:
+    """One md5 per row: ``hash32(key[:salt])``.  Call before :func:`with_runs`,
+    so the expensive hash is paid once per row, not once per run."""
     k = F.col(key) if isinstance(key, str) else key
-    parts = [k, seed] + ([F.lit(salt)] if salt else [])
-    h = hash32(*parts)
+    parts = [k] + ([F.lit(salt)] if salt else [])
+    return df.withColumn(out, hash32(*parts))
+
+
+def holdout(df: DataFrame, key_hash: str = "key_hash", test_frac: float = 0.2,
+            seed: Column | str | int = "seed", role_col: str = "role") -> DataFrame:
+    """``test`` where the (row, seed) draw < test_frac * 2^32, else ``train``."""
+    h = seeded_hash(key_hash, seed)
     return df.withColumn(role_col, F.when(h < F.lit(test_frac * TWO32), "test")
                          .otherwise("train"))
 
 
-def nested_holdout(df: DataFrame, key: Column | str, test_frac: float = 0.2,
+def nested_holdout(df: DataFrame, key_hash: str = "key_hash",
+                   valid_hash: str = "valid_hash", test_frac: float = 0.2,
                    valid_frac: float = 0.2, seed: Column | str | int = "seed",
                    role_col: str = "role") -> DataFrame:
-    """D1 + D2: roles ``test``, ``valid`` (cut from train with a salted hash), ``fit``."""
-    k = F.col(key) if isinstance(key, str) else key
-    h_test = hash32(k, seed)
-    h_valid = hash32(k, seed, F.lit("valid"))
+    """D1 + D2: roles ``test``, ``valid`` (an independent salted draw cut from
+    train), ``fit``."""
+    h_test = seeded_hash(key_hash, seed)
+    h_valid = seeded_hash(valid_hash, seed)
     return df.withColumn(
         role_col,
         F.when(h_test < F.lit(test_frac * TWO32), "test")
@@ -59,11 +66,10 @@ def nested_holdout(df: DataFrame, key: Column | str, test_frac: float = 0.2,
         .otherwise("fit"))
 
 
-def kfold(df: DataFrame, key: Column | str, k: int = 5, seed: Column | str | int = "seed",
-          fold_col: str = "fold") -> DataFrame:
-    """``fold = md5(key:seed:fold) mod k`` (hashed, not contiguous blocks)."""
-    kk = F.col(key) if isinstance(key, str) else key
-    return df.withColumn(fold_col, F.pmod(hash32(kk, seed, F.lit("fold")), F.lit(int(k))).cast("int"))
+def kfold(df: DataFrame, fold_hash: str = "fold_hash", k: int = 5,
+          seed: Column | str | int = "seed", fold_col: str = "fold") -> DataFrame:
+    """``fold = draw(row, seed) mod k`` from a fold-salted key hash."""
+    return df.withColumn(fold_col, (seeded_hash(fold_hash, seed) % F.lit(int(k))).cast("int"))
 
 
 def range_split(df: DataFrame, train_when: Column, role_col: str = "role") -> DataFrame:
@@ -71,18 +77,18 @@ def range_split(df: DataFrame, train_when: Column, role_col: str = "role") -> Da
     return df.withColumn(role_col, F.when(train_when, "train").otherwise("test"))
 
 
-def exact_split(df: DataFrame, key: Column | str, test_frac: float = 0.2,
+def exact_split(df: DataFrame, key_hash: str, tie: Column | str, test_frac: float = 0.2,
                 seed: Column | str | int = "seed", by: list[str] | None = None,
                 role_col: str = "role") -> DataFrame:
     """Exactly ``round(test_frac * n)`` test rows per group ``by``.
 
-    Rows are ordered by ``(md5(key:seed), key)``; the first ``round(f*n)`` in each
-    group are test.  Positions come from :func:`positions`, which never puts a
-    group in one task, so a class holding a third of all rows is fine.
+    Rows are ordered by ``(draw(row, seed), tie)``; the first ``round(f*n)`` in
+    each group are test.  Positions come from :func:`hash_positions`, which never
+    puts a group in one task, so a class holding a third of all rows is fine.
     """
     by = list(by or [])
-    k = F.col(key) if isinstance(key, str) else key
-    tmp = df.withColumn("_k", k).withColumn("_h", hash32(F.col("_k"), seed))
+    t = F.col(tie) if isinstance(tie, str) else tie
+    tmp = df.withColumn("_k", t.cast("string")).withColumn("_h", seeded_hash(key_hash, seed))
     ranked = hash_positions(tmp, by, "_h", "_k", pos_col="_pos")
     n_test = F.round(F.lit(float(test_frac)) * F.count(F.lit(1))).cast("bigint")
     if by:
@@ -95,12 +101,12 @@ def exact_split(df: DataFrame, key: Column | str, test_frac: float = 0.2,
             .drop("_k", "_h", "_pos", "_cut"))
 
 
-def stratified_split(df: DataFrame, key: Column | str, label_col: str,
+def stratified_split(df: DataFrame, key_hash: str, tie: Column | str, label_col: str,
                      test_frac: float = 0.2, seed: Column | str | int = "seed",
                      extra_by: list[str] | None = None, role_col: str = "role") -> DataFrame:
     """D3: exact cut inside each class (and run, when given in ``extra_by``)."""
-    return exact_split(df, key, test_frac, seed, by=[*(extra_by or []), label_col],
-                       role_col=role_col)
+    return exact_split(df, key_hash, tie, test_frac, seed,
+                       by=[*(extra_by or []), label_col], role_col=role_col)
 
 
 def seeded_sample(df: DataFrame, key: Column | str, k: int, seed: int = 42,

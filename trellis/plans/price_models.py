@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions.random import key_string
-from trellis.operators.splits import holdout, with_runs
+from trellis.operators.splits import add_key_hash, holdout, with_runs
 
 MODELS = ["Mean", "Least Squares", "Bucket Mean"]        # model_ord 1, 2, 3
 N_BUCKETS = 11                                          # buckets 0..10; >= 100,000 in 10
@@ -68,7 +68,8 @@ def predictions(rows: DataFrame, line: DataFrame, buckets: DataFrame,
 def holdout_predictions(lineitem: DataFrame, runs: int = 30, test_frac: float = 0.2,
                         score_roles=("test",)) -> DataFrame:
     """(run, role, model, model_ord, label, prediction) for every run and row."""
-    rows = holdout(with_runs(price_rows(lineitem), runs), "row_key", test_frac, "seed")
+    rows = with_runs(add_key_hash(price_rows(lineitem), "row_key").drop("row_key"), runs)
+    rows = holdout(rows, "key_hash", test_frac, "seed")
     line, buckets = fit_tables(rows.where(F.col("role") == "train"), ["run"])
-    scored_rows = rows.where(F.col("role").isin(*score_roles)).drop("seed")
+    scored_rows = rows.where(F.col("role").isin(*score_roles)).drop("seed", "key_hash")
     return predictions(scored_rows, line, buckets, ["run"])

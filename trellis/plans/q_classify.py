@@ -9,7 +9,7 @@ from trellis.operators import metrics as M
 from trellis.operators import splits as S
 from trellis.operators import summary as U
 from trellis.plans.registry import query, rounded
-from trellis.plans.sqlbits import TEST_CUT, h32, keyed, r6, v
+from trellis.plans.sqlbits import TEST_CUT, h32, r6, seeded, v
 from trellis.session import table
 
 # ------------------------------------------------------------ F1 standardize
@@ -17,7 +17,7 @@ from trellis.session import table
 STANDARDIZE_SQL = f"""
 WITH r AS (
   SELECT p_partkey, p_retailprice, p_size,
-         CASE WHEN {h32(keyed(v('p_partkey'), "'42'"))} < {TEST_CUT} THEN 'test' ELSE 'train' END
+         CASE WHEN {seeded(h32(v('p_partkey')), '42')} < {TEST_CUT} THEN 'test' ELSE 'train' END
            AS role
   FROM part),
 s AS (SELECT avg(p_retailprice) AS m1, stddev_pop(p_retailprice) AS s1,
@@ -34,7 +34,7 @@ FROM r CROSS JOIN s
 def standardize(spark, sf_dir):
     """population-deviation scaling fitted on train rows, applied to all."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
-    r = S.holdout(part, "p_partkey", 0.2, 42)
+    r = S.holdout(S.add_key_hash(part, "p_partkey"), "key_hash", 0.2, 42)
     z = FE.standardize(r, ["p_retailprice", "p_size"], r.where(F.col("role") == "train"))
     return rounded(z.select("p_partkey", "role", "z_p_retailprice", "z_p_size"))
 

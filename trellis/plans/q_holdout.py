@@ -10,8 +10,8 @@ from trellis.operators import splits as S
 from trellis.operators import summary as U
 from trellis.plans import price_models as PM
 from trellis.plans.registry import query, rounded
-from trellis.plans.sqlbits import (LINEITEM_KEY, RUNS, RUNS_CTE, SEED, TEST_CUT, h32, keyed,
-                                   r6, v)
+from trellis.plans.sqlbits import (LINEITEM_KEY, RUNS, RUNS_CTE, TEST_CUT, h32, keyed, r6,
+                                   seeded, v)
 from trellis.session import table
 
 # ------------------------------------------------------------ holdout_compare
@@ -19,13 +19,13 @@ from trellis.session import table
 _PRICE_SQL_CTES = f"""
 {RUNS_CTE},
 base AS (
-  SELECT {LINEITEM_KEY} AS row_key, l_extendedprice AS x,
+  SELECT {h32(LINEITEM_KEY)} AS kh, l_extendedprice AS x,
          l_extendedprice * (1 - l_discount) AS label,
          LEAST(CAST(floor(l_extendedprice / 10000.0) AS BIGINT), 10) AS bucket
   FROM lineitem),
 r AS (
   SELECT run, x, label, bucket,
-         CASE WHEN {h32(keyed('row_key', SEED))} < {TEST_CUT} THEN 'test' ELSE 'train' END AS role
+         CASE WHEN {seeded('kh')} < {TEST_CUT} THEN 'test' ELSE 'train' END AS role
   FROM base CROSS JOIN runs),
 bb AS (
   SELECT run, bucket, CAST(count(*) AS DOUBLE) AS n, sum(label) AS sy, sum(x) AS sx,
@@ -141,12 +141,14 @@ def metric_long(spark, sf_dir):
 
 NESTED_ROLES_SQL = f"""
 WITH {RUNS_CTE},
+base AS (SELECT o_orderkey, {h32(v('o_orderkey'))} AS kh,
+                {h32(keyed(v('o_orderkey'), "'valid'"))} AS vh FROM orders),
 r AS (
   SELECT run, o_orderkey,
-         CASE WHEN {h32(keyed(v('o_orderkey'), SEED))} < {TEST_CUT} THEN 'test'
-              WHEN {h32(keyed(v('o_orderkey'), SEED, "'valid'"))} < {TEST_CUT} THEN 'valid'
+         CASE WHEN {seeded('kh')} < {TEST_CUT} THEN 'test'
+              WHEN {seeded('vh')} < {TEST_CUT} THEN 'valid'
               ELSE 'fit' END AS role
-  FROM orders CROSS JOIN runs)
+  FROM base CROSS JOIN runs)
 SELECT run, role, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
        CAST(6 AS BIGINT) AS n_cols
 FROM r GROUP BY run, role
@@ -158,8 +160,9 @@ def nested_roles(spark, sf_dir):
     """Test / valid / fit roles for 30 runs, counted."""
     orders = table(spark, sf_dir, "orders")
     n_cols = len(orders.columns)
-    r = S.nested_holdout(S.with_runs(orders.select("o_orderkey"), RUNS), "o_orderkey",
-                         0.2, 0.2, "seed")
+    o = S.add_key_hash(orders.select("o_orderkey"), "o_orderkey")
+    o = S.add_key_hash(o, "o_orderkey", "valid_hash", salt="valid")
+    r = S.nested_holdout(S.with_runs(o, RUNS), "key_hash", "valid_hash", 0.2, 0.2, "seed")
     return r.groupBy("run", "role").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("o_orderkey").alias("key_sum"),
         F.lit(n_cols).cast("bigint").alias("n_cols"))
@@ -167,8 +170,8 @@ def nested_roles(spark, sf_dir):
 
 STRATIFIED_SQL = f"""
 WITH {RUNS_CTE},
-r AS (SELECT run, doc_id, quality, {h32(keyed(v('doc_id'), SEED))} AS h
-      FROM labels CROSS JOIN runs),
+base AS (SELECT doc_id, quality, {h32(v('doc_id'))} AS kh FROM labels),
+r AS (SELECT run, doc_id, quality, {seeded('kh')} AS h FROM base CROSS JOIN runs),
 ranked AS (
   SELECT run, doc_id, quality,
          row_number() OVER (PARTITION BY run, quality ORDER BY h, {v('doc_id')}) - 1 AS pos,
@@ -183,17 +186,17 @@ FROM ranked GROUP BY ALL
 @query("stratified_roles", STRATIFIED_SQL)
 def stratified_roles(spark, sf_dir):
     """Exact stratified 80/20 cut per run and class."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    r = S.stratified_split(S.with_runs(labels, RUNS), F.col("doc_id").cast("string"),
-                           "quality", 0.2, "seed", extra_by=["run"])
+    labels = S.add_key_hash(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    r = S.stratified_split(S.with_runs(labels, RUNS), "key_hash", "doc_id", "quality", 0.2,
+                           "seed", extra_by=["run"])
     return r.groupBy("run", "quality", "role").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("doc_id").alias("key_sum"))
 
 
 EXACT_SPLIT_SQL = f"""
 WITH {RUNS_CTE},
-r AS (SELECT run, c_custkey, {h32(keyed(v('c_custkey'), SEED))} AS h
-      FROM customer CROSS JOIN runs),
+base AS (SELECT c_custkey, {h32(v('c_custkey'))} AS kh FROM customer),
+r AS (SELECT run, c_custkey, {seeded('kh')} AS h FROM base CROSS JOIN runs),
 ranked AS (
   SELECT run, c_custkey,
          row_number() OVER (PARTITION BY run ORDER BY h, {v('c_custkey')}) - 1 AS pos,
@@ -208,20 +211,19 @@ FROM ranked GROUP BY ALL
 @query("exact_split", EXACT_SPLIT_SQL)
 def exact_split(spark, sf_dir):
     """Exactly round(0.2 n) test rows per run (not a coin toss)."""
-    cust = table(spark, sf_dir, "customer").select("c_custkey")
-    r = S.exact_split(S.with_runs(cust, RUNS), F.col("c_custkey").cast("string"), 0.2, "seed",
-                      by=["run"])
+    cust = S.add_key_hash(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    r = S.exact_split(S.with_runs(cust, RUNS), "key_hash", "c_custkey", 0.2, "seed", by=["run"])
     return r.groupBy("run", "role").agg(F.count(F.lit(1)).alias("n_rows"),
                                         F.sum("c_custkey").alias("key_sum"))
 
 
 FOLD_COUNTS_SQL = f"""
 WITH {RUNS_CTE},
+base AS (SELECT p_partkey, {h32(v('p_partkey'))} AS kh,
+                {h32(keyed(v('p_partkey'), "'fold'"))} AS fh FROM part),
 r AS (
-  SELECT run, p_partkey,
-         CAST({h32(keyed(v('p_partkey'), SEED, "'fold'"))} % 5 AS INTEGER) AS fold,
-         {h32(keyed(v('p_partkey'), SEED))} AS h
-  FROM part CROSS JOIN runs)
+  SELECT run, p_partkey, CAST({seeded('fh')} % 5 AS INTEGER) AS fold, {seeded('kh')} AS h
+  FROM base CROSS JOIN runs)
 SELECT run, fold, count(*) AS n_rows, CAST(sum(p_partkey) AS BIGINT) AS key_sum
 FROM r WHERE h >= {TEST_CUT} GROUP BY run, fold
 """
@@ -230,9 +232,10 @@ FROM r WHERE h >= {TEST_CUT} GROUP BY run, fold
 @query("fold_counts", FOLD_COUNTS_SQL)
 def fold_counts(spark, sf_dir):
     """Five hashed folds of the training rows of each run."""
-    part = table(spark, sf_dir, "part").select("p_partkey")
-    r = S.holdout(S.with_runs(part, RUNS), "p_partkey", 0.2, "seed")
-    r = S.kfold(r.where(F.col("role") == "train"), "p_partkey", 5, "seed")
+    part = S.add_key_hash(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    part = S.add_key_hash(part, "p_partkey", "fold_hash", salt="fold")
+    r = S.holdout(S.with_runs(part, RUNS), "key_hash", 0.2, "seed")
+    r = S.kfold(r.where(F.col("role") == "train"), "fold_hash", 5, "seed")
     return r.groupBy("run", "fold").agg(F.count(F.lit(1)).alias("n_rows"),
                                         F.sum("p_partkey").alias("key_sum"))
 

@@ -13,8 +13,8 @@ from trellis.operators import metrics as M
 from trellis.operators import splits as S
 from trellis.plans import price_models as PM
 from trellis.plans.registry import query, rounded
-from trellis.plans.sqlbits import (LINEITEM_KEY, RUNS, RUNS_CTE, SEED, TEST_CUT, h32, keyed,
-                                   r6)
+from trellis.plans.sqlbits import (LINEITEM_KEY, RUNS, RUNS_CTE, TEST_CUT, h32, keyed, r6,
+                                   seeded)
 from trellis.session import table
 
 ALPHAS = L.logspace_alphas(-4.0, 4.0, 100)
@@ -59,11 +59,11 @@ def ols_by_segment(spark, sf_dir):
 _TWO_FEATURE_CTES = f"""
 {RUNS_CTE},
 base AS (
-  SELECT {LINEITEM_KEY} AS row_key, l_extendedprice AS x1, l_discount AS x2,
+  SELECT {h32(LINEITEM_KEY)} AS kh, l_extendedprice AS x1, l_discount AS x2,
          l_extendedprice * (1 - l_discount) AS y FROM lineitem),
 r AS (
   SELECT run, x1, x2, y,
-         CASE WHEN {h32(keyed('row_key', SEED))} < {TEST_CUT} THEN 'test' ELSE 'train' END AS role
+         CASE WHEN {seeded('kh')} < {TEST_CUT} THEN 'test' ELSE 'train' END AS role
   FROM base CROSS JOIN runs),
 s AS (
   SELECT run, CAST(count(*) AS DOUBLE) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy,
@@ -96,7 +96,8 @@ def _two_feature_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     rows = li.select(key_string(*PM.LINEITEM_KEY).alias("row_key"), *TWO_FEATURES,
                      (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("label"))
-    return S.holdout(S.with_runs(rows, RUNS), "row_key", 0.2, "seed")
+    rows = S.add_key_hash(rows, "row_key").drop("row_key")
+    return S.holdout(S.with_runs(rows, RUNS), "key_hash", 0.2, "seed")
 
 
 def _two_feature_fit(rows):
@@ -129,11 +130,11 @@ def _path_sql(kind: str) -> str:
     return f"""
 WITH {RUNS_CTE},
 base AS (
-  SELECT {LINEITEM_KEY} AS row_key, l_extendedprice / 1000.0 AS x,
+  SELECT {h32(LINEITEM_KEY)} AS kh, {h32(keyed(LINEITEM_KEY, "'fold'"))} AS fh,
+         l_extendedprice / 1000.0 AS x,
          l_extendedprice * (1 - l_discount) / 1000.0 AS y FROM lineitem),
 r AS (
-  SELECT run, x, y, {h32(keyed('row_key', SEED))} AS h,
-         CAST({h32(keyed('row_key', SEED, "'fold'"))} % 5 AS INTEGER) AS fold
+  SELECT run, x, y, {seeded('kh')} AS h, CAST({seeded('fh')} % 5 AS INTEGER) AS fold
   FROM base CROSS JOIN runs),
 fs AS (
   SELECT run, fold, CAST(count(*) AS DOUBLE) AS fn, sum(x) AS fsx, sum(y) AS fsy,
@@ -166,8 +167,10 @@ def _fold_sums(spark, sf_dir):
                      (F.col("l_extendedprice") / 1000.0).alias("x"),
                      (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000.0)
                      .alias("label"))
-    r = S.holdout(S.with_runs(rows, RUNS), "row_key", 0.2, "seed")
-    r = S.kfold(r.where(F.col("role") == "train"), "row_key", 5, "seed")
+    rows = S.add_key_hash(rows, "row_key")
+    rows = S.add_key_hash(rows, "row_key", "fold_hash", salt="fold").drop("row_key")
+    r = S.holdout(S.with_runs(rows, RUNS), "key_hash", 0.2, "seed")
+    r = S.kfold(r.where(F.col("role") == "train"), "fold_hash", 5, "seed")
     return L.gram_sums(r, ["x"], "label", ["run", "fold"])
 
 

@@ -27,3 +27,9 @@ LINEITEM_KEY = ("concat_ws(':', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber A
 def r6(expr: str, alias: str, digits: int = 6) -> str:
     # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's decimal rounding does
     return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0) AS {alias}"
+
+
+def seeded(key_hash: str, seed: str = "run + 41") -> str:
+    """SQL twin of ``seeded_hash`` (per-row key hash, per-run seed)."""
+    from trellis.functions.random import sql_seeded_hash
+    return sql_seeded_hash(key_hash, seed)
