@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions.random import TWO32, hash32, key_string, seeded_hash
 from trellis.operators.ranking import hash_positions
+from trellis.session import spread
 
 SEED_BASE = 41          # run r (1-based) uses seed 41 + r, so run 1 has seed 42
 
@@ -30,7 +31,7 @@ def with_runs(df: DataFrame, runs: int, run_col: str = "run",
     grouped aggregate that follows absorbs the growth before any shuffle.
     """
     seq = F.sequence(F.lit(1).cast("bigint"), F.lit(int(runs)).cast("bigint"))
-    return (df.withColumn(run_col, F.explode(seq))
+    return (spread(df).withColumn(run_col, F.explode(seq))
             .withColumn(seed_col, F.col(run_col) + F.lit(SEED_BASE).cast("bigint")))
 
 
@@ -40,7 +41,7 @@ def add_key_hash(df: DataFrame, key: Column | str, out: str = "key_hash",
     so the expensive hash is paid once per row, not once per run."""
     k = F.col(key) if isinstance(key, str) else key
     parts = [k] + ([F.lit(salt)] if salt else [])
-    return df.withColumn(out, hash32(*parts))
+    return spread(df).withColumn(out, hash32(*parts))
 
 
 def holdout(df: DataFrame, key_hash: str = "key_hash", test_frac: float = 0.2,

@@ -92,12 +92,12 @@ FROM r JOIN fit USING (run) WHERE role = 'test' GROUP BY run
 TWO_FEATURES = ["l_extendedprice", "l_discount"]
 
 
-def _two_feature_rows(spark, sf_dir):
+def _two_feature_rows(spark, sf_dir, runs: int = RUNS):
     li = table(spark, sf_dir, "lineitem")
     rows = li.select(key_string(*PM.LINEITEM_KEY).alias("row_key"), *TWO_FEATURES,
                      (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("label"))
     rows = S.add_key_hash(rows, "row_key").drop("row_key")
-    return S.holdout(S.with_runs(rows, RUNS), "key_hash", 0.2, "seed")
+    return S.holdout(S.with_runs(rows, runs), "key_hash", 0.2, "seed")
 
 
 def _two_feature_fit(rows):
@@ -255,7 +255,7 @@ FROM agg
 def linear_contributions(spark, sf_dir):
     """Exact additive contributions of the run-1 two-feature line on its
     test rows, summarised by feature (mean |phi| order)."""
-    rows = _two_feature_rows(spark, sf_dir).where(F.col("run") == 1)
+    rows = _two_feature_rows(spark, sf_dir, runs=1)          # run 1 only: seed 42
     train = rows.where(F.col("role") == "train")
     fits = _two_feature_fit(train)
     means = train.groupBy("run").agg(*[F.avg(f).alias(f) for f in TWO_FEATURES])

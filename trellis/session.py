@@ -64,3 +64,18 @@ def default_parallelism(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin rows over the cluster when the input has fewer splits than cores.
+
+    A single large file with one row group scans as one task; CPU-heavy row work
+    that follows (hashing, the run explode) would then use one core.  On a big
+    input the scan already has thousands of splits and this is a no-op, so no
+    shuffle is added where it is not needed.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
