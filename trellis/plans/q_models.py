@@ -193,3 +193,44 @@ def search_best_trial(spark, sf_dir):
     best = TR.best_trial(scored).select(F.col("trial").alias("_best"))
     return rounded(scored.join(F.broadcast(best), F.col("trial") == F.col("_best"), "left")
                    .withColumn("is_best", F.col("_best").isNotNull()).drop("_best"))
+
+
+# ------------------------------------------------------------ tree explanations
+
+def _explained_forest(spark, sf_dir, num_trees: int, max_depth: int):
+    rows = _embedding_rows(spark, sf_dir, 1)                 # run 1: seed 42
+    model = TR.forest_classifier(num_trees=num_trees, max_depth=max_depth, seed=42).fit(
+        rows.where(F.col("role") != "test"))
+    names = [f"emb_{j}" for j in range(64)]
+    return rows, model, names
+
+
+def _contribution_report(phi):
+    from pyspark.sql import Window
+    from trellis.operators import explain as X
+    summ = X.contribution_summary(phi)
+    return rounded(summ.withColumn(
+        "importance_rank",
+        F.row_number().over(Window.orderBy(F.col("mean_abs_phi").desc(), "feature"))
+        .cast("bigint")))
+
+
+@query("tree_contributions")
+def tree_contributions(spark, sf_dir):
+    """Path-dependent tree contributions of a forest classifier (class-1
+    probability) for every embedding row, summarised by feature."""
+    from trellis.operators import treeshap as TS
+    rows, model, names = _explained_forest(spark, sf_dir, 10, 5)
+    phi = TS.explain_path_dependent(rows, model, names, ["vec_id"])
+    return _contribution_report(phi)
+
+
+@query("tree_contributions_background")
+def tree_contributions_background(spark, sf_dir):
+    """Contributions against a seeded background sample of 50 training
+    rows (bounded by the sampling operator), for every embedding row."""
+    from trellis.operators import treeshap as TS
+    rows, model, names = _explained_forest(spark, sf_dir, 5, 4)
+    bg = S.seeded_sample(rows.where(F.col("role") != "test"), "vec_id", 50, seed=42)
+    phi = TS.explain_interventional(rows, model, names, ["vec_id"], bg, max_background=50)
+    return _contribution_report(phi)
