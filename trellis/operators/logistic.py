@@ -15,29 +15,54 @@ quadratic model) for L1.  Iterations stop when every group's step is tiny.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _score(features: list[str]) -> Column:
-    z = F.col("_w")[len(features)]                       # bias weight
-    for j, f in enumerate(features):
-        z = z + F.col("_w")[j] * F.col(f).cast("double")
-    return z
-
-
 def _stats(df: DataFrame, features: list[str], label: str, group_cols: list[str],
-           weights: DataFrame) -> list:
+           weights: dict) -> list:
+    """Gradient and Hessian of the log-loss per group, in one pass.
+
+    Each task turns its Arrow batches into numpy partial sums per group (the
+    current weights travel in a broadcast of groups x q numbers); a grouped sum
+    of the matrix cells adds the partials.  Returns rows
+    ``(group..., cell, value)`` collected on the driver: groups x cells numbers.
+    """
+    from pyspark.sql import types as T
     q = len(features) + 1
-    x = [F.col(f).cast("double") for f in features] + [F.lit(1.0)]
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-_score(features)))
-    y = F.col(label).cast("double")
-    s = p * (F.lit(1.0) - p)
-    j = df.join(F.broadcast(weights), group_cols)         # groups x q weights
-    aggs = [F.sum((p - y) * x[i]).alias(f"g_{i}") for i in range(q)]
-    aggs += [F.sum(s * x[i] * x[k]).alias(f"h_{i}_{k}") for i in range(q) for k in range(i, q)]
-    aggs.append(F.count(F.lit(1)).alias("n"))
-    return j.groupBy(*group_cols).agg(*aggs).collect()     # groups rows, bounded
+    iu = np.triu_indices(q)
+    bw = df.sparkSession.sparkContext.broadcast(weights)
+    schema = T.StructType([df.schema[c] for c in group_cols] + [
+        T.StructField("_cell", T.IntegerType()), T.StructField("_v", T.DoubleType())])
+
+    def partial(batches):
+        wts = bw.value
+        acc: dict = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = np.c_[pdf[features].to_numpy(dtype=float), np.ones(len(pdf))]
+            y = pdf[label].to_numpy(dtype=float)
+            for k, idx in pdf.groupby(group_cols, sort=False).indices.items():
+                k = k if isinstance(k, tuple) else (k,)
+                k = tuple(v.item() if hasattr(v, "item") else v for v in k)
+                Xi, yi = X[idx], y[idx]
+                pr = 1.0 / (1.0 + np.exp(-(Xi @ wts[k])))
+                s = pr * (1.0 - pr)
+                vec = np.concatenate([Xi.T @ (pr - yi), ((Xi * s[:, None]).T @ Xi)[iu]])
+                acc[k] = acc.get(k, 0) + vec
+        for k, vec in acc.items():
+            out = pd.DataFrame({"_cell": np.arange(len(vec), dtype=np.int32), "_v": vec})
+            for name, val in zip(group_cols, k):
+                out[name] = val
+            yield out[[*group_cols, "_cell", "_v"]]
+
+    cells = (df.select(*group_cols, *features, label).mapInPandas(partial, schema)
+             .groupBy(*group_cols, "_cell").agg(F.sum("_v").alias("_v")))
+    rows = cells.collect()                                  # groups x cells, bounded
+    bw.unpersist()
+    return rows
 
 
 def _prox_newton_l1(w, g, H, iters: int = 200, tol: float = 1e-10):
@@ -61,7 +86,7 @@ def _prox_newton_l1(w, g, H, iters: int = 200, tol: float = 1e-10):
 
 def fit_logistic(df: DataFrame, features: list[str], label: str, group_cols: list[str],
                  penalty: str = "l2", C: float = 1.0, max_iter: int = 50,
-                 tol: float = 1e-8) -> DataFrame:
+                 tol: float = 1e-9) -> DataFrame:
     """Weights per group: ``(group..., coef array, intercept, iterations)``."""
     spark = df.sparkSession
     q = len(features) + 1
@@ -72,28 +97,26 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, group_cols: lis
     data = df.select(*group_cols, *features, label).persist()
     it = 0
     for it in range(1, max_iter + 1):
-        wdf = spark.createDataFrame(
-            [(*g, [float(v) for v in w[g]]) for g in groups],
-            [*group_cols, "_w"]) if groups else None
-        if wdf is None:
+        if not groups:
             break
-        rows = _stats(data, features, label, group_cols, wdf)
-        biggest = 0.0
-        for r in rows:
+        cells: dict = {}
+        for r in _stats(data, features, label, group_cols, {g: w[g] for g in groups}):
             g = tuple(r[c] for c in group_cols)
-            grad = np.array([r[f"g_{i}"] for i in range(q)]) * C
-            H = np.empty((q, q))
-            for i in range(q):
-                for k in range(i, q):
-                    H[i, k] = H[k, i] = r[f"h_{i}_{k}"] * C
+            cells.setdefault(g, np.zeros(q + q * (q + 1) // 2))[r["_cell"]] = r["_v"]
+        iu = np.triu_indices(q)
+        biggest = 0.0
+        for g, vec in cells.items():
+            grad = vec[:q] * C
+            H = np.zeros((q, q))
+            H[iu] = vec[q:]
+            H = (H + H.T - np.diag(np.diag(H))) * C
             if penalty == "l2":
-                step = np.linalg.solve(H + np.eye(q), grad + w[g])
-                new = w[g] - step
+                new = w[g] - np.linalg.solve(H + np.eye(q), grad + w[g])
             else:
                 new = _prox_newton_l1(w[g], grad, H + 1e-12 * np.eye(q))
             biggest = max(biggest, float(np.max(np.abs(new - w[g]))))
             w[g] = new
-        if biggest < tol:
+        if biggest < tol * max(1.0, max(float(np.max(np.abs(v))) for v in w.values())):
             break
     data.unpersist()
     out = [(*g, [float(v) for v in w[g][:-1]], float(w[g][-1]), it) for g in groups]
