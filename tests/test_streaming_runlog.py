@@ -1,0 +1,70 @@
+"""Run-log parsing (batch) and the two streaming monitors."""
+
+import os
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from trellis.sources import runlog as RL
+from trellis.streaming import monitor as MO
+
+LOG_A = """==================================================
+[2025-01-02 10:00:00] INFO: batch started
+==================================================
+[2025-01-02 10:00:00] INFO: exp_a.py started
+[2025-01-02 10:05:30] SUCCESS: exp_a.py finished
+[2025-01-02 10:05:30] INFO: exp_b.py started
+[2025-01-02 10:06:10] ERROR: exp_b.py failed
+"""
+LOG_B = """[2025-01-02 10:06:10] INFO: exp_c.py started
+[2025-01-02 11:06:10] SUCCESS: exp_c.py finished
+"""
+
+
+def _write(d, name, text):
+    with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+        f.write(text)
+
+
+def test_parse_and_durations(spark):
+    d = tempfile.mkdtemp(prefix="trellis-log-")
+    _write(d, "a.log", LOG_A + LOG_B)
+    parsed = RL.parse_log(RL.read_log(spark, d))
+    st = RL.program_status(parsed.where(F.col("program").isNotNull()), ["program"], ["ts"])
+    got = {r["program"]: (r["duration_s"], r["final_status"]) for r in st.collect()}
+    assert got == {"exp_a.py": (330.0, "SUCCESS"), "exp_b.py": (40.0, "ERROR"),
+                   "exp_c.py": (3600.0, "SUCCESS")}
+
+
+def test_runlog_stream_updates(spark):
+    d = tempfile.mkdtemp(prefix="trellis-logstream-")
+    _write(d, "a.log", LOG_A)
+    q = MO.start_to_memory(MO.runlog_status_stream(spark, d), "runlog_status", "complete")
+    try:
+        q.processAllAvailable()
+        first = {r["program"]: r["status"] for r in spark.table("runlog_status").collect()}
+        assert first == {"exp_a.py": "SUCCESS", "exp_b.py": "ERROR"}
+        _write(d, "b.log", LOG_B)
+        q.processAllAvailable()
+        second = {r["program"]: r["status"] for r in spark.table("runlog_status").collect()}
+        assert second["exp_c.py"] == "SUCCESS" and len(second) == 3
+    finally:
+        q.stop()
+
+
+def test_results_summary_stream(spark):
+    d = tempfile.mkdtemp(prefix="trellis-results-")
+    schema = "run long, model string, rmse double"
+    spark.createDataFrame([(1, "A", 1.0), (1, "B", 2.0)], schema).write.parquet(f"{d}/run1")
+    s = MO.results_summary_stream(spark, f"{d}/*", schema, ["rmse"])
+    q = MO.start_to_memory(s, "results_summary", "complete")
+    try:
+        q.processAllAvailable()
+        spark.createDataFrame([(2, "A", 3.0), (2, "B", 2.0)], schema).write.parquet(f"{d}/run2")
+        q.processAllAvailable()
+        got = {r["model"]: (r["n_runs"], r["rmse_mean"]) for r in
+               spark.table("results_summary").collect()}
+        assert got == {"A": (2, 2.0), "B": (2, 2.0)}
+    finally:
+        q.stop()

@@ -1,0 +1,72 @@
+"""Structured Streaming views of the two append-only outputs of a comparison.
+
+The batch runner appends status lines to a run log (K3) and every finished run
+appends its per-model result rows (U1).  Both are naturally streams:
+
+* :func:`runlog_status_stream` -- ``readStream`` of the log folder, parsed as in
+  :mod:`trellis.sources.runlog` (L1), reduced to one status row per program
+  (L2 + L4) in update mode; state is one row per program.
+* :func:`results_summary_stream` -- ``readStream`` of result files as runs
+  finish; running mean and sample deviation of each metric by model (A1), in
+  complete mode; state is one row per model.
+
+Sinks use a checkpoint location under the shared checkpoint folder, so a
+restarted query resumes exactly where it stopped.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from trellis.session import shared_path
+from trellis.sources.runlog import parse_log
+
+
+def runlog_status_stream(spark: SparkSession, log_dir: str) -> DataFrame:
+    """Streaming table ``(program, started, last_seen, n_lines, status)``."""
+    lines = spark.readStream.format("text").load(log_dir)
+    parsed = parse_log(lines).where(F.col("program").isNotNull())
+    return parsed.groupBy("program").agg(
+        F.min("ts").alias("started"), F.max("ts").alias("last_seen"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.max_by("level", "ts").alias("status"))
+
+
+def results_summary_stream(spark: SparkSession, results_dir: str, schema: T.StructType | str,
+                           metrics: list[str], model_col: str = "model",
+                           fmt: str = "parquet") -> DataFrame:
+    """Streaming ``summarize``: per model ``<m>_mean``, ``<m>_std``, ``n_runs``."""
+    src = spark.readStream.schema(schema).format(fmt)
+    if fmt == "csv":
+        src = src.option("header", True)
+    rows = src.load(results_dir)
+    aggs = [F.count(F.lit(1)).alias("n_runs")]
+    for m in metrics:
+        aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std")]
+    return rows.groupBy(model_col).agg(*aggs)
+
+
+def start_to_memory(df: DataFrame, name: str, mode: str = "complete",
+                    checkpoint: str | None = None) -> StreamingQuery:
+    """Start a query into an in-memory table ``name`` (for inspection / tests)."""
+    spark = df.sparkSession
+    ckpt = checkpoint or shared_path(spark, f"stream-{name}-{uuid.uuid4().hex}")
+    return (df.writeStream.outputMode(mode).format("memory").queryName(name)
+            .option("checkpointLocation", ckpt).start())
+
+
+def start_to_table(df: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Start a query that rewrites the current state to ``path`` each micro-batch
+    (``foreachBatch``: aggregated state is small -- one row per program/model)."""
+    spark = df.sparkSession
+    ckpt = checkpoint or shared_path(spark, f"stream-{uuid.uuid4().hex}")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return (df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt).start())
