@@ -26,3 +26,16 @@ def test_linearity_scenario_linear_only(spark):
     out = compare(df, feats, runs=2, test_pair=("Lasso", "Ridge"))
     r = out["results"].where(F.col("model") == "Linear Regression").toPandas()
     assert (r["r2"] > 0).all()
+
+
+def test_interpretability_scenario_small(spark):
+    out = SC.interpretability(spark, runs=2, n=300, forest={"num_trees": 5, "max_depth": 4},
+                              boosted={"max_iter": 5, "max_depth": 2})
+    res = out["results"].toPandas()
+    assert len(res) == 8 and res["roc_auc"].between(0, 1).all()
+    s = out["summary"].toPandas().set_index("model")
+    # informative features shift by class: logistic AUC well above chance
+    assert s.loc["Logistic Regression (L2)", "roc_auc_mean"] > 0.8
+    coefs = out["coefficients"].toPandas()
+    assert len(coefs) == 10 + 10 * 3 and coefs["coefficient"].is_monotonic_decreasing
+    assert out["test"].count() == 1

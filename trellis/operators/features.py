@@ -95,3 +95,25 @@ def hot_slot(vec_col: str) -> Column:
     arr = vector_to_array(F.col(vec_col))
     pos = F.array_position(arr, 1.0)
     return F.when(pos > 0, pos - 1)
+
+
+def equal_width_bins_many(df: DataFrame, cols: list[str], k: int = 3,
+                          labels: list[str] | None = None, suffix: str = "_bin") -> DataFrame:
+    """F5 for many columns at once: one min/max aggregate (scalar subqueries over
+    the same plan are merged into one job), one projection of all bins."""
+    labels = labels or [str(i) for i in range(1, k + 1)]
+    names = F.array(*[F.lit(x) for x in labels])
+    stats = df.select(*[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in
+                        enumerate(cols)],
+                      *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in
+                        enumerate(cols)])
+    out = []
+    for i, c in enumerate(cols):
+        lo = stats.select(f"lo_{i}").scalar()
+        hi = stats.select(f"hi_{i}").scalar()
+        width = (hi - lo) / F.lit(float(k))
+        raw = F.least(F.greatest(F.ceil((F.col(c).cast("double") - lo) / width), F.lit(1)),
+                      F.lit(k))
+        b = F.when(width > 0, raw).otherwise(F.lit(1)).cast("int")
+        out.append(F.element_at(names, b).alias(f"{c}{suffix}"))
+    return df.select("*", *out)

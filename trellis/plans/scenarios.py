@@ -51,3 +51,15 @@ def small_sample(spark: SparkSession, runs: int = 30, n: int = 100, p: int = 200
     return compare(df, feats, runs=runs, forest=kw.get("forest", FOREST),
                    boosted=kw.get("boosted", BOOSTED), metric="overfitting",
                    test_pair=("Lasso", "Boosted Trees"), alternative="less")
+
+
+def interpretability(spark: SparkSession, runs: int = 30, n: int = 1000, **kw):
+    """ex5: two classes, numeric and binned categorical columns; logistic models
+    against forests and boosting on AUC, plus the coefficient table."""
+    from trellis.plans.compare_classify import compare_classification
+    df = SY.two_class_mixed(spark, n=n)
+    num = [c for c in df.columns if c.startswith("num_feature_")]
+    cat = [c for c in df.columns if c.startswith("cat_feature_")]
+    return compare_classification(df, num, cat, runs=runs,
+                                  forest=kw.get("forest", {"num_trees": 100, "max_depth": 30}),
+                                  boosted=kw.get("boosted", BOOSTED))

@@ -92,23 +92,22 @@ def two_class_mixed(spark: SparkSession, n: int = 1000, informative: int = 15,
     """Two classes; informative normals shifted by class, redundant columns
     as sums of informative ones, the last ``n_binned`` columns binned to
     low / medium / high by equal width (F5)."""
-    from trellis.operators.features import equal_width_bins
+    from trellis.operators.features import equal_width_bins_many
     df = spark.range(n).withColumnRenamed("id", "row_id")
-    df = df.withColumn("label", (uniform("row_id", F.lit(seed), F.lit("y")) < 0.5).cast("int"))
+    y = (uniform("row_id", F.lit(seed), F.lit("y")) < 0.5).cast("int")
+    df = df.select("row_id", y.alias("label"))
     shift = F.col("label") * 2 - 1
-    for j in range(informative):
-        df = df.withColumn(f"f{j}", normal("row_id", F.lit(seed), F.lit(f"f{j}"))
-                           + F.lit(0.5) * shift)
-    for r in range(redundant):
-        df = df.withColumn(f"f{informative + r}", F.col(f"f{r}") + F.col(f"f{r + 1}"))
+    df = df.select("row_id", "label", *[
+        (normal("row_id", F.lit(seed), F.lit(f"f{j}")) + F.lit(0.5) * shift).alias(f"f{j}")
+        for j in range(informative)])
+    df = df.select("*", *[(F.col(f"f{r}") + F.col(f"f{r + 1}")).alias(f"f{informative + r}")
+                          for r in range(redundant)])
     total = informative + redundant
-    out_num = [F.col(f"f{j}").alias(f"num_feature_{j}") for j in range(total - n_binned)]
-    df2 = df.select("row_id", "label", *out_num,
-                    *[F.col(f"f{j}") for j in range(total - n_binned, total)])
-    for i, j in enumerate(range(total - n_binned, total)):
-        df2 = equal_width_bins(df2, f"f{j}", 3, ["low", "medium", "high"],
-                               bin_col="_bin", label_col=f"cat_feature_{i}").drop(f"f{j}", "_bin")
-    return df2
+    binned = [f"f{j}" for j in range(total - n_binned, total)]
+    df = equal_width_bins_many(df, binned, 3, ["low", "medium", "high"])
+    return df.select("row_id", "label",
+                     *[F.col(f"f{j}").alias(f"num_feature_{j}") for j in range(total - n_binned)],
+                     *[F.col(f"{c}_bin").alias(f"cat_feature_{i}") for i, c in enumerate(binned)])
 
 
 def settings(spark: SparkSession, runs: int = 30, test_frac: float = 0.2, noise: float = 25.0,
