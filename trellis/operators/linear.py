@@ -296,3 +296,24 @@ def linear_prediction_array(features_col: str, coef_col: str = "coef",
     dot = F.aggregate(F.zip_with(F.col(features_col), F.col(coef_col), lambda a, b: a * b),
                       F.lit(0.0), lambda acc, v: acc + v)
     return F.col(intercept_col) + dot
+
+
+def shifted(df: DataFrame, cols: list[str]):
+    """Subtract each column's overall mean (one small aggregate job) before
+    accumulating sums.  Raw sums of products cancel badly when means are large
+    against spreads; shifted sums keep the digits (the fits are shift-invariant,
+    only the intercept moves back by :func:`unshift_intercept`)."""
+    # one small job now; the shifts are then plain literals in every later plan
+    row = df.select(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    shifts = {c: F.lit(float(row[c] or 0.0)) for c in cols}
+    return df.select(*[c for c in df.columns if c not in cols],
+                     *[(F.col(c).cast("double") - shifts[c]).alias(c) for c in cols]), shifts
+
+
+def unshift_intercept(fits: DataFrame, features: list[str], shifts: dict,
+                      label: str) -> DataFrame:
+    """Intercept in original units: ``a + m_y - sum_j coef_j * m_j``."""
+    a = F.col("intercept") + shifts[label]
+    for j, f in enumerate(features):
+        a = a - F.col("coef")[j] * shifts[f]
+    return fits.withColumn("intercept", a)

@@ -58,9 +58,11 @@ def ols_by_segment(spark, sf_dir):
 
 _TWO_FEATURE_CTES = f"""
 {RUNS_CTE},
+mu AS (SELECT avg(l_extendedprice) AS g1, avg(l_discount) AS g2,
+              avg(l_extendedprice * (1 - l_discount)) AS gy FROM lineitem),
 base AS (
-  SELECT {h32(LINEITEM_KEY)} AS kh, l_extendedprice AS x1, l_discount AS x2,
-         l_extendedprice * (1 - l_discount) AS y FROM lineitem),
+  SELECT {h32(LINEITEM_KEY)} AS kh, l_extendedprice - g1 AS x1, l_discount - g2 AS x2,
+         l_extendedprice * (1 - l_discount) - gy AS y FROM lineitem CROSS JOIN mu),
 r AS (
   SELECT run, x1, x2, y,
          CASE WHEN {seeded('kh')} < {TEST_CUT} THEN 'test' ELSE 'train' END AS role
@@ -83,10 +85,10 @@ fit AS (SELECT run, b1, b2, sy / n - b1 * s1 / n - b2 * s2 / n AS a, s1 / n AS m
 
 OLS_TWO_SQL = f"""
 WITH {_TWO_FEATURE_CTES}
-SELECT run, {r6('min(a)', 'intercept')}, {r6('min(b1)', 'coef_price')},
+SELECT run, {r6('min(a + gy - b1 * g1 - b2 * g2)', 'intercept')}, {r6('min(b1)', 'coef_price')},
        {r6('min(b2)', 'coef_discount')},
        {r6('sqrt(avg((y - a - b1 * x1 - b2 * x2) * (y - a - b1 * x1 - b2 * x2)))', 'rmse_test')}
-FROM r JOIN fit USING (run) WHERE role = 'test' GROUP BY run
+FROM r JOIN fit USING (run) CROSS JOIN mu WHERE role = 'test' GROUP BY run
 """
 
 TWO_FEATURES = ["l_extendedprice", "l_discount"]
@@ -96,8 +98,9 @@ def _two_feature_rows(spark, sf_dir, runs: int = RUNS):
     li = table(spark, sf_dir, "lineitem")
     rows = li.select(key_string(*PM.LINEITEM_KEY).alias("row_key"), *TWO_FEATURES,
                      (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("label"))
+    rows, shifts = L.shifted(rows, [*TWO_FEATURES, "label"])    # means of raw columns
     rows = S.add_key_hash(rows, "row_key").drop("row_key")
-    return S.holdout(S.with_runs(rows, runs), "key_hash", 0.2, "seed")
+    return S.holdout(S.with_runs(rows, runs), "key_hash", 0.2, "seed"), shifts
 
 
 def _two_feature_fit(rows):
@@ -108,11 +111,12 @@ def _two_feature_fit(rows):
 @query("ols_two_features", OLS_TWO_SQL)
 def ols_two_features(spark, sf_dir):
     """Two-feature least squares per run from grouped sums; test RMSE."""
-    rows = _two_feature_rows(spark, sf_dir)
-    fits = _two_feature_fit(rows)
+    rows, shifts = _two_feature_rows(spark, sf_dir)
+    fits = _two_feature_fit(rows)                 # in shifted units
     test = rows.where(F.col("role") == "test").join(F.broadcast(fits), "run")  # runs rows
     pred = test.withColumn("prediction", L.linear_prediction(TWO_FEATURES))
     rm = M.regression_metrics(pred, ["run"])
+    fits = L.unshift_intercept(fits, TWO_FEATURES, shifts, "label")
     out = fits.join(rm, "run").select(
         "run", "intercept", F.col("coef")[0].alias("coef_price"),
         F.col("coef")[1].alias("coef_discount"), F.col("rmse").alias("rmse_test"))
@@ -235,9 +239,9 @@ def range_split_extrapolation(spark, sf_dir):
 CONTRIB_SQL = f"""
 WITH {_TWO_FEATURE_CTES},
 ph AS (
-  SELECT fit.a + fit.b1 * fit.m1 + fit.b2 * fit.m2 AS base_value,
+  SELECT fit.a + fit.b1 * fit.m1 + fit.b2 * fit.m2 + mu.gy AS base_value,
          b1 * (x1 - m1) AS phi_price, b2 * (x2 - m2) AS phi_discount
-  FROM r JOIN fit USING (run) WHERE run = 1 AND role = 'test'),
+  FROM r JOIN fit USING (run) CROSS JOIN mu WHERE run = 1 AND role = 'test'),
 lng AS (
   SELECT 'l_extendedprice' AS feature, phi_price AS phi, base_value FROM ph
   UNION ALL SELECT 'l_discount', phi_discount, base_value FROM ph),
@@ -255,12 +259,13 @@ FROM agg
 def linear_contributions(spark, sf_dir):
     """Exact additive contributions of the run-1 two-feature line on its
     test rows, summarised by feature (mean |phi| order)."""
-    rows = _two_feature_rows(spark, sf_dir, runs=1)          # run 1 only: seed 42
+    rows, shifts = _two_feature_rows(spark, sf_dir, runs=1)  # run 1 only: seed 42
     train = rows.where(F.col("role") == "train")
     fits = _two_feature_fit(train)
     means = train.groupBy("run").agg(*[F.avg(f).alias(f) for f in TWO_FEATURES])
     test = rows.where(F.col("role") == "test")
     phi = X.linear_contributions(test, fits, means, TWO_FEATURES, ["run"])
+    phi = phi.withColumn("base_value", F.col("base_value") + shifts["label"])
     summ = X.contribution_summary(phi)
     return rounded(summ.withColumn(
         "importance_rank",
