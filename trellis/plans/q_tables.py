@@ -23,9 +23,9 @@ long AS (
 """
 
 DISTRIBUTION_SQL = f"""{_LONG_SQL}
-SELECT model, metric, {r6('min(value)', 'min')}, {r6('quantile_cont(value, 0.25)', 'q25')},
-       {r6('quantile_cont(value, 0.5)', 'median')}, {r6('quantile_cont(value, 0.75)', 'q75')},
-       {r6('max(value)', 'max')}
+SELECT model, metric, {r6('min(value)', 'min', 8)}, {r6('quantile_cont(value, 0.25)', 'q25', 8)},
+       {r6('quantile_cont(value, 0.5)', 'median', 8)},
+       {r6('quantile_cont(value, 0.75)', 'q75', 8)}, {r6('max(value)', 'max', 8)}
 FROM long GROUP BY model, metric
 """
 
@@ -50,7 +50,8 @@ def _metric_long(spark, sf_dir):
 def metric_distribution(spark, sf_dir):
     """V1: five exact quantiles of each metric by model over the 30 runs."""
     q, _ = TB.distribution(_metric_long(spark, sf_dir))
-    return rounded(q)
+    # inputs have 6 decimals, quartiles of them at most 8: rounding at 8 has no ties
+    return rounded(q, 8)
 
 
 @query("metric_density", DENSITY_SQL)
