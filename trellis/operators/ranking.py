@@ -41,21 +41,25 @@ def _grouped(df: DataFrame, part_cols: list[str]):
 
 
 def hash_positions(df: DataFrame, part_cols: list[str], hash_col: str, tie_col: str,
-                   pos_col: str = "pos", bits: int = DEFAULT_HASH_BITS) -> DataFrame:
+                   pos_col: str = "pos", bits: int = DEFAULT_HASH_BITS,
+                   total_col: str | None = None) -> DataFrame:
     """0-based position by ``(hash_col, tie_col)`` inside each group.
 
     ``hash_col`` must be an unsigned 32-bit hash (uniform), so ``hash >> (32-bits)``
     is an order-preserving bucket with balanced cells.
     """
     df, part_cols, extra = _grouped(df, part_cols)
-    out = _hash_positions(df, part_cols, hash_col, tie_col, pos_col, bits)
+    out = _hash_positions(df, part_cols, hash_col, tie_col, pos_col, bits, total_col)
     return out.drop(extra) if extra else out
 
 
-def _hash_positions(df, part_cols, hash_col, tie_col, pos_col, bits):
+def _hash_positions(df, part_cols, hash_col, tie_col, pos_col, bits, total_col=None):
     tmp = df.withColumn("_b", F.shiftright(F.col(hash_col), 32 - bits))
     cells = tmp.groupBy(*part_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     offs = _offsets(cells, part_cols, "_b", "_n")
+    if total_col:       # group size from the same small cell table (no extra pass)
+        offs = offs.join(cells.groupBy(*part_cols).agg(F.sum("_n").alias(total_col)),
+                         part_cols)
     local = Window.partitionBy(*part_cols, "_b").orderBy(hash_col, tie_col)
     return (tmp.withColumn("_l", F.row_number().over(local) - 1)
             .join(offs, [*part_cols, "_b"])

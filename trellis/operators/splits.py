@@ -90,16 +90,11 @@ def exact_split(df: DataFrame, key_hash: str, tie: Column | str, test_frac: floa
     by = list(by or [])
     t = F.col(tie) if isinstance(tie, str) else tie
     tmp = df.withColumn("_k", t.cast("string")).withColumn("_h", seeded_hash(key_hash, seed))
-    ranked = hash_positions(tmp, by, "_h", "_k", pos_col="_pos")
-    n_test = F.round(F.lit(float(test_frac)) * F.count(F.lit(1))).cast("bigint")
-    if by:
-        cut = tmp.groupBy(*by).agg(n_test.alias("_cut"))
-        joined = ranked.join(F.broadcast(cut), by)
-    else:   # one number: a scalar subquery, computed once and inlined
-        joined = ranked.withColumn("_cut", tmp.select(n_test).scalar())
-    return (joined.withColumn(role_col, F.when(F.col("_pos") < F.col("_cut"), "test")
-                              .otherwise("train"))
-            .drop("_k", "_h", "_pos", "_cut"))
+    # group sizes come with the positions, from the small per-bucket count table
+    ranked = hash_positions(tmp, by, "_h", "_k", pos_col="_pos", total_col="_n")
+    cut = F.round(F.lit(float(test_frac)) * F.col("_n")).cast("bigint")
+    return (ranked.withColumn(role_col, F.when(F.col("_pos") < cut, "test").otherwise("train"))
+            .drop("_k", "_h", "_pos", "_n"))
 
 
 def stratified_split(df: DataFrame, key_hash: str, tie: Column | str, label_col: str,

@@ -25,18 +25,26 @@ def price_rows(lineitem: DataFrame) -> DataFrame:
     """Key, feature, label and bucket of each lineitem row."""
     x = F.col("l_extendedprice")
     return lineitem.select(
-        key_string(*LINEITEM_KEY).alias("row_key"),
+        *LINEITEM_KEY,                  # the key text is built after rows are spread
         x.alias("x"),
         (x * (F.lit(1.0) - F.col("l_discount"))).alias("label"),
         F.least(F.floor(x / 10000.0), F.lit(N_BUCKETS - 1)).cast("bigint").alias("bucket"))
 
 
-def fit_tables(train: DataFrame, group_cols: list[str]):
-    """Per-group closed-form fits from one aggregate: bucket means, mean, OLS line."""
+def fit_tables(train: DataFrame, group_cols: list[str], materialize: bool = True):
+    """Per-group closed-form fits from one aggregate: bucket means, mean, OLS line.
+
+    The per-(group, bucket) sums are at most groups x 11 rows; with
+    ``materialize`` they are computed once and kept as a local table, so the
+    scoring pass does not re-run the fitting pass for each fitted table.
+    """
     by_bucket = train.groupBy(*group_cols, "bucket").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").alias("sy"),
         F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
         F.sum(F.col("x") * F.col("label")).alias("sxy"))
+    if materialize:
+        spark = train.sparkSession
+        by_bucket = spark.createDataFrame(by_bucket.collect(), by_bucket.schema)
     by_group = by_bucket.groupBy(*group_cols).agg(
         *[F.sum(c).alias(c) for c in ["n", "sy", "sx", "sxx", "sxy"]])
     slope = ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"))
@@ -68,7 +76,8 @@ def predictions(rows: DataFrame, line: DataFrame, buckets: DataFrame,
 def holdout_predictions(lineitem: DataFrame, runs: int = 30, test_frac: float = 0.2,
                         score_roles=("test",)) -> DataFrame:
     """(run, role, model, model_ord, label, prediction) for every run and row."""
-    rows = with_runs(add_key_hash(price_rows(lineitem), "row_key").drop("row_key"), runs)
+    rows = add_key_hash(price_rows(lineitem), key_string(*LINEITEM_KEY)).drop(*LINEITEM_KEY)
+    rows = with_runs(rows, runs)
     rows = holdout(rows, "key_hash", test_frac, "seed")
     line, buckets = fit_tables(rows.where(F.col("role") == "train"), ["run"])
     scored_rows = rows.where(F.col("role").isin(*score_roles)).drop("seed", "key_hash")

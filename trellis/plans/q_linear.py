@@ -96,10 +96,10 @@ TWO_FEATURES = ["l_extendedprice", "l_discount"]
 
 def _two_feature_rows(spark, sf_dir, runs: int = RUNS):
     li = table(spark, sf_dir, "lineitem")
-    rows = li.select(key_string(*PM.LINEITEM_KEY).alias("row_key"), *TWO_FEATURES,
+    rows = li.select(*PM.LINEITEM_KEY, *TWO_FEATURES,
                      (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("label"))
     rows, shifts = L.shifted(rows, [*TWO_FEATURES, "label"])    # means of raw columns
-    rows = S.add_key_hash(rows, "row_key").drop("row_key")
+    rows = S.add_key_hash(rows, key_string(*PM.LINEITEM_KEY)).drop(*PM.LINEITEM_KEY)
     return S.holdout(S.with_runs(rows, runs), "key_hash", 0.2, "seed"), shifts
 
 
@@ -167,12 +167,12 @@ FROM ev GROUP BY run, alpha_idx, alpha
 
 def _fold_sums(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    rows = li.select(key_string(*PM.LINEITEM_KEY).alias("row_key"),
-                     (F.col("l_extendedprice") / 1000.0).alias("x"),
+    rows = li.select(*PM.LINEITEM_KEY, (F.col("l_extendedprice") / 1000.0).alias("x"),
                      (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000.0)
                      .alias("label"))
-    rows = S.add_key_hash(rows, "row_key")
-    rows = S.add_key_hash(rows, "row_key", "fold_hash", salt="fold").drop("row_key")
+    key = key_string(*PM.LINEITEM_KEY)
+    rows = S.add_key_hash(rows, key)
+    rows = S.add_key_hash(rows, key, "fold_hash", salt="fold").drop(*PM.LINEITEM_KEY)
     r = S.holdout(S.with_runs(rows, RUNS), "key_hash", 0.2, "seed")
     r = S.kfold(r.where(F.col("role") == "train"), "fold_hash", 5, "seed")
     return L.gram_sums(r, ["x"], "label", ["run", "fold"])
@@ -226,7 +226,7 @@ FROM pred GROUP BY model, role
 def range_split_extrapolation(spark, sf_dir):
     """Train on price <= 50,000, score both sides; the
     bucket model stays flat past its training range, the line does not."""
-    rows = PM.price_rows(table(spark, sf_dir, "lineitem")).drop("row_key")
+    rows = PM.price_rows(table(spark, sf_dir, "lineitem")).drop(*PM.LINEITEM_KEY)
     rows = S.range_split(rows, F.col("x") <= 50000).withColumn("split", F.lit("price"))
     line, buckets = PM.fit_tables(rows.where(F.col("role") == "train"), ["split"])
     preds = PM.predictions(rows, line, buckets, ["split"])

@@ -14,7 +14,7 @@ from trellis.operators import splits as S
 from trellis.operators import trees as TR
 from trellis.plans import price_models as PM
 from trellis.plans.registry import query, rounded
-from trellis.session import table
+from trellis.session import cut_lineage, table
 
 LOGISTIC_RUNS = 30
 TREE_RUNS = 3
@@ -34,7 +34,8 @@ def _doc_rows(spark, sf_dir, runs: int):
 
 
 def _logistic(spark, sf_dir, penalty: str, name: str):
-    rows = _doc_rows(spark, sf_dir, LOGISTIC_RUNS)
+    # the ranked split feeds the fit and the scoring: cut its lineage once
+    rows = cut_lineage(_doc_rows(spark, sf_dir, LOGISTIC_RUNS))
     fits = LG.fit_logistic(rows.where(F.col("role") == "train"), DOC_FEATURES, "label",
                            ["run"], penalty=penalty)
     test = LG.predict_logistic(rows.where(F.col("role") == "test"), fits, DOC_FEATURES,

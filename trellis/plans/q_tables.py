@@ -91,7 +91,7 @@ SELECT series, {r6('x', 'x')}, {r6('y', 'y')} FROM (
 def extrapolation_curve(spark, sf_dir):
     """V6: line and bucket-model curves on a 101-point grid over the price range,
     fitted on price <= 50,000, with the largest training label."""
-    rows = PM.price_rows(table(spark, sf_dir, "lineitem")).drop("row_key")
+    rows = PM.price_rows(table(spark, sf_dir, "lineitem")).drop(*PM.LINEITEM_KEY)
     rows = S.range_split(rows, F.col("x") <= 50000).withColumn("split", F.lit("price"))
     line, buckets = PM.fit_tables(rows.where(F.col("role") == "train"), ["split"])
     ln = line.first()                                   # one row: the fitted line

@@ -77,5 +77,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        # hash of the row's own (atomic) columns: deterministic under retries without
+        # the per-task sort a round-robin repartition needs for that
+        from pyspark.sql import functions as F
+        from pyspark.sql import types as T
+        atoms = [F.col(f.name) for f in df.schema.fields
+                 if isinstance(f.dataType, (T.NumericType, T.StringType, T.DateType,
+                                            T.TimestampType, T.TimestampNTZType,
+                                            T.BooleanType))]
+        return df.repartition(target, *atoms) if atoms else df.repartition(target)
     return df
