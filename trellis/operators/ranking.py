@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.session import spread
+
 DEFAULT_HASH_BITS = 20          # 1M cells per group for a 32-bit hash order
 DEFAULT_VALUE_BUCKETS = 32      # 32 x 32 = 1024 quantile cells for a value order
 
@@ -69,7 +71,7 @@ def _hash_positions(df, part_cols, hash_col, tie_col, pos_col, bits, total_col=N
 
 def with_value_bucket(df: DataFrame, value_col: str, out: str = "_b",
                       per_level: int = DEFAULT_VALUE_BUCKETS,
-                      accuracy: int = 100000) -> DataFrame:
+                      accuracy: int = 10000) -> DataFrame:
     """Add ``out``: order-preserving quantile bucket of ``value_col`` (see below)."""
     k = per_level
     probs = [i / (k * k) for i in range(1, k * k)]
@@ -87,7 +89,7 @@ def with_value_bucket(df: DataFrame, value_col: str, out: str = "_b",
 
 
 def value_bucket(df: DataFrame, value_col: str, per_level: int = DEFAULT_VALUE_BUCKETS,
-                 accuracy: int = 100000) -> Column:
+                 accuracy: int = 10000) -> Column:
     """Order-preserving bucket of a numeric value among approximate quantiles.
 
     ``per_level**2 - 1`` bounds come from one ``percentile_approx`` (a scalar
@@ -128,7 +130,8 @@ def tie_ranks(df: DataFrame, part_cols: list[str], value_col: str) -> DataFrame:
     Rows are combined per value before any ranking, so a value repeated by a
     third of all rows is one row here.
     """
-    df, part_cols, extra = _grouped(df, part_cols)
+    df, part_cols, extra = _grouped(spread(df.select(*part_cols, value_col))
+                                    if part_cols else spread(df.select(value_col)), part_cols)
     counts = df.groupBy(*part_cols, value_col).agg(F.count(F.lit(1)).alias("n"))
     pos = weighted_positions(counts, part_cols, value_col, "n")
     return pos.select(*[c for c in part_cols if c != extra], value_col, "n",
@@ -142,8 +145,9 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     Output: group_cols + ``q_<i>`` columns.  Only the <= 2 values around each
     target position per group survive the filter before the final aggregate.
     """
-    df, group_cols, extra = _grouped(df.withColumn(value_col, F.col(value_col).cast("double")),
-                                     group_cols)
+    df, group_cols, extra = _grouped(
+        spread(df.select(*group_cols, F.col(value_col).cast("double").alias(value_col))),
+        group_cols)
     counts = df.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_c"))
     pos = weighted_positions(counts, group_cols, value_col, "_c")       # lo = rows < value
     totals = counts.groupBy(*group_cols).agg(F.sum("_c").alias("_total"))

@@ -76,7 +76,15 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    # only scan-level plans: after an exchange the rows are already spread, and
+    # counting partitions there would run the upstream stages
+    try:
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no JVM-side plan access (e.g. a remote session)
+        return df
+    if n < target:
         # hash of the row's own (atomic) columns: deterministic under retries without
         # the per-task sort a round-robin repartition needs for that
         from pyspark.sql import functions as F
