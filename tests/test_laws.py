@@ -195,3 +195,21 @@ def test_tree_shap_interventional_additive(spark):
                                     max_background=15)
     s = phi.groupBy("rid", "base_value", "prediction").agg(F.sum("phi").alias("s")).toPandas()
     assert np.allclose(s["base_value"] + s["s"], s["prediction"], atol=1e-9)
+
+
+def test_tree_shap_boosted_additive(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from trellis.operators import treeshap as TS
+    rng = np.random.default_rng(8)
+    X_ = rng.normal(size=(200, 3))
+    y = X_[:, 0] * 3 + np.sin(X_[:, 1])
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in
+                                enumerate(zip(X_, y))], "rid long, a double, b double, c double, label double")
+    d = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    m = TR.boosted("regression", max_iter=8, max_depth=3).fit(d)
+    phi = TS.explain_path_dependent(d.limit(30), m, ["a", "b", "c"], ["rid"])
+    s = phi.groupBy("rid", "base_value", "prediction").agg(F.sum("phi").alias("s")).toPandas()
+    own = m.transform(d.limit(30)).select("rid", F.col("prediction").alias("own")).toPandas()
+    mm = s.merge(own, on="rid")
+    assert np.allclose(mm["base_value"] + mm["s"], mm["prediction"], atol=1e-9)
+    assert np.allclose(mm["prediction"], mm["own"], atol=1e-9)
