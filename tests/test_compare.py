@@ -39,3 +39,15 @@ def test_interpretability_scenario_small(spark):
     coefs = out["coefficients"].toPandas()
     assert len(coefs) == 10 + 10 * 3 and coefs["coefficient"].is_monotonic_decreasing
     assert out["test"].count() == 1
+
+
+def test_compare_timings_table(spark):
+    from trellis.plans.compare import compare
+    from trellis.sources import synthetic as SY
+    df = SY.friedman1(spark, n=300)
+    feats = [c for c in df.columns if c.startswith("feature_")]
+    out = compare(df, feats, runs=2, forest={"num_trees": 3, "max_depth": 3},
+                  test_pair=("Random Forest", "Lasso"))
+    t = out["timings"].toPandas()
+    assert set(t["phase"]) == {"train", "inference"}
+    assert (t["seconds"] >= 0).all() and len(t[t["model"] == "Random Forest"]) == 4

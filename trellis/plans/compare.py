@@ -64,14 +64,19 @@ def linear_predictions(d: DataFrame, features: list[str], label: str,
     allfits = fits[0]
     for f in fits[1:]:
         allfits = allfits.unionByName(f)
-    # runs x models coefficient rows: bounded, broadcast
+    # runs x models coefficient rows: bounded; fitted once (timed), then broadcast
+    spark = d.sparkSession
+    t0 = time.perf_counter()
+    allfits = spark.createDataFrame(allfits.collect(), allfits.schema)
+    secs = time.perf_counter() - t0
     pred = d.join(F.broadcast(allfits), "run").withColumn(
         "prediction", L.linear_prediction(features))
-    return pred.select("run", "model", "role", F.col(label).alias("label"), "prediction")
+    out = pred.select("run", "model", "role", F.col(label).alias("label"), "prediction")
+    return out, secs
 
 
 def tree_predictions(d: DataFrame, features: list[str], label: str, runs: int,
-                     forest: dict | None, boosted: dict | None) -> DataFrame:
+                     forest: dict | None, boosted: dict | None, timings: list) -> DataFrame:
     va = VectorAssembler(inputCols=features, outputCol="features")
     data = va.transform(d.withColumnRenamed(label, "label")).select(
         "run", "role", "features", "label").persist()
@@ -80,6 +85,7 @@ def tree_predictions(d: DataFrame, features: list[str], label: str, runs: int,
     def fit_one(args):
         run, kind = args
         mine = data.where(F.col("run") == run)
+        t0 = time.perf_counter()
         if kind == "forest":
             model = TR.forest_regressor(seed=41 + run, **(forest or {})).fit(
                 mine.where(F.col("role") != "test"))
@@ -89,8 +95,14 @@ def tree_predictions(d: DataFrame, features: list[str], label: str, runs: int,
             model, _ = TR.fit_boosted_early_stop(est, mine.where(F.col("role") == "fit"),
                                                  mine.where(F.col("role") == "valid"))
             name = "Boosted Trees"
-        return model.transform(mine).select("run", F.lit(name).alias("model"), "role",
-                                            "label", "prediction")
+        fit_secs = time.perf_counter() - t0
+        scored = model.transform(mine)
+        t0 = time.perf_counter()
+        scored.where(F.col("role") == "test").write.format("noop").mode("overwrite").save()
+        score_secs = time.perf_counter() - t0
+        timings.append((run, name, "train", fit_secs))
+        timings.append((run, name, "inference", score_secs))
+        return scored.select("run", F.lit(name).alias("model"), "role", "label", "prediction")
 
     jobs = [(r, k) for r in range(1, runs + 1) for k, cfg in (("forest", forest),
                                                                ("boosted", boosted)) if cfg is not None]
@@ -113,10 +125,16 @@ def compare(df: DataFrame, features: list[str], label: str = "label", key: str =
     t0 = time.time()
     d = prepare(df, key, runs, predicate=predicate)
     preds = []
+    timings: list = []
     if linear:
-        preds.append(linear_predictions(d, features, label, list(linear), alphas))
+        lin, secs = linear_predictions(d, features, label, list(linear), alphas)
+        preds.append(lin)
+        names = {"ols": "Linear Regression", "ridge": "Ridge", "lasso": "Lasso"}
+        for r in range(1, runs + 1):       # one grouped job for all runs and models
+            for k in linear:
+                timings.append((r, names[k], "train", secs / (runs * len(linear))))
     if forest is not None or boosted is not None:
-        preds.append(tree_predictions(d, features, label, runs, forest, boosted))
+        preds.append(tree_predictions(d, features, label, runs, forest, boosted, timings))
     pred = preds[0]
     for p in preds[1:]:
         pred = pred.unionByName(p)
@@ -133,5 +151,7 @@ def compare(df: DataFrame, features: list[str], label: str = "label", key: str =
     test = P.signed_rank(diffs.withColumn("test", F.lit(f"{a} vs {b}")), ["test"], "d",
                          alternative)
     test = P.with_exact_p(test, ["test"], alternative).drop("_max_tie")
+    from trellis.operators.timing import timing_table
     return {"predictions": pred, "results": results, "summary": summary, "test": test,
+            "timings": timing_table(df.sparkSession, timings),
             "setup_seconds": time.time() - t0}
