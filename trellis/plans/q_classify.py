@@ -61,15 +61,16 @@ def one_hot_unseen(spark, sf_dir):
         F.col("user_id").cast("string").alias("level"), "ts")
     train = ev.where(F.col("ts") < F.lit(TRAIN_END).cast("timestamp_ntz"))
     fitted = FE.one_hot_pipeline(["level"], [], "features").fit(train)
-    labels = fitted.stages[0].labelsArray[0]              # bounded by the level count
+    n_levels = len(fitted.stages[0].labelsArray[0])       # the model's own label list
     enc = fitted.transform(ev).withColumn("_slot", FE.hot_slot("level__ohe"))
-    slot_level = F.element_at(F.array(*[F.lit(x) for x in labels]),
-                              (F.col("_slot") + 1).cast("int"))
+    # unseen levels get the extra last index and an all-zero vector; a seen level's
+    # slot must be its own index
+    seen = F.col("level__idx") < F.lit(float(n_levels))
     per = enc.groupBy("level").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count(F.when(slot_level == F.col("level"), 1)).alias("n_hot"))
-    seen = F.col("level").isin(*labels) if labels else F.lit(False)
-    return per.select("level", F.when(seen, 1).otherwise(0).alias("seen"), "n_rows", "n_hot")
+        F.count(F.when(F.col("_slot") == F.col("level__idx"), 1)).alias("n_hot"),
+        F.max(seen.cast("int")).alias("seen"))
+    return per.select("level", "seen", "n_rows", "n_hot")
 
 
 # ------------------------------------------------------------ F5 equal-width bins
