@@ -133,3 +133,49 @@ def logistic_coefficients(spark, sf_dir):
     out = coefs.join(bars.groupBy("feature").agg(F.concat_ws("+", F.collect_set("side"))
                                                  .alias("bar")), "feature", "left")
     return rounded(out.orderBy(F.col("coefficient").desc()))
+
+
+# ------------------------------------------------------------ V3 / U3 and O4
+
+from trellis.plans.q_holdout import OVERFITTING_SQL as _OVERFIT_SQL  # noqa: E402
+
+TRAIN_TEST_LONG_SQL = f"""
+WITH w AS ({_OVERFIT_SQL})
+SELECT run, model, type, rmse FROM (
+  SELECT run, model, 'rmse_train' AS type, rmse_train AS rmse FROM w
+  UNION ALL SELECT run, model, 'rmse_test', rmse_test FROM w)
+"""
+
+
+@query("train_test_long", TRAIN_TEST_LONG_SQL)
+def train_test_long(spark, sf_dir):
+    """Train and test RMSE of every run and model as (type, rmse) rows."""
+    from trellis.operators import metrics as M
+    preds = PM.holdout_predictions(table(spark, sf_dir, "lineitem"), 30,
+                                   score_roles=("train", "test"))
+    tt = rounded(M.train_test_metrics(preds, ["run", "model"]))
+    return TB.train_test_long(tt)
+
+
+METRIC_RANKS_SQL = f"""
+WITH {_PRICE_SQL_CTES}, {_PER_RUN_SQL},
+long AS (
+  SELECT run, model, metric, round(value, 6) + 0.0 AS value FROM (
+    SELECT run, model, 'rmse' AS metric, rmse AS value FROM per_run
+    UNION ALL SELECT run, model, 'mae', mae FROM per_run
+    UNION ALL SELECT run, model, 'r2', r2 FROM per_run))
+SELECT model, metric, run, value,
+       row_number() OVER (PARTITION BY model, metric ORDER BY value, run) AS value_rank
+FROM long
+"""
+
+
+@query("metric_ranks", METRIC_RANKS_SQL)
+def metric_ranks(spark, sf_dir):
+    """Every run's metric value listed in ascending order within its model
+    (the window holds one model's runs: 30 rows, bounded by the design)."""
+    from pyspark.sql import Window
+    long = _metric_long(spark, sf_dir)
+    w = Window.partitionBy("model", "metric").orderBy("value", "run")
+    return long.select("model", "metric", "run", "value",
+                       F.row_number().over(w).cast("bigint").alias("value_rank"))
