@@ -51,3 +51,15 @@ def test_compare_timings_table(spark):
     t = out["timings"].toPandas()
     assert set(t["phase"]) == {"train", "inference"}
     assert (t["seconds"] >= 0).all() and len(t[t["model"] == "Random Forest"]) == 4
+
+
+def test_compare_custom_estimator(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from trellis.plans.compare import compare
+    from trellis.sources import synthetic as SY
+    df = SY.friedman1(spark, n=300)
+    feats = [c for c in df.columns if c.startswith("feature_")]
+    out = compare(df, feats, runs=2, linear=("ols",), test_pair=("Linear Regression", "Tree"),
+                  custom={"Tree": DecisionTreeRegressor(maxDepth=4)})
+    res = out["results"].toPandas()
+    assert set(res["model"]) == {"Linear Regression", "Tree"} and len(res) == 4

@@ -76,7 +76,8 @@ def linear_predictions(d: DataFrame, features: list[str], label: str,
 
 
 def tree_predictions(d: DataFrame, features: list[str], label: str, runs: int,
-                     forest: dict | None, boosted: dict | None, timings: list) -> DataFrame:
+                     forest: dict | None, boosted: dict | None, timings: list,
+                     custom: dict | None = None) -> DataFrame:
     va = VectorAssembler(inputCols=features, outputCol="features")
     data = va.transform(d.withColumnRenamed(label, "label")).select(
         "run", "role", "features", "label").persist()
@@ -86,7 +87,10 @@ def tree_predictions(d: DataFrame, features: list[str], label: str, runs: int,
         run, kind = args
         mine = data.where(F.col("run") == run)
         t0 = time.perf_counter()
-        if kind == "forest":
+        if kind in (custom or {}):          # N3: any Spark ML estimator, fit on train rows
+            model = custom[kind].copy().fit(mine.where(F.col("role") != "test"))
+            name = kind
+        elif kind == "forest":
             model = TR.forest_regressor(seed=41 + run, **(forest or {})).fit(
                 mine.where(F.col("role") != "test"))
             name = "Random Forest"
@@ -104,8 +108,9 @@ def tree_predictions(d: DataFrame, features: list[str], label: str, runs: int,
         timings.append((run, name, "inference", score_secs))
         return scored.select("run", F.lit(name).alias("model"), "role", "label", "prediction")
 
-    jobs = [(r, k) for r in range(1, runs + 1) for k, cfg in (("forest", forest),
-                                                               ("boosted", boosted)) if cfg is not None]
+    kinds = [k for k, cfg in (("forest", forest), ("boosted", boosted)) if cfg is not None]
+    kinds += list(custom or {})
+    jobs = [(r, k) for r in range(1, runs + 1) for k in kinds]
     for p in TR.fit_per_run(jobs, fit_one):
         outs.append(p)
     res = outs[0]
@@ -118,9 +123,11 @@ def compare(df: DataFrame, features: list[str], label: str = "label", key: str =
             runs: int = 30, linear=("ols", "ridge", "lasso"), forest: dict | None = None,
             boosted: dict | None = None, alphas: list[float] | None = None,
             predicate=None, test_pair=("Lasso", "Boosted Trees"), metric: str = "r2",
-            alternative: str = "greater") -> dict[str, DataFrame]:
+            alternative: str = "greater", custom: dict | None = None) -> dict[str, DataFrame]:
     """Returns ``predictions``, ``results`` (run x model metrics, train and test),
-    ``summary`` (mean / std by model) and ``test`` (signed-rank on ``metric``)."""
+    ``summary`` (mean / std by model), ``test`` (signed-rank on ``metric``) and
+    ``timings``.  ``custom`` maps a model name to any Spark ML estimator reading
+    ``features`` / ``label``; it is fitted per run like the forest."""
     alphas = alphas or L.logspace_alphas()
     t0 = time.time()
     d = prepare(df, key, runs, predicate=predicate)
@@ -133,8 +140,9 @@ def compare(df: DataFrame, features: list[str], label: str = "label", key: str =
         for r in range(1, runs + 1):       # one grouped job for all runs and models
             for k in linear:
                 timings.append((r, names[k], "train", secs / (runs * len(linear))))
-    if forest is not None or boosted is not None:
-        preds.append(tree_predictions(d, features, label, runs, forest, boosted, timings))
+    if forest is not None or boosted is not None or custom:
+        preds.append(tree_predictions(d, features, label, runs, forest, boosted, timings,
+                                      custom))
     pred = preds[0]
     for p in preds[1:]:
         pred = pred.unionByName(p)
