@@ -63,3 +63,14 @@ def test_compare_custom_estimator(spark):
                   custom={"Tree": DecisionTreeRegressor(maxDepth=4)})
     res = out["results"].toPandas()
     assert set(res["model"]) == {"Linear Regression", "Tree"} and len(res) == 4
+
+
+def test_small_sample_scenario_wide(spark):
+    from trellis.operators.linear import logspace_alphas
+    out = SC.small_sample(spark, runs=2, n=50, p=60, forest={"num_trees": 3, "max_depth": 3},
+                          boosted={"max_iter": 3, "max_depth": 2},
+                          alphas=logspace_alphas(-1, 3, 12))
+    s = out["summary"].toPandas().set_index("model")
+    # least squares interpolates the training rows when features outnumber rows
+    assert s.loc["Linear Regression", "rmse_train_mean"] < 1e-3
+    assert s.loc["Linear Regression", "overfitting_mean"] > 100

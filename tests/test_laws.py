@@ -213,3 +213,31 @@ def test_tree_shap_boosted_additive(spark):
     mm = s.merge(own, on="rid")
     assert np.allclose(mm["base_value"] + mm["s"], mm["prediction"], atol=1e-9)
     assert np.allclose(mm["prediction"], mm["own"], atol=1e-9)
+
+
+def test_wide_sums_equal_column_sums(spark):
+    rng = np.random.default_rng(9)
+    X_ = rng.normal(size=(500, 5))
+    rows = [(int(i % 3), *map(float, r), float(r.sum())) for i, r in enumerate(X_)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double, d double, e double, label double")
+    feats = ["a", "b", "c", "d", "e"]
+    narrow = L.gram_sums(df, feats, "label", ["g"]).toPandas().set_index("g").sort_index()
+    arr = df.select("g", F.array(*feats).alias("f"), "label")
+    wide = L.gram_sums_wide(arr, "f", 5, "label", ["g"]).toPandas().set_index("g").sort_index()
+    for g in narrow.index:
+        a, b = L.unpack(narrow.loc[g], 5), L.unpack(wide.loc[g], 5)
+        for x, y in zip(a, b):
+            assert np.allclose(x, y)
+
+
+def test_ols_many_features_uses_wide_path(spark):
+    rng = np.random.default_rng(10)
+    X_ = rng.normal(size=(300, 50))
+    w = rng.normal(size=50)
+    y = X_ @ w + 3.0
+    cols = [f"x{j}" for j in range(50)]
+    df = spark.createDataFrame([(1, *map(float, r), float(t)) for r, t in zip(X_, y)],
+                               ", ".join(["run int"] + [f"{c} double" for c in cols] + ["label double"]))
+    s = L.sums(df, cols, "label", ["run"])
+    fit = L.ols_from_sums(s, 50, ["run"]).collect()[0]
+    assert np.allclose(fit["coef"], w, atol=1e-6) and abs(fit["intercept"] - 3.0) < 1e-6

@@ -66,7 +66,8 @@ def gram_sums_wide(df: DataFrame, features_col: str, p: int, label: str = "label
 
     Each task multiplies its Arrow batches into partial matrices (numpy), emits
     them as ``(group, cell, value)`` rows, and a grouped sum adds the partials.
-    Output has the same columns as :func:`gram_sums`.
+    Output: group columns and ``cells``, an ordered array
+    ``[n, sy, syy, sx..., sxy..., upper triangle of sum x x'...]`` (see :func:`unpack`).
     """
     g = list(group_cols or [])
     iu = np.triu_indices(p)
@@ -104,12 +105,27 @@ def gram_sums_wide(df: DataFrame, features_col: str, p: int, label: str = "label
     cols = [*g, features_col, label]
     cells = df.select(*cols).mapInPandas(partial, schema).groupBy(*g, "_cell").agg(
         F.sum("_v").alias("_v"))
-    wide = cells.groupBy(*g).pivot("_cell", list(range(len(cell_names)))).agg(F.first("_v"))
-    return wide.select(*g, *[F.col(str(i)).alias(n) for i, n in enumerate(cell_names)])
+    # one ordered array of the p(p+1)/2 + 2p + 3 cells per group (bounded by p, not
+    # by rows); a pivot to named columns would mean tens of thousands of columns
+    ordered = F.sort_array(F.collect_list(F.struct("_cell", "_v")))
+    return cells.groupBy(*g).agg(F.transform(ordered, lambda c: c["_v"]).alias("cells"))
+
+
+def _unpack_cells(v, p: int):
+    v = np.asarray(v, dtype=float)
+    n, sy, syy = v[0], v[1], v[2]
+    sx, sxy = v[3:3 + p], v[3 + p:3 + 2 * p]
+    S = np.zeros((p, p))
+    S[np.triu_indices(p)] = v[3 + 2 * p:]
+    S = S + S.T - np.diag(np.diag(S))
+    return float(n), sx, float(sy), S, sxy, float(syy)
 
 
 def unpack(row, p: int):
-    """(n, sx, sy, Sxx, sxy, syy) numpy view of one sums row (dict or Series)."""
+    """(n, sx, sy, Sxx, sxy, syy) numpy view of one sums row (dict or Series);
+    rows from the wide path carry one ``cells`` array instead of named columns."""
+    if "cells" in row.keys():
+        return _unpack_cells(row["cells"], p)
     n = float(row["n"])
     sx = np.array([row[f"sx_{i}"] for i in range(p)], dtype=float)
     sxy = np.array([row[f"sxy_{i}"] for i in range(p)], dtype=float)
@@ -149,25 +165,43 @@ def fit_ridge(stats, alpha: float) -> tuple[float, np.ndarray]:
     return float(ybar - xbar @ beta), beta
 
 
-def fit_lasso(stats, alpha: float, beta0=None, max_iter: int = 10000,
-              tol: float = 1e-10) -> tuple[float, np.ndarray]:
-    """Coordinate descent on the centred quadratic (1/2n)||y - a - Xb||^2 + alpha|b|_1."""
+def fit_lasso(stats, alpha: float, beta0=None, max_iter: int = 5000,
+              tol: float = 1e-9) -> tuple[float, np.ndarray]:
+    """Coordinate descent on the centred quadratic (1/2n)||y - a - Xb||^2 + alpha|b|_1.
+
+    Active-set sweeps (only non-zero coordinates) between full sweeps, with
+    ``Q b`` kept up to date column by column, so wide problems stay cheap.
+    """
     n, sx, sy, S, sxy, _ = stats
     xbar, ybar, C, c = _centred(n, sx, sy, S, sxy)
     Q, q = C / n, c / n
     p = len(q)
+    diag = np.diag(Q).copy()
     b = np.zeros(p) if beta0 is None else np.array(beta0, dtype=float)
-    for _ in range(max_iter):
+    Qb = Q @ b
+
+    def sweep(idx) -> float:
         delta = 0.0
-        for j in range(p):
-            if Q[j, j] <= 0:
+        for j in idx:
+            if diag[j] <= 0:
                 continue
-            rho = q[j] - Q[j] @ b + Q[j, j] * b[j]
-            new = np.sign(rho) * max(abs(rho) - alpha, 0.0) / Q[j, j]
-            delta = max(delta, abs(new - b[j]))
-            b[j] = new
-        if delta <= tol * max(1.0, np.max(np.abs(b))):
+            rho = q[j] - Qb[j] + diag[j] * b[j]
+            new = np.sign(rho) * max(abs(rho) - alpha, 0.0) / diag[j]
+            d = new - b[j]
+            if d != 0.0:
+                Qb[:] += Q[:, j] * d
+                b[j] = new
+                delta = max(delta, abs(d))
+        return delta
+
+    everything = range(p)
+    for _ in range(max_iter):
+        if sweep(everything) <= tol * max(1.0, float(np.max(np.abs(b)))):
             break
+        active = np.flatnonzero(b)
+        for _ in range(max_iter):
+            if sweep(active) <= tol * max(1.0, float(np.max(np.abs(b)))):
+                break
     return float(ybar - xbar @ b), b
 
 
@@ -317,3 +351,18 @@ def unshift_intercept(fits: DataFrame, features: list[str], shifts: dict,
     for j, f in enumerate(features):
         a = a - F.col("coef")[j] * shifts[f]
     return fits.withColumn("intercept", a)
+
+
+WIDE_THRESHOLD = 40
+
+
+def sums(df: DataFrame, features: list[str], label: str = "label",
+         group_cols: list[str] | None = None) -> DataFrame:
+    """Sufficient statistics by the cheaper path: column expressions for a few
+    features, per-task partial matrices (:func:`gram_sums_wide`) for many --
+    p(p+1)/2 aggregate columns stop being reasonable long before p = 200."""
+    if len(features) <= WIDE_THRESHOLD:
+        return gram_sums(df, features, label, group_cols)
+    arr = df.select(*(group_cols or []), F.array(*[F.col(f).cast("double") for f in features])
+                    .alias("_feats"), F.col(label).cast("double").alias(label))
+    return gram_sums_wide(arr, "_feats", len(features), label, group_cols)

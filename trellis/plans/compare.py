@@ -52,11 +52,11 @@ def linear_predictions(d: DataFrame, features: list[str], label: str,
     p = len(features)
     fits = []
     if "ols" in models:
-        sums = L.gram_sums(train, features, label, ["run"])
+        sums = L.sums(train, features, label, ["run"])
         fits.append(L.ols_from_sums(sums, p, ["run"]).withColumn("model",
                                                                   F.lit("Linear Regression")))
     if "ridge" in models or "lasso" in models:
-        fold_sums = L.gram_sums(train, features, label, ["run", "fold"])
+        fold_sums = L.sums(train, features, label, ["run", "fold"])
         for kind, name in (("ridge", "Ridge"), ("lasso", "Lasso")):
             if kind in models:
                 f = L.cv_fit(fold_sums, p, ["run"], alphas, kind).drop("alpha")

@@ -50,7 +50,8 @@ def small_sample(spark: SparkSession, runs: int = 30, n: int = 100, p: int = 200
     feats = [f"feature_{j}" for j in range(p)]
     return compare(df, feats, runs=runs, forest=kw.get("forest", FOREST),
                    boosted=kw.get("boosted", BOOSTED), metric="overfitting",
-                   test_pair=("Lasso", "Boosted Trees"), alternative="less")
+                   test_pair=("Lasso", "Boosted Trees"), alternative="less",
+                   alphas=kw.get("alphas"))
 
 
 def interpretability(spark: SparkSession, runs: int = 30, n: int = 1000, **kw):
