@@ -44,6 +44,9 @@ def ols_by_segment(spark, sf_dir):
         F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("x"),
         F.col("o_totalprice").alias("label"))
     sums = L.gram_sums(j, ["x"], "label", ["segment"])
+    # one row per segment (bounded by the category count): computed once, then
+    # used by the fit and by the R2 below without re-running the join
+    sums = spark.createDataFrame(sums.collect(), sums.schema)
     fits = L.ols_from_sums(sums, 1, ["segment"])
     # R2 of a one-feature fit from the same sums: b * Cxy / Cyy
     cxy = F.col("sxy_0") - F.col("sx_0") * F.col("sy") / F.col("n")
