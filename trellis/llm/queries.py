@@ -51,3 +51,10 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by the additive model with interactions."""
     from trellis.llm.gam import quality_scores
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_register
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base spans and high-entropy windows."""
+    from trellis.llm.secret_scan import secret_scan
+    return secret_scan(table(spark, sf_dir, "documents"))
