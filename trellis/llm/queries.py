@@ -58,3 +58,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base spans and high-entropy windows."""
     from trellis.llm.secret_scan import secret_scan
     return secret_scan(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that each document gives to the mix of sources."""
+    from trellis.llm.mixing import source_mix
+    return source_mix(table(spark, sf_dir, "documents"))
