@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from trellis.llm.common import columns
 
 #: entries of tier 1, of a task's summary, and of a worker's cache; length limit of a cached key
-FREQUENT, SUMMARY, CACHE, KEY_CHARS = 65_536, 8_192, 500_000, 64
+FREQUENT, SUMMARY, CACHE, KEY_CHARS = 65_536, 32_768, 500_000, 64
 MERGERS = 16
 
 
@@ -65,7 +65,7 @@ def frequent_pretokens(docs: DataFrame, pattern: str, size: int = FREQUENT) -> l
                 value = text.as_py()
                 if value:
                     counts.update(find(value))
-                    if len(counts) > 16 * SUMMARY:
+                    if len(counts) > 8 * SUMMARY:
                         counts = _heavy(counts, SUMMARY)
         counts = _heavy(Counter({k: v for k, v in counts.items() if len(k) <= KEY_CHARS}), SUMMARY)
         packed = _pack(counts)
@@ -113,8 +113,10 @@ def _lengths(tok, keys: list[str]) -> list[int]:
 
 
 def compact_table(tok, keys: list[str]) -> tuple[str, bytes]:
-    """Keys joined by NUL (no key with one is taken) and one byte of length each."""
-    keys = [k for k in keys if "\0" not in k]
+    """Keys joined by NUL and one byte of length each; no key with a NUL or an unsure code
+    point is taken, so that such pieces are always missed."""
+    unsure = _unsure().search
+    keys = [k for k in keys if "\0" not in k and not unsure(k)]
     pairs = [(k, n) for k, n in zip(keys, _lengths(tok, keys)) if n < 256]
     return "\0".join(k for k, _ in pairs), bytes(n for _, n in pairs)
 
@@ -146,44 +148,47 @@ class Counters:
 
     def count(self, texts: list[str | None]) -> list[int]:
         out: list[int] = [0] * len(texts)
-        missed: dict[str, int] = {}
-        waiting: list[tuple[int, Counter]] = []
+        missed: set[str] = set()
+        waiting: list[tuple] = []
         first = self.tier1.get
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.special(text) or not text.isascii() and self.unsure(text):
-                out[i] = len(self.tok.encode(text, add_special_tokens=False).ids)
+            if self.special(text):
+                out[i] = self.whole(text)
                 continue
             pieces = self.find(text)
             lengths = list(map(first, pieces))
-            if None in lengths:
-                rest = Counter(p for p, n in zip(pieces, lengths) if n is None)
-                for piece, times in list(rest.items()):
-                    n = self.tier2.get(piece)
-                    if n is not None:
-                        out[i] += n * times
-                        del rest[piece]
-                    else:
-                        missed[piece] = 0
-                if rest:
-                    waiting.append((i, rest))
-                out[i] += sum(n for n in lengths if n is not None)
-            else:
+            if None not in lengths:
                 out[i] = sum(lengths)
+                continue
+            rest = [p for p, n in zip(pieces, lengths) if n is None]
+            out[i] = sum(filter(None, lengths))
+            lengths = list(map(self.tier2.get, rest))
+            if None not in lengths:
+                out[i] += sum(lengths)
+                continue
+            missed.update(p for p, n in zip(rest, lengths) if n is None)
+            waiting.append((i, text, out[i], rest))
             if len(missed) >= 50_000:
                 self._fill(missed, waiting, out)
         self._fill(missed, waiting, out)
         return out
 
-    def _fill(self, missed, waiting, out) -> None:
-        keys = list(missed)
-        missed.update(zip(keys, _lengths(self.tok, keys)))
-        for i, rest in waiting:
-            out[i] += sum(missed[p] * times for p, times in rest.items())
-        if len(self.tier2) + len(missed) > CACHE:
-            self.tier2.clear()
-        self.tier2.update((k, n) for k, n in missed.items() if len(k) <= KEY_CHARS)
+    def whole(self, text: str) -> int:
+        return len(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _fill(self, missed: set[str], waiting: list[tuple], out: list[int]) -> None:
+        """Encode what both tiers miss; a text with an unsure piece goes whole."""
+        unsure = {p for p in missed if not p.isascii() and self.unsure(p)}
+        keys = list(missed - unsure)
+        known = self.tier2 | dict(zip(keys, _lengths(self.tok, keys)))
+        for i, text, so_far, rest in waiting:
+            lengths = list(map(known.get, rest))
+            out[i] = self.whole(text) if None in lengths else so_far + sum(lengths)
+        self.tier2 = known if len(known) <= CACHE else {k: known[k] for k in keys}
+        for key in [k for k in keys if len(k) > KEY_CHARS]:
+            del self.tier2[key]
         missed.clear()
         waiting.clear()
 
