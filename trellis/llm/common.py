@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
     A local session without that setting (tests) gets a scratch folder; a cluster
     without it is an error, since executors share no local folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,9 +33,24 @@ def settle(df: DataFrame) -> DataFrame:
             import tempfile
             folder = tempfile.mkdtemp(prefix="trellis-llm-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table into the shared folder and read again: like
+    :func:`settle`, but later steps read only the columns they need."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that do not clash with any column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

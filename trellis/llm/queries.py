@@ -65,3 +65,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that each document gives to the mix of sources."""
     from trellis.llm.mixing import source_mix
     return source_mix(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    from trellis.llm.probminhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
