@@ -72,3 +72,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     from trellis.llm.probminhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the word windows that smaller documents hold."""
+    from pyspark.sql import functions as F
+    from trellis.llm.recompression import without_repeats
+    return without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
