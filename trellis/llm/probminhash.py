@@ -185,7 +185,7 @@ def links(base: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFram
             break
         if shingled is None:                         # the texts that any later round may need
             needed = pairs.select("node").union(pairs.select("center")).distinct()
-            owners = base.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+            owners = base.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
             picked = texts.join(owners, (texts["node"] == owners["node"]) & texts["doc_id"].eqNullSafe(owners["doc_id"]),
                                 "left_semi")
             shingled = stored(with_shingles(picked.select("node", "text")).dropDuplicates(["node"])
