@@ -81,3 +81,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.recompression import without_repeats
     return without_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: fixed rules of the page filter: host, path, verdict
+PAGE_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@_register
+def op2_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rules and the standing of its host."""
+    from trellis.llm.link_graph import url_verdicts
+    return url_verdicts(table(spark, sf_dir, "pages"), PAGE_RULES)
+
+
+@_register
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns as linked calls in canonical JSON."""
+    from trellis.llm.tool_calls import REPLY, calls_of, linked_calls
+    return linked_calls(*calls_of(table(spark, sf_dir, "conversations")), REPLY)
