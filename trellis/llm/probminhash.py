@@ -175,11 +175,12 @@ def links(base: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFram
 
     ``base`` has (doc_id, node, keys), ``texts`` (doc_id, node, text).
     """
-    members = base.select("node", F.explode("keys").alias("key"))
+    # copies go before the join on the bucket, which a frequent bucket would leave to one task
+    members = base.select("node", F.explode("keys").alias("key")).distinct()
     found = None
     shingled = None
     for _ in range(ROUNDS):
-        members = settle(members.join(stars(members), "key").select("key", "center", "node").distinct())
+        members = settle(members.join(stars(members), "key").select("key", "center", "node"))
         pairs = settle(members.filter("node != center").select("center", "node").distinct())
         if pairs.isEmpty():
             break
