@@ -14,7 +14,7 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
                        T.StructField("n_chars", T.LongType())])
 #: names that operators use inside
 CLASHES = ("node", "size", "score", "copies", "s", "key", "keys", "label", "class_id", "chunk", "spans", "own",
-           "rate", "cut", "band", "kept", "row", "host", "rule", "keep_id", "node_of_head")
+           "rate", "cut", "band", "kept", "row", "host", "rule", "head_id", "head_node")
 
 
 @pytest.fixture(scope="session")

@@ -264,17 +264,17 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
                             least: float = SIMILAR) -> DataFrame:
     """``docs`` with one row of each class, all columns as they are; rows without words
     all stay."""
-    node, keep = fresh(docs, "node", "keep_id")
+    node, head_id, head_node = fresh(docs, "node", "head_id", "head_node")
     picked = columns(docs, doc_id=id_col, text=text_col)
     _, rows = _classes(picked, least)
     heads = settle(rows.filter(F.col("has_words") & F.col("doc_id").eqNullSafe(F.col("class_id"))
                                & (F.col("node") == F.col("class_node"))).select("doc_id", "node"))
     marked = docs.withColumn(node, F.xxhash64(F.col(f"`{text_col}`")))
     wordless = ~F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keys = heads.distinct().select(F.col("doc_id").alias(keep), F.col("node").alias("node_of_head"))
+    keys = heads.distinct().select(F.col("doc_id").alias(head_id), F.col("node").alias(head_node))
     kept = marked.filter(~wordless).join(
-        keys, (F.col(f"`{node}`") == F.col("node_of_head"))
-        & F.col(f"`{id_col}`").eqNullSafe(F.col(f"`{keep}`")), "left_semi")
+        keys, (F.col(f"`{node}`") == F.col(f"`{head_node}`"))
+        & F.col(f"`{id_col}`").eqNullSafe(F.col(f"`{head_id}`")), "left_semi")
     if not heads.groupBy("doc_id", "node").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates([node])           # the same row more than once
     return kept.drop(node).unionByName(docs.filter(wordless))
