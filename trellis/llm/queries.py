@@ -97,6 +97,50 @@ def op2_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation's turns as linked calls in canonical JSON."""
+    """Every conversation's turns as linked calls in canonical JSON; -1 and empty for what
+    is null in the operator's result."""
     from trellis.llm.tool_calls import REPLY, calls_of, linked_calls
-    return linked_calls(*calls_of(table(spark, sf_dir, "conversations")), REPLY)
+    rows = linked_calls(*calls_of(table(spark, sf_dir, "conversations")), REPLY)
+    return (rows.fillna(-1, ["turn", "step", "result_turn"]).fillna(False, ["valid"])
+            .fillna("", ["errors", "record"]))
+
+
+ORACLES["op1_tool_calls"] = """
+WITH m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::INT AS words
+  FROM conversations),
+u AS (SELECT *, conv_id || ':' || turn AS call_id, CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS need
+      FROM m WHERE role = 'user'),
+a AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text AS content FROM m WHERE role = 'assistant'),
+g AS (SELECT conv_id, call_id, min(turn) AS result_turn, arg_min(content, turn) AS content, count(*) AS n_results
+      FROM a GROUP BY ALL),
+c AS (
+  SELECT u.conv_id, u.call_id, u.turn, u.words, u.text, u.need, g.result_turn, g.content, coalesce(g.n_results, 0) AS n_results,
+         concat_ws(',', CASE WHEN u.words > 500 THEN 'maximum:words' END, CASE WHEN u.words < 3 THEN 'minimum:words' END) AS errors,
+         u.need IS NOT NULL AND n.call_id IS NULL AS unmet
+  FROM u LEFT JOIN g USING (conv_id, call_id) LEFT JOIN u AS n ON n.conv_id = u.conv_id AND n.call_id = u.need)
+SELECT conv_id, call_id, turn, 0 AS step,
+       CASE WHEN unmet THEN 'missing_need' WHEN errors <> '' THEN 'invalid' WHEN n_results = 0 THEN 'no_result' ELSE 'ok' END AS status,
+       coalesce(result_turn, -1) AS result_turn, n_results::BIGINT AS n_results, errors, errors = '' AS valid,
+       '{"arguments":{"prompt":' || to_json(text)::VARCHAR || ',"words":' || words || '},"id":"' || call_id
+         || '","name":"reply","needs":[' || coalesce('"' || need || '"', '') || '],"result":'
+         || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS record
+FROM c
+UNION ALL
+SELECT conv_id, call_id, -1, -1, 'orphan_result', result_turn, n_results, '', false, ''
+FROM g WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = g.conv_id AND u.call_id = g.call_id)
+"""
+
+ORACLES["op8_substring_dedup"] = """
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+f AS (SELECT k, min(doc_id) AS first_id FROM p GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM p JOIN f USING (k), (SELECT unnest(range(0, 13)) AS o) WHERE first_id < doc_id),
+word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n
+         FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
