@@ -5,11 +5,6 @@ from trellis.plans.registry import ORACLES, QUERIES
 
 def load_all():
     """Import every query module so the registry is filled; return it."""
-    from trellis.plans import q_holdout  # noqa: F401
-    for mod in ("q_linear", "q_classify", "q_summary", "q_models", "q_runlog", "q_tables"):
-        try:
-            __import__(f"trellis.plans.{mod}")
-        except ModuleNotFoundError as e:          # module not written yet
-            if e.name != f"trellis.plans.{mod}":
-                raise
+    from trellis.plans import (q_classify, q_holdout, q_linear, q_models,  # noqa: F401
+                               q_runlog, q_summary, q_tables)
     return QUERIES, ORACLES

@@ -102,34 +102,54 @@ def translated_labels(spark, sf_dir):
                     U.format_mean_std("m", "sd", 4).alias("mean_std_text"))
 
 
-SIGNED_RANK_SQL = f"""
-WITH daily AS (SELECT CAST(ts AS DATE) AS day, event_type, avg(value) AS v
-               FROM events GROUP BY 1, 2),
-a AS (SELECT day, v AS va FROM daily WHERE event_type = 'click'),
-b AS (SELECT day, event_type AS comparison, v AS vb FROM daily WHERE event_type <> 'click'),
-d AS (SELECT comparison, day, va - vb AS d FROM a JOIN b USING (day)),
-u AS (SELECT comparison, d, abs(d) AS ad FROM d WHERE d <> 0),
-rk AS (SELECT comparison, d,
-              rank() OVER (PARTITION BY comparison ORDER BY ad)
-                + (count(*) OVER (PARTITION BY comparison, ad) - 1) / 2.0 AS ar,
-              count(*) OVER (PARTITION BY comparison, ad) AS t FROM u),
-st AS (SELECT comparison, count(*) AS n_used,
+def _signed_rank_sql(pairs: str, test: str) -> str:
+    """Twin of the paired test over ``d(test, d)``: a CTE list that ends with it."""
+    return f"""
+WITH RECURSIVE {P.sql_exact_table()},
+{pairs},
+u AS (SELECT {test}, d, abs(d) AS ad FROM d WHERE d <> 0),
+rk AS (SELECT {test}, d,
+              rank() OVER (PARTITION BY {test} ORDER BY ad)
+                + (count(*) OVER (PARTITION BY {test}, ad) - 1) / 2.0 AS ar,
+              count(*) OVER (PARTITION BY {test}, ad) AS t FROM u),
+st AS (SELECT {test}, count(*) AS n_used,
               sum(CASE WHEN d > 0 THEN ar ELSE 0 END) AS w_plus,
               sum(CASE WHEN d < 0 THEN ar ELSE 0 END) AS w_minus,
-              CAST(sum(t * t - 1) AS DOUBLE) AS tie FROM rk GROUP BY comparison),
-np AS (SELECT comparison, count(*) AS n_pairs FROM d GROUP BY comparison),
-z AS (SELECT np.comparison, n_pairs, coalesce(n_used, 0) AS n_used, w_plus, w_minus,
-             (w_plus - n_used * (n_used + 1) / 4.0)
-               / sqrt(n_used * (n_used + 1) * (2 * n_used + 1) / 24.0 - tie / 48.0) AS z
-      FROM np LEFT JOIN st USING (comparison))
-SELECT comparison, n_pairs, n_used, {r6('w_plus', 'w_plus')}, {r6('w_minus', 'w_minus')},
-       {r6('z', 'z')}, {r6(P.sql_normal_sf('z'), 'p_normal')},
-       CASE WHEN {P.sql_normal_sf('z')} < 0.05 THEN 'significant' ELSE 'not significant' END
-         AS verdict
-FROM z
+              CAST(sum(t * t - 1) AS DOUBLE) AS tie, max(t) AS max_tie FROM rk GROUP BY {test}),
+np AS (SELECT {test}, count(d) AS n_pairs, count(*) AS n_keys FROM d GROUP BY {test}),
+v AS (SELECT np.{test}, n_pairs, n_keys, coalesce(n_used, 0) AS n_used, w_plus, w_minus, max_tie,
+             n_used * (n_used + 1) * (2 * n_used + 1) / 24.0 - tie / 48.0 AS var
+      FROM np LEFT JOIN st USING ({test})),
+z AS (SELECT *, CASE WHEN n_pairs = n_keys AND n_pairs > 1 AND var > 0
+                     THEN (w_plus - n_used * (n_used + 1) / 4.0) / sqrt(var) END AS z FROM v),
+p AS (SELECT z.*, CASE WHEN z IS NOT NULL THEN {P.sql_normal_sf('z')} END AS p_normal, share
+      FROM z LEFT JOIN subset_share ON r = n_used AND n_used = n_pairs AND max_tie <= 1),
+e AS (SELECT *, CASE WHEN z IS NULL THEN NULL WHEN share IS NULL THEN p_normal
+                     ELSE {P.sql_exact_sf('share', 'w_plus')} END AS p_value FROM p)
+SELECT {test}, n_pairs, n_used, {r6('w_plus', 'w_plus')}, {r6('w_minus', 'w_minus')},
+       {r6('z', 'z')}, {r6('p_normal', 'p_normal')}, {r6('p_value', 'p_value')},
+       CASE WHEN p_value IS NULL THEN 'not tested' WHEN p_value < 0.05 THEN 'significant'
+            ELSE 'not significant' END AS verdict
+FROM e
 """
 
 
+SIGNED_RANK_SQL = _signed_rank_sql("""daily AS (
+  SELECT CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events GROUP BY 1, 2),
+a AS (SELECT day, v AS va, comparison
+      FROM daily, (SELECT DISTINCT event_type AS comparison FROM daily WHERE event_type <> 'click')
+      WHERE event_type = 'click'),
+b AS (SELECT day, event_type AS comparison, v AS vb FROM daily WHERE event_type <> 'click'),
+d AS (SELECT comparison, va - vb AS d FROM a FULL JOIN b USING (day, comparison))""", "comparison")
+
+SIGNED_RANK_BY_USER_SQL = _signed_rank_sql("""daily AS (
+  SELECT user_id, CAST(ts AS DATE) AS day,
+         avg(CASE WHEN event_type = 'click' THEN value END) AS va,
+         avg(CASE WHEN event_type = 'view' THEN value END) AS vb
+  FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
+d AS (SELECT user_id, va - vb AS d FROM daily)""", "user_id")
+
+
 @query("signed_rank", SIGNED_RANK_SQL)
 def signed_rank(spark, sf_dir):
     """Daily mean value of clicks against each other event type,
@@ -137,10 +157,29 @@ def signed_rank(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type",
                                                "value")
     daily = ev.groupBy("day", "event_type").agg(F.avg("value").alias("v"))
-    a = daily.where(F.col("event_type") == "click").select("day", F.col("v").alias("va"))
-    b = daily.where(F.col("event_type") != "click").select(
+    others = daily.where(F.col("event_type") != "click").select(
         "day", F.col("event_type").alias("comparison"), F.col("v").alias("vb"))
-    d = a.join(b, "day").withColumn("d", F.col("va") - F.col("vb"))
-    t = P.signed_rank(d, ["comparison"], "d", "greater")
-    out = t.withColumn("verdict", U.verdict("p_normal")).drop("_max_tie")
-    return rounded(out)
+    # one side per comparison: days x event types, a few hundred rows
+    kinds = others.select(F.col("comparison")).distinct()
+    clicks = (daily.where(F.col("event_type") == "click").select("day", F.col("v").alias("va"))
+              .join(F.broadcast(kinds.agg(F.collect_set("comparison").alias("all"))))
+              .select("day", "va", F.explode("all").alias("comparison")))
+    d = (clicks.join(others, ["day", "comparison"], "full_outer")
+         .withColumn("d", F.col("va") - F.col("vb")))
+    return _tested(d, "comparison")
+
+
+@query("signed_rank_by_user", SIGNED_RANK_BY_USER_SQL)
+def signed_rank_by_user(spark, sf_dir):
+    """The same test for each user, daily clicks against daily views.  Users with
+    days that only one side has, or with a single day, are not tested."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
+    side = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value")))
+    daily = ev.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        side("click").alias("va"), side("view").alias("vb"))
+    return _tested(daily.withColumn("d", F.col("va") - F.col("vb")), "user_id")
+
+
+def _tested(d, test: str):
+    t = P.signed_rank(d, [test], "d", "greater")
+    return rounded(t.withColumn("verdict", U.verdict("p_value")).drop("_max_tie"))

@@ -1,7 +1,7 @@
 """Readers and writers of result tables.
 
-Result tables are small (runs x models rows), so the CSV sinks coalesce to one
-file; row-level tables (predictions) go to parquet.
+CSV sinks write one file per task unless a caller asks for a single one, which is for
+result tables of a few rows (runs x models); row-level tables go to parquet.
 """
 
 from __future__ import annotations
@@ -44,18 +44,14 @@ def try_read(spark: SparkSession, paths: list[str], reader=None, name_col: str =
 
 
 def read_or_else(spark: SparkSession, path: str, fallback: DataFrame, reader=None) -> DataFrame:
-    """S3: the stored table if it can be read, else the fallback table."""
+    """S3: the stored table, or the fallback table if there is none at ``path``.  A table
+    that is there and cannot be read is an error."""
     reader = reader or (lambda p: spark.read.parquet(p))
-    try:
-        if path_exists(spark, path):
-            return reader(path)
-    except Exception:  # noqa: BLE001 - any read problem means: use the fallback
-        pass
-    return fallback
+    return reader(path) if path_exists(spark, path) else fallback
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
-    """K1: header, overwrite; small summaries as one file."""
+def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """K1: header, overwrite; ``single_file`` is for small summaries only."""
     out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
