@@ -61,10 +61,10 @@ def test_signed_rank_goldens(spark, case):
     f, a, b, metric, alt, w_plus, p_exact = case
     df = _load(spark, f)
     d = P.paired_differences(df, ["Experiment"], "Model", metric, a, b)
-    t = P.with_exact_p(P.signed_rank(d.withColumn("t", F.lit(1)), ["t"], "d", alt), ["t"], alt)
+    t = P.signed_rank(d.withColumn("t", F.lit(1)), ["t"], "d", alt)
     r = t.collect()[0]
     assert r["w_plus"] == w_plus
-    assert r["p_exact"] == pytest.approx(p_exact, rel=1e-4)
+    assert r["p_value"] == pytest.approx(p_exact, rel=1e-4)
 
 
 def test_signed_rank_ex5_by_row_order(spark):
@@ -72,9 +72,9 @@ def test_signed_rank_ex5_by_row_order(spark):
     pdf["run"] = pdf.groupby("Model").cumcount() + 1     # no run column: number on load
     df = spark.createDataFrame(pdf.rename(columns={"ROC AUC": "auc"})[["Model", "run", "auc"]])
     d = P.paired_differences(df, ["run"], "Model", "auc", "Logistic Regression (L2)", "LightGBM")
-    t = P.with_exact_p(P.signed_rank(d.withColumn("t", F.lit(1)), ["t"], "d"), ["t"])
+    t = P.signed_rank(d.withColumn("t", F.lit(1)), ["t"], "d")
     r = t.collect()[0]
-    assert r["w_plus"] == 455 and r["p_exact"] == pytest.approx(4.00469e-08, rel=1e-4)
+    assert r["w_plus"] == 455 and r["p_value"] == pytest.approx(4.00469e-08, rel=1e-4)
 
 
 def test_describe_golden(spark):

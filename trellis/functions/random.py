@@ -39,20 +39,12 @@ def hash32(*parts) -> Column:
     return F.conv(F.substring(F.md5(key_string(*parts)), 1, 8), 16, 10).cast("bigint")
 
 
-def hash32_of(key: Column, offset: int = 1) -> Column:
-    """32-bit slice of md5(key) starting at hex digit ``offset`` (1, 9, 17 or 25)."""
-    return F.conv(F.substring(F.md5(key), offset, 8), 16, 10).cast("bigint")
-
 
 def uniform(*parts) -> Column:
     """U[0,1) draw; ``uniform(key, seed, F.lit('salt'))``."""
     return hash32(*parts) / F.lit(TWO32)
 
 
-def uniform_open(*parts) -> Column:
-    """U(0,1) draw (never 0): (h + 0.5) / 2^32."""
-    return (hash32(*parts) + F.lit(0.5)) / F.lit(TWO32)
-
 
 def normal(*parts) -> Column:
     """Standard normal by Box-Muller from two 32-bit slices of one md5."""
@@ -62,10 +54,6 @@ def normal(*parts) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
-def sql_hash32(expr: str) -> str:
-    """DuckDB twin of :func:`hash32` for an SQL text expression."""
-    return f"CAST('0x' || substr(md5({expr}), 1, 8) AS BIGINT)"
-
 
 # ---------------------------------------------------------------- per-run draws
 # md5 is ~5 us per row; a 30-run holdout would pay it 30 times per row.  Instead

@@ -324,13 +324,6 @@ def linear_prediction(features: list[str], coef_col: str = "coef",
     return expr
 
 
-def linear_prediction_array(features_col: str, coef_col: str = "coef",
-                            intercept_col: str = "intercept") -> Column:
-    """Same for an ``array<double>`` feature column (wide tables)."""
-    dot = F.aggregate(F.zip_with(F.col(features_col), F.col(coef_col), lambda a, b: a * b),
-                      F.lit(0.0), lambda acc, v: acc + v)
-    return F.col(intercept_col) + dot
-
 
 def shifted(df: DataFrame, cols: list[str]):
     """Subtract each column's overall mean (one small aggregate job) before

@@ -88,26 +88,6 @@ def with_value_bucket(df: DataFrame, value_col: str, out: str = "_b",
     return tmp.withColumn(out, F.coalesce(F.col("_qc") * k + f, F.lit(0))).drop("_qb", "_qc")
 
 
-def value_bucket(df: DataFrame, value_col: str, per_level: int = DEFAULT_VALUE_BUCKETS,
-                 accuracy: int = 10000) -> Column:
-    """Order-preserving bucket of a numeric value among approximate quantiles.
-
-    ``per_level**2 - 1`` bounds come from one ``percentile_approx`` (a scalar
-    subquery, computed once); the slot is found in two levels of ``per_level``
-    comparisons (coarse bounds, then the fine bounds inside the coarse cell), so
-    each row costs ~2 x per_level comparisons instead of a scan of all bounds.
-    """
-    k = per_level
-    probs = [i / (k * k) for i in range(1, k * k)]
-    q = df.select(F.percentile_approx(F.col(value_col).cast("double"), probs, accuracy)
-                  .alias("q")).scalar()
-    v = F.col(value_col).cast("double")
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.element_at(q, i * k))
-    c = F.size(F.filter(coarse, lambda b: b < v))
-    fine = F.slice(q, c * k + 1, F.lit(k - 1))
-    f = F.size(F.filter(fine, lambda b: b < v))
-    return F.coalesce(c * k + f, F.lit(0))
-
 
 def weighted_positions(df: DataFrame, part_cols: list[str], value_col: str,
                        weight_col: str, per_level: int = DEFAULT_VALUE_BUCKETS) -> DataFrame:

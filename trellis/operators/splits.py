@@ -8,21 +8,17 @@ DuckDB can recompute every role for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.functions.random import TWO32, hash32, key_string, seeded_hash
-from trellis.operators.ranking import hash_positions
-from trellis.session import spread
+from trellis.functions.random import TWO32, hash32, seeded_hash
+from trellis.session import cut_lineage, spread
 
+CUT_BUCKETS = 4096      # buckets of the draw in which an exact cut is looked for
+MAX_BROADCAST_GROUPS = 100_000
 SEED_BASE = 41          # run r (1-based) uses seed 41 + r, so run 1 has seed 42
 
 
-def key_col(cols: list[str]) -> Column:
-    """Row key text ``a:b:c`` used for all hashes."""
-    return key_string(*cols)
-
-
 def with_runs(df: DataFrame, runs: int, run_col: str = "run",
               seed_col: str = "seed") -> DataFrame:
     """Repeat every row once per run (1..runs) with ``seed = 41 + run``.
@@ -83,18 +79,46 @@ def exact_split(df: DataFrame, key_hash: str, tie: Column | str, test_frac: floa
                 role_col: str = "role") -> DataFrame:
     """Exactly ``round(test_frac * n)`` test rows per group ``by``.
 
-    Rows are ordered by ``(draw(row, seed), tie)``; the first ``round(f*n)`` in
-    each group are test.  Positions come from :func:`hash_positions`, which never
-    puts a group in one task, so a class holding a third of all rows is fine.
+    Rows are ordered by ``(draw(row, seed), tie)``; the first ``round(f*n)`` in each
+    group are test.  Rows are counted per group and bucket of the draw; the cut falls
+    into one bucket of each group, and only that bucket's rows are ranked.  All others
+    compare their bucket with it, so nothing else is shuffled.
     """
     by = list(by or [])
     t = F.col(tie) if isinstance(tie, str) else tie
-    tmp = df.withColumn("_k", t.cast("string")).withColumn("_h", seeded_hash(key_hash, seed))
-    # group sizes come with the positions, from the small per-bucket count table
-    ranked = hash_positions(tmp, by, "_h", "_k", pos_col="_pos", total_col="_n")
-    cut = F.round(F.lit(float(test_frac)) * F.col("_n")).cast("bigint")
-    return (ranked.withColumn(role_col, F.when(F.col("_pos") < cut, "test").otherwise("train"))
-            .drop("_k", "_h", "_pos", "_n"))
+    tmp = (df.withColumn("_k", t.cast("string")).withColumn("_h", seeded_hash(key_hash, seed))
+           .withColumn("_b", F.floor(F.col("_h") / F.lit(TWO32 / CUT_BUCKETS)).cast("int")))
+    on = [F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] or [F.lit(True)]
+
+    counts = tmp.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_n").over(group.orderBy("_b"))
+    cut = F.round(F.lit(float(test_frac)) * F.sum("_n").over(group)).cast("bigint")
+    # the first bucket that reaches beyond the cut, and how many of its rows are test
+    cuts = (counts.withColumn("_cut", cut).withColumn("_upto", upto).where("_upto > _cut")
+            .groupBy(*by).agg(F.min(F.struct("_b", (F.col("_cut") - F.col("_upto") + F.col("_n")))
+                                    ).alias("_c"))
+            .select(*by, F.col("_c._b").alias("_cb"), F.col("_c.col2").alias("_need")))
+    cuts = _small_side(cuts)
+    edge = tmp.alias("r").join(cuts.alias("c"), on).where("_b = _cb").select(
+        *[F.col(f"r.{c}") for c in by], "_h", "_k", "_cb", "_need")
+    last = (edge.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_k")))
+            .where("_i = _need").select(*by, F.struct("_h", "_k").alias("_last")))
+    found = cuts.alias("r").join(last.alias("c"), on, "left").select(
+        *[F.col(f"r.{c}") for c in by], "_cb", "_last")
+    marked = tmp.alias("r").join(_small_side(found).alias("c"), on, "left")
+    test = (F.col("_cb").isNull() | (F.col("_b") < F.col("_cb"))
+            | ((F.col("_b") == F.col("_cb")) & (F.struct("_h", "_k") <= F.col("_last"))))
+    names = [c for c in df.columns if c != role_col]
+    return marked.select(*[F.col(f"r.{c}") for c in names],
+                         F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train")
+                         .alias(role_col))
+
+
+def _small_side(df: DataFrame) -> DataFrame:
+    """One row per group, written once; broadcast if there are few groups."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_GROUPS else df
 
 
 def stratified_split(df: DataFrame, key_hash: str, tie: Column | str, label_col: str,
@@ -126,10 +150,3 @@ def seeded_sample(df: DataFrame, key: Column | str, k: int, seed: int = 42,
     w = Window.partitionBy(*by).orderBy("_h", "_k")
     return (tmp.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
             .where(F.col(rank_col) <= int(k)).drop("_k", "_h"))
-
-
-def role_counts(df: DataFrame, group_cols: list[str], role_col: str = "role") -> DataFrame:
-    """Rows per role (and the column count of the feature table)."""
-    n_cols = len(df.columns)
-    return df.groupBy(*group_cols, role_col).agg(
-        F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(n_cols).cast("bigint"))

@@ -20,25 +20,8 @@ def timed(fn, *args, **kw):
     return out, time.perf_counter() - t0
 
 
-def timed_fit(estimator, df: DataFrame):
-    """Fit time with the input cached first (cache fill not counted)."""
-    cached = df.persist()
-    cached.count()
-    model, secs = timed(estimator.fit, cached)
-    return model, secs, cached
 
 
-def timed_transform(model, df: DataFrame) -> float:
-    """Scoring time of a full pass into the no-op sink."""
-    _, secs = timed(lambda: model.transform(df).write.format("noop").mode("overwrite").save())
-    return secs
-
-
-def timed_action(df: DataFrame) -> float:
-    """E13 and others: time to compute a DataFrame fully (no collect)."""
-    _, secs = timed(lambda: df.write.format("noop").mode("overwrite").save())
-    return secs
-
 
 def timing_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """``(run, model, phase, seconds)`` rows as a table."""

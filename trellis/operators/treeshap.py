@@ -182,13 +182,6 @@ def tree_predict(tree, x) -> float:
 
 # ---------------------------------------------------------------- interventional
 
-def _leaf_of(tree, x):
-    node = 0
-    while tree["left"][node] >= 0:
-        node = tree["left"][node] if _goes_left(tree, node, x[tree["feat"][node]]) \
-            else tree["right"][node]
-    return node
-
 
 def shap_one_tree_vs(tree, x, bg, phi):
     """Interventional Shapley values of one tree for row ``x`` against one

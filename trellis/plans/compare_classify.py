@@ -17,7 +17,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.functions.random import TWO32, seeded_hash
 from trellis.operators import logistic as LG
 from trellis.operators import metrics as M
 from trellis.operators import paired as P
@@ -33,8 +32,11 @@ def _prepare(df, key, label, runs, test_frac, valid_frac):
     d = S.add_key_hash(d, key, "valid_hash", salt="valid")
     d = S.stratified_split(S.with_runs(d, runs), "key_hash", key, label, test_frac, "seed",
                            extra_by=["run"])
-    return d.withColumn("role", F.when(F.col("role") == "test", "test").when(
-        seeded_hash("valid_hash", "seed") < F.lit(valid_frac * TWO32), "valid").otherwise("fit"))
+    # D3: the second cut is exact within each class of the training rows as well
+    nested = S.stratified_split(d.where(F.col("role") == "train"), "valid_hash", key, label,
+                                valid_frac, "seed", extra_by=["run"], role_col="role")
+    nested = nested.withColumn("role", F.when(F.col("role") == "test", "valid").otherwise("fit"))
+    return d.where(F.col("role") == "test").unionByName(nested)
 
 
 def encode_for_linear(d: DataFrame, num_cols: list[str], cat_cols: list[str]):
@@ -125,8 +127,8 @@ def compare_classification(df: DataFrame, num_cols: list[str], cat_cols: list[st
     summary = U.summarize(results, ["accuracy", "f1", "roc_auc", "brier"], ["model"], None)
     a, b = test_pair
     diffs = P.paired_differences(results, ["run"], "model", "roc_auc", a, b)
-    test = P.with_exact_p(P.signed_rank(diffs.withColumn("test", F.lit(f"{a} vs {b}")),
-                                        ["test"], "d"), ["test"]).drop("_max_tie")
+    test = P.signed_rank(diffs.withColumn("test", F.lit(f"{a} vs {b}")), ["test"], "d").drop(
+        "_max_tie")
     l2 = fits["Logistic Regression (L2)"].where(F.col("run") == 1)
     coefs = l2.select(F.posexplode("coef").alias("pos", "coefficient")).select(
         F.element_at(F.array(*[F.lit(n) for n in names]), F.col("pos") + 1).alias("feature"),

@@ -2,7 +2,7 @@
 
 The engine never picks a machine-local folder on a cluster: lineage is cut with
 ``checkpoint()`` into the folder the cluster names in ``spark.checkpoint.dir``.
-Only when that setting is missing (local tests) do we pick one under /tmp.
+Only a local session without that setting (tests) gets one under /tmp.
 """
 
 from __future__ import annotations
@@ -15,20 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 def get_spark(app: str = "trellis", cpus: int | str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
-    """Session tuned for this engine; on a cluster the submitter's config wins."""
-    cpus = cpus or os.environ.get("BENCH_CPUS") or "*"
+    """Session with adaptive execution and UTC.
+
+    Master, memory and partition counts are the submitter's; ``cpus`` (a local master)
+    and ``shuffle_partitions`` are set only where a caller names them, as the bench does.
+    """
     builder = (
-        SparkSession.builder.master(f"local[{cpus}]").appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("TRELLIS_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     )
+    if cpus is not None:
+        builder = builder.master(f"local[{cpus}]")
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if os.environ.get("TRELLIS_DRIVER_MEMORY"):
+        builder = builder.config("spark.driver.memory", os.environ["TRELLIS_DRIVER_MEMORY"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -36,10 +41,13 @@ def get_spark(app: str = "trellis", cpus: int | str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only if unset."""
+    """Return the shared checkpoint folder; a local session without one gets a scratch
+    folder, a cluster without one is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         current = tempfile.mkdtemp(prefix="trellis-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
@@ -58,10 +66,6 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -74,24 +78,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     input the scan already has thousands of splits and this is a no-op, so no
     shuffle is added where it is not needed.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     # only scan-level plans: after an exchange the rows are already spread, and
     # counting partitions there would run the upstream stages
-    try:
-        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-            return df
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no JVM-side plan access (e.g. a remote session)
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
-    if n < target:
-        # hash of the row's own (atomic) columns: deterministic under retries without
-        # the per-task sort a round-robin repartition needs for that
-        from pyspark.sql import functions as F
-        from pyspark.sql import types as T
-        atoms = [F.col(f.name) for f in df.schema.fields
-                 if isinstance(f.dataType, (T.NumericType, T.StringType, T.DateType,
-                                            T.TimestampType, T.TimestampNTZType,
-                                            T.BooleanType))]
-        return df.repartition(target, *atoms) if atoms else df.repartition(target)
-    return df
+    # dealt in turn, not by a hash of the row: copies of a row go to all tasks
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
