@@ -22,7 +22,7 @@ PROGRAM_RE = r"([A-Za-z0-9_]+\.py)"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines with their file and line number (order inside the file)."""
+    """Raw lines with their file; a line's place is its time stamp, not its number."""
     return (spark.read.text(path, wholetext=False)
             .withColumn("file", F.input_file_name()))
 
