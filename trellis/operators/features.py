@@ -117,3 +117,12 @@ def equal_width_bins_many(df: DataFrame, cols: list[str], k: int = 3,
         b = F.when(width > 0, raw).otherwise(F.lit(1)).cast("int")
         out.append(F.element_at(names, b).alias(f"{c}{suffix}"))
     return df.select("*", *out)
+
+
+def levels(df: DataFrame, col: str, most: int = 1000) -> list[str]:
+    """Sorted distinct values of a low-cardinality column; more than ``most`` is an error,
+    since the list (and one column per value) is held on the driver."""
+    rows = df.where(F.col(col).isNotNull()).select(col).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{col} has more than {most} values")
+    return sorted(r[0] for r in rows)

@@ -12,33 +12,37 @@ from trellis.operators import logistic as LG
 from trellis.operators import metrics as M
 from trellis.operators import splits as S
 from trellis.operators import trees as TR
+from trellis.operators.features import levels
 from trellis.plans import price_models as PM
 from trellis.plans.registry import query, rounded
 from trellis.session import cut_lineage, table
 
 LOGISTIC_RUNS = 30
 TREE_RUNS = 3
-LANGS = ["de", "en", "es", "fr"]
-DOC_FEATURES = ["log_chars", *[f"lang_{x}" for x in LANGS]]
 
 
 def _doc_rows(spark, sf_dir, runs: int):
+    """Labelled rows with roles, and the names of their features."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    langs = levels(docs, "lang")
     j = docs.join(labels, "doc_id").select(
         "doc_id", "label", F.log1p(F.col("n_chars").cast("double")).alias("log_chars"),
-        *[(F.col("lang") == x).cast("double").alias(f"lang_{x}") for x in LANGS])
+        *[F.coalesce((F.col("lang") == x).cast("double"), F.lit(0.0)).alias(f"lang_{x}")
+          for x in langs])
     j = S.add_key_hash(j, "doc_id")
-    return S.stratified_split(S.with_runs(j, runs), "key_hash", "doc_id", "label", 0.2, "seed",
+    rows = S.stratified_split(S.with_runs(j, runs), "key_hash", "doc_id", "label", 0.2, "seed",
                               extra_by=["run"])
+    return rows, ["log_chars", *[f"lang_{x}" for x in langs]]
 
 
 def _logistic(spark, sf_dir, penalty: str, name: str):
     # the ranked split feeds the fit and the scoring: cut its lineage once
-    rows = cut_lineage(_doc_rows(spark, sf_dir, LOGISTIC_RUNS))
-    fits = LG.fit_logistic(rows.where(F.col("role") == "train"), DOC_FEATURES, "label",
+    rows, features = _doc_rows(spark, sf_dir, LOGISTIC_RUNS)
+    rows = cut_lineage(rows)
+    fits = LG.fit_logistic(rows.where(F.col("role") == "train"), features, "label",
                            ["run"], penalty=penalty)
-    test = LG.predict_logistic(rows.where(F.col("role") == "test"), fits, DOC_FEATURES,
+    test = LG.predict_logistic(rows.where(F.col("role") == "test"), fits, features,
                                ["run"])
     cm = M.classification_metrics(test, ["run"])
     auc = M.roc_auc(test, ["run"], "label", "probability")

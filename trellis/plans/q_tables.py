@@ -9,6 +9,7 @@ from trellis.operators import splits as S
 from trellis.plans import price_models as PM
 from trellis.plans import tables as TB
 from trellis.plans.q_holdout import _PER_RUN_SQL, _PRICE_SQL_CTES, holdout_per_run
+from trellis.operators.features import levels
 from trellis.plans.registry import query, rounded
 from trellis.plans.sqlbits import r6
 from trellis.session import table
@@ -105,11 +106,6 @@ def extrapolation_curve(spark, sf_dir):
     return rounded(TB.extrapolation_curve(rows, fits, "x", "label", "role", 101))
 
 
-SOURCES = [f"src{i}" for i in range(20)]
-COEF_FEATURES = ["log_chars", *[f"lang_{x}" for x in ["de", "en", "es", "fr"]],
-                 *[f"source_{s}" for s in SOURCES]]
-
-
 @query("logistic_coefficients")
 def logistic_coefficients(spark, sf_dir):
     """L2 logistic on length, language and source one-hots
@@ -117,17 +113,17 @@ def logistic_coefficients(spark, sf_dir):
     top and bottom ten flagged."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    one_hot = [F.coalesce((F.col(c) == x).cast("double"), F.lit(0.0)).alias(f"{c}_{x}")
+               for c in ("lang", "source") for x in levels(docs, c)]
     j = docs.join(labels, "doc_id").select(
-        "doc_id", "label", F.log1p(F.col("n_chars").cast("double")).alias("log_chars"),
-        *[(F.col("lang") == x).cast("double").alias(f"lang_{x}")
-          for x in ["de", "en", "es", "fr"]],
-        *[(F.col("source") == s).cast("double").alias(f"source_{s}") for s in SOURCES])
+        "doc_id", "label", F.log1p(F.col("n_chars").cast("double")).alias("log_chars"), *one_hot)
+    features = [c for c in j.columns if c not in ("doc_id", "label")]
     j = S.stratified_split(S.with_runs(S.add_key_hash(j, "doc_id"), 1), "key_hash", "doc_id",
                            "label", 0.2, "seed", extra_by=["run"])
-    fit = LG.fit_logistic(j.where(F.col("role") == "train"), COEF_FEATURES, "label", ["run"],
+    fit = LG.fit_logistic(j.where(F.col("role") == "train"), features, "label", ["run"],
                           "l2")
     coefs = fit.select(F.posexplode("coef").alias("pos", "coefficient")).select(
-        F.element_at(F.array(*[F.lit(f) for f in COEF_FEATURES]), F.col("pos") + 1)
+        F.element_at(F.array(*[F.lit(f) for f in features]), F.col("pos") + 1)
         .alias("feature"), "coefficient")
     bars = TB.coefficient_bars(coefs, 10).select("feature", "side")
     out = coefs.join(bars.groupBy("feature").agg(F.concat_ws("+", F.collect_set("side"))
