@@ -247,3 +247,30 @@ def test_quality_odd_tables(spark, odd, nothing):
     assert gam.quality_scores(nothing, labels).count() == 0
     assert {r["score"] for r in gam.quality_scores(odd, labels.limit(0)).collect()} == {0.5}
     assert gam.good_documents(odd, labels).columns == odd.columns
+
+
+def test_links_between_classes_of_one_bucket(spark):
+    """A text that is similar to a member of a class but not to the class's center."""
+    from trellis.llm.common import settle
+    from trellis.llm.probminhash import between_classes, with_shingles
+    words = [f"w{k}" for k in range(120)]
+    texts = {1: ["x"] * 8 + words[8:], 2: words, 3: words[:-8] + ["y"] * 8, 4: [f"z{k}" for k in range(90)]}
+    shingled = settle(with_shingles(spark.createDataFrame(
+        [(n, " ".join(t)) for n, t in texts.items()], "node bigint, text string")))
+    members = spark.createDataFrame([(7, n) for n in texts] + [(8, 1), (8, 2)], "key bigint, node bigint")
+    found = spark.createDataFrame([(1, 2)], "center bigint, node bigint")
+    met = [spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "center bigint, node bigint")]
+    out = between_classes(members, found, met, shingled, 0.8)
+    assert sorted(map(tuple, out.collect())) == [(2, 3)]
+
+
+def test_no_candidate_is_left_open(spark):
+    """A bucket of more unlike texts than any number of rounds, and two that are alike."""
+    from trellis.llm import probminhash as P
+    rows = [(k, k, [5]) for k in range(1, 31)]
+    texts = [(k, k, " ".join(f"a{k}-{j}" for j in range(40))) for k in range(1, 29)]
+    like = [f"b{j}" for j in range(60)]
+    texts += [(29, 29, " ".join(like)), (30, 30, " ".join([*like, "c"]))]
+    base = spark.createDataFrame(rows, "doc_id bigint, node bigint, keys array<bigint>")
+    out = P.links(base, spark.createDataFrame(texts, "doc_id bigint, node bigint, text string"))
+    assert set(map(tuple, out.collect())) == {(29, 30)}

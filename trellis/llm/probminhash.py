@@ -8,10 +8,14 @@ Two sketches agree in a component with probability equal to the probability Jacc
 the weighted bags.
 
 Bands of the sketch give candidate pairs, as stars: the smallest text of a band's bucket
-against the others, then, for those it is not similar to, the next smallest, for
-``ROUNDS`` rounds.  No bucket is paired out.  Candidates are verified on all their
-shingles: a link is a probability Jaccard or a plain Jaccard of ``SIMILAR`` or more.
-Classes are the connected components of the links, named by their smallest doc_id.
+against the others, then, for those it is not similar to, the next smallest.  ``ROUNDS``
+rounds gather most of each class.  What they leave open is closed class against class:
+in a bucket that holds several classes, texts of the smaller classes are held in turn
+against all texts of other classes, until every bucket is of one class or all its texts
+of different classes have met.  Texts of one class are never paired out.  Candidates are
+verified on all their shingles: a link is a probability Jaccard or a plain Jaccard of
+``SIMILAR`` or more.  Classes are the connected components of the links, named by their
+smallest doc_id.
 
 With 24 bands of 4 components a pair at similarity 0.8 shares no band in about 3 of a
 million cases.  Texts are told apart by a 64-bit hash.
@@ -20,6 +24,7 @@ million cases.  Texts are told apart by a 64-bit hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 COMPONENTS = BANDS * ROWS
 ROUNDS = 3
+#: texts of a bucket that meet the others in one step of closing
+CENTERS = 8
 #: shingles sketched at a time
 CHUNK = 300_000
 
@@ -177,10 +184,10 @@ def links(base: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFram
     """
     # copies go before the join on the bucket, which a frequent bucket would leave to one task
     members = base.select("node", F.explode("keys").alias("key")).distinct()
-    found = None
-    shingled = None
+    found, shingled, buckets, met = None, None, None, []
     for _ in range(ROUNDS):
         members = settle(members.join(stars(members), "key").select("key", "center", "node"))
+        buckets = members if buckets is None else buckets
         pairs = settle(members.filter("node != center").select("center", "node").distinct())
         if pairs.isEmpty():
             break
@@ -193,10 +200,53 @@ def links(base: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFram
                               if _repeats(base) else with_shingles(picked.select("node", "text")))
         good = settle(verified(pairs, shingled, least))
         found = good if found is None else found.unionByName(good)
+        met.append(pairs)
         # who is not similar to the bucket's center goes on without it
         members = (members.filter("node != center")
                    .join(good, ["center", "node"], "left_anti").select("key", "node"))
-    return found
+    return None if found is None else found.unionByName(
+        between_classes(buckets.select("key", "node"), found, met, shingled, least))
+
+
+def between_classes(members: DataFrame, found: DataFrame, met: list[DataFrame], shingled: DataFrame,
+                    least: float) -> DataFrame:
+    """Verified pairs (center, node) of texts in one bucket of ``members`` (key, node) that
+    the links ``found`` leave in different classes; pairs of ``met`` (center < node) were
+    verified before.
+
+    Each step takes up to ``CENTERS`` texts of a bucket, those of its smallest classes
+    first, to all its texts of other classes, and then out of the bucket.
+    """
+    labels = components(found)
+    open_ = (members.join(labels, "node", "left")
+             .select("key", "node", F.coalesce("label", "node").alias("label")))
+    more = found.limit(0)
+    while True:
+        parts = open_.groupBy("key", "label", F.pmod(F.xxhash64("node"), F.lit(CENTERS)).alias("part")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+        sizes = parts.groupBy("key", "label").agg(F.sum("n").alias("size"))
+        mixed = sizes.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
+        centers = settle(parts.join(sizes, ["key", "label"]).join(mixed, "key", "left_semi")
+                         .groupBy("key", "part").agg(F.min(F.struct("size", "node", "label")).alias("c"))
+                         .select("key", F.col("c.node").alias("center"), F.col("c.label").alias("center_label")))
+        if centers.isEmpty():
+            return more
+        open_ = settle(open_.join(centers.select("key").distinct(), "key", "left_semi"))
+        pairs = (open_.join(centers, "key").filter("label != center_label")
+                 .select(F.least("center", "node").alias("center"), F.greatest("center", "node").alias("node"),
+                         F.when(F.col("center") < F.col("node"), F.col("center_label")).otherwise(F.col("label")).alias("a"),
+                         F.when(F.col("center") < F.col("node"), F.col("label")).otherwise(F.col("center_label")).alias("b"))
+                 .distinct())
+        pairs = settle(pairs.join(reduce(DataFrame.unionByName, met), ["center", "node"], "left_anti"))
+        met.append(pairs.select("center", "node"))
+        good = settle(verified(pairs.select("center", "node"), shingled, least))
+        open_ = open_.join(centers.select("key", F.col("center").alias("node")), ["key", "node"], "left_anti")
+        if not good.isEmpty():                      # classes that a link now joins are one
+            more = more.unionByName(good)
+            joined = components(pairs.join(good, ["center", "node"], "left_semi")
+                                .select(F.col("a").alias("center"), F.col("b").alias("node")))
+            open_ = (open_.join(joined.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left")
+                     .select("key", "node", F.coalesce("now", "label").alias("label")))
 
 
 def _repeats(base: DataFrame) -> bool:
