@@ -37,8 +37,9 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 COMPONENTS = BANDS * ROWS
 ROUNDS = 3
-#: texts of a bucket that meet the others in one step of closing
-CENTERS = 8
+#: texts of a bucket that meet the others in the first step of closing, and how many times
+#: as many in each further step
+CENTERS, GROWTH = 8, 4
 #: shingles sketched at a time
 CHUNK = 300_000
 
@@ -214,15 +215,16 @@ def between_classes(members: DataFrame, found: DataFrame, met: list[DataFrame],
     the links ``found`` leave in different classes; pairs of ``met`` (center < node) were
     verified before.
 
-    Each step takes up to ``CENTERS`` texts of a bucket, those of its smallest classes
-    first, to all its texts of other classes, and then out of the bucket.
+    Each step takes up to ``CENTERS`` texts of a bucket, ``GROWTH`` times as many as the
+    step before, those of its smallest classes first, to all its texts of other classes,
+    and then out of the bucket: as many steps as the logarithm of the largest bucket.
     """
     labels = components(found)
     open_ = (members.join(labels, "node", "left")
              .select("key", "node", F.coalesce("label", "node").alias("label")))
-    more = found.limit(0)
+    more, centers_now = found.limit(0), CENTERS
     while True:
-        parts = open_.groupBy("key", "label", F.pmod(F.xxhash64("node"), F.lit(CENTERS)).alias("part")).agg(
+        parts = open_.groupBy("key", "label", F.pmod(F.xxhash64("node"), F.lit(centers_now)).alias("part")).agg(
             F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
         sizes = parts.groupBy("key", "label").agg(F.sum("n").alias("size"))
         mixed = sizes.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
@@ -240,6 +242,7 @@ def between_classes(members: DataFrame, found: DataFrame, met: list[DataFrame],
         pairs = settle(pairs.join(reduce(DataFrame.unionByName, met), ["center", "node"], "left_anti"))
         met.append(pairs.select("center", "node"))
         good = settle(verified(pairs.select("center", "node"), shingled, least))
+        centers_now *= GROWTH
         open_ = open_.join(centers.select("key", F.col("center").alias("node")), ["key", "node"], "left_anti")
         if not good.isEmpty():                      # classes that a link now joins are one
             more = more.unionByName(good)
