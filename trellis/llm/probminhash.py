@@ -7,18 +7,23 @@ shingle stops as soon as its next arrival is later than every component's first
 Two sketches agree in a component with probability equal to the probability Jaccard of
 the weighted bags.
 
-Bands of the sketch give candidate pairs, as stars: the smallest text of a band's bucket
-against the others, then, for those it is not similar to, the next smallest.  ``ROUNDS``
-rounds gather most of each class.  What they leave open is closed class against class:
-in a bucket that holds several classes, texts of the smaller classes are held in turn
-against all texts of other classes, until every bucket is of one class or all its texts
-of different classes have met.  Texts of one class are never paired out.  Candidates are
-verified on all their shingles: a link is a probability Jaccard or a plain Jaccard of
-``SIMILAR`` or more.  Classes are the connected components of the links, named by their
-smallest doc_id.
+Bands of the sketch give candidate pairs, first as stars: the smallest text of a band's
+bucket against the others, which gathers most of each class.  What that leaves open is
+closed class against class: in a bucket that holds several classes, texts of the smaller
+classes are held in turn against all texts of other classes, until every bucket is of one
+class or all its texts of different classes have met.  Texts of one class are never paired
+out.
+
+Candidates are screened by their whole sketches, of which a row keeps a byte for each
+component, and those left verified on all their shingles: a link is a probability Jaccard
+or a plain Jaccard of ``SIMILAR`` or more.  The screen lets through pairs that agree in
+half of the components or more, and, since sketches say nothing of plain Jaccard where
+shingles repeat, all pairs with repeats whose numbers of different shingles allow it.
+Classes are the connected components of the links, named by their smallest doc_id.
 
 With 24 bands of 4 components a pair at similarity 0.8 shares no band in about 3 of a
-million cases.  Texts are told apart by a 64-bit hash.
+million cases, and agrees in less than half of the components in less than 1 of a
+billion.  Texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +42,11 @@ from trellis.llm.common import WordNames, columns, fresh, mix, settle, stored, w
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 COMPONENTS = BANDS * ROWS
-ROUNDS = 3
 #: texts of a bucket that meet the others in the first step of closing, and how many times
 #: as many in each further step
-CENTERS, GROWTH = 8, 4
+CENTERS, GROWTH = 16, 16
+#: share of the components that a candidate pair at the default similarity must agree in
+SCREEN = 0.5 / SIMILAR
 #: shingles sketched at a time
 CHUNK = 300_000
 
@@ -87,13 +94,15 @@ def band_keys(winners: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def bags(texts: list[bytes], names: WordNames) -> Iterator[tuple[list[int], np.ndarray]]:
-    """(numbers of the texts with words, their band keys), some texts at a time."""
+def bags(texts: list[bytes], names: WordNames) -> Iterator[tuple[list[int], np.ndarray, list[int], list[bool]]]:
+    """(numbers of the texts with words, their sketches, numbers of different shingles,
+    whether any repeats), some texts at a time."""
     at, parts, counts, size = [], [], [], 0
 
     def flush():
         owner = np.repeat(np.arange(len(at)), [len(p) for p in parts])
-        return at, band_keys(sketch(np.concatenate(parts), np.concatenate(counts).astype(float), owner, len(at)))
+        return (at, sketch(np.concatenate(parts), np.concatenate(counts).astype(float), owner, len(at)),
+                [len(p) for p in parts], [bool((c > 1).any()) for c in counts])
 
     for k, text in enumerate(texts):
         found, times = np.unique(shingles(text, names), return_counts=True)
@@ -131,20 +140,49 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(doc_id, node, text) to (doc_id, node, keys): the band keys, none without words."""
+    """(doc_id, node, text) to (doc_id, node, keys, marks, different, repeats): band keys,
+    none without words, a byte of each component, and what the screen needs besides."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
         for batch in batches:
             values = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
             keys: list = [[] for _ in values]
-            for at, found in bags(values, names):
-                for k, row in zip(at, found.view(np.int64)):
-                    keys[k] = row
+            marks, different, repeats = [b""] * len(values), [0] * len(values), [False] * len(values)
+            for at, winners, sizes, again in bags(values, names):
+                found, low = band_keys(winners).view(np.int64), winners.astype(np.uint8)
+                for j, k in enumerate(at):
+                    keys[k], marks[k], different[k], repeats[k] = found[j], low[j].tobytes(), sizes[j], again[j]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()),
+                 pa.array(different, pa.int64()), pa.array(repeats, pa.bool_())],
+                ["doc_id", "node", "keys", "marks", "different", "repeats"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, node bigint, keys array<bigint>")
+    return texts.mapInArrow(run, f"doc_id {kind}, node bigint, keys array<bigint>, marks binary, "
+                                 "different bigint, repeats boolean")
+
+
+def screened(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
+    """The rows of ``pairs`` (center, node, ...) that may be similar by (node, marks,
+    different, repeats) of both."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+                    for c in ("marks_a", "marks_b"))
+            near = (a == b).sum(axis=1) >= SCREEN * least * COMPONENTS
+            ok = pa.compute.or_(pa.array(near, pa.bool_()), batch.column("plain"))
+            yield batch.select(names).filter(ok)
+
+    names = pairs.columns
+    ends = pairs
+    for end, suffix in (("node", "b"), ("center", "a")):
+        ends = ends.join(marked.select(F.col("node").alias(end), F.col("marks").alias(f"marks_{suffix}"),
+                                       F.col("different").alias(f"different_{suffix}"),
+                                       F.col("repeats").alias(f"repeats_{suffix}")), end)
+    sizes = F.least("different_a", "different_b") >= least * F.greatest("different_a", "different_b")
+    return (ends.select(*names, "marks_a", "marks_b",
+                        ((F.col("repeats_a") | F.col("repeats_b")) & sizes).alias("plain"))
+            .mapInArrow(run, pairs.schema))
 
 
 def with_shingles(texts: DataFrame) -> DataFrame:
@@ -178,39 +216,31 @@ def stars(members: DataFrame) -> DataFrame:
             .filter(F.col("center") < F.col("far")).drop("far"))
 
 
-def links(base: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+def links(base: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame | None:
     """Verified pairs (center, node) of different texts.
 
-    ``base`` has (doc_id, node, keys), ``texts`` (doc_id, node, text).
+    ``base`` is of :func:`sketches`, ``texts`` has (doc_id, node, text).
     """
     # copies go before the join on the bucket, which a frequent bucket would leave to one task
     members = base.select("node", F.explode("keys").alias("key")).distinct()
-    found, shingled, buckets, met = None, None, None, []
-    for _ in range(ROUNDS):
-        members = settle(members.join(stars(members), "key").select("key", "center", "node"))
-        buckets = members if buckets is None else buckets
-        pairs = settle(members.filter("node != center").select("center", "node").distinct())
-        if pairs.isEmpty():
-            break
-        if shingled is None:                         # the texts that any later round may need
-            needed = pairs.select("node").union(pairs.select("center")).distinct()
-            owners = base.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
-            picked = texts.join(owners, (texts["node"] == owners["node"]) & texts["doc_id"].eqNullSafe(owners["doc_id"]),
-                                "left_semi")
-            shingled = stored(with_shingles(picked.select("node", "text")).dropDuplicates(["node"])
-                              if _repeats(base) else with_shingles(picked.select("node", "text")))
-        good = settle(verified(pairs, shingled, least))
-        found = good if found is None else found.unionByName(good)
-        met.append(pairs)
-        # who is not similar to the bucket's center goes on without it
-        members = (members.filter("node != center")
-                   .join(good, ["center", "node"], "left_anti").select("key", "node"))
-    return None if found is None else found.unionByName(
-        between_classes(buckets.select("key", "node"), found, met, shingled, least))
-
-
-def between_classes(members: DataFrame, found: DataFrame, met: list[DataFrame], shingled: DataFrame,
-                    least: float) -> DataFrame:
+    members = settle(members.join(stars(members), "key").select("key", "center", "node"))
+    needed = settle(members.select("node").distinct())
+    if needed.isEmpty():
+        return None
+    marked = settle(base.select("node", "marks", "different", "repeats").distinct().join(needed, "node", "left_semi"))
+    owners = base.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
+    picked = texts.join(owners, (texts["node"] == owners["node"]) & texts["doc_id"].eqNullSafe(owners["doc_id"]),
+                        "left_semi")
+    shingled = with_shingles(picked.select("node", "text"))
+    shingled = stored(shingled.dropDuplicates(["node"]) if _repeats(base) else shingled)
+    pairs = settle(screened(members.filter("node != center").select("center", "node").distinct(), marked, least))
+    found = settle(verified(pairs, shingled, least))
+    return reduce(DataFrame.unionByName,
+                  [found, *between_classes(members.select("key", "node"), found, pairs, marked, shingled, least)])
+
+
+def between_classes(members: DataFrame, found: DataFrame, met: DataFrame, marked: DataFrame, shingled: DataFrame,
+                    least: float) -> list[DataFrame]:
     """Verified pairs (center, node) of texts in one bucket of ``members`` (key, node) that
     the links ``found`` leave in different classes; pairs of ``met`` (center < node) were
     verified before.
@@ -219,33 +249,33 @@ def between_classes(members: DataFrame, found: DataFrame, met: list[DataFrame],
     step before, those of its smallest classes first, to all its texts of other classes,
     and then out of the bucket: as many steps as the logarithm of the largest bucket.
     """
-    labels = components(found)
-    open_ = (members.join(labels, "node", "left")
+    open_ = (members.join(components(found), "node", "left")
              .select("key", "node", F.coalesce("label", "node").alias("label")))
-    more, centers_now = found.limit(0), CENTERS
+    more, centers_now = [], CENTERS
     while True:
+        classes = open_.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
+        open_ = settle(open_.join(classes.select("key"), "key", "left_semi"))
+        if open_.isEmpty():
+            return more
         parts = open_.groupBy("key", "label", F.pmod(F.xxhash64("node"), F.lit(centers_now)).alias("part")).agg(
             F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
         sizes = parts.groupBy("key", "label").agg(F.sum("n").alias("size"))
-        mixed = sizes.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
-        centers = settle(parts.join(sizes, ["key", "label"]).join(mixed, "key", "left_semi")
+        centers = settle(parts.join(sizes, ["key", "label"])
                          .groupBy("key", "part").agg(F.min(F.struct("size", "node", "label")).alias("c"))
                          .select("key", F.col("c.node").alias("center"), F.col("c.label").alias("center_label")))
-        if centers.isEmpty():
-            return more
-        open_ = settle(open_.join(centers.select("key").distinct(), "key", "left_semi"))
+        forward = F.col("center") < F.col("node")
         pairs = (open_.join(centers, "key").filter("label != center_label")
                  .select(F.least("center", "node").alias("center"), F.greatest("center", "node").alias("node"),
-                         F.when(F.col("center") < F.col("node"), F.col("center_label")).otherwise(F.col("label")).alias("a"),
-                         F.when(F.col("center") < F.col("node"), F.col("label")).otherwise(F.col("center_label")).alias("b"))
+                         F.when(forward, F.col("center_label")).otherwise(F.col("label")).alias("a"),
+                         F.when(forward, F.col("label")).otherwise(F.col("center_label")).alias("b"))
                  .distinct())
-        pairs = settle(pairs.join(reduce(DataFrame.unionByName, met), ["center", "node"], "left_anti"))
-        met.append(pairs.select("center", "node"))
+        pairs = settle(screened(pairs, marked, least).join(met, ["center", "node"], "left_anti"))
+        met = met.unionByName(pairs.select("center", "node"))
         good = settle(verified(pairs.select("center", "node"), shingled, least))
         centers_now *= GROWTH
         open_ = open_.join(centers.select("key", F.col("center").alias("node")), ["key", "node"], "left_anti")
         if not good.isEmpty():                      # classes that a link now joins are one
-            more = more.unionByName(good)
+            more.append(good)
             joined = components(pairs.join(good, ["center", "node"], "left_semi")
                                 .select(F.col("a").alias("center"), F.col("b").alias("node")))
             open_ = (open_.join(joined.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left")
