@@ -16,14 +16,14 @@ out.
 
 Candidates are screened by their whole sketches, of which a row keeps a byte for each
 component, and those left verified on all their shingles: a link is a probability Jaccard
-or a plain Jaccard of ``SIMILAR`` or more.  The screen lets through pairs that agree in
-half of the components or more, and, since sketches say nothing of plain Jaccard where
-shingles repeat, all pairs with repeats whose numbers of different shingles allow it.
+or a plain Jaccard of ``SIMILAR`` or more.  For the latter a text whose shingles repeat
+keeps the bytes of a second sketch, without weights; the screen lets a pair through that
+agrees in 56 of the 96 components of either.
 Classes are the connected components of the links, named by their smallest doc_id.
 
 With 24 bands of 4 components a pair at similarity 0.8 shares no band in about 3 of a
-million cases, and agrees in less than half of the components in less than 1 of a
-billion.  Texts are told apart by a 64-bit hash.
+million cases, and agrees in fewer than 56 components about as rarely.  Texts are told
+apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +43,9 @@ BANDS, ROWS = 24, 4
 COMPONENTS = BANDS * ROWS
 #: texts of a bucket that meet the others in the first step of closing, and how many times
 #: as many in each further step
-CENTERS, GROWTH = 16, 16
-#: share of the components that a candidate pair at the default similarity must agree in
-SCREEN = 0.5 / SIMILAR
+CENTERS, GROWTH = 4, 4
+#: share of the components that a candidate pair must agree in, as a part of the similarity
+SCREEN = 56 / COMPONENTS / SIMILAR
 #: shingles sketched at a time
 CHUNK = 300_000
 
@@ -94,15 +93,22 @@ def band_keys(winners: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def bags(texts: list[bytes], names: WordNames) -> Iterator[tuple[list[int], np.ndarray, list[int], list[bool]]]:
-    """(numbers of the texts with words, their sketches, numbers of different shingles,
-    whether any repeats), some texts at a time."""
+def bags(texts: list[bytes], names: WordNames) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(numbers of the texts with words, their sketches, their sketches without weights),
+    some texts at a time."""
     at, parts, counts, size = [], [], [], 0
 
     def flush():
         owner = np.repeat(np.arange(len(at)), [len(p) for p in parts])
-        return (at, sketch(np.concatenate(parts), np.concatenate(counts).astype(float), owner, len(at)),
-                [len(p) for p in parts], [bool((c > 1).any()) for c in counts])
+        weighted = sketch(np.concatenate(parts), np.concatenate(counts).astype(float), owner, len(at))
+        again = [k for k, c in enumerate(counts) if (c > 1).any()]
+        plain = weighted
+        if again:
+            some = [parts[k] for k in again]
+            owner = np.repeat(np.arange(len(again)), [len(p) for p in some])
+            plain = weighted.copy()
+            plain[again] = sketch(np.concatenate(some), np.ones(len(owner)), owner, len(again))
+        return at, weighted, plain
 
     for k, text in enumerate(texts):
         found, times = np.unique(shingles(text, names), return_counts=True)
@@ -140,49 +146,41 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(doc_id, node, text) to (doc_id, node, keys, marks, different, repeats): band keys,
-    none without words, a byte of each component, and what the screen needs besides."""
+    """(doc_id, node, text) to (doc_id, node, keys, marks): band keys, none without words,
+    and a byte of each component of both sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
         for batch in batches:
             values = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
             keys: list = [[] for _ in values]
-            marks, different, repeats = [b""] * len(values), [0] * len(values), [False] * len(values)
-            for at, winners, sizes, again in bags(values, names):
-                found, low = band_keys(winners).view(np.int64), winners.astype(np.uint8)
+            marks = [b""] * len(values)
+            for at, weighted, plain in bags(values, names):
+                found, low = band_keys(weighted).view(np.int64), np.hstack([weighted, plain]).astype(np.uint8)
                 for j, k in enumerate(at):
-                    keys[k], marks[k], different[k], repeats[k] = found[j], low[j].tobytes(), sizes[j], again[j]
+                    keys[k], marks[k] = found[j], low[j].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()),
-                 pa.array(different, pa.int64()), pa.array(repeats, pa.bool_())],
-                ["doc_id", "node", "keys", "marks", "different", "repeats"])
+                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                ["doc_id", "node", "keys", "marks"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, node bigint, keys array<bigint>, marks binary, "
-                                 "different bigint, repeats boolean")
+    return texts.mapInArrow(run, f"doc_id {kind}, node bigint, keys array<bigint>, marks binary")
 
 
 def screened(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
-    """The rows of ``pairs`` (center, node, ...) that may be similar by (node, marks,
-    different, repeats) of both."""
+    """The rows of ``pairs`` (center, node, ...) that may be similar by ``marked`` (node,
+    marks) of both."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2, COMPONENTS)
                     for c in ("marks_a", "marks_b"))
-            near = (a == b).sum(axis=1) >= SCREEN * least * COMPONENTS
-            ok = pa.compute.or_(pa.array(near, pa.bool_()), batch.column("plain"))
-            yield batch.select(names).filter(ok)
+            near = (a == b).sum(axis=2).max(axis=1) >= round(SCREEN * least * COMPONENTS)
+            yield batch.select(names).filter(pa.array(near, pa.bool_()))
 
     names = pairs.columns
     ends = pairs
-    for end, suffix in (("node", "b"), ("center", "a")):
-        ends = ends.join(marked.select(F.col("node").alias(end), F.col("marks").alias(f"marks_{suffix}"),
-                                       F.col("different").alias(f"different_{suffix}"),
-                                       F.col("repeats").alias(f"repeats_{suffix}")), end)
-    sizes = F.least("different_a", "different_b") >= least * F.greatest("different_a", "different_b")
-    return (ends.select(*names, "marks_a", "marks_b",
-                        ((F.col("repeats_a") | F.col("repeats_b")) & sizes).alias("plain"))
-            .mapInArrow(run, pairs.schema))
+    for end, mark in (("node", "marks_b"), ("center", "marks_a")):
+        ends = ends.join(marked.select(F.col("node").alias(end), F.col("marks").alias(mark)), end)
+    return ends.select(*names, "marks_a", "marks_b").mapInArrow(run, pairs.schema)
 
 
 def with_shingles(texts: DataFrame) -> DataFrame:
@@ -227,7 +225,7 @@ def links(base: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFram
     needed = settle(members.select("node").distinct())
     if needed.isEmpty():
         return None
-    marked = settle(base.select("node", "marks", "different", "repeats").distinct().join(needed, "node", "left_semi"))
+    marked = settle(base.select("node", "marks").distinct().join(needed, "node", "left_semi"))
     owners = base.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
     picked = texts.join(owners, (texts["node"] == owners["node"]) & texts["doc_id"].eqNullSafe(owners["doc_id"]),
                         "left_semi")
