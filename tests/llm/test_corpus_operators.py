@@ -111,6 +111,19 @@ def test_classes_equal_brute_force(spark, texts):
         assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
 
 
+def test_texts_that_differ_in_repeats_only_are_linked(spark):
+    given = {}
+    for i in range(12):                               # equal sets of shingles, one of them 500 times in one text
+        words = " ".join(f"p{i}w{k}" for k in range(200))
+        given[2 * i], given[2 * i + 1] = words + " spam" * 5, words + " spam" * 504
+        assert likeness(given[2 * i], given[2 * i + 1]) == 1 and probability_jaccard(*map(bag_of, (given[2 * i], given[2 * i + 1]))) < 0.4
+    given[100] = f"{given[0]} x"
+    given[101] = f"{given[1]} y"
+    df = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df).collect()}
+    assert got == {**{i: i - i % 2 for i in range(24)}, 100: 0, 101: 0}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (102, 101)], "center long, node long")
     got = {r["node"]: r["label"] for r in probminhash.components(edges).collect()}

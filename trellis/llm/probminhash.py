@@ -7,7 +7,9 @@ shingle stops as soon as its next arrival is later than every component's first
 Two sketches agree in a component with probability equal to the probability Jaccard of
 the weighted bags.
 
-Bands of the sketch give candidate pairs, first as stars: the smallest text of a band's
+Bands of the sketch give candidate pairs, and for a text whose shingles repeat also the
+bands of a second sketch, without weights; a text without repeats has one sketch for both,
+so all bands share their keys.  Candidates are taken first as stars: the smallest text of a band's
 bucket against the others, which gathers most of each class.  What that leaves open is
 closed class against class: in a bucket that holds several classes, texts of the smaller
 classes are held in turn against all texts of other classes, until every bucket is of one
@@ -16,9 +18,9 @@ out.
 
 Candidates are screened by their whole sketches, of which a row keeps a byte for each
 component, and those left verified on all their shingles: a link is a probability Jaccard
-or a plain Jaccard of ``SIMILAR`` or more.  For the latter a text whose shingles repeat
-keeps the bytes of a second sketch, without weights; the screen lets a pair through that
-agrees in 56 of the 96 components of either.
+or a plain Jaccard of ``SIMILAR`` or more.  For the latter the bytes of the sketch without
+weights are kept too; the screen lets a pair through that agrees in 56 of the 96 components
+of either.
 Classes are the connected components of the links, named by their smallest doc_id.
 
 With 24 bands of 4 components a pair at similarity 0.8 shares no band in about 3 of a
@@ -146,8 +148,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(doc_id, node, text) to (doc_id, node, keys, marks): band keys, none without words,
-    and a byte of each component of both sketches."""
+    """(doc_id, node, text) to (doc_id, node, keys, marks): band keys of both sketches, none
+    without words, and a byte of each component of both."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
         for batch in batches:
@@ -156,8 +158,10 @@ def sketches(texts: DataFrame) -> DataFrame:
             marks = [b""] * len(values)
             for at, weighted, plain in bags(values, names):
                 found, low = band_keys(weighted).view(np.int64), np.hstack([weighted, plain]).astype(np.uint8)
+                more = found if plain is weighted else band_keys(plain).view(np.int64)
                 for j, k in enumerate(at):
-                    keys[k], marks[k] = found[j], low[j].tobytes()
+                    same = np.array_equal(found[j], more[j])
+                    keys[k], marks[k] = found[j] if same else np.union1d(found[j], more[j]), low[j].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
                 ["doc_id", "node", "keys", "marks"])
