@@ -100,6 +100,28 @@ def test_fertility_rejects_what_leaves_the_band(spark):
     assert sum(kept[i] for i, _, _ in clean) >= 198
 
 
+def test_fertility_bands_of_few_documents(spark):
+    rng = random.Random(5)
+    words = ["river", "stone", "light", "garden", "window", "market", "silver", "morning", "teacher", "winter", "letter"]
+    text = lambda n: " ".join(rng.choice(words) + rng.choice(["", "s", "ing"]) for _ in range(n))
+    junk = lambda n: " ".join("".join(chr(rng.randrange(0x12000, 0x12300)) for _ in range(4)) for _ in range(n))
+    cyrillic = lambda n: " ".join("".join(rng.choice("абвгдеикл") for _ in range(6)) for _ in range(n))
+    rows = [(i, text(100), "en") for i in range(120)] + [(200 + i, cyrillic(100), "ru") for i in range(60)]
+    rows += [(300, junk(9000), "en"), (301, text(70), "en"),     # alone in their octaves, judged by the nearest ones
+             (302, cyrillic(70), "ru"),                          # by its own language, not by the English ones
+             (303, junk(100), "xx")]                             # of a language of one document: all languages
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in fertility.fertility_rules(df, PIECES).collect()}
+    assert not kept[300] and not kept[303]
+    assert kept[301] and kept[302]
+    assert sum(kept[i] for i, _, _ in rows[:180]) >= 176
+    cells = spark.createDataFrame([("a", 3, 60), ("a", 4, 20), ("a", 6, 35), ("a", 9, 1), ("b", 3, 10), ("b", 12, 2)],
+                                  "band string, octave int, n long")
+    found = {(r["band"], r["octave"]): (r["reach"], r["pooled"]) for r in fertility.sources(cells).collect()}
+    assert found == {("a", 3): (0, False), ("a", 4): (1, False), ("a", 6): (2, False), ("a", 9): (5, False),
+                     ("b", 3): (0, True), ("b", 12): (8, True)}
+
+
 def test_fertility_odd_tables(odd, nothing):
     rows = fertility.fertility_rules(odd, PIECES).collect()
     assert len(rows) == len(ROWS)

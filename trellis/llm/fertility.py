@@ -4,7 +4,9 @@ A public subword vocabulary with byte fallback measures every text: characters p
 token, the share of byte-fallback tokens, and the entropy of its tokens.  Each language
 (where none is given, each script) has a band for each measure, taken from the quartiles
 of all its documents of about the same length (the same power of two of words, as short
-texts scatter more); texts outside a band are rejected.
+texts scatter more); texts outside a band are rejected.  Where these are too few, the
+language's next lengths on both sides join them, up to all its lengths; only a language
+with too few documents in all takes those of all languages, found in the same way.
 
 Plain counting rules come first (``base_failed``); a text that fails them is not kept.
 """
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.llm.common import WordNames, columns, settle, window_names
@@ -24,7 +26,8 @@ from trellis.llm.common import WordNames, columns, settle, window_names
 SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 WINDOW = 5
 #: band: quartiles -/+ REACH times their distance; groups of fewer than ENOUGH documents
-#: use the band of all languages, and reject nothing where that has too few as well
+#: take in the next octaves of words, and a language of fewer in all the other languages; a
+#: table of fewer documents in all has one band from them all
 REACH, ENOUGH = 3.0, 50
 #: rows of bands that are broadcast at most; more are joined by shuffle
 SMALL = 10_000
@@ -139,14 +142,53 @@ def measures(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.mapInArrow(measure, f"doc_id {kind}, {MEASURED}")
 
 
+def sources(cells: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """(octave, reach) of each language or script and octave of ``cells`` (band, octave, n),
+    and whether it is ``pooled``: its band is built from the documents at most ``reach``
+    octaves away, the fewest octaves that hold ``enough``, of the same language, or of all
+    languages where its own has fewer in all."""
+    own = cells.withColumn("total", F.sum("n").over(Window.partitionBy("band")))
+    octaves = cells.groupBy("octave").agg(F.sum("n").alias("n"))
+
+    def reach(wanted: DataFrame, given: DataFrame, by: list[str]) -> DataFrame:
+        near = (wanted.join(given.withColumnRenamed("octave", "other"), by) if by
+                else wanted.crossJoin(given.withColumnRenamed("octave", "other")))
+        rings = near.groupBy(*by, "octave", F.abs(F.col("octave") - F.col("other")).alias("reach")).agg(
+            F.sum("n").alias("n"))
+        upto = Window.partitionBy(*by, "octave").orderBy("reach")
+        held = rings.withColumn("held", F.sum("n").over(upto))
+        return held.groupBy(*by, "octave").agg(
+            F.coalesce(F.min(F.when(F.col("held") >= enough, F.col("reach"))), F.max("reach")).alias("reach"))
+
+    alone = own.filter(F.col("total") >= enough)
+    few = own.filter(F.col("total") < enough)
+    return (reach(alone.select("band", "octave"), alone.select("band", "octave", "n"), ["band"])
+            .withColumn("pooled", F.lit(False))
+            .unionByName(few.select("band", "octave").join(reach(few.select("octave").distinct(), octaves, []), "octave")
+                         .withColumn("pooled", F.lit(True))))
+
+
 def bands(measured: DataFrame, enough: int = ENOUGH) -> DataFrame:
-    """Quartiles of each measure per language or script and octave of words; a null
-    ``band`` stands for all languages.  Only documents that pass the base rules count;
-    groups with fewer than ``enough`` of them have no row."""
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], 2000).alias(m) for m in MEASURES]
+    """Quartiles of each measure for each language or script and octave of words that holds
+    a document which passes the base rules; only such documents count."""
     good = measured.filter(~F.col("base_failed"))
-    return (good.cube("band", "octave").agg(F.count(F.lit(1)).alias("n"), *quartiles)
-            .filter(F.col("octave").isNotNull() & (F.col("n") >= enough)))
+    cells = settle(good.groupBy("band", "octave").agg(F.count(F.lit(1)).alias("n")))
+    found = settle(sources(cells, enough))
+    # which bands a document of each cell belongs to; pooled ones have no language
+    own = cells.join(found.filter(~F.col("pooled")).withColumnRenamed("octave", "to"), "band").select(
+        "band", "octave", "to", "reach", F.col("band").alias("for"))
+    pooled = cells.crossJoin(found.filter("pooled").select(F.col("octave").alias("to"), "reach").distinct()).select(
+        "band", "octave", "to", "reach", F.lit(None).cast("string").alias("for"))
+    targets = settle(own.unionByName(pooled).filter(F.abs(F.col("octave") - F.col("to")) <= F.col("reach"))
+                     .groupBy("band", "octave").agg(F.collect_list(F.struct("for", "to")).alias("targets")))
+    if targets.count() <= SMALL:                     # languages times octaves: a small table
+        targets = F.broadcast(targets)
+    quartiles = [F.percentile_approx(m, [0.25, 0.75], 2000).alias(m) for m in MEASURES]
+    built = settle(good.join(targets, ["band", "octave"]).select(*MEASURES, F.explode("targets").alias("t"))
+                   .groupBy("t.for", "t.to").agg(*quartiles))
+    return (found.join(built, F.when(~F.col("pooled"), F.col("band")).eqNullSafe(F.col("for"))
+                       & (F.col("octave") == F.col("to")))
+            .select("band", "octave", *MEASURES))
 
 
 def inside(measure: str, quartiles: Column) -> Column:
@@ -167,7 +209,8 @@ def fertility_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id",
 
     Null and empty texts have no words and fail the base rules; a null language is
     replaced by the text's main script; ties and repeated rows are measured one by one;
-    an empty table gives an empty table; other columns are not read.
+    an empty table gives an empty table; other columns are not read.  Every document that
+    passes the base rules is judged by a band, however few there are.
     """
     picked = columns(docs, doc_id=id_col, text=text_col)
     if lang_col is not None and lang_col in docs.columns:
@@ -177,19 +220,15 @@ def fertility_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id",
     measured = settle(measures(picked, model_path).withColumns({
         "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         "octave": F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int")}))
-    found = settle(bands(measured))
-    own = found.filter(F.col("band").isNotNull()).select(
-        "band", "octave", *[F.col(m).alias(f"own_{m}") for m in MEASURES])
-    pooled = found.filter(F.col("band").isNull()).select(
-        "octave", *[F.col(m).alias(f"all_{m}") for m in MEASURES])
+    found = settle(bands(measured)).select("band", "octave", *[F.col(m).alias(f"band_{m}") for m in MEASURES])
     if found.count() <= SMALL:                       # languages times octaves: a small table
-        own, pooled = F.broadcast(own), F.broadcast(pooled)
-    joined = measured.join(own, ["band", "octave"], "left").join(pooled, "octave", "left")
+        found = F.broadcast(found)
+    joined = measured.join(found, ["band", "octave"], "left")
     ok = None
     for m in MEASURES:
-        one = inside(m, F.coalesce(F.col(f"own_{m}"), F.col(f"all_{m}")))
+        one = inside(m, F.col(f"band_{m}"))
         ok = one if ok is None else ok & one
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         "base_failed", (~F.col("base_failed") & F.coalesce(ok, F.lit(True))).alias("kept"),
+                         "base_failed", (~F.col("base_failed") & F.coalesce(ok, F.lit(False))).alias("kept"),
                          *MEASURES, "band")
 
