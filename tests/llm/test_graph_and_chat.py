@@ -103,6 +103,35 @@ def test_propagation_equals_power_iteration(spark, monkeypatch):
     assert verdict["fine.net"] == verdict["lone.net"] == verdict[""] == "allow"
 
 
+def test_small_and_far_ranks_count(spark):
+    rules = [("good.org", "/", "allow"), ("bad.org", "/", "block")]
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    # host f0 links to bad.org and so on: f15 is 16 edges from it, and no trust reaches it
+    pages = [("http://bad.org/", None), ("http://f0.net/", link("bad.org"))]
+    pages += [(f"http://f{i}.net/", link(f"f{i - 1}.net")) for i in range(1, 16)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    df = df.unionByName(spark.range(10_000).selectExpr("id + 1000 as page_id", "'http://good.org/' as url", "'' as html"))
+    # s is one of 3,000 hosts that link to a host one edge from bad.org, and one blocked page of 10,001 reaches it
+    df = df.unionByName(spark.range(3_000).selectExpr(
+        "id + 20000 as page_id", "concat('http://s', id, '.net/') as url", "'<a href=\"http://m.net/\">x</a>' as html"))
+    df = df.unionByName(spark.range(3_000).selectExpr(
+        "id + 30000 as page_id", "concat('http://t', id, '.net/') as url", "'<a href=\"http://s0.net/\">x</a>' as html"))
+    df = df.unionByName(spark.createDataFrame([(5000, "http://m.net/", link("bad.org"))], df.schema))
+    rows = {r["host"]: r for r in link_graph.url_verdicts(df, rules, steps=None).collect()}
+    assert rows["f15.net"]["verdict"] == "block" and rows["f15.net"]["distrust"] > 0
+    assert rows["t7.net"]["verdict"] == "block" and 0 < rows["t7.net"]["distrust"] < 1e-11
+    assert rows["good.org"]["verdict"] == "allow"
+
+
+def test_ranks_are_settled(spark):
+    edges = spark.createDataFrame([("k", "a", "b", 1.0), ("k", "b", "c", 1.0), ("k", "c", "a", 1.0), ("k", "c", "d", 3.0)],
+                                  "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("k", "a", 1.0)], "kind string, host string, seed double")
+    got = {r["host"]: r["rank"] for r in link_graph.propagate(edges, seeds, None).collect()}
+    want = brute_ranks({("a", "b"): 1, ("b", "c"): 1, ("c", "a"): 1, ("c", "d"): 3}, {"a": 1.0}, 300, 0.85)
+    assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_link_graph_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert link_graph.url_verdicts(df, PAGE_RULES).count() == 0

@@ -4,7 +4,7 @@ Rules are (host, path) prefixes; the longest that fits decides.  Where none fits
 host's standing decides: trust is a personalised PageRank from hosts with allowed pages
 along links; distrust is one from hosts with blocked pages along reversed links, as a
 host that links to blocked ones is suspect.  A host whose distrust is above ``ratio``
-times its trust is blocked.
+times its trust is blocked.  Ranks are compared relative to their own size, however small.
 
 Edges join the host of a page with the hosts that its absolute links name, and a host
 with its parent domain, both ways (``www.a.org`` and ``a.org`` are one site).  They are
@@ -22,6 +22,11 @@ from trellis.llm.common import columns, settle
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 DAMPING, STEPS, CUT_EVERY, RATIO, MAX_RULES = 0.85, 12, 4, 2.0, 1000
+#: without a number of steps ranks are settled when none changes by more than this part of
+#: itself in ``CUT_EVERY`` steps; a host that rank reaches first in them changes by all of it
+TOLERANCE = 1e-6
+#: ranks are given to so many significant digits, and ratios nearer than that are ties
+DIGITS = 10
 
 
 def host_of(url: Column) -> Column:
@@ -70,24 +75,39 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = STEPS, damping: float = DAMPING) -> DataFrame:
     """(kind, host, rank): personalised PageRank for each ``kind`` of (kind, src, dst,
-    weight) from (kind, host, seed).  Rank that reaches a
+    weight) from (kind, host, seed), by ``steps`` steps, or if None as many as it takes
+    until no rank changes by more than ``TOLERANCE`` of itself.  Rank that reaches a
     host without edges is not passed on."""
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     share = settle(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
     start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-    ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for step in range(1, steps + 1):
+    ranks, before = seeds.select("kind", "host", F.col("seed").alias("rank")), None
+    step = 0
+    while steps is None or step < steps:
+        step += 1
         passed = (ranks.withColumnRenamed("host", "src").join(share, ["kind", "src"])
                   .select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank")))
         ranks = passed.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if step % CUT_EVERY == 0:
             ranks = settle(ranks)
+            if steps is None:
+                if before is not None and not _moved(before, ranks):
+                    break
+                before = ranks
     return ranks
 
 
-def host_standing(pages: DataFrame, steps: int = STEPS, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
+def _moved(before: DataFrame, after: DataFrame) -> bool:
+    """Whether a rank changed by more than ``TOLERANCE`` of itself, or came in or went."""
+    both = (before.withColumn("late", F.lit(0)).unionByName(after.withColumn("late", F.lit(1)))
+            .groupBy("kind", "host").agg(*[F.sum(F.when(F.col("late") == k, F.col("rank")).otherwise(0.0)).alias(n)
+                                           for k, n in enumerate(("a", "b"))]))
+    return not both.filter(F.abs(F.col("b") - F.col("a")) > F.greatest("a", "b") * TOLERANCE).isEmpty()
+
+
+def host_standing(pages: DataFrame, steps: int | None = STEPS, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
     """(host, trust, distrust, blocked) of hosts that rank reaches, from (host, html,
     ruled) where ``ruled`` is the rule's verdict or null."""
     seeds = (pages.filter("host != '' and ruled is not null")
@@ -99,13 +119,15 @@ def host_standing(pages: DataFrame, steps: int = STEPS, damping: float = DAMPING
     forth = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight")
     back = edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     ranks = propagate(forth.unionByName(back), seeds, steps, damping)
-    rank = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)), 12)
+    # significant digits, not decimals: a share of a large table is small, and its ratio counts
+    digits = lambda x: F.format_string(f"%.{DIGITS - 1}e", x).cast("double")
+    rank = lambda kind: digits(F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)))
     return settle(ranks.groupBy("host").agg(rank("allow").alias("trust"), rank("block").alias("distrust"))
-                  .withColumn("blocked", F.col("distrust") > F.col("trust") * ratio))
+                  .withColumn("blocked", F.col("distrust") > F.col("trust") * (ratio * (1 + 10.0 ** (1 - DIGITS)))))
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url",
-                 html_col: str = "html", steps: int = STEPS, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
+                 html_col: str = "html", steps: int | None = STEPS, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, trust, distrust.
 
     A null url or one without ``://`` has an empty host and path, fits no rule and is

@@ -92,7 +92,7 @@ PAGE_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example
 def op2_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url by rules and the standing of its host."""
     from trellis.llm.link_graph import url_verdicts
-    return url_verdicts(table(spark, sf_dir, "pages"), PAGE_RULES)
+    return url_verdicts(table(spark, sf_dir, "pages"), PAGE_RULES, steps=None)
 
 
 @_register
