@@ -105,6 +105,13 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
             .fillna("", ["errors", "record"]))
 
 
+@_register
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest collocations of each language."""
+    from trellis.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op1_tool_calls"] = """
 WITH m AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text,
@@ -144,3 +151,28 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["op11_collocations"] = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, any_value(ws[i:i + k - 1]) AS ws, count(*) AS a
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+            FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k) GROUP BY ALL),
+t AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k >= 2 AND a >= 100),
+s AS (SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, n,
+             (1000::HUGEINT * c.a::HUGEINT * n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c
+      JOIN f AS x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(c.ws[1:j], ' ')
+      JOIN f AS y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(c.ws[j + 1:], ' ')
+      JOIN t ON t.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c AS d ON d.lang = c.lang AND d.k > c.k
+         AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * d.a >= 100 * c.a)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM b ANTI JOIN gone USING (lang, phrase))
+WHERE rank <= 2000
+"""
