@@ -32,7 +32,7 @@ LONGEST, LEAST, TOP, UNKNOWN = 5, 100, 2000, "und"
 #: bits of each bitmap (8 MB) that a scan asks
 BITS = 1 << 26
 #: bytes of text, words counted and different words that a task holds at a time
-SLICE, HELD, VOCABULARY = 4_000_000, 4_000_000, 300_000
+SLICE, HELD, VOCABULARY = 2_000_000, 2_000_000, 200_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: lower case, punctuation and line ends to one mark, tabs to spaces
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\v\f\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")

@@ -112,6 +112,23 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations with shared openings."""
+    from trellis.llm.prefix_trie import ordered_turns, prefix_trie, rebuilt
+    return prefix_trie(*rebuilt(*ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+@_register
+def op13_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 100 bytes that start earlier."""
+    from pyspark.sql import functions as F
+    from trellis.llm.suffix_order import without_repeated_bytes
+    rows = without_repeated_bytes(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), "n_spans",
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 ORACLES["op1_tool_calls"] = """
 WITH m AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text,
@@ -176,3 +193,46 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
       FROM b ANTI JOIN gone USING (lang, phrase))
 WHERE rank <= 2000
 """
+
+ORACLES["op12_prefix_trie"] = """
+WITH o AS (SELECT conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(t ORDER BY pos) AS ts,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+               lambda x: list_transform(range(0, 8), lambda k: ((ascii(x) >> k) & 1)::BIGINT)))),
+               lambda r, b: xor(r >> 1, CASE WHEN xor(r, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 4 AS h
+      FROM o GROUP BY conv_id),
+s AS (SELECT c.conv_id, list_concat(coalesce(b.ts, [])[1:c.h], c.ts[c.h + 1:]) AS ts
+      FROM c LEFT JOIN c AS b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, unnest(range(0, len(ts) + 1)) AS d, ts, len(ts) AS size FROM s),
+q AS (SELECT conv_id, d, size, ts[1:d] AS k,
+             CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(ts[d].text, '[^\\x20\\x09-\\x0D]+')) END AS w FROM p),
+n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, bool_and(size = d) AS leaf,
+             string_agg(conv_id, ',' ORDER BY conv_id) FILTER (size = d) AS ends FROM q GROUP BY d, k),
+path AS (SELECT q.conv_id, q.d, n.conv_id AS own FROM q JOIN n USING (d, k)),
+up AS (SELECT n.conv_id, n.d, p.own AS parent FROM n LEFT JOIN path AS p ON p.conv_id = n.conv_id AND p.d = n.d - 1),
+kids AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n_children FROM up WHERE d > 0 GROUP BY ALL),
+sub AS (SELECT p.own AS conv_id, p.d, sum(leaf::INT) AS n_leaves, sum((n_convs - 1) * w) AS saved
+        FROM n JOIN path AS p ON p.conv_id = n.conv_id AND p.d <= n.d GROUP BY ALL)
+SELECT conv_id, d AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM n JOIN up USING (conv_id, d) JOIN sub USING (conv_id, d) LEFT JOIN kids USING (conv_id, d)
+"""
+
+ORACLES["op13_suffix_order"] = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5_number(x[2 * i + 1:2 * i + 200]) AS k
+      FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM t WHERE len(x) >= 200)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span
+      FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM r)),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY ALL),
+u AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id),
+e AS (SELECT doc_id, a, z FROM s UNION ALL SELECT doc_id, len(x) // 2, 0 FROM t),
+b AS (SELECT doc_id, coalesce(max(z) OVER (PARTITION BY doc_id ORDER BY a, z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z, a FROM e),
+k AS (SELECT doc_id, string_agg(x[2 * b.z + 1:2 * a], '' ORDER BY a) AS kept FROM b JOIN t USING (doc_id) WHERE a > b.z GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN u USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
