@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trellis.functions.random import TWO32, hash32, seeded_hash
 from trellis.session import cut_lineage, spread
 
-CUT_BUCKETS = 4096      # buckets of the draw in which an exact cut is looked for
+FEW = 200_000           # rows of a group that one task ranks to find an exact cut
 MAX_BROADCAST_GROUPS = 100_000
 SEED_BASE = 41          # run r (1-based) uses seed 41 + r, so run 1 has seed 42
 
@@ -79,40 +79,106 @@ def exact_split(df: DataFrame, key_hash: str, tie: Column | str, test_frac: floa
                 role_col: str = "role") -> DataFrame:
     """Exactly ``round(test_frac * n)`` test rows per group ``by``.
 
-    Rows are ordered by ``(draw(row, seed), tie)``; the first ``round(f*n)`` in each
-    group are test.  Rows are counted per group and bucket of the draw; the cut falls
-    into one bucket of each group, and only that bucket's rows are ranked.  All others
-    compare their bucket with it, so nothing else is shuffled.
+    Rows are ordered by ``(draw(row, seed), tie)``; the first ``round(f*n)`` in each group
+    are test.  Rows with the same draw and tie (repeated keys) come in the order of a hash
+    of all their columns, and of rows equal in every column as many are test as are needed.
+
+    The cut is found by radix selection: rows are counted per group and digit of the draw,
+    the digit that the cut falls into is narrowed by the next one until no group's has more
+    than ``FEW`` rows, and only these are ranked.  Where a repeated key holds more, the
+    digits of the hash of all columns go on narrowing, and equal rows are counted, not
+    ranked; so the rows that one task ranks are bounded at any size.  All other rows compare
+    their digits with the cut's.
     """
     by = list(by or [])
     t = F.col(tie) if isinstance(tie, str) else tie
-    tmp = (df.withColumn("_k", t.cast("string")).withColumn("_h", seeded_hash(key_hash, seed))
-           .withColumn("_b", F.floor(F.col("_h") / F.lit(TWO32 / CUT_BUCKETS)).cast("int")))
-    on = [F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] or [F.lit(True)]
-
-    counts = tmp.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*by)
-    upto = F.sum("_n").over(group.orderBy("_b"))
-    cut = F.round(F.lit(float(test_frac)) * F.sum("_n").over(group)).cast("bigint")
-    # the first bucket that reaches beyond the cut, and how many of its rows are test
-    cuts = (counts.withColumn("_cut", cut).withColumn("_upto", upto).where("_upto > _cut")
-            .groupBy(*by).agg(F.min(F.struct("_b", (F.col("_cut") - F.col("_upto") + F.col("_n")))
-                                    ).alias("_c"))
-            .select(*by, F.col("_c._b").alias("_cb"), F.col("_c.col2").alias("_need")))
-    cuts = _small_side(cuts)
-    edge = tmp.alias("r").join(cuts.alias("c"), on).where("_b = _cb").select(
-        *[F.col(f"r.{c}") for c in by], "_h", "_k", "_cb", "_need")
-    last = (edge.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_k")))
-            .where("_i = _need").select(*by, F.struct("_h", "_k").alias("_last")))
-    found = cuts.alias("r").join(last.alias("c"), on, "left").select(
-        *[F.col(f"r.{c}") for c in by], "_cb", "_last")
-    marked = tmp.alias("r").join(_small_side(found).alias("c"), on, "left")
-    test = (F.col("_cb").isNull() | (F.col("_b") < F.col("_cb"))
-            | ((F.col("_b") == F.col("_cb")) & (F.struct("_h", "_k") <= F.col("_last"))))
     names = [c for c in df.columns if c != role_col]
-    return marked.select(*[F.col(f"r.{c}") for c in names],
-                         F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train")
-                         .alias(role_col))
+    rows = (df.withColumn("_k", F.coalesce(t.cast("string"), F.lit("")))
+            .withColumn("_h", F.coalesce(seeded_hash(key_hash, seed), F.lit(0)).cast("bigint"))
+            .withColumn("_x", F.xxhash64(*[F.col(c) for c in names])))
+    cut = _cut_of(rows, by, test_frac)
+    on = [F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] or [F.lit(True)]
+    marked = rows.alias("r").join(cut.alias("c"), on, "left").select(
+        *[F.col(f"r.{c}") for c in [*names, "_h", "_k", "_x"]], "_last", "_copies", "_all")
+    here = F.struct("_h", "_k", "_x")
+    known = F.when(F.col("_last").isNull() | (here > F.col("_last")), "train").when(
+        (here < F.col("_last")) | (F.col("_copies") == F.col("_all")), "test")
+    marked = marked.withColumn(role_col, known)
+    sure = marked.where(F.col(role_col).isNotNull()).select(*names, role_col)
+    if cut.where("_copies < _all").isEmpty():
+        return sure
+    # rows equal to the last test row in every column: one row with a count, dealt anew
+    equal = marked.where(F.col(role_col).isNull()).groupBy(*names).agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_copies").alias("_copies"))
+    split = F.array(F.struct(F.lit("test").alias("role"), F.col("_copies").alias("n")),
+                    F.struct(F.lit("train").alias("role"), (F.col("_n") - F.col("_copies")).alias("n")))
+    parts = equal.select(*names, F.explode(split).alias("_p")).where("_p.n > 0")
+    again = parts.select(*names, F.col("_p.role").alias(role_col),
+                         F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_p.n")))).drop("col")
+    return sure.unionByName(again)
+
+
+def _digits() -> list[Column]:
+    """Order-preserving digits of (_h, _x), most significant first: 12, 10 and 10 bits of
+    the draw, then 16 bits at a time of the hash of all columns (signed order)."""
+    h, x = F.col("_h"), F.col("_x").bitwiseXOR(F.lit(-2 ** 63))
+    return [F.shiftright(h, 20), F.shiftright(h, 10).bitwiseAND(F.lit(1023)), h.bitwiseAND(F.lit(1023)),
+            *[F.shiftrightunsigned(x, s).bitwiseAND(F.lit(65535)) for s in (48, 32, 16, 0)]]
+
+
+def _cut_of(rows: DataFrame, by: list[str], test_frac: float) -> DataFrame:
+    """One row per group: ``_last`` (the last test row's (_h, _k, _x), null without test
+    rows), ``_copies`` of it that are test, and ``_all`` that there are."""
+    on = [F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] or [F.lit(True)]
+    group, digits = Window.partitionBy(*by), _digits()
+
+    def narrowed(open_rows: DataFrame, digit: Column, need: Column) -> DataFrame:
+        """The digit that holds the ``need``-th row of each group, what is needed of it,
+        and its rows."""
+        counts = open_rows.groupBy(*by, digit.alias("_d")).agg(F.count(F.lit(1)).alias("_n"), F.max("_need").alias("_need"))
+        upto = F.sum("_n").over(group.orderBy("_d"))
+        return (counts.withColumn("_total", F.sum("_n").over(group)).withColumn("_need", need)
+                .withColumn("_before", upto - F.col("_n"))
+                .where("_before < _need AND _need <= _before + _n")
+                .select(*by, "_d", (F.col("_need") - F.col("_before")).alias("_need"), F.col("_n").alias("_size")))
+
+    def inside(cut: DataFrame) -> DataFrame:
+        small = cut.withColumnRenamed("_need", "_want")
+        return (open_rows.drop("_need").alias("r").join(small.alias("c"), on)
+                .where(digits[level].eqNullSafe(F.col("_d")))
+                .select(*[F.col(f"r.{c}") for c in [*by, "_h", "_k", "_x"]], F.col("_want").alias("_need")))
+
+    open_rows = rows.select(*by, "_h", "_k", "_x", F.lit(0).cast("bigint").alias("_need"))
+    share = F.round(F.lit(float(test_frac)) * F.col("_total")).cast("bigint")
+    for level in range(3):
+        cut = _small_side(narrowed(open_rows, digits[level], share if level == 0 else F.col("_need")))
+        open_rows = inside(cut)
+        if (cut.agg(F.max("_size")).first()[0] or 0) <= FEW:
+            return _ranked_cut(open_rows, by)
+    # one draw, so one key but for collisions: the key, then the hash of all columns
+    keys = open_rows.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n"), F.max("_need").alias("_need"))
+    before = F.sum("_n").over(group.orderBy("_k")) - F.col("_n")
+    key = _small_side(keys.withColumn("_before", before).where("_before < _need AND _need <= _before + _n")
+                      .select(*by, F.col("_k").alias("_key"), (F.col("_need") - F.col("_before")).alias("_want")))
+    open_rows = open_rows.drop("_need").alias("r").join(key.alias("c"), on).where("_k = _key").select(
+        *[F.col(f"r.{c}") for c in [*by, "_h", "_k", "_x"]], F.col("_want").alias("_need"))
+    for level in range(3, len(digits)):
+        cut = _small_side(narrowed(open_rows, digits[level], F.col("_need")))
+        open_rows = inside(cut)
+        if (cut.agg(F.max("_size")).first()[0] or 0) <= FEW:
+            break
+    return _ranked_cut(open_rows, by)
+
+
+def _ranked_cut(open_rows: DataFrame, by: list[str]) -> DataFrame:
+    """The cut among ``open_rows`` (..., _need): equal ones are counted before the ranking."""
+    counts = open_rows.groupBy(*by, "_h", "_k", "_x").agg(F.count(F.lit(1)).alias("_all"), F.max("_need").alias("_need"))
+    upto = F.sum("_all").over(Window.partitionBy(*by).orderBy("_h", "_k", "_x"))
+    last = (counts.withColumn("_before", upto - F.col("_all"))
+            .where("_before < _need AND _need <= _before + _all")
+            .select(*by, F.struct("_h", "_k", "_x").alias("_last"),
+                    (F.col("_need") - F.col("_before")).alias("_copies"), "_all"))
+    return _small_side(last)
 
 
 def _small_side(df: DataFrame) -> DataFrame:

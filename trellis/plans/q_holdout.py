@@ -217,6 +217,42 @@ def exact_split(spark, sf_dir):
                                         F.sum("c_custkey").alias("key_sum"))
 
 
+REPEATED_SPLIT_SQL = f"""
+WITH {RUNS_CTE},
+base AS (SELECT l_orderkey, l_returnflag, l_linenumber, {h32(v('l_orderkey'))} AS kh FROM lineitem),
+r AS (SELECT run, l_orderkey, l_returnflag, {seeded('kh')} AS h FROM base CROSS JOIN runs),
+ranked AS (
+  SELECT run, l_returnflag, l_orderkey,
+         row_number() OVER (PARTITION BY run, l_returnflag ORDER BY h, {v('l_orderkey')}) - 1 AS pos,
+         count(*) OVER (PARTITION BY run, l_returnflag) AS n
+  FROM r),
+k AS (
+  SELECT run, l_returnflag, l_orderkey, count(*) AS rows,
+         count(*) FILTER (pos < CAST(round(0.2 * n) AS BIGINT)) AS test_rows
+  FROM ranked GROUP BY ALL)
+SELECT run, l_returnflag, CAST(sum(rows) AS BIGINT) AS n_rows, CAST(sum(test_rows) AS BIGINT) AS n_test,
+       CAST(sum(l_orderkey * test_rows) AS BIGINT) AS test_key_sum,
+       count(*) FILTER (test_rows BETWEEN 1 AND rows - 1) AS keys_on_both_sides
+FROM k GROUP BY ALL
+"""
+
+
+@query("exact_split_repeated_keys", REPEATED_SPLIT_SQL)
+def exact_split_repeated_keys(spark, sf_dir):
+    """Exactly round(0.2 n) test lines per run and return flag, by order keys that
+    several lines share; at most one key of a group lies on both sides of the cut."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    li = S.add_key_hash(li, "l_orderkey")
+    r = S.exact_split(S.with_runs(li, RUNS), "key_hash", "l_orderkey", 0.2, "seed", by=["run", "l_returnflag"])
+    test = F.col("role") == "test"
+    per_key = r.groupBy("run", "l_returnflag", "l_orderkey").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(test, 1)).alias("test_rows"))
+    return per_key.groupBy("run", "l_returnflag").agg(
+        F.sum("rows").alias("n_rows"), F.sum("test_rows").alias("n_test"),
+        F.sum(F.col("l_orderkey") * F.col("test_rows")).alias("test_key_sum"),
+        F.count(F.when((F.col("test_rows") > 0) & (F.col("test_rows") < F.col("rows")), 1)).alias("keys_on_both_sides"))
+
+
 FOLD_COUNTS_SQL = f"""
 WITH {RUNS_CTE},
 base AS (SELECT p_partkey, {h32(v('p_partkey'))} AS kh,
