@@ -271,28 +271,92 @@ def test_quality_odd_tables(spark, odd, nothing):
     assert gam.good_documents(odd, labels).columns == odd.columns
 
 
-def test_links_between_classes_of_one_bucket(spark):
+def near_copies(rng, n, words=60, families=3):
+    """Texts about the threshold: edits of a few words of a base, some of them repeated."""
+    vocabulary = [f"w{k}" for k in range(40)]
+    bases = [[f"b{f}x{k}" for k in range(words)] for f in range(families)]
+    texts = []
+    for k in range(n):
+        own = list(bases[k % families])
+        for _ in range(rng.randrange(1, 4)):
+            own[rng.randrange(words)] = rng.choice(vocabulary)
+        if k % 7 == 0:
+            own = own[:20] + own[10:20] * 2 + own[20:]
+        texts.append(" ".join(own))
+    return sorted(set(texts))
+
+
+def true_links(texts):
+    from trellis.llm import probminhash as P
+    from trellis.llm.common import WordNames
+    bags = [P.shingles(t.encode(), WordNames()) for t in texts]
+    return {(i, j) for j in range(len(bags)) for i in range(j) if P.similarity(bags[i], bags[j]) >= 0.8}
+
+
+def classes_of(n, edges):
+    label = list(range(n))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        label[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(n)]
+
+
+def test_prefix_join_holds_all_links_between_classes(spark):
+    import random
+
+    from trellis.llm.common import stored
+    from trellis.llm.probminhash import prefix_pairs, with_shingles
+    texts = near_copies(random.Random(5), 150)
+    shingled = stored(with_shingles(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")))
+    for label in (lambda k: k, lambda k: k % 4):
+        labelled = spark.createDataFrame([(k, label(k)) for k in range(len(texts))], "node bigint, label bigint")
+        got = {tuple(r) for r in prefix_pairs(labelled, shingled, 0.8).collect()}
+        want = {(i, j) for i, j in true_links(texts) if label(i) != label(j)}
+        assert want <= got and all(label(i) != label(j) and i < j for i, j in got)
+        assert len(got) < len(texts) ** 2 / 4
+    one = spark.createDataFrame([(k, 7) for k in range(len(texts))], "node bigint, label bigint")
+    assert prefix_pairs(one, shingled, 0.8).isEmpty()
+
+
+def test_prefix_join_finds_what_no_star_does(spark):
     """A text that is similar to a member of a class but not to the class's center."""
-    from trellis.llm.common import settle
-    from trellis.llm.probminhash import between_classes, with_shingles
+    from trellis.llm.common import stored
+    from trellis.llm.probminhash import prefix_pairs, verified, with_shingles
     words = [f"w{k}" for k in range(120)]
     texts = {1: ["x"] * 8 + words[8:], 2: words, 3: words[:-8] + ["y"] * 8, 4: [f"z{k}" for k in range(90)]}
-    shingled = settle(with_shingles(spark.createDataFrame(
+    shingled = stored(with_shingles(spark.createDataFrame(
         [(n, " ".join(t)) for n, t in texts.items()], "node bigint, text string")))
-    members = spark.createDataFrame([(7, n) for n in texts] + [(8, 1), (8, 2)], "key bigint, node bigint")
-    found = spark.createDataFrame([(1, 2)], "center bigint, node bigint")
-    met = [spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "center bigint, node bigint")]
-    out = between_classes(members, found, met, shingled, 0.8)
+    labelled = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "node bigint, label bigint")
+    out = verified(prefix_pairs(labelled, shingled, 0.8), shingled, 0.8)
     assert sorted(map(tuple, out.collect())) == [(2, 3)]
 
 
+def test_classes_of_a_large_near_copy_group(spark):
+    """Every pair that brute force links is in one class, and no others are."""
+    import random
+
+    from trellis.llm.probminhash import near_duplicates
+    texts = near_copies(random.Random(6), 500, words=80, families=2)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df).collect()}
+    want = classes_of(len(texts), true_links(texts))
+    assert [got[k] for k in range(len(texts))] == want
+    assert 1 < len(set(want)) < len(texts)
+
+
 def test_no_candidate_is_left_open(spark):
     """A bucket of more unlike texts than any number of rounds, and two that are alike."""
     from trellis.llm import probminhash as P
-    rows = [(k, k, [5]) for k in range(1, 31)]
-    texts = [(k, k, " ".join(f"a{k}-{j}" for j in range(40))) for k in range(1, 29)]
+    marks = bytes(2 * P.COMPONENTS)
+    rows = [(k, bytes([k]), k, [5], marks) for k in range(1, 31)]
+    texts = [(k, bytes([k]), " ".join(f"a{k}-{j}" for j in range(40))) for k in range(1, 29)]
     like = [f"b{j}" for j in range(60)]
-    texts += [(29, 29, " ".join(like)), (30, 30, " ".join([*like, "c"]))]
-    base = spark.createDataFrame(rows, "doc_id bigint, node bigint, keys array<bigint>")
-    out = P.links(base, spark.createDataFrame(texts, "doc_id bigint, node bigint, text string"))
+    texts += [(29, bytes([29]), " ".join(like)), (30, bytes([30]), " ".join([*like, "c"]))]
+    base = spark.createDataFrame(rows, "doc_id bigint, hash binary, node bigint, keys array<bigint>, marks binary")
+    out = P.links(base, spark.createDataFrame(texts, "doc_id bigint, hash binary, text string"))
     assert set(map(tuple, out.collect())) == {(29, 30)}

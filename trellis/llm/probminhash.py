@@ -9,43 +9,43 @@ the weighted bags.
 
 Bands of the sketch give candidate pairs, and for a text whose shingles repeat also the
 bands of a second sketch, without weights; a text without repeats has one sketch for both,
-so all bands share their keys.  Candidates are taken first as stars: the smallest text of a band's
-bucket against the others, which gathers most of each class.  What that leaves open is
-closed class against class: in a bucket that holds several classes, texts of the smaller
-classes are held in turn against all texts of other classes, until every bucket is of one
-class or all its texts of different classes have met.  Texts of one class are never paired
-out.
-
-Candidates are screened by their whole sketches, of which a row keeps a byte for each
-component, and those left verified on all their shingles: a link is a probability Jaccard
-or a plain Jaccard of ``SIMILAR`` or more.  For the latter the bytes of the sketch without
-weights are kept too; the screen lets a pair through that agrees in 56 of the 96 components
-of either.
+so all bands share their keys.  Candidates are taken as stars: one text of a band's bucket
+against the others, first the smallest, which gathers most of each class, then ``ROUNDS``
+times another one in buckets that hold several classes.  Candidates are screened by their
+whole sketches, of which a row keeps a byte for each component, and those left verified on
+all their shingles: a link is a probability Jaccard or a plain Jaccard of ``SIMILAR`` or
+more.
+
+What is left are texts in buckets of several classes.  Their links are found by an exact
+join: with each text's shingles ordered from rare to frequent, two texts can be as similar
+only if they share one of their first shingles (as many as leave less than ``SIMILAR`` of
+the text), at places that leave enough in common after them.  It finds all links between
+their classes, whatever the sketches say, and never pairs texts of one class, so groups of
+many texts that are nearly similar enough cost about as many rows as they have links.
 Classes are the connected components of the links, named by their smallest doc_id.
 
 With 24 bands of 4 components a pair at similarity 0.8 shares no band in about 3 of a
-million cases, and agrees in fewer than 56 components about as rarely.  Texts are told
-apart by a 64-bit hash.
+million cases, and agrees in fewer than 56 components about as rarely; a link is missed
+only where that happens and no other link joins the two classes.  Texts are told apart by a
+128-bit hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.common import WordNames, columns, fresh, mix, settle, stored, window_names
+from trellis.llm.common import WordNames, columns, discard, fresh, mix, stored, window_names
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 COMPONENTS = BANDS * ROWS
-#: texts of a bucket that meet the others in the first step of closing, and how many times
-#: as many in each further step
-CENTERS, GROWTH = 4, 4
+#: further texts of a bucket of several classes that meet its others, one after the other
+ROUNDS = 2
 #: share of the components that a candidate pair must agree in, as a part of the similarity
 SCREEN = 56 / COMPONENTS / SIMILAR
 #: shingles sketched at a time
@@ -148,7 +148,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(doc_id, node, text) to (doc_id, node, keys, marks): band keys of both sketches, none
+    """(doc_id, hash, text) to (doc_id, hash, keys, marks): band keys of both sketches, none
     without words, and a byte of each component of both."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
@@ -164,10 +164,10 @@ def sketches(texts: DataFrame) -> DataFrame:
                     keys[k], marks[k] = found[j] if same else np.union1d(found[j], more[j]), low[j].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                ["doc_id", "node", "keys", "marks"])
+                ["doc_id", "hash", "keys", "marks"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, node bigint, keys array<bigint>, marks binary")
+    return texts.mapInArrow(run, f"doc_id {kind}, hash binary, keys array<bigint>, marks binary")
 
 
 def screened(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
@@ -219,69 +219,122 @@ def stars(members: DataFrame) -> DataFrame:
 
 
 def links(base: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame | None:
-    """Verified pairs (center, node) of different texts.
+    """Verified pairs (center, node) of different texts, enough to connect each class.
 
-    ``base`` is of :func:`sketches`, ``texts`` has (doc_id, node, text).
+    ``base`` has (doc_id, hash, node, keys, marks), ``texts`` (doc_id, hash, text).
     """
     # copies go before the join on the bucket, which a frequent bucket would leave to one task
     members = base.select("node", F.explode("keys").alias("key")).distinct()
-    members = settle(members.join(stars(members), "key").select("key", "center", "node"))
-    needed = settle(members.select("node").distinct())
+    members = stored(members.join(stars(members), "key").select("key", "center", "node"))
+    needed = stored(members.select("node").distinct())
     if needed.isEmpty():
         return None
-    marked = settle(base.select("node", "marks").distinct().join(needed, "node", "left_semi"))
-    owners = base.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
-    picked = texts.join(owners, (texts["node"] == owners["node"]) & texts["doc_id"].eqNullSafe(owners["doc_id"]),
-                        "left_semi")
+    marked = stored(base.select("node", "marks").join(needed, "node", "left_semi").dropDuplicates(["node"]))
+    owners = (base.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("hash").alias("hash"))
+              .join(needed, "node", "left_semi"))
+    picked = texts.join(owners, (texts["hash"] == owners["hash"]) & texts["doc_id"].eqNullSafe(owners["doc_id"]))
     shingled = with_shingles(picked.select("node", "text"))
     shingled = stored(shingled.dropDuplicates(["node"]) if _repeats(base) else shingled)
-    pairs = settle(screened(members.filter("node != center").select("center", "node").distinct(), marked, least))
-    found = settle(verified(pairs, shingled, least))
-    return reduce(DataFrame.unionByName,
-                  [found, *between_classes(members.select("key", "node"), found, pairs, marked, shingled, least)])
-
-
-def between_classes(members: DataFrame, found: DataFrame, met: DataFrame, marked: DataFrame, shingled: DataFrame,
-                    least: float) -> list[DataFrame]:
-    """Verified pairs (center, node) of texts in one bucket of ``members`` (key, node) that
-    the links ``found`` leave in different classes; pairs of ``met`` (center < node) were
-    verified before.
-
-    Each step takes up to ``CENTERS`` texts of a bucket, ``GROWTH`` times as many as the
-    step before, those of its smallest classes first, to all its texts of other classes,
-    and then out of the bucket: as many steps as the logarithm of the largest bucket.
-    """
-    open_ = (members.join(components(found), "node", "left")
-             .select("key", "node", F.coalesce("label", "node").alias("label")))
-    more, centers_now = [], CENTERS
-    while True:
-        classes = open_.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
-        open_ = settle(open_.join(classes.select("key"), "key", "left_semi"))
+    met = stored(screened(members.filter("node != center").select("center", "node").distinct(), marked, least))
+    found = stored(verified(met, shingled, least))
+    labels = components(found)
+    open_ = _open(members.select("key", "node").join(labels, "node", "left")
+                  .select("key", "node", F.coalesce("label", "node").alias("label")))
+    discard(members, needed)
+    for turn in range(ROUNDS):
         if open_.isEmpty():
-            return more
-        parts = open_.groupBy("key", "label", F.pmod(F.xxhash64("node"), F.lit(centers_now)).alias("part")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-        sizes = parts.groupBy("key", "label").agg(F.sum("n").alias("size"))
-        centers = settle(parts.join(sizes, ["key", "label"])
-                         .groupBy("key", "part").agg(F.min(F.struct("size", "node", "label")).alias("c"))
-                         .select("key", F.col("c.node").alias("center"), F.col("c.label").alias("center_label")))
-        forward = F.col("center") < F.col("node")
-        pairs = (open_.join(centers, "key").filter("label != center_label")
-                 .select(F.least("center", "node").alias("center"), F.greatest("center", "node").alias("node"),
-                         F.when(forward, F.col("center_label")).otherwise(F.col("label")).alias("a"),
-                         F.when(forward, F.col("label")).otherwise(F.col("center_label")).alias("b"))
-                 .distinct())
-        pairs = settle(screened(pairs, marked, least).join(met, ["center", "node"], "left_anti"))
-        met = met.unionByName(pairs.select("center", "node"))
-        good = settle(verified(pairs.select("center", "node"), shingled, least))
-        centers_now *= GROWTH
-        open_ = open_.join(centers.select("key", F.col("center").alias("node")), ["key", "node"], "left_anti")
-        if not good.isEmpty():                      # classes that a link now joins are one
-            more.append(good)
-            joined = components(pairs.join(good, ["center", "node"], "left_semi")
-                                .select(F.col("a").alias("center"), F.col("b").alias("node")))
-            open_ = (open_.join(joined.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left")
-                     .select("key", "node", F.coalesce("now", "label").alias("label")))
+            break
+        pairs = stored(screened(other_stars(open_, turn), marked, least).join(met, ["center", "node"], "left_anti"))
+        more = stored(verified(pairs.select("center", "node"), shingled, least))
+        met, found = met.unionByName(pairs.select("center", "node")), found.unionByName(more)
+        open_ = _joined(open_, pairs.join(more, ["center", "node"]).select("a", "b"))
+    if not open_.isEmpty():
+        pairs = stored(prefix_pairs(open_.select("node", "label").distinct(), shingled, least)
+                       .join(met, ["center", "node"], "left_anti"))
+        found = found.unionByName(stored(verified(pairs, shingled, least)))
+        discard(pairs)
+    found = stored(found)
+    discard(marked, shingled, open_)
+    return found
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` (key, node, label) in buckets of several labels."""
+    classes = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
+    return stored(members.join(classes.select("key"), "key", "left_semi"))
+
+
+def _joined(open_: DataFrame, same: DataFrame) -> DataFrame:
+    """``open_`` after the labels of ``same`` (a, b) became one, without buckets of one
+    label."""
+    if same.isEmpty():
+        return open_
+    now = components(same.select(F.col("a").alias("center"), F.col("b").alias("node")))
+    after = _open(open_.join(now.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left")
+                  .select("key", "node", F.coalesce("now", "label").alias("label")))
+    discard(open_, now)
+    return after
+
+
+def other_stars(open_: DataFrame, turn: int) -> DataFrame:
+    """Pairs (center, node, a, b: their labels) of one text of each bucket of ``open_`` (key,
+    node, label), another one in each bucket and turn, with those of other labels."""
+    centers = (open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("c"))
+               .select("key", F.col("c.node").alias("center"), F.col("c.label").alias("center_label")))
+    forward = F.col("center") < F.col("node")
+    return (open_.join(centers, "key").filter("label != center_label")
+            .select(F.least("center", "node").alias("center"), F.greatest("center", "node").alias("node"),
+                    F.when(forward, F.col("center_label")).otherwise(F.col("label")).alias("a"),
+                    F.when(forward, F.col("label")).otherwise(F.col("center_label")).alias("b"))
+            .distinct())
+
+
+def prefix_pairs(labelled: DataFrame, shingled: DataFrame, least: float) -> DataFrame:
+    """Pairs (center, node) of ``labelled`` (node, label) with different labels that can be
+    similar, by the order of their shingles: a superset of the links between them.
+
+    For plain Jaccard shingles count one each, for the probability Jaccard by their share
+    of the text, since that similarity is at most the sum of the smaller shares.  A shingle
+    belongs to a text's prefix if it and those after it are ``least`` of the text; two
+    similar texts share a prefix shingle, and after the first such have enough left.  In
+    the list of a shingle only texts that are not of its largest class look for partners.
+    """
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, label, bag in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                found, times = np.unique(np.frombuffer(bag, np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), node)), pa.array(np.full(len(found), label)),
+                     pa.array(found.view(np.int64)), pa.array(times, pa.int64())], ["node", "label", "shingle", "times"])
+
+    rows = labelled.join(shingled, "node").select("node", "label", "bag").mapInArrow(
+        spread, "node bigint, label bigint, shingle bigint, times bigint")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    whole = Window.partitionBy("node")
+    order = whole.orderBy("often", "shingle")
+    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    n, total = F.count(F.lit(1)).over(whole), F.sum("times").over(whole)
+    placed = rows.join(often, "shingle").select(
+        "node", "label", "shingle", "often", n.alias("n"), F.count(F.lit(1)).over(after).alias("left"),
+        (F.col("times") / total).alias("share"), (F.sum("times").over(after) / total).alias("rest"))
+    near = least - 1e-9
+    placed = (placed.withColumn("plain", F.col("left") >= near * F.col("n")).withColumn("massed", F.col("rest") >= near)
+              .filter("often > 1 AND (plain OR massed)").drop("often"))
+    lists = placed.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("size"))
+    lists = (lists.groupBy("shingle").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+             .filter("labels > 1").select("shingle", "main"))
+    placed = stored(placed.join(lists, "shingle"))
+    own = placed.filter("label != main").alias("x")
+    need = near / (1 + near)
+    partners = ((F.col("x.label") != F.col("y.label"))
+                & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+                & ((F.col("x.plain") & F.col("y.plain") & (F.least("x.left", "y.left") >= need * (F.col("x.n") + F.col("y.n"))))
+                   | (F.col("x.massed") & F.col("y.massed")
+                      & (F.least("x.share", "y.share") + F.least(F.col("x.rest") - F.col("x.share"), F.col("y.rest") - F.col("y.share")) >= near))))
+    out = stored(own.join(placed.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & partners)
+                 .select(F.least("x.node", "y.node").alias("center"), F.greatest("x.node", "y.node").alias("node")).distinct())
+    discard(placed)
+    return out
 
 
 def _repeats(base: DataFrame) -> bool:
@@ -293,40 +346,49 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of (center, node) edges: the smallest node that it is
     connected with, by rounds of taking the neighbours' smallest label and then the
     label's own label, until nothing changes."""
-    both = settle(edges.select(F.col("center").alias("a"), F.col("node").alias("b"))
+    both = stored(edges.select(F.col("center").alias("a"), F.col("node").alias("b"))
                   .union(edges.select(F.col("node").alias("a"), F.col("center").alias("b"))).distinct())
-    labels = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
                     .select(F.col("a").alias("node"), "label"))
     while True:
         near = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
                 .select(F.col("a").alias("node"), "near"))
         lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = settle(lower.join(jump, "label", "left").select(
+        after = stored(lower.join(jump, "label", "left").select(
             "node", F.least("label", F.coalesce("next", "label")).alias("label"), "old"))
-        changed = not after.filter("label < old").isEmpty()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels
+        discard(labels)
+        labels = after
+        if after.filter("label < old").isEmpty():
+            discard(both)
+            return after.select("node", "label")
+
+
+def text_hash(text: str):
+    """16 bytes that stand for a text; null texts are empty ones."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def _classes(docs: DataFrame, least: float):
-    """(doc_id, node, text) of ``docs`` and, stored, (doc_id, node, has_words, class_id,
-    class_node) for each of its rows."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("node"), "text")
-    base = stored(sketches(texts))
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """Stored (doc_id, hash, has_words, class_id, class_hash) for each row of ``docs``."""
+    texts = docs.select("doc_id", text_hash("text").alias("hash"), "text")
+    rows = stored(sketches(texts))
+    nodes = stored(rows.groupBy("hash").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    base = rows.join(nodes.select("hash", "node"), "hash")
     edges = links(base, texts, least)
-    nodes = base.groupBy("node").agg(F.min("doc_id").alias("first"), F.max(F.size("keys") > 0).alias("has_words"))
     if edges is None:
         labelled = nodes.withColumn("label", F.col("node"))
     else:
         labelled = nodes.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = settle(labelled)
+    labelled = stored(labelled)
     heads = labelled.groupBy("label").agg(
         F.min("first").alias("class_id"),
-        F.coalesce(F.min_by("node", "first"), F.min("node")).alias("class_node"))   # all ids null: any
-    by_node = labelled.join(heads, "label").select("node", "has_words", "class_id", "class_node")
-    return texts, settle(base.select("doc_id", "node").join(by_node, "node"))
+        F.coalesce(F.min_by("hash", F.when(F.col("first").isNotNull(), F.struct("first", "hash"))),
+                   F.min("hash")).alias("class_hash"))       # all ids null: the smallest hash
+    by_hash = labelled.join(heads, "label").select("hash", "class_id", "class_hash")
+    out = stored(rows.select("doc_id", "hash", (F.size("keys") > 0).alias("has_words")).join(by_hash, "hash"))
+    discard(rows, nodes, labelled)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -336,10 +398,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts without words, null ones too, are linked with nothing: each is its own class.
     Equal texts are one class however many; a null id takes part but names no class with
-    other ids in it; an empty table gives an empty table; other columns are not read.
+    other ids in it; a very long text is sketched and verified whole, by one task; an empty
+    table gives an empty table; other columns are not read.
     """
-    docs = columns(docs, doc_id=id_col, text=text_col)
-    _, rows = _classes(docs, least)
+    rows = _classes(columns(docs, doc_id=id_col, text=text_col), least)
     class_id = F.when(F.col("has_words"), F.col("class_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", class_id.alias("class_id"),
                        (class_id.eqNullSafe(F.col("doc_id"))).alias("kept"))
@@ -347,19 +409,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             least: float = SIMILAR) -> DataFrame:
-    """``docs`` with one row of each class, all columns as they are; rows without words
-    all stay."""
-    node, head_id, head_node = fresh(docs, "node", "head_id", "head_node")
-    picked = columns(docs, doc_id=id_col, text=text_col)
-    _, rows = _classes(picked, least)
-    heads = settle(rows.filter(F.col("has_words") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-                               & (F.col("node") == F.col("class_node"))).select("doc_id", "node"))
-    marked = docs.withColumn(node, F.xxhash64(F.col(f"`{text_col}`")))
+    """``docs`` with one row of each class, the one with the smallest id (of equal ids the
+    smallest text hash, of equal rows any), all columns as they are.
+
+    Rows without words all stay, null texts too; null ids are kept only where their class
+    has no other; an empty table gives an empty table; clashing column names are kept.
+    """
+    hash_, head_id, head_hash = fresh(docs, "hash", "head_id", "head_hash")
+    rows = _classes(columns(docs, doc_id=id_col, text=text_col), least)
+    heads = rows.filter(F.col("has_words") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+                        & (F.col("hash") == F.col("class_hash"))).select("doc_id", "hash")
+    marked = docs.withColumn(hash_, text_hash(f"`{text_col}`"))
     wordless = ~F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keys = heads.distinct().select(F.col("doc_id").alias(head_id), F.col("node").alias(head_node))
+    keys = heads.distinct().select(F.col("doc_id").alias(head_id), F.col("hash").alias(head_hash))
     kept = marked.filter(~wordless).join(
-        keys, (F.col(f"`{node}`") == F.col(f"`{head_node}`"))
+        keys, (F.col(f"`{hash_}`") == F.col(f"`{head_hash}`"))
         & F.col(f"`{id_col}`").eqNullSafe(F.col(f"`{head_id}`")), "left_semi")
-    if not heads.groupBy("doc_id", "node").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates([node])           # the same row more than once
-    return kept.drop(node).unionByName(docs.filter(wordless))
+    if not heads.groupBy("doc_id", "hash").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([hash_])          # the same row more than once
+    return kept.drop(hash_).unionByName(docs.filter(wordless))
