@@ -266,10 +266,15 @@ def test_bytes_equal_brute_force(spark, monkeypatch, seed, chunk, slab):
         return [S.answered(S.pa.Table.from_pylist([r for r in got if r["chunk"] == k], S.ANSWER), kind, *a, 1)
                 for k, a in enumerate(asked)]
 
-    asked = [c.asked_windows(*bits) for c, bits in zip(chunks, one(S.RUN, [c.asked() for c in chunks]))]
+    level = [c.runs for c in chunks]
+    for kind in (S.RUN, S.PART, S.WINDOW):
+        bits = one(kind, [c.asked(runs) for c, runs in zip(chunks, level)])
+        level = [c.undecided(runs, *b) for c, runs, b in zip(chunks, level, bits)]
+        if kind != S.WINDOW:
+            level = [(c.parts if kind == S.RUN else c.windows)(runs) for c, runs in zip(chunks, level)]
     out = []
-    for part, c, bits in zip((rows[0::3], rows[1::3], rows[2::3]), chunks, one(S.WINDOW, asked)):
-        kept, spans = c.kept(bits[0])
+    for part, c in zip((rows[0::3], rows[1::3], rows[2::3]), chunks):
+        kept, spans = c.kept()
         out += [(i, len((t or "").encode()), int(n), k) for (i, t), n, k in zip(part, spans, kept)]
     assert sorted(out, key=str) == want
 

@@ -6,11 +6,13 @@ same for equal bytes everywhere, and a group that cannot hold an undecided repea
 before the next digit:
 
 1. The smallest-named gram of ``GRAM`` bytes among the suffix's first ``WIDTH``.  Suffixes
-   in a row that share it (a run, 43 on average) are in one group and move as one record.
-2. The bytes of the whole run.  A run equal to one that starts earlier is repeated in full,
-   and a run whose first digit has no other second digit is decided by that.
-3. The suffix's own ``WIDTH`` bytes, by two digits, for runs that share the first digit
-   with different ones: where a repeated passage begins or ends.
+   in a row that share it (a run, 36 on average) are in one group and move as one record,
+   with the bytes of the whole run as the next digit.  A run equal to one that starts
+   earlier is repeated in full, and one whose gram comes in no other run is decided.
+2. Runs that share the gram with different ones are split by the largest-named gram too,
+   and the parts decided in the same way.
+3. What is left, where a repeated passage begins or ends, goes by the suffix's own ``WIDTH``
+   bytes, in two digits.
 
 Groups that are equal in all digits are the repeated strings.  Names decide by 128 bits.
 
@@ -32,13 +34,14 @@ from pyspark.sql import functions as F
 
 from trellis.llm.common import columns, mix
 
-WIDTH, GRAM, CHUNK_CHARS = 100, 16, 4_000_000
+WIDTH, GRAM, CHUNK_CHARS = 100, 32, 4_000_000
 SPAN = WIDTH - GRAM + 1
 #: suffixes that are named at a time; their places need ``PLACE`` bits
 SLAB, PLACE = 1 << 18, 19
-RUN, WINDOW = 0, 1
+RUN, PART, WINDOW = 0, 1, 2
 LAST = np.iinfo(np.int64).max
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+STEP = np.uint64(BASES[0])
 #: names of bytes, one table for each digit
 BYTES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) for b in BASES]
 POWER = [np.cumprod(np.full(SLAB + WIDTH, b, np.uint64)) for b in BASES]
@@ -57,15 +60,17 @@ class Strings:
         return mix((self.sums[end] - self.sums[start]) * INVERSE[self.digit][start] + (end - start).astype(np.uint64))
 
 
-def anchors(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From the bytes' names: for each suffix the place of its smallest-named gram, the
-    first of equal ones, and the names of all grams."""
-    gram = byte
-    width = 1
+def grams(byte: np.ndarray) -> np.ndarray:
+    """The names of all grams, from the bytes' names."""
+    gram, width = byte, 1
     while width < GRAM:
         gram = gram[:-width] * np.uint64(BASES[1] + 2 * width) + gram[width:]
         width *= 2
-    gram = mix(gram)
+    return mix(gram)
+
+
+def anchors(gram: np.ndarray) -> np.ndarray:
+    """For each suffix the place of its smallest-named gram, the first of equal ones."""
     low = np.uint64((1 << PLACE) - 1)
     least = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
     width = 1
@@ -73,8 +78,28 @@ def anchors(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     rest = SPAN - width
-    least = np.minimum(least[:len(least) - rest], least[rest:])
-    return (least & low).astype(np.int64), gram
+    return (np.minimum(least[:len(least) - rest], least[rest:]) & low).astype(np.int64)
+
+
+class Runs:
+    """Suffixes in a row that move as one: the first suffix, how many, their digits and row."""
+
+    def __init__(self, start: np.ndarray, count: np.ndarray, high: np.ndarray, low: np.ndarray, row: np.ndarray):
+        self.start, self.count, self.high, self.low, self.row = start, count, high, low, row
+
+    def only(self, which: np.ndarray) -> "Runs":
+        return Runs(*(x[which] for x in (self.start, self.count, self.high, self.low, self.row)))
+
+    @staticmethod
+    def joined(parts: list["Runs"]) -> "Runs":
+        kinds = (np.int64, np.int64, np.uint64, np.uint64, np.int64)
+        return Runs(*(np.concatenate([getattr(p, c) for p in parts]) if parts else np.empty(0, t)
+                      for c, t in zip(("start", "count", "high", "low", "row"), kinds)))
+
+    def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every suffix, and the number of its run."""
+        number = np.repeat(np.arange(len(self.start)), self.count)
+        return self.start[number] + np.arange(len(number)) - np.append(0, np.cumsum(self.count)[:-1])[number], number
 
 
 class Chunk:
@@ -94,61 +119,79 @@ class Chunk:
         edge[self.begin[some]] = 1
         edge[self.end[some] - WIDTH + 1] -= 1
         self.starts = np.cumsum(edge[:-1]).astype(bool)          # whether WIDTH bytes of a document start here
-        found = [self.runs(at) for at in range(0, max(len(self.whole) - WIDTH + 1, 0), SLAB)]
-        self.start, self.count, self.high, self.low, self.row = (
-            np.concatenate(x) for x in zip(*found)) if found else [np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64)]
-
-    def runs(self, at: int) -> tuple[np.ndarray, ...]:
-        """Runs that start in one slab: first suffix, number of suffixes, both digits and
-        row.  One that repeats an earlier run of its row and slab is marked at once."""
-        part = self.whole[at:at + SLAB + WIDTH - 1]
-        strings = Strings(part, 0)
-        place, gram = anchors(strings.byte)
+        self.runs = Runs.joined([self.named(at) for at in range(0, max(len(self.whole) - WIDTH + 1, 0), SLAB)])
+
+    def part(self, at: int) -> np.ndarray:
+        """The bytes of all suffixes of the slab that begins at a place."""
+        return self.whole[at:at + SLAB + WIDTH - 1]
+
+    def named(self, at: int) -> Runs:
+        """Runs that start in one slab.  One that repeats an earlier run of its row and slab
+        is marked at once."""
+        strings = Strings(self.part(at), 0)
+        gram = grams(strings.byte)
+        place = anchors(gram)
         ok = self.starts[at:at + len(place)]
         change = np.append(True, place[1:] != place[:-1])
         change[1:] |= ok[1:] != ok[:-1]
         head = np.flatnonzero(change)
         count = np.diff(np.append(head, len(place)))
         head, count = head[ok[head]], count[ok[head]]
-        high, low = gram[place[head]], strings.names(head, head + count + WIDTH - 1)
-        row = np.searchsorted(self.end, head + at, side="right")
-        again = ~first_of(high, low, row)
-        self.mark(head[again] + at, count[again])
-        return tuple(x[~again] for x in (head + at, count, high, low, row))
-
-    def mark(self, start: np.ndarray, count: np.ndarray) -> None:
-        np.add.at(self.step, start, 1)
-        np.add.at(self.step, start + count + WIDTH - 1, -1)
-
-    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The digits of all runs and their documents' ids."""
-        return self.high, self.low, self.ids[self.row]
-
-    def asked_windows(self, smaller: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The digits of the suffixes left undecided, and their documents' ids; ``smaller``
-        and ``several`` are the answers on each run."""
-        repeated = smaller | ~first_of(self.high, self.low, self.row)
-        self.mark(self.start[repeated], self.count[repeated])
-        left = np.flatnonzero(several & ~repeated)
-        first, count = self.start[left], self.count[left]
-        self.at = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-        self.at_row = np.repeat(self.row[left], count)
-        names = [np.empty(len(self.at), np.uint64) for _ in BASES]
-        slab = self.at // SLAB                                   # ascending
+        runs = Runs(head + at, count, gram[place[head]], strings.names(head, head + count + WIDTH - 1),
+                    np.searchsorted(self.end, head + at, side="right"))
+        first = first_of(runs.high, runs.low, runs.row)
+        self.mark(runs.only(~first))
+        return runs.only(first)
+
+    def mark(self, runs: Runs) -> None:
+        np.add.at(self.step, runs.start, 1)
+        np.add.at(self.step, runs.start + runs.count + WIDTH - 1, -1)
+
+    def asked(self, runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The digits of runs and their documents' ids."""
+        return runs.high, runs.low, self.ids[runs.row]
+
+    def undecided(self, runs: Runs, smaller: np.ndarray, several: np.ndarray) -> Runs:
+        """The runs that the answers on each leave open; repeated ones are marked."""
+        repeated = smaller | ~first_of(runs.high, runs.low, runs.row)
+        self.mark(runs.only(repeated))
+        return runs.only(several & ~repeated)
+
+    def by_slab(self, at: np.ndarray):
+        """(place of the slab, first and last entry + 1) of ascending places."""
+        slab = at // SLAB
         for s in np.unique(slab):
-            a, z = np.searchsorted(slab, [s, s + 1])
-            part = self.whole[s * SLAB:(s + 1) * SLAB + WIDTH - 1]
-            here = self.at[a:z] - s * SLAB
+            yield int(s) * SLAB, *np.searchsorted(slab, [s, s + 1])
+
+    def parts(self, runs: Runs) -> Runs:
+        """``runs`` split by their suffixes' largest-named gram."""
+        found = []
+        for at, a, z in self.by_slab(runs.start):
+            some = runs.only(slice(a, z))
+            strings = Strings(self.part(at), 0)
+            gram = ~grams(strings.byte)
+            place = anchors(gram)
+            suffix, number = some.suffixes()
+            head = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (np.diff(place[suffix - at]) != 0)))
+            count = np.diff(np.append(head, len(suffix)))
+            first, of = suffix[head], number[head]
+            found.append(Runs(first, count, mix(some.high[of] * STEP + gram[place[first - at]]),
+                              strings.names(first - at, first - at + count + WIDTH - 1), some.row[of]))
+        return Runs.joined(found)
+
+    def windows(self, runs: Runs) -> Runs:
+        """The suffixes of ``runs`` one by one, named by their own bytes."""
+        suffix, number = runs.suffixes()
+        names = [np.empty(len(suffix), np.uint64) for _ in BASES]
+        for at, a, z in self.by_slab(suffix):
+            here = suffix[a:z] - at
             for digit, name in enumerate(names):
-                name[a:z] = Strings(part, digit).names(here, here + WIDTH)
-        self.window = names
-        return *names, self.ids[self.at_row]
-
-    def kept(self, smaller: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """The bytes kept and the number of stretches removed of each document; ``smaller``
-        is the answer on each suffix left undecided."""
-        repeated = smaller | ~first_of(*self.window, self.at_row)
-        self.mark(self.at[repeated], np.ones(repeated.sum(), np.int64))
+                name[a:z] = Strings(self.part(at), digit).names(here, here + WIDTH)
+        return Runs(suffix, np.ones(len(suffix), np.int64), *names, runs.row[number])
+
+    def kept(self) -> tuple[list[bytes], np.ndarray]:
+        """The bytes that are not marked and the number of stretches removed of each
+        document."""
         gone = np.cumsum(self.step[:-1]) > 0
         rise = gone.copy()
         rise[1:] &= ~gone[:-1]
@@ -272,24 +315,33 @@ def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         texts = [t.as_py() or b"" for t in table["text"].cast(pa.binary())]
         return table["chunk"][0].as_py(), Chunk(table["doc_id"].to_pylist(), texts)
 
+    def asked_of(chunk: Chunk, answers: pa.Table, upto: int) -> Runs:
+        """What a chunk asks in the pass ``upto``, from the answers of those before it."""
+        runs = chunk.runs
+        for kind, split in ((RUN, chunk.parts), (PART, chunk.windows))[:upto]:
+            runs = split(chunk.undecided(runs, *answered(answers, kind, *chunk.asked(runs), buckets)))
+        return runs
+
     def ask_runs(table: pa.Table) -> pa.Table:
         number, chunk = chunk_of(table)
-        return questions(number, RUN, *chunk.asked(), buckets)
+        return questions(number, RUN, *chunk.asked(chunk.runs), buckets)
 
-    def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(table):
-            return QUESTION.empty_table()
-        number, chunk = chunk_of(table)
-        asked = chunk.asked_windows(*answered(answers, RUN, *chunk.asked(), buckets))
-        return questions(number, WINDOW, *asked, buckets)
+    def ask(kind: int):
+        def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+            if not len(table):
+                return QUESTION.empty_table()
+            number, chunk = chunk_of(table)
+            return questions(number, kind, *chunk.asked(asked_of(chunk, answers, kind)), buckets)
+        return run
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return pa.schema([("doc_id", table.schema.field("doc_id").type), ("n_bytes", pa.int64()), ("n_spans", pa.int64()),
                               ("kept", pa.binary()), ("count", pa.int64())]).empty_table()
         _, chunk = chunk_of(table)
-        asked = chunk.asked_windows(*answered(answers, RUN, *chunk.asked(), buckets))
-        kept, spans = chunk.kept(answered(answers, WINDOW, *asked, buckets)[0])
+        runs = asked_of(chunk, answers, WINDOW)
+        chunk.undecided(runs, *answered(answers, WINDOW, *chunk.asked(runs), buckets))
+        kept, spans = chunk.kept()
         sizes = np.empty(len(kept), np.int64)
         sizes[chunk.order] = chunk.end - chunk.begin
         return pa.table({"doc_id": table["doc_id"], "n_bytes": sizes, "n_spans": spans,
@@ -298,9 +350,11 @@ def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     def answers_to(asked: DataFrame) -> DataFrame:
         return asked.groupBy("kind", "bucket").applyInArrow(answer, ANSWER_SQL)
 
-    runs = answers_to(by_chunk.applyInArrow(ask_runs, QUESTION_SQL))
-    windows = answers_to(by_chunk.cogroup(runs.groupBy("chunk")).applyInArrow(ask_windows, QUESTION_SQL))
-    rows = by_chunk.cogroup(runs.unionByName(windows).groupBy("chunk")).applyInArrow(
+    answers = answers_to(by_chunk.applyInArrow(ask_runs, QUESTION_SQL))
+    for later in (PART, WINDOW):
+        more = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(ask(later), QUESTION_SQL)
+        answers = answers.unionByName(answers_to(more))
+    rows = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(
         cut, f"doc_id {kind}, n_bytes bigint, n_spans bigint, kept binary, count bigint")
     if again:
         rows = rows.withColumn("count", F.explode(F.sequence(F.lit(1).cast("long"), "count")))
