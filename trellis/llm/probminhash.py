@@ -311,23 +311,24 @@ def prefix_pairs(labelled: DataFrame, shingled: DataFrame, least: float) -> Data
         spread, "node bigint, label bigint, shingle bigint, times bigint")
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     whole = Window.partitionBy("node")
-    order = whole.orderBy("often", "shingle")
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the most frequent shingle back, so that what comes after one is a running sum
+    back = whole.orderBy(F.desc("often"), F.desc("shingle"))
+    after = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n, total = F.count(F.lit(1)).over(whole), F.sum("times").over(whole)
     placed = rows.join(often, "shingle").select(
-        "node", "label", "shingle", "often", n.alias("n"), F.count(F.lit(1)).over(after).alias("left"),
+        "node", "label", "shingle", "often", n.alias("n"), F.row_number().over(back).alias("left"),
         (F.col("times") / total).alias("share"), (F.sum("times").over(after) / total).alias("rest"))
     near = least - 1e-9
     placed = (placed.withColumn("plain", F.col("left") >= near * F.col("n")).withColumn("massed", F.col("rest") >= near)
               .filter("often > 1 AND (plain OR massed)").drop("often"))
+    placed = stored(placed)
     lists = placed.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("size"))
     lists = (lists.groupBy("shingle").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
              .filter("labels > 1").select("shingle", "main"))
-    placed = stored(placed.join(lists, "shingle"))
-    own = placed.filter("label != main").alias("x")
+    own = placed.join(lists, "shingle").filter("label != main").alias("x")
     need = near / (1 + near)
     partners = ((F.col("x.label") != F.col("y.label"))
-                & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+                & ((F.col("y.label") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
                 & ((F.col("x.plain") & F.col("y.plain") & (F.least("x.left", "y.left") >= need * (F.col("x.n") + F.col("y.n"))))
                    | (F.col("x.massed") & F.col("y.massed")
                       & (F.least("x.share", "y.share") + F.least(F.col("x.rest") - F.col("x.share"), F.col("y.rest") - F.col("y.share")) >= near))))
