@@ -10,8 +10,9 @@ the weighted bags.
 Bands of the sketch give candidate pairs, and for a text whose shingles repeat also the
 bands of a second sketch, without weights; a text without repeats has one sketch for both,
 so all bands share their keys.  Candidates are taken as stars: one text of a band's bucket
-against the others, first the smallest, which gathers most of each class, then ``ROUNDS``
-times another one in buckets that hold several classes.  Candidates are screened by their
+against the others: first the smallest, which gathers most of each class, then in buckets
+that hold several classes the one that lies in most of them, which of many near copies is
+the nearest to what they are copies of.  Candidates are screened by their
 whole sketches, of which a row keeps a byte for each component, and those left verified on
 all their shingles: a link is a probability Jaccard or a plain Jaccard of ``SIMILAR`` or
 more.
@@ -44,8 +45,6 @@ from trellis.llm.common import WordNames, columns, discard, fresh, mix, stored,
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 COMPONENTS = BANDS * ROWS
-#: further texts of a bucket of several classes that meet its others, one after the other
-ROUNDS = 2
 #: share of the components that a candidate pair must agree in, as a part of the similarity
 SCREEN = 56 / COMPONENTS / SIMILAR
 #: shingles sketched at a time
@@ -241,10 +240,8 @@ def links(base: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFram
     open_ = _open(members.select("key", "node").join(labels, "node", "left")
                   .select("key", "node", F.coalesce("label", "node").alias("label")))
     discard(members, needed)
-    for turn in range(ROUNDS):
-        if open_.isEmpty():
-            break
-        pairs = stored(screened(other_stars(open_, turn), marked, least).join(met, ["center", "node"], "left_anti"))
+    if not open_.isEmpty():
+        pairs = stored(screened(hub_stars(open_), marked, least).join(met, ["center", "node"], "left_anti"))
         more = stored(verified(pairs.select("center", "node"), shingled, least))
         met, found = met.unionByName(pairs.select("center", "node")), found.unionByName(more)
         open_ = _joined(open_, pairs.join(more, ["center", "node"]).select("a", "b"))
@@ -276,10 +273,12 @@ def _joined(open_: DataFrame, same: DataFrame) -> DataFrame:
     return after
 
 
-def other_stars(open_: DataFrame, turn: int) -> DataFrame:
-    """Pairs (center, node, a, b: their labels) of one text of each bucket of ``open_`` (key,
-    node, label), another one in each bucket and turn, with those of other labels."""
-    centers = (open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("c"))
+def hub_stars(open_: DataFrame) -> DataFrame:
+    """Pairs (center, node, a, b: their labels) of the text of each bucket of ``open_`` (key,
+    node, label) that lies in most of its buckets with those of other labels."""
+    often = open_.groupBy("node").agg(F.count(F.lit(1)).alias("often"))
+    centers = (open_.join(often, "node").groupBy("key")
+               .agg(F.max_by(F.struct("node", "label"), F.struct("often", "node")).alias("c"))
                .select("key", F.col("c.node").alias("center"), F.col("c.label").alias("center_label")))
     forward = F.col("center") < F.col("node")
     return (open_.join(centers, "key").filter("label != center_label")
