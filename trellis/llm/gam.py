@@ -212,12 +212,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     Held-out ids, null ids and null labels are left out; several labels of one id count
     as their rounded mean.  At most ``max_rows`` ids, those with the smallest hash, are
-    broadcast to pick their texts; features, not texts, reach the driver.
+    broadcast to pick their texts, and of these at most ``max_rows`` different rows, each
+    once however often it is repeated; features, not texts, reach the driver.
     """
     picked = (labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
               .groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+    rows = (docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text", F.xxhash64("text").alias("own"))
+            .dropDuplicates(["doc_id", "own"]))
+    ids = rows.select("doc_id", "own").orderBy(F.xxhash64("doc_id", "own"), "doc_id", "own").limit(max_rows)
+    rows = rows.join(F.broadcast(ids), ["doc_id", "own"]).select("doc_id", "label", "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
@@ -264,7 +268,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_id_col: str = "doc_id", label_col: str = "quality",
                    threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score ``threshold`` or more."""
+    """The rows of ``docs``, all columns as they are, that score ``threshold`` or more.
+
+    Null texts score as empty ones, null ids as any other; repeated rows are judged one by
+    one; very long texts are scored whole; without labels every score is 0.5; an empty
+    table gives an empty table; clashing column names are kept.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(
         columns(docs, doc_id=id_col, text=text_col),
         columns(labels, doc_id=label_id_col, label=label_col), max_rows))

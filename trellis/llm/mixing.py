@@ -10,7 +10,8 @@ guards it.
 Rates become whole copies without drifting off the target: going down the sizes of a
 source, each size takes the copies nearest to what is due, with the rest carried on to
 the next smaller size.  Within a size the documents with the smallest hashes take the
-odd copies, so reruns agree.
+odd copies; documents with equal ids are told apart by a hash of the row, and equal rows by
+a count of them, so targets hold whatever the ids, and reruns agree.
 
 One row per source reaches the driver; more than ``MAX_SOURCES`` is an error.
 """
@@ -128,7 +129,19 @@ def copies(cap: float):
 
 
 def order_key() -> Column:
-    return F.struct(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").alias("id"))
+    return F.struct(F.xxhash64("doc_id", "own_row", "copy").alias("hash"), F.col("doc_id").alias("id"),
+                    F.col("own_row").alias("own_row"), F.col("copy").alias("copy"))
+
+
+def numbered(docs: DataFrame, id_col: str, row_col: str, copy_col: str) -> DataFrame:
+    """``docs`` with a hash of the row and, for rows that are there several times, a number
+    from 1; equal rows are counted before they are numbered, so a hot one is no task's."""
+    marked = docs.withColumn(row_col, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    again = marked.groupBy(F.col(f"`{id_col}`"), F.col(f"`{row_col}`")).count().filter("count > 1")
+    if again.isEmpty():
+        return marked.withColumn(copy_col, F.lit(1).cast("bigint"))
+    counted = marked.groupBy(*[F.col(f"`{c}`") for c in marked.columns]).agg(F.count(F.lit(1)).alias(copy_col))
+    return counted.withColumn(copy_col, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(f"`{copy_col}`"))))
 
 
 def cuts(base: DataFrame, groups: DataFrame) -> DataFrame:
@@ -153,7 +166,7 @@ def cuts(base: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def mix_plan(sized: DataFrame, weights=WEIGHTS, cap: float = CAP):
-    """From (doc_id, source, size): the table of sources (s, source, source_size, target)
+    """From (doc_id, source, size, own_row, copy): the table of sources (s, source, source_size, target)
     and the table of groups (s, size, whole, rate, cut)."""
     spark = sized.sparkSession
     hist = settle(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
@@ -178,7 +191,7 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, cap: float = CAP):
                     .groupBy("s").applyInPandas(
                         copies(cap), "s int, size bigint, n bigint, rate double, whole bigint, extra bigint"))
     base = sized.withColumnRenamed("source", "own").join(
-        known, F.col("own").eqNullSafe(F.col("source"))).select("s", "size", "doc_id")
+        known, F.col("own").eqNullSafe(F.col("source"))).select("s", "size", "doc_id", "own_row", "copy")
     planned = settle(cuts(base, groups))
     return known, F.broadcast(planned) if planned.count() <= SMALL else planned
 
@@ -198,11 +211,12 @@ def source_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies.
 
     Null and empty texts have size 0 and take nothing; a null source is a source of its
-    own, the last; a null id is ranked as any other; repeated rows that tie at a cut all
-    take the copy; an empty table gives an empty table; other columns are not read.
+    own, the last; a null id is ranked as any other; documents with equal ids, and equal
+    rows, take copies one by one; very long texts are counted whole; an empty table gives an
+    empty table; other columns are not read.
     """
-    docs = columns(docs, doc_id=id_col, text=text_col, source=source_col)
-    sized = settle(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    docs = numbered(columns(docs, doc_id=id_col, text=text_col, source=source_col), "doc_id", "own_row", "copy")
+    sized = settle(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), "own_row", "copy"))
     known, groups = mix_plan(sized, weights, cap)
     return (sized.withColumnRenamed("source", "own")
             .join(known, F.col("own").eqNullSafe(F.col("source"))).join(groups, ["s", "size"])
@@ -213,12 +227,19 @@ def source_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """The rows of ``docs`` that the mix takes, all columns as they are, and ``copies``:
-    how often each is taken (named ``copies_`` if that name is in use)."""
-    (name,) = fresh(docs, "copies")
+    how often each is taken (named ``copies_`` if that name is in use).
+
+    Null, empty and very long texts, null and equal ids, equal rows and sources are as in
+    :func:`source_mix`; rows that take nothing go; an empty table gives an empty table;
+    clashing column names are kept.
+    """
+    name, own_row, copy = fresh(docs, "copies", "own_row", "copy")
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(whole_row.alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
-                         F.col(f"`{source_col}`").alias("own"), size_of(F.col(f"`{text_col}`")).alias("size"))
-    sized = settle(packed.select("doc_id", F.col("own").alias("source"), "size"))
+    marked = numbered(docs, id_col, own_row, copy)
+    packed = marked.select(whole_row.alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
+                           F.col(f"`{source_col}`").alias("own"), size_of(F.col(f"`{text_col}`")).alias("size"),
+                           F.col(f"`{own_row}`").alias("own_row"), F.col(f"`{copy}`").alias("copy"))
+    sized = settle(packed.select("doc_id", F.col("own").alias("source"), "size", "own_row", "copy"))
     known, groups = mix_plan(sized, weights, cap)
     return (packed.join(known, F.col("own").eqNullSafe(F.col("source"))).join(groups, ["s", "size"])
             .select("row.*", taken_copies().alias(name)).filter(F.col(name) > 0))

@@ -92,17 +92,17 @@ PAGE_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example
 def op2_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url by rules and the standing of its host."""
     from trellis.llm.link_graph import url_verdicts
-    return url_verdicts(table(spark, sf_dir, "pages"), PAGE_RULES, steps=None)
+    return url_verdicts(table(spark, sf_dir, "pages"), PAGE_RULES)
 
 
 @_register
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation's turns as linked calls in canonical JSON; -1 and empty for what
-    is null in the operator's result."""
+    """Every conversation's turns as linked calls, their results and other turns in canonical
+    JSON; -1 and empty for what is null in the operator's result."""
     from trellis.llm.tool_calls import REPLY, calls_of, linked_calls
-    rows = linked_calls(*calls_of(table(spark, sf_dir, "conversations")), REPLY)
-    return (rows.fillna(-1, ["turn", "step", "result_turn"]).fillna(False, ["valid"])
-            .fillna("", ["errors", "record"]))
+    calls, results, others = calls_of(table(spark, sf_dir, "conversations"))
+    return (linked_calls(calls, results, REPLY, others).fillna(-1, ["turn", "step", "result_turn"])
+            .fillna(False, ["valid"]).fillna("", ["call_id", "errors", "record"]))
 
 
 @_register
@@ -152,8 +152,15 @@ SELECT conv_id, call_id, turn, 0 AS step,
          || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS record
 FROM c
 UNION ALL
-SELECT conv_id, call_id, -1, -1, 'orphan_result', result_turn, n_results, '', false, ''
-FROM g WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = g.conv_id AND u.call_id = g.call_id)
+SELECT a.conv_id, a.call_id, turn, -1,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.call_id = a.call_id) THEN 'orphan_result'
+            WHEN a.turn = g.result_turn AND a.content = g.content THEN 'result' ELSE 'extra_result' END,
+       turn, 1, '', false, '{"content":' || to_json(a.content)::VARCHAR || ',"id":"' || a.call_id || '"}'
+FROM a JOIN g ON g.conv_id = a.conv_id AND g.call_id = a.call_id
+UNION ALL
+SELECT conv_id, '', turn, -1, 'other_role', -1, 0, '', false,
+       '{"content":' || to_json(text)::VARCHAR || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}'
+FROM m WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
 
 ORACLES["op8_substring_dedup"] = """

@@ -18,8 +18,9 @@ Three exchanges answer which windows also start in a document with a smaller id:
 
 Documents are dealt into chunks of about ``CHUNK_CHARS`` characters.  A chunk sends each
 name once, with its smallest document (so a passage of many documents is summed before
-the shuffle), packed by bucket; what comes back is one bit for each name.  The texts are
-shuffled once, into their chunks; the later passes reuse that exchange.
+the shuffle), packed by bucket, as many as the session has shuffle partitions; what comes
+back is one bit for each name.  The texts are shuffled once, into their chunks; the later
+passes reuse that exchange.  Names decide: repeats are not compared word by word.
 """
 
 from __future__ import annotations
@@ -292,16 +293,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = columns(docs, doc_id=id_col, text=text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    again = not docs.groupBy("doc_id", F.xxhash64("text")).count().filter("count > 1").isEmpty()
+    if again:                                                # a row that is there many times is dealt once
+        docs = docs.groupBy("doc_id", "text").count()
+    else:
+        docs = docs.withColumn("count", F.lit(1).cast("long"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = int(chars // CHUNK_CHARS) + 1
-    chunked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
+    chunks, buckets = int(chars // CHUNK_CHARS) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunked = docs.select("doc_id", "text", "count", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
     def chunk_of(table: pa.Table) -> Chunk:
         return Chunk(table["doc_id"].to_pylist(), [t.as_py() or b"" for t in table["text"].cast(pa.binary())], WordNames())
 
     def ask_first(table: pa.Table) -> pa.Table:
         chunk, number = chunk_of(table), table["chunk"][0].as_py()
-        return pa.Table.from_pylist([q for k in (FEATURE, LONG) for q in questions(number, k, *chunk.asked(k), chunks)], QUESTION)
+        return pa.Table.from_pylist([q for k in (FEATURE, LONG) for q in questions(number, k, *chunk.asked(k), buckets)], QUESTION)
 
     def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
@@ -309,17 +315,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chunk, number = chunk_of(table), table["chunk"][0].as_py()
         if not len(chunk.name):
             return QUESTION.empty_table()
-        asked = chunk.asked(WINDOW, lookups(answers, chunks))
-        return pa.Table.from_pylist(questions(number, WINDOW, *asked, chunks), QUESTION)
+        asked = chunk.asked(WINDOW, lookups(answers, buckets))
+        return pa.Table.from_pylist(questions(number, WINDOW, *asked, buckets), QUESTION)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = chunk_of(table) if len(table) else None
-        kept = chunk.kept(lookups(answers, chunks)) if chunk else []
+        kept = chunk.kept(lookups(answers, buckets)) if chunk else []
         n = [len(w) for w in chunk.words] if chunk else []
         return pa.table({
             "doc_id": table["doc_id"], "n_words": pa.array(n, pa.int64()),
             "n_removed": pa.array([a - len(w) for a, w in zip(n, kept)], pa.int64()),
-            "kept_text": pa.array([b" ".join(w) for w in kept], pa.binary()).cast(pa.string())})
+            "kept_text": pa.array([b" ".join(w) for w in kept], pa.binary()).cast(pa.string()), "count": table["count"]})
 
     def answered(asked: DataFrame) -> DataFrame:
         return asked.groupBy("kind", "bucket").applyInArrow(answer, ANSWER_SQL)
@@ -328,5 +334,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = answered(by_chunk.applyInArrow(ask_first, QUESTION_SQL))
     windows = answered(by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(ask_windows, QUESTION_SQL))
     both = first.unionByName(windows)
-    return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(
-        cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string")
+    rows = by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(
+        cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, count bigint")
+    if again:
+        rows = rows.withColumn("count", F.explode(F.sequence(F.lit(1).cast("long"), "count")))
+    return rows.drop("count")

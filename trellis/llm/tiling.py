@@ -8,14 +8,17 @@ marked on both sides, until none of ``SEED`` words is left.  The share of the te
 words under tiles does not depend on the order of the passages, so reordered copies are
 caught too.
 
+A test of fewer words than a seed is found where all its words stand in a row.
+
 The tests are broadcast in blocks of at most ``BLOCK_WORDS`` words; a larger benchmark
-takes more passes over the documents, never a larger broadcast.
+takes more passes over the documents, never a larger broadcast: each pass is written and
+its block released before the next.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from trellis.llm.common import WORD, WordNames, columns, window_names
+from trellis.llm.common import WORD, WordNames, columns, stored, window_names
 
 SEED, COVERAGE, BLOCK_WORDS = 5, 0.5, 500_000
 PUNCTUATION = ".,;:!?\"'()[]{}"
@@ -49,10 +53,14 @@ class Tests:
         names = PlainNames()
         self.ids, self.names = [], []
         seeds, items, places = [], [], []
+        self.short: dict[int, dict[int, list]] = {}  # words: name of all words: tests
         for item_id, text in rows:
             own = names.array((text or "").encode().split())
             found = window_names(own, SEED)
-            if not len(found):                       # shorter than a seed: no evidence
+            if not len(found):
+                if len(own):
+                    name = int(window_names(own, len(own))[0])
+                    self.short.setdefault(len(own), {}).setdefault(name, []).append(item_id)
                 continue
             seeds.append(found)
             items.append(np.full(len(found), len(self.ids), np.int64))
@@ -124,8 +132,12 @@ def tiles(i: np.ndarray, j: np.ndarray, width: int) -> list[tuple[int, int, int]
 
 
 def leaks(names: np.ndarray, tests: Tests, coverage: float) -> list[dict]:
-    """The tests of which this text holds at least ``coverage``."""
+    """The tests of which this text holds at least ``coverage``; of the short ones all."""
     out = []
+    for words, known in tests.short.items():
+        own = np.unique(window_names(names, words))
+        for name in own[np.isin(own, np.fromiter(known, np.uint64, len(known)))]:
+            out += [{"item_id": item, "coverage": 1.0, "n_tiles": 1, "longest": words} for item in known[int(name)]]
     for item, i, j in tests.matches(names):
         total = len(tests.names[item])
         reach = np.zeros(total + 1, np.int64)             # words under any seed: an upper bound
@@ -141,16 +153,22 @@ def leaks(names: np.ndarray, tests: Tests, coverage: float) -> list[dict]:
     return out
 
 
-def test_blocks(tests: DataFrame, id_col: str, text_col: str):
-    """Broadcasts of at most about ``BLOCK_WORDS`` words each, one after the other."""
+def each_block(tests: DataFrame, id_col: str, text_col: str, one_pass: Callable) -> list[DataFrame]:
+    """``one_pass`` of a broadcast of each block of at most about ``BLOCK_WORDS`` words; of
+    several, each result is written and its block released before the next."""
     tests = columns(tests, item_id=id_col, text=text_col)
     total = tests.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
-    blocks = int(total // BLOCK_WORDS) + 1
+    blocks, out = int(total // BLOCK_WORDS) + 1, []
     for b in range(blocks):
         rows = tests if blocks == 1 else tests.filter(
             F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield tests.sparkSession.sparkContext.broadcast(
+        block = tests.sparkSession.sparkContext.broadcast(
             Tests([(r["item_id"], r["text"]) for r in rows.toLocalIterator()]))
+        if blocks == 1:
+            return [one_pass(block)]
+        out.append(stored(one_pass(block)))
+        block.destroy()
+    return out
 
 
 def contamination(docs: DataFrame, tests: DataFrame, coverage: float = COVERAGE,
@@ -159,14 +177,17 @@ def contamination(docs: DataFrame, tests: DataFrame, coverage: float = COVERAGE,
     """One row per document row and test that it leaks: doc_id, item_id, coverage (share
     of the test's words under tiles), n_tiles, longest (words of the longest tile).
 
-    Null and empty texts leak nothing; tests of under ``SEED`` words are never matched;
-    repeated documents or tests give repeated rows; an empty side gives an empty table;
-    other columns are not read.  Texts are tiled whole.
+    Null and empty texts leak nothing, null and empty tests are never leaked; a test of under
+    ``SEED`` words is leaked where all its words stand in a row; of equally long matches the
+    first in the test, then in the text, is marked first; repeated documents or tests give
+    repeated rows; null ids stay null and ids may be of any type; an empty side gives an
+    empty table; other columns are not read.  Very long texts are tiled whole, by one task.
     """
     docs = columns(docs, doc_id=id_col, text=text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
     test_kind = tests.schema[test_id_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {test_kind}, coverage double, n_tiles int, longest int"
+    item_type = to_arrow_type(tests.schema[test_id_col].dataType)
 
     def one_pass(block):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,22 +202,26 @@ def contamination(docs: DataFrame, tests: DataFrame, coverage: float = COVERAGE,
                     ids = batch.column(0).take(pa.array(at, pa.int64()))
                     cols = {c: [r[c] for r in rows] for c in rows[0]}
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(cols["item_id"]), pa.array(cols["coverage"], pa.float64()),
+                        [ids, pa.array(cols["item_id"], item_type), pa.array(cols["coverage"], pa.float64()),
                          pa.array(cols["n_tiles"], pa.int32()), pa.array(cols["longest"], pa.int32())],
                         ["doc_id", "item_id", "coverage", "n_tiles", "longest"])
         return docs.mapInArrow(find, schema)
 
-    return reduce(DataFrame.unionByName,
-                  [one_pass(b) for b in test_blocks(tests, test_id_col, test_text_col)])
+    return reduce(DataFrame.unionByName, each_block(tests, test_id_col, test_text_col, one_pass))
 
 
 def decontaminated(docs: DataFrame, tests: DataFrame, coverage: float = COVERAGE,
                    text_col: str = "text", test_id_col: str = "item_id",
                    test_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that leak no test."""
-    at = docs.columns.index(text_col)
+    """The rows of ``docs``, all columns as they are, that leak no test.
+
+    Null and empty texts stay; repeated rows are judged one by one; very long texts are
+    tiled whole; without tests all rows stay; an empty table gives an empty table; clashing
+    column names are kept.
+    """
+    at, left = docs.columns.index(text_col), [docs]
 
-    def one_pass(frame, block):
+    def one_pass(block):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = PlainNames()
             for batch in batches:
@@ -204,8 +229,13 @@ def decontaminated(docs: DataFrame, tests: DataFrame, coverage: float = COVERAGE
                 yield batch.filter(pa.array(
                     [not leaks(names.array((t.as_py() or b"").split()), block.value, coverage)
                      for t in texts], pa.bool_()))
-        return frame.mapInArrow(keep, frame.schema)
+        left.append(left[-1].mapInArrow(keep, docs.schema))
+        return left[-1]
+
+    # of several blocks each pass reads what the one before it left, as it was written
+    def following(block):
+        if len(left) > 1:
+            left.append(stored(left.pop()))
+        return one_pass(block)
 
-    for block in test_blocks(tests, test_id_col, test_text_col):
-        docs = one_pass(docs, block)
-    return docs
+    return each_block(tests, test_id_col, test_text_col, following)[-1]
