@@ -160,61 +160,6 @@ def test_grid_line_roles_and_trees_flat(spark):
     assert out == 1                      # constant beyond the training range
 
 
-def _toy_forest(spark, classifier=False):
-    rng = np.random.default_rng(7)
-    X_ = rng.normal(size=(300, 3))
-    y = (X_[:, 0] > 0).astype(float) if classifier else X_[:, 0] * 2 + X_[:, 1] ** 2
-    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in
-                                enumerate(zip(X_, y))], "rid long, a double, b double, c double, label double")
-    from pyspark.ml.feature import VectorAssembler
-    d = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
-    m = (TR.forest_classifier(num_trees=4, max_depth=4) if classifier
-         else TR.forest_regressor(num_trees=4, max_depth=4)).fit(d)
-    return d, m
-
-
-@pytest.mark.parametrize("classifier", [False, True])
-def test_tree_shap_additive(spark, classifier):
-    from trellis.operators import treeshap as TS
-    d, m = _toy_forest(spark, classifier)
-    phi = TS.explain_path_dependent(d.limit(40), m, ["a", "b", "c"], ["rid"])
-    s = phi.groupBy("rid", "base_value", "prediction").agg(F.sum("phi").alias("s")).toPandas()
-    assert np.allclose(s["base_value"] + s["s"], s["prediction"], atol=1e-9)
-    # the ensemble's own prediction equals ours
-    from pyspark.ml.functions import vector_to_array
-    col = vector_to_array("probability")[1] if classifier else F.col("prediction")
-    own = m.transform(d.limit(40)).select("rid", col.alias("own")).toPandas()
-    mm = s.merge(own, on="rid")
-    assert np.allclose(mm["prediction"], mm["own"], atol=1e-9)
-
-
-def test_tree_shap_interventional_additive(spark):
-    from trellis.operators import treeshap as TS
-    d, m = _toy_forest(spark)
-    phi = TS.explain_interventional(d.limit(20), m, ["a", "b", "c"], ["rid"], d.limit(15),
-                                    max_background=15)
-    s = phi.groupBy("rid", "base_value", "prediction").agg(F.sum("phi").alias("s")).toPandas()
-    assert np.allclose(s["base_value"] + s["s"], s["prediction"], atol=1e-9)
-
-
-def test_tree_shap_boosted_additive(spark):
-    from pyspark.ml.feature import VectorAssembler
-    from trellis.operators import treeshap as TS
-    rng = np.random.default_rng(8)
-    X_ = rng.normal(size=(200, 3))
-    y = X_[:, 0] * 3 + np.sin(X_[:, 1])
-    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in
-                                enumerate(zip(X_, y))], "rid long, a double, b double, c double, label double")
-    d = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
-    m = TR.boosted("regression", max_iter=8, max_depth=3).fit(d)
-    phi = TS.explain_path_dependent(d.limit(30), m, ["a", "b", "c"], ["rid"])
-    s = phi.groupBy("rid", "base_value", "prediction").agg(F.sum("phi").alias("s")).toPandas()
-    own = m.transform(d.limit(30)).select("rid", F.col("prediction").alias("own")).toPandas()
-    mm = s.merge(own, on="rid")
-    assert np.allclose(mm["base_value"] + mm["s"], mm["prediction"], atol=1e-9)
-    assert np.allclose(mm["prediction"], mm["own"], atol=1e-9)
-
-
 def test_wide_sums_equal_column_sums(spark):
     rng = np.random.default_rng(9)
     X_ = rng.normal(size=(500, 5))

@@ -3,9 +3,8 @@
 * Linear models (X1): ``phi_j = coef_j * (x_j - mean_j)`` with means over the
   fitting rows; ``base + sum(phi) = prediction`` exactly.  A column expression
   with the per-group coefficients joined in (runs x features numbers).
-* Tree ensembles (X2): path-dependent TreeSHAP over the node tables of a fitted
-  Spark ML forest or boosted model, in ``mapInPandas`` with the (bounded) node
-  arrays broadcast; see :mod:`trellis.operators.treeshap`.
+* Tree ensembles (X2, X3): array arithmetic over the leaves of a fitted Spark ML
+  forest or boosted model; see :mod:`trellis.operators.leaves`.
 * Summary (X4): long ``(row, feature, phi)`` table grouped by feature.
 """
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.operators.ranking import tie_ranks
+from trellis.operators.ranking import weighted_positions
 
 LOG_EPS = 1e-15
 
@@ -69,19 +69,17 @@ def roc_auc(df: DataFrame, group_cols: list[str], label: str = "label",
             score: str = "score", out: str = "roc_auc") -> DataFrame:
     """Exact ROC AUC with ties averaged (Mann-Whitney rank-sum form).
 
-    AUC = (sum of average ranks of positives - P(P+1)/2) / (P * N).  Average
-    ranks come from :func:`tie_ranks`, which ranks through range partitioning,
-    so one (run, model) group holding most rows is still spread over tasks.
+    AUC = (sum of average ranks of positives - P(P+1)/2) / (P * N).  The rows are summed
+    once per score, with their positives; positions come from a range partitioning, so one
+    (run, model) group holding most rows is still spread over tasks.
     Groups with one class only give null.
     """
-    base = df.select(*group_cols, F.col(score).cast("double").alias("_s"),
-                     F.col(label).cast("double").alias("_y"))
-    ranks = tie_ranks(base, group_cols, "_s")
-    per_score = base.groupBy(*group_cols, "_s").agg(F.sum("_y").alias("_pos"))
-    joined = per_score.join(ranks, [*group_cols, "_s"])
-    agg = joined.groupBy(*group_cols).agg(
-        F.sum(F.col("_pos") * F.col("avg_rank")).alias("_rs"),
-        F.sum("_pos").alias("_p"), F.sum("n").alias("_n"))
+    counts = (df.groupBy(*group_cols, F.col(score).cast("double").alias("_s"))
+              .agg(F.count(F.lit(1)).alias("_c"), F.sum(F.col(label).cast("double")).alias("_pos")))
+    placed = weighted_positions(counts, group_cols, "_s", "_c")
+    agg = placed.groupBy(*group_cols).agg(
+        F.sum(F.col("_pos") * (F.col("lo") + (F.col("_c") + 1) / 2.0)).alias("_rs"),
+        F.sum("_pos").alias("_p"), F.sum("_c").alias("_n"))
     neg = F.col("_n") - F.col("_p")
     return agg.select(*group_cols, F.when((F.col("_p") > 0) & (neg > 0),
                       (F.col("_rs") - F.col("_p") * (F.col("_p") + 1) / 2.0)

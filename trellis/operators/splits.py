@@ -118,6 +118,67 @@ def exact_split(df: DataFrame, key_hash: str, tie: Column | str, test_frac: floa
     return sure.unionByName(again)
 
 
+def draw_mask(key_hash: str, runs: int, frac: float) -> Column:
+    """Roles of all runs in one number: bit r - 1 is set where the row's draw for run r falls
+    below ``frac``, as :func:`holdout` draws it.  Up to 62 runs."""
+    return _mask(runs, lambda run: seeded_hash(key_hash, run + F.lit(SEED_BASE).cast("bigint")) < F.lit(frac * TWO32))
+
+
+def in_mask(mask: str, run: Column | int) -> Column:
+    """Whether the bit of a run (1, 2, ...) is set."""
+    run = F.lit(run) if isinstance(run, int) else run
+    return F.call_function("shiftright", F.col(mask), (run - 1).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _mask(runs: int, member) -> Column:
+    if not 1 <= runs <= 62:
+        raise ValueError("a mask holds 1 to 62 runs")
+    bit = lambda run: F.call_function("shiftleft", F.lit(1).cast("bigint"), (run - 1).cast("int"))
+    seq = F.sequence(F.lit(1).cast("bigint"), F.lit(runs).cast("bigint"))
+    return F.aggregate(seq, F.lit(0).cast("bigint"),
+                       lambda acc, run: F.when(member(run), acc.bitwiseOR(bit(run))).otherwise(acc))
+
+
+def exact_mask(df: DataFrame, key_hash: str, tie: Column | str, frac: float, runs: int,
+               by: list[str] | None = None, among: str | None = None, mask_col: str = "test_mask") -> DataFrame:
+    """The test rows of :func:`exact_split` for all runs as one bit mask a row (bit r - 1: run
+    r), so that no row is copied once a run: the cuts of all groups and runs are one small
+    table, and a row compares its draws with them.
+
+    ``among``: a mask; its set bits take the row out of that run (a second cut among the
+    rows that a first one left).  Rows equal in every column are numbered first where a cut
+    falls among them.
+    """
+    by = list(by or [])
+    t = F.col(tie) if isinstance(tie, str) else tie
+    names = df.columns
+    rows = (df.withColumn("_k", F.coalesce(t.cast("string"), F.lit("")))
+            .withColumn("_x", F.xxhash64(*[F.col(c) for c in names])))
+    per_run = rows.select(*by, key_hash, "_k", "_x", *([among] if among else []), F.explode(
+        F.sequence(F.lit(1).cast("bigint"), F.lit(int(runs)).cast("bigint"))).alias("_run"))
+    if among:
+        per_run = per_run.where(~in_mask(among, F.col("_run")))
+    per_run = per_run.withColumn("_h", F.coalesce(seeded_hash(key_hash, F.col("_run") + F.lit(SEED_BASE)), F.lit(0)).cast("bigint"))
+    cut = _cut_of(per_run, [*by, "_run"], frac)
+    if not cut.where("_copies < _all").isEmpty():            # a cut among equal rows: tell them apart
+        if "_copy" in names:
+            raise ValueError("rows of equal hash in every column")
+        numbered = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+        numbered = numbered.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).drop("_n")
+        return exact_mask(numbered, key_hash, tie, frac, runs, by, among, mask_col).drop("_copy")
+    cuts = _small_side(cut.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_run", "_last"))).alias("_cuts")))
+    on = [F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] or [F.lit(True)]
+    joined = rows.alias("r").join(cuts.alias("c"), on, "left").select(
+        *[F.col(f"r.{c}") for c in [*names, "_k", "_x"]], "_cuts")
+
+    def member(run: Column) -> Column:
+        draw = F.coalesce(seeded_hash(key_hash, run + F.lit(SEED_BASE)), F.lit(0)).cast("bigint")
+        here = F.struct(draw.alias("_h"), F.col("_k"), F.col("_x")) <= F.element_at("_cuts", run)
+        return F.coalesce((here & ~in_mask(among, run)) if among else here, F.lit(False))
+
+    return joined.withColumn(mask_col, _mask(runs, member)).select(*names, mask_col)
+
+
 def _digits() -> list[Column]:
     """Order-preserving digits of (_h, _x), most significant first: 12, 10 and 10 bits of
     the draw, then 16 bits at a time of the hash of all columns (signed order)."""

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.operators.ranking import exact_quantiles
+from trellis.operators.ranking import quantiles_of, value_counts
 
 
 def summarize(results: DataFrame, metrics: list[str], group_cols=("model",),
@@ -25,18 +25,24 @@ def summarize(results: DataFrame, metrics: list[str], group_cols=("model",),
 def describe(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
     """A2: count, mean, std, min, 25%, 50%, 75%, max of one column by group.
 
-    Quantiles are exact (linear interpolation) and computed by ranks, not by
-    collecting each group's values.
+    The table is read once, into counts per value; everything else comes from these.
+    Quantiles are exact (linear interpolation) and computed by ranks, not by collecting
+    each group's values.  Null values are not counted.
     """
-    base = df.groupBy(*group_cols).agg(
-        F.count(F.col(value_col)).alias("count"), F.avg(value_col).alias("mean"),
-        F.stddev_samp(value_col).alias("std"), F.min(value_col).alias("min"),
-        F.max(value_col).alias("max"))
-    q = exact_quantiles(df.where(F.col(value_col).isNotNull()), group_cols, value_col,
-                        [0.25, 0.5, 0.75])
-    q = q.select(*group_cols, F.col("q_0").alias("q25"), F.col("q_1").alias("q50"),
-                 F.col("q_2").alias("q75"))
-    return base.join(q, group_cols)
+    rows, parts = value_counts(df, group_cols, value_col)
+    v, c = F.col(value_col), F.col("_c")
+    first = rows.groupBy(*group_cols).agg(F.sum("_c").alias("count"), (F.sum(v * c) / F.sum(c)).alias("mean"),
+                                          F.min(v).alias("min"), F.max(v).alias("max"))
+    on = [F.col(f"r.{g}").eqNullSafe(F.col(f"c.{g}")) for g in group_cols]
+    # deviations from the mean, so that large values lose no digits
+    spread_of = (rows.alias("r").join(first.select(*group_cols, "mean").alias("c"), on)
+                 .groupBy(*[F.col(f"r.{g}") for g in group_cols])
+                 .agg(F.sum((v - F.col("mean")) * (v - F.col("mean")) * c).alias("_ss")))
+    q = quantiles_of(rows, parts, group_cols, value_col, [0.25, 0.5, 0.75])
+    out = first.alias("r").join(spread_of.alias("c"), on).select("r.*", "_ss")
+    out = out.alias("r").join(q.alias("c"), on).select("r.*", "q_0", "q_1", "q_2")
+    return out.select(*group_cols, "count", "mean", F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1))).alias("std"),
+                      "min", "max", F.col("q_0").alias("q25"), F.col("q_1").alias("q50"), F.col("q_2").alias("q75"))
 
 
 def first_seen_order(df: DataFrame, value_col: str, order_col: str,

@@ -6,16 +6,17 @@ so a small driver thread pool submits the runs' fits concurrently.
 
 Early stopping with patience (M12): fit ``max_iter`` boosting rounds on the
 ``fit`` rows, read the validation loss after every round with
-``evaluateEachIteration`` (one pass), keep the best round with a patience of 10,
-and refit with exactly that many rounds (boosting is deterministic for a seed,
-so the refit equals the prefix).
+``evaluateEachIteration`` (one pass), keep the best round with a patience of 10:
+the model of the first rounds' trees and weights, with no second fit.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -45,7 +46,7 @@ def boosted(kind: str = "regression", max_iter: int = 100, step_size: float = 0.
             feature_subset: str = "all", seed: int = 42, num_leaves: int | None = None):
     """M8-M11.  A leaf-count limit maps to depth ``min(max_depth, ceil(log2 leaves))``."""
     if num_leaves:
-        max_depth = max(1, min(max_depth, math.ceil(math.log2(max(2, num_leaves)))))
+        max_depth = max(1, min(max_depth, math.ceil(math.log2(max(2, int(num_leaves))))))
     cls = GBTRegressor if kind == "regression" else GBTClassifier
     return cls(maxIter=max_iter, stepSize=step_size, maxDepth=max_depth,
                subsamplingRate=subsampling_rate, minInstancesPerNode=min_instances,
@@ -74,9 +75,28 @@ def fit_boosted_early_stop(est, fit_rows: DataFrame, valid_rows: DataFrame,
     else:
         losses = model.evaluateEachIteration(valid_rows)
     k = best_rounds(list(losses), patience)
-    if k >= est.getMaxIter():
-        return model, k
-    return est.copy({est.maxIter: k}).fit(fit_rows), k
+    return (model if k >= model.getNumTrees else first_rounds(model, k)), k
+
+
+def first_rounds(model, k: int):
+    """The boosted model of the first ``k`` trees of ``model`` and their weights."""
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.regression import GBTRegressionModel
+    gateway, java = SparkContext._active_spark_context._gateway, model._java_obj
+    trees, weights = java.trees(), java.treeWeights()
+    kind = gateway.jvm.java.lang.Class.forName(trees.getClass().getComponentType().getName())
+    some = gateway.jvm.java.lang.reflect.Array.newInstance(kind, k)
+    for i in range(k):
+        some[i] = trees[i]
+    own = gateway.new_array(gateway.jvm.double, k)
+    for i in range(k):
+        own[i] = weights[i]
+    regression = isinstance(model, GBTRegressionModel)
+    java_class = (gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel if regression
+                  else gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel)
+    part = java_class(java.uid(), some, own)
+    part = java.copyValues(part, java.extractParamMap())
+    return (GBTRegressionModel if regression else GBTClassificationModel)(part)
 
 
 def fit_per_run(runs: list, fit_one, threads: int = 4) -> list:
@@ -113,15 +133,47 @@ def trial_table(spark, n_trials: int, space: dict, seed: int = 42) -> DataFrame:
     return df
 
 
-def run_trials(trials: DataFrame, objective, threads: int = 4) -> DataFrame:
-    """Evaluate ``objective(params) -> loss`` for every trial (trials are few and
-    each objective is itself a distributed fit) and return trials with ``loss``."""
-    rows = [r.asDict() for r in trials.collect()]          # n_trials rows
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(rows)))) as pool:
-        losses = list(pool.map(objective, rows))
-    spark = trials.sparkSession
-    out = [(*[r[c] for c in trials.columns], float(l)) for r, l in zip(rows, losses)]
-    return spark.createDataFrame(out, trials.columns + ["loss"])
+def search(spark, spaces: dict[str, dict], n_trials: int, losses, threads: int = 4, seed: int = 42,
+           folder: str | None = None) -> DataFrame:
+    """``n_trials`` seeded trials of each flavour of ``spaces``, scored by
+    ``losses(flavour, params) -> {name: number}``: (flavour, trial, one column a parameter,
+    one a loss).
+
+    Trials are few and each is a distributed fit; they run from a small pool.  With a
+    ``folder`` in shared storage every finished trial is written there at once, and a search
+    that is started again takes up those it finds, so a lost driver costs the trials under
+    way only and the winner is the same.
+    """
+    jobs = []
+    for flavour, space in spaces.items():
+        for r in trial_table(spark, n_trials, space, seed).collect():                  # n_trials rows
+            jobs.append((flavour, {k: v for k, v in r.asDict().items()}))
+    done = {}
+    if folder and _exists(spark, folder):
+        done = {(r["flavour"], r["trial"]): json.loads(r["losses"]) for r in spark.read.parquet(f"{folder}/*").collect()}
+
+    def one(job):
+        flavour, params = job
+        key = (flavour, params["trial"])
+        if key in done:
+            return done[key]
+        found = losses(flavour, params)
+        if folder:
+            spark.createDataFrame([(flavour, params["trial"], json.dumps(found))], "flavour string, trial bigint, losses string").coalesce(
+                1).write.mode("overwrite").parquet(f"{folder}/{len(key[0])}-{key[0].replace(' ', '_')}-{key[1]}")
+        return found
+
+    found = fit_per_run(jobs, one, threads)
+    names = sorted({k for _, p in jobs for k in p if k != "trial"})
+    scores = list(found[0]) if found else []
+    rows = [(flavour, int(p["trial"]), *[None if p.get(k) is None else float(p[k]) for k in names], *[float(f[k]) for k in scores])
+            for (flavour, p), f in zip(jobs, found)]
+    return spark.createDataFrame(rows, ", ".join(["flavour string", "trial bigint", *[f"`{k}` double" for k in [*names, *scores]]]))
+
+
+def _exists(spark, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def best_trial(scored: DataFrame) -> DataFrame:

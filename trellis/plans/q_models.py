@@ -4,25 +4,37 @@ checks rows, and tests/ check laws (convergence, additivity, patience rule)."""
 
 from __future__ import annotations
 
+from functools import reduce
+from math import inf
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.functions.random import hash32
+from trellis.operators import explain as X
+from trellis.operators import leaves as LV
 from trellis.operators import logistic as LG
 from trellis.operators import metrics as M
 from trellis.operators import splits as S
 from trellis.operators import trees as TR
 from trellis.operators.features import levels
-from trellis.plans import price_models as PM
 from trellis.plans.registry import query, rounded
 from trellis.session import cut_lineage, table
 
-LOGISTIC_RUNS = 30
-TREE_RUNS = 3
+RUNS = 30
+#: the reference experiments' forests: 100 trees of any depth (30 is Spark ML's limit)
+FOREST = {"num_trees": 100, "max_depth": 30}
+#: two boosted flavours: trees bounded by depth, and by leaves with a part of the features a split
+BOOSTED = {"Boosted Trees (depth)": {"max_iter": 50, "step_size": 0.2, "max_depth": 4},
+           "Boosted Trees (leaves)": {"max_iter": 50, "step_size": 0.2, "num_leaves": 8, "feature_subset": "0.8"}}
+#: fits submitted at a time
+THREADS = 6
 
 
-def _doc_rows(spark, sf_dir, runs: int):
-    """Labelled rows with roles, and the names of their features."""
+def _doc_rows(spark, sf_dir):
+    """Labelled rows with the test mask of all runs, and the names of their features."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     langs = levels(docs, "lang")
@@ -30,24 +42,26 @@ def _doc_rows(spark, sf_dir, runs: int):
         "doc_id", "label", F.log1p(F.col("n_chars").cast("double")).alias("log_chars"),
         *[F.coalesce((F.col("lang") == x).cast("double"), F.lit(0.0)).alias(f"lang_{x}")
           for x in langs])
-    j = S.add_key_hash(j, "doc_id")
-    rows = S.stratified_split(S.with_runs(j, runs), "key_hash", "doc_id", "label", 0.2, "seed",
-                              extra_by=["run"])
+    j = j.withColumn("key_hash", hash32(F.col("doc_id")))
+    rows = S.exact_mask(j, "key_hash", "doc_id", 0.2, RUNS, by=["label"])
     return rows, ["log_chars", *[f"lang_{x}" for x in langs]]
 
 
+def _test_rows(rows, *cols):
+    """One row per run that a row is a test row of."""
+    runs = F.filter(F.sequence(F.lit(1).cast("bigint"), F.lit(RUNS).cast("bigint")), lambda r: S.in_mask("test_mask", r))
+    return rows.select(*cols, F.explode(runs).alias("run"))
+
+
 def _logistic(spark, sf_dir, penalty: str, name: str):
-    # the ranked split feeds the fit and the scoring: cut its lineage once
-    rows, features = _doc_rows(spark, sf_dir, LOGISTIC_RUNS)
-    rows = cut_lineage(rows)
-    fits = LG.fit_logistic(rows.where(F.col("role") == "train"), features, "label",
-                           ["run"], penalty=penalty)
-    test = LG.predict_logistic(rows.where(F.col("role") == "test"), fits, features,
-                               ["run"])
+    rows, features = _doc_rows(spark, sf_dir)
+    rows = cut_lineage(rows)                                 # one row a document, whatever the runs
+    fits = LG.fit_logistic_runs(rows, features, "label", RUNS, "test_mask", penalty)
+    test = LG.predict_logistic(_test_rows(rows, "label", *features), fits, features, ["run"])
     cm = M.classification_metrics(test, ["run"])
     auc = M.roc_auc(test, ["run"], "label", "probability")
-    out = cm.join(auc, "run").select(F.lit(name).alias("model"), "run", "n", "accuracy", "f1",
-                                     "roc_auc", "brier")
+    out = cm.join(auc, "run").join(fits.select("run", "converged"), "run").select(
+        F.lit(name).alias("model"), "run", "n", "accuracy", "f1", "roc_auc", "brier", "converged")
     return rounded(out)
 
 
@@ -66,176 +80,186 @@ def logistic_l1(spark, sf_dir):
 
 # ------------------------------------------------------------ tree ensembles
 
-PRICE_FEATURES = ["l_extendedprice", "l_discount", "l_quantity", "l_tax"]
+PRICE_FEATURES = ["p_retailprice", "p_size", "n_lines", "quantity", "discount", "tax"]
 
 
-def _price_feature_rows(spark, sf_dir, runs: int):
-    li = table(spark, sf_dir, "lineitem")
-    rows = li.select(*[F.col(c) for c in PM.LINEITEM_KEY], *PRICE_FEATURES,
-                     (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("label"))
-    rows = S.add_key_hash(rows, F.concat_ws(":", *[F.col(c).cast("string")
-                                                   for c in PM.LINEITEM_KEY]))
-    rows = S.add_key_hash(rows, F.concat_ws(":", *[F.col(c).cast("string")
-                                                   for c in PM.LINEITEM_KEY]),
-                          "valid_hash", salt="valid")
-    rows = S.nested_holdout(S.with_runs(rows, runs), "key_hash", "valid_hash", 0.2, 0.2, "seed")
-    va = VectorAssembler(inputCols=PRICE_FEATURES, outputCol="features")
-    return va.transform(rows).select("run", "role", "features", "label")
+def _part_rows(spark, sf_dir):
+    """Every part with what its lines sold for, and the role masks of all runs: one row a
+    part, persisted once for all fits."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.count(F.lit(1)).cast("double").alias("n_lines"), F.sum("l_quantity").cast("double").alias("quantity"),
+        F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"),
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("label"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("p_retailprice"),
+                                               F.col("p_size").cast("double").alias("p_size")).join(li, "p_partkey")
+    return _masked(VectorAssembler(inputCols=PRICE_FEATURES, outputCol="features").transform(rows), "p_partkey")
 
 
-def _tree_regression(spark, sf_dir, kind: str):
-    rows = _price_feature_rows(spark, sf_dir, TREE_RUNS).persist()
-    runs = list(range(1, TREE_RUNS + 1))
+def _embedding_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", array_to_vector(F.col("embedding")).alias("features"), (F.col("label") >= 5).cast("double").alias("label"))
+    return _masked(rows, "vec_id")
 
-    def fit_one(run):
-        mine = rows.where(F.col("run") == run)
-        if kind == "forest":   # forest uses all training rows
-            model = TR.forest_regressor(num_trees=20, max_depth=10, seed=41 + run).fit(
-                mine.where(F.col("role") != "test"))
-            rounds = None
-        else:                  # boosted: fit rows, stop on validation rows
-            est = TR.boosted("regression", max_iter=30, step_size=0.2, max_depth=4,
-                             seed=41 + run)
-            model, rounds = TR.fit_boosted_early_stop(est, mine.where(F.col("role") == "fit"),
-                                                      mine.where(F.col("role") == "valid"))
-        pred = model.transform(mine.where(F.col("role") == "test"))
-        return pred.select("run", "label", "prediction").withColumn(
-            "rounds", F.lit(rounds).cast("int"))
-
-    preds = None
-    for p in TR.fit_per_run(runs, fit_one):
-        preds = p if preds is None else preds.unionByName(p)
-    name = "Random Forest" if kind == "forest" else "Boosted Trees"
-    out = preds.groupBy("run", "rounds").agg(*M.regression_aggs()).select(
-        F.lit(name).alias("model"), "run", "rounds", "n", "rmse", "mae", "r2")
-    return rounded(out)
+
+def _masked(rows, key: str):
+    """(key, features, label) with ``test_mask`` and ``valid_mask``, two bits a run."""
+    rows = rows.withColumn("key_hash", hash32(F.col(key))).withColumn("valid_hash", hash32(F.col(key), F.lit("valid")))
+    return rows.select(key, "features", "label", S.draw_mask("key_hash", RUNS, 0.2).alias("test_mask"),
+                       S.draw_mask("valid_hash", RUNS, 0.2).alias("valid_mask"))
+
+
+def _role(rows, run: int, role: str):
+    test, valid = S.in_mask("test_mask", run), S.in_mask("valid_mask", run)
+    return rows.where({"test": test, "train": ~test, "valid": ~test & valid, "fit": ~test & ~valid}[role])
+
+
+def _small(rows):
+    """``rows`` persisted in as few parts as their number needs: a fit is many short jobs."""
+    rows = rows.persist()
+    n = rows.count()
+    parts = min(rows.rdd.getNumPartitions(), n // 50_000 + 1)
+    out = rows.coalesce(parts).persist()
+    out.count()
+    rows.unpersist()
+    return out
+
+
+def _tree_fits(rows, kind: str, task: str, runs=range(1, RUNS + 1)):
+    """Predictions (model, run, rounds, label, prediction[, probability]) on the test rows of
+    all runs: forests train on all other rows, boosted models on the fit rows and stop on
+    the validation rows.  One copy of the rows serves all fits."""
+    rows = _small(rows)
+
+    def fit_one(job):
+        name, run = job
+        if kind == "forest":
+            make = TR.forest_regressor if task == "regression" else TR.forest_classifier
+            model, rounds = make(seed=41 + run, **FOREST).fit(_role(rows, run, "train")), None
+        else:
+            est = TR.boosted(task, seed=41 + run, **BOOSTED[name])
+            model, rounds = TR.fit_boosted_early_stop(est, _role(rows, run, "fit"), _role(rows, run, "valid"))
+        scored = model.transform(_role(rows, run, "test"))
+        more = [] if task == "regression" else [vector_to_array("probability")[1].alias("probability")]
+        # written at once, so that no model is kept for later
+        return cut_lineage(scored.select(F.lit(name).alias("model"), F.lit(run).cast("bigint").alias("run"),
+                                         F.lit(rounds).cast("int").alias("rounds"), "label", "prediction", *more))
+
+    names = ["Random Forest"] if kind == "forest" else list(BOOSTED)
+    parts = TR.fit_per_run([(n, r) for n in names for r in runs], fit_one, THREADS)
+    rows.unpersist()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _tree_regression(spark, sf_dir, kind: str):
+    preds = _tree_fits(_part_rows(spark, sf_dir), kind, "regression")
+    return rounded(preds.groupBy("model", "run", "rounds").agg(*M.regression_aggs()).select(
+        "model", "run", "rounds", "n", "rmse", "mae", "r2"))
 
 
 @query("forest_regression")
 def forest_regression(spark, sf_dir):
-    """Random forest of net price on four lineitem columns, 3 runs."""
+    """Random forest of 100 trees of any depth, of parts' sales on six columns of
+    part and lineitem, 30 runs."""
     return _tree_regression(spark, sf_dir, "forest")
 
 
 @query("boosted_regression")
 def boosted_regression(spark, sf_dir):
-    """Boosted trees with patience-10 early stopping on validation rows."""
+    """Both boosted flavours with patience-10 early stopping on validation
+    rows, 30 runs."""
     return _tree_regression(spark, sf_dir, "boosted")
 
 
-def _embedding_rows(spark, sf_dir, runs: int):
-    emb = table(spark, sf_dir, "embeddings")
-    rows = emb.select("vec_id", array_to_vector(F.col("embedding")).alias("features"),
-                      (F.col("label") >= 5).cast("double").alias("label"))
-    rows = S.add_key_hash(rows, "vec_id")
-    rows = S.add_key_hash(rows, "vec_id", "valid_hash", salt="valid")
-    return S.nested_holdout(S.with_runs(rows, runs), "key_hash", "valid_hash", 0.2, 0.2, "seed")
-
-
 def _tree_classification(spark, sf_dir, kind: str):
-    rows = _embedding_rows(spark, sf_dir, TREE_RUNS).persist()
-    runs = list(range(1, TREE_RUNS + 1))
-
-    def fit_one(run):
-        mine = rows.where(F.col("run") == run)
-        if kind == "forest":
-            model = TR.forest_classifier(num_trees=30, max_depth=8, seed=41 + run).fit(
-                mine.where(F.col("role") != "test"))
-        else:
-            est = TR.boosted("classification", max_iter=25, step_size=0.2, max_depth=4,
-                             seed=41 + run)
-            model, _ = TR.fit_boosted_early_stop(est, mine.where(F.col("role") == "fit"),
-                                                 mine.where(F.col("role") == "valid"))
-        pred = model.transform(mine.where(F.col("role") == "test"))
-        return pred.select("run", "label", "prediction",
-                           vector_to_array("probability")[1].alias("probability"))
-
-    preds = None
-    for p in TR.fit_per_run(runs, fit_one):
-        preds = p if preds is None else preds.unionByName(p)
-    name = "Random Forest" if kind == "forest" else "Boosted Trees"
-    cm = M.classification_metrics(preds, ["run"])
-    auc = M.roc_auc(preds, ["run"], "label", "probability")
-    return rounded(cm.join(auc, "run").select(F.lit(name).alias("model"), "run", "n",
-                                              "accuracy", "f1", "roc_auc", "brier"))
+    preds = _tree_fits(_embedding_rows(spark, sf_dir), kind, "classification")
+    cm = M.classification_metrics(preds, ["model", "run"])
+    auc = M.roc_auc(preds, ["model", "run"], "label", "probability")
+    return rounded(cm.join(auc, ["model", "run"]).select("model", "run", "n", "accuracy", "f1", "roc_auc", "brier"))
 
 
 @query("forest_classification")
 def forest_classification(spark, sf_dir):
-    """Forest classifier on 64-dim embeddings (label >= 5), 3 runs."""
+    """Forest classifier of 100 trees of any depth on 64-dim embeddings
+    (label >= 5), 30 runs."""
     return _tree_classification(spark, sf_dir, "forest")
 
 
 @query("boosted_classification")
 def boosted_classification(spark, sf_dir):
-    """Boosted classifier with patience stopping, 3 runs."""
+    """Both boosted flavours with patience stopping, 30 runs."""
     return _tree_classification(spark, sf_dir, "boosted")
 
 
-SEARCH_SPACE = {"max_depth": ("int", 2, 6), "step_size": ("log", 1e-2, 0.5),
-                "subsampling_rate": ("float", 0.5, 1.0), "max_iter": ("int", 5, 20)}
+TRIALS = 50
+SEARCH_SPACE = {
+    "Boosted Trees (depth)": {"max_depth": ("int", 2, 6), "step_size": ("log", 1e-2, 0.5),
+                              "subsampling_rate": ("float", 0.5, 1.0), "max_iter": ("int", 5, 20)},
+    "Boosted Trees (leaves)": {"num_leaves": ("int", 2, 64), "step_size": ("log", 1e-2, 0.5),
+                               "subsampling_rate": ("float", 0.5, 1.0), "max_iter": ("int", 5, 20)}}
 
 
 @query("search_best_trial")
 def search_best_trial(spark, sf_dir):
-    """6 seeded trials of boosted-tree settings scored by test RMSE
-    of run 1; every trial with its loss and the best one flagged."""
-    rows = _price_feature_rows(spark, sf_dir, 1).persist()
-    fit = rows.where(F.col("role") == "fit")
-    valid = rows.where(F.col("role") == "valid")
-    test = rows.where(F.col("role") == "test")
-    trials = TR.trial_table(spark, 6, SEARCH_SPACE, seed=42)
-
-    def objective(p):
-        est = TR.boosted("regression", max_iter=int(p["max_iter"]),
-                         step_size=float(p["step_size"]), max_depth=int(p["max_depth"]),
-                         subsampling_rate=float(p["subsampling_rate"]), seed=42)
-        model, _ = TR.fit_boosted_early_stop(est, fit, valid)
-        pred = model.transform(test)
-        return pred.agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0]
-
-    scored = TR.run_trials(trials, objective)
-    best = TR.best_trial(scored).select(F.col("trial").alias("_best"))
-    return rounded(scored.join(F.broadcast(best), F.col("trial") == F.col("_best"), "left")
-                   .withColumn("is_best", F.col("_best").isNotNull()).drop("_best"))
+    """50 seeded trials of each boosted flavour, scored by test RMSE, train RMSE
+    and their ratio on run 1; the best trial of each flavour and loss flagged."""
+    rows = _small(_part_rows(spark, sf_dir))
+    fit, valid, test = (_role(rows, 1, role) for role in ("fit", "valid", "test"))
+    rmse = F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))
+
+    def losses(flavour: str, p: dict) -> dict:
+        est = TR.boosted("regression", seed=42, **{k: v for k, v in p.items() if k != "trial"})
+        model, rounds = TR.fit_boosted_early_stop(est, fit, valid)
+        out = {k: float(model.transform(r).agg(rmse).first()[0]) for k, r in (("rmse_test", test), ("rmse_train", fit))}
+        return {"rounds": rounds, **out, "overfitting": out["rmse_test"] / out["rmse_train"] if out["rmse_train"] else inf}
+
+    scored = TR.search(spark, SEARCH_SPACE, TRIALS, losses, THREADS)
+    rows.unpersist()
+    best = reduce(DataFrame.unionByName, [
+        scored.groupBy("flavour").agg(F.min_by("trial", F.struct(loss, "trial")).alias("trial")).select(
+            "flavour", "trial", F.lit(loss).alias("best_by")) for loss in ("rmse_test", "rmse_train", "overfitting")])
+    best = best.groupBy("flavour", "trial").agg(F.array_join(F.array_sort(F.collect_list("best_by")), ",").alias("best_by"))
+    return rounded(scored.join(F.broadcast(best), ["flavour", "trial"], "left")
+                   .withColumn("best_by", F.coalesce("best_by", F.lit(""))))
 
 
 # ------------------------------------------------------------ tree explanations
 
-def _explained_forest(spark, sf_dir, num_trees: int, max_depth: int):
-    rows = _embedding_rows(spark, sf_dir, 1)                 # run 1: seed 42
-    model = TR.forest_classifier(num_trees=num_trees, max_depth=max_depth, seed=42).fit(
-        rows.where(F.col("role") != "test"))
+def _explained_forest(spark, sf_dir, **forest):
+    """Every run's rows and forest, one after the other."""
+    rows = _small(_embedding_rows(spark, sf_dir))
     names = [f"emb_{j}" for j in range(64)]
-    return rows, model, names
 
+    def fit_one(run):
+        return run, TR.forest_classifier(seed=41 + run, **forest).fit(_role(rows, run, "train"))
+
+    return rows, names, TR.fit_per_run(list(range(1, RUNS + 1)), fit_one, THREADS)
+
+
+def _contribution_report(parts, rows):
+    """X4 by run: importance order and the spread of each feature's contributions."""
+    def summed(item):
+        run, phi = item
+        return cut_lineage(X.contribution_summary(phi).withColumn("run", F.lit(run).cast("bigint")))
 
-def _contribution_report(phi):
-    from pyspark.sql import Window
-    from trellis.operators import explain as X
-    summ = X.contribution_summary(phi)
-    return rounded(summ.withColumn(
-        "importance_rank",
-        F.row_number().over(Window.orderBy(F.col("mean_abs_phi").desc(), "feature"))
-        .cast("bigint")))
+    summ = reduce(DataFrame.unionByName, TR.fit_per_run(parts, summed, THREADS))
+    rows.unpersist()
+    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.col("mean_abs_phi").desc(), "feature"))   # features of a run
+    return rounded(summ.withColumn("importance_rank", rank.cast("bigint")))
 
 
 @query("tree_contributions")
 def tree_contributions(spark, sf_dir):
-    """Path-dependent tree contributions of a forest classifier (class-1
-    probability) for every embedding row, summarised by feature."""
-    from trellis.operators import treeshap as TS
-    rows, model, names = _explained_forest(spark, sf_dir, 10, 5)
-    phi = TS.explain_path_dependent(rows, model, names, ["vec_id"])
-    return _contribution_report(phi)
+    """Path-dependent contributions of a forest classifier of 100 trees (class-1
+    probability) for the test rows of 30 runs, summarised by run and feature."""
+    rows, names, models = _explained_forest(spark, sf_dir, num_trees=100, max_depth=5)
+    return _contribution_report([(run, LV.explain_path_dependent(_role(rows, run, "test"), model, names, ["vec_id"]))
+                                 for run, model in models], rows)
 
 
 @query("tree_contributions_background")
 def tree_contributions_background(spark, sf_dir):
-    """Contributions against a seeded background sample of 50 training
-    rows (bounded by the sampling operator), for every embedding row."""
-    from trellis.operators import treeshap as TS
-    rows, model, names = _explained_forest(spark, sf_dir, 5, 4)
-    bg = S.seeded_sample(rows.where(F.col("role") != "test"), "vec_id", 50, seed=42)
-    phi = TS.explain_interventional(rows, model, names, ["vec_id"], bg, max_background=50)
-    return _contribution_report(phi)
+    """Contributions against all training rows as the background, for the test rows of 30
+    runs."""
+    rows, names, models = _explained_forest(spark, sf_dir, num_trees=20, max_depth=4)
+    return _contribution_report([(run, LV.explain_interventional(_role(rows, run, "test"), model, names, ["vec_id"],
+                                                                 _role(rows, run, "train"))) for run, model in models], rows)
