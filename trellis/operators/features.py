@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trellis.operators.ranking import weighted_positions
+
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     """Names of numeric columns."""
@@ -80,6 +82,27 @@ def one_hot_pipeline(cat_cols: list[str], num_cols: list[str] | None = None,
     return Pipeline(stages=stages)
 
 
+def level_slots(df: DataFrame, col: str, by_frequency: bool = True) -> DataFrame:
+    """the dictionary of a categorical column as a table ``(level, n, slot)``, null
+    levels left out.
+
+    Slots are numbered from 0 by falling count, then level (or by level), over a range
+    partitioning: any number of levels, none of them on the driver.
+    """
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct((-F.col("n")).alias("n"), "level") if by_frequency else F.struct("level")
+    placed = weighted_positions(counts.withColumn("_g", F.lit(0)).withColumn("_o", order).withColumn("_w", F.lit(1)),
+                                ["_g"], "_o", "_w")
+    return placed.select("level", "n", F.col("lo").alias("slot"))
+
+
+def hot_slots(df: DataFrame, col: str, slots: DataFrame, slot_col: str = "slot") -> DataFrame:
+    """``df`` with the slot of its level: the place of the 1 in a one-hot row, which is
+    all there is to such a row; null where the level is null or was not seen in fitting."""
+    known = slots.select(F.col("level").alias("_level"), F.col("slot").alias(slot_col))
+    return df.join(known, F.col(col).cast("string") == F.col("_level"), "left").drop("_level")
+
+
 def encoded_feature_names(fitted, cat_cols: list[str], num_cols: list[str]) -> list[str]:
     """Output names ``num..., <col>_<level>...`` in vector order."""
     indexer = fitted.stages[0]
@@ -89,14 +112,6 @@ def encoded_feature_names(fitted, cat_cols: list[str], num_cols: list[str]) -> l
     return names
 
 
-def hot_slot(vec_col: str) -> Column:
-    """0-based position of the 1 in a one-hot vector, null when all zeros."""
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array(F.col(vec_col))
-    pos = F.array_position(arr, 1.0)
-    return F.when(pos > 0, pos - 1)
-
-
 def equal_width_bins_many(df: DataFrame, cols: list[str], k: int = 3,
                           labels: list[str] | None = None, suffix: str = "_bin") -> DataFrame:
     """F5 for many columns at once: one min/max aggregate (scalar subqueries over

@@ -89,11 +89,16 @@ def _on(cols: list[str], left: str = "r", right: str = "c"):
     return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols]
 
 
-def weighted_positions(df: DataFrame, part_cols: list[str], value_col: str, weight_col: str) -> DataFrame:
-    """For rows keyed by (group, value) with a weight: ``lo`` = total weight of
-    the group's rows with a smaller value (ties share one row upstream)."""
+def weighted_positions(df: DataFrame, part_cols: list[str], value_col: str, weight_col: str,
+                       ties: bool = False) -> DataFrame:
+    """For rows keyed by (group, value) with a weight: ``lo`` = total weight of the group's
+    rows with a smaller value (ties share one row upstream).  With ``ties`` several rows may
+    have one value, and ``lo`` counts all rows up to and with the value."""
     rows, parts = _ranged(df, part_cols, value_col, weight_col)
-    local = Window.partitionBy(*part_cols, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    if ties:                             # equal values lie in one part
+        local = Window.partitionBy(*part_cols, "_part").orderBy(value_col).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    else:
+        local = Window.partitionBy(*part_cols, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.withColumn("_l", F.coalesce(F.sum(weight_col).over(local), F.lit(0)))
     return (cells.alias("r").join(parts.alias("c"), _on([*part_cols, "_part"]))
             .select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_l") + F.col("_off")).cast("bigint").alias("lo")))

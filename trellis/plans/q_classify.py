@@ -55,22 +55,17 @@ FROM a LEFT JOIN tr ON a.level = tr.level
 
 @query("one_hot_unseen", ONE_HOT_SQL)
 def one_hot_unseen(spark, sf_dir):
-    """one-hot fitted on early events; levels first seen later encode
-    as all zeros.  Per level: seen in training, rows, rows with its slot set."""
+    """one-hot fitted on early events as a table of levels and slots; levels first
+    seen later have no slot.  Per level: seen in training, rows, rows with its slot set."""
     ev = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("level"), "ts")
     train = ev.where(F.col("ts") < F.lit(TRAIN_END).cast("timestamp_ntz"))
-    fitted = FE.one_hot_pipeline(["level"], [], "features").fit(train)
-    n_levels = len(fitted.stages[0].labelsArray[0])       # the model's own label list
-    enc = fitted.transform(ev).withColumn("_slot", FE.hot_slot("level__ohe"))
-    # unseen levels get the extra last index and an all-zero vector; a seen level's
-    # slot must be its own index
-    seen = F.col("level__idx") < F.lit(float(n_levels))
-    per = enc.groupBy("level").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(F.when(F.col("_slot") == F.col("level__idx"), 1)).alias("n_hot"),
-        F.max(seen.cast("int")).alias("seen"))
-    return per.select("level", "seen", "n_rows", "n_hot")
+    # rows are summed per level before they meet the dictionary, so a frequent level is one row
+    per = ev.groupBy("level").agg(F.count(F.lit(1)).alias("n_rows"))
+    hot = FE.hot_slots(per, "level", FE.level_slots(train, "level"))
+    seen = F.col("slot").isNotNull()
+    return hot.select("level", seen.cast("int").alias("seen"), "n_rows",
+                      F.when(seen, F.col("n_rows")).otherwise(0).alias("n_hot"))
 
 
 # ------------------------------------------------------------ F5 equal-width bins
@@ -192,3 +187,21 @@ def roc_auc(spark, sf_dir):
     cnt = j.groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
                                 F.sum("quality").cast("bigint").alias("n_pos"))
     return rounded(cnt.join(auc, "lang"))
+
+
+# ------------------------------------------------------------ F2, F6 dictionary of levels
+
+LEVELS_SQL = f"""
+WITH n AS (SELECT CAST(user_id AS VARCHAR) AS level, count(*) AS n FROM events
+           WHERE ts < TIMESTAMP '{TRAIN_END}' AND user_id IS NOT NULL GROUP BY 1)
+SELECT level, n, row_number() OVER (ORDER BY n DESC, level) - 1 AS slot,
+       'user_id_' || level AS feature FROM n
+"""
+
+
+@query("level_slots", LEVELS_SQL)
+def level_slots(spark, sf_dir):
+    """The dictionary of a one-hot encoder: level, count, slot by falling count,
+    and the encoded feature's name."""
+    train = table(spark, sf_dir, "events").where(F.col("ts") < F.lit(TRAIN_END).cast("timestamp_ntz"))
+    return FE.level_slots(train, "user_id").select("level", "n", "slot", F.concat(F.lit("user_id_"), "level").alias("feature"))

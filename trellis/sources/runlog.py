@@ -12,19 +12,31 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.operators.ranking import weighted_positions
+from trellis.session import cut_lineage
 
 LINE_RE = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] ([A-Z]+): (.*)$"
 PROGRAM_RE = r"([A-Za-z0-9_]+\.py)"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines with their file; a line's place is its time stamp, not its number."""
-    return (spark.read.text(path, wholetext=False)
-            .withColumn("file", F.input_file_name()))
+    """Raw lines ``value`` with their ``file`` and ``line``, numbered from 0 in the file.
+
+    Files are read in splits by many tasks.  A line's place is its split's start in the
+    file and its place in the split; lines are counted per split, a running sum over the
+    splits of a file gives each split's first number, and nothing is sorted.
+    """
+    lines = cut_lineage(spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id")))
+    splits = lines.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(splits, ["file", "_start"]).select(
+        "value", "file", (F.col("_id") - F.col("_first") + F.col("_before")).alias("line"))
 
 
 def parse_log(lines: DataFrame, text_col: str = "value") -> DataFrame:
@@ -41,18 +53,18 @@ def parse_log(lines: DataFrame, text_col: str = "value") -> DataFrame:
 
 
 def number_batches(events: DataFrame, group_cols: list[str], ts_col: str,
-                   is_start, batch_col: str = "batch") -> DataFrame:
-    """L3: batch = number of batch starts at or before each row (per group)."""
+                   is_start, batch_col: str = "batch", line_col: str | None = None) -> DataFrame:
+    """L3: batch = number of batch starts at or before each row (per group).
+
+    Rows are in the order of ``ts_col``; with a ``line_col`` equal stamps keep the order of
+    their lines, without one they are one place: a start counts for all of them.  Rows
+    carry the running count through a range partitioning; nothing is joined back.
+    """
+    order = [ts_col] + ([line_col] if line_col else [])
     flagged = events.withColumn("_start", F.when(is_start, 1).otherwise(0).cast("bigint"))
-    per_ts = flagged.groupBy(*group_cols, F.col(ts_col).alias("_t")).agg(
-        F.sum("_start").alias("_w"))
-    # weighted positions need a numeric order value
-    per_ts = per_ts.withColumn("_tv", F.unix_micros(F.col("_t").cast("timestamp"))
-                               .cast("double"))
-    pos = weighted_positions(per_ts, group_cols, "_tv", "_w").select(
-        *group_cols, "_t", (F.col("lo") + F.col("_w")).alias(batch_col))
-    return (flagged.withColumn("_t", F.col(ts_col)).join(pos, [*group_cols, "_t"])
-            .drop("_t", "_start"))
+    flagged = flagged.withColumn("_o", F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)]))
+    pos = weighted_positions(flagged, group_cols, "_o", "_start", ties=True)
+    return pos.withColumn(batch_col, F.col("lo")).drop("_o", "_start", "lo")
 
 
 def program_status(parsed: DataFrame, group_cols: list[str], order_cols: list[str]) -> DataFrame:
