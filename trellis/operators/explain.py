@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.operators.ranking import exact_quantiles
+
 
 def linear_contributions(df: DataFrame, fits: DataFrame, means: DataFrame,
                          features: list[str], group_cols: list[str],
@@ -45,3 +47,20 @@ def contribution_summary(phi: DataFrame, group_cols: list[str] | None = None) ->
     if "base_value" in phi.columns:
         aggs.append(F.min("base_value").alias("base_value"))
     return phi.groupBy(*g, "feature").agg(*aggs)
+
+
+def contribution_spread(phi: DataFrame, value_bins: int = 5, phi_bins: int = 5) -> DataFrame:
+    """Per feature a grid of value bins (by exact quantiles of the value, so each
+    holds about as many rows) and equal ranges of the contribution: rows, smallest and
+    largest value and contribution, mean contribution.  Bounded by features x bins; the rows
+    are summed per task.  A value at a quantile lies in the bin below it."""
+    cuts = exact_quantiles(phi, ["feature"], "value", [k / value_bins for k in range(1, value_bins)])
+    edges = F.array(*[F.col(f"q_{k}") for k in range(value_bins - 1)])
+    ends = phi.groupBy("feature").agg(F.min("phi").alias("_lo"), F.max("phi").alias("_hi"))
+    known = cuts.select("feature", edges.alias("_cuts")).join(ends, "feature")      # a row a feature
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(phi_bins))
+    value_bin = (F.size(F.filter("_cuts", lambda c: F.col("value") > c)) + 1).cast("bigint")
+    phi_bin = F.when(width > 0, F.least(F.floor((F.col("phi") - F.col("_lo")) / width) + 1, F.lit(phi_bins))).otherwise(1).cast("bigint")
+    return (phi.join(known, "feature").groupBy("feature", value_bin.alias("value_bin"), phi_bin.alias("phi_bin"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+                 F.min("phi").alias("min_phi"), F.max("phi").alias("max_phi"), F.avg("phi").alias("mean_phi")))

@@ -4,17 +4,18 @@ One aggregate over the data gives, per group (run, fold, ...), the sums
 ``n, sum x, sum y, sum x x', sum x y, sum y^2``.  Everything else works on those
 few numbers per group:
 
-* least squares (M1): pseudo-inverse of the centred cross-product matrix, so it
-  copes with more features than rows;
+* least squares (M1) of a few features: pseudo-inverse of the centred cross-product
+  matrix; of many, or of more features than rows: :func:`ols_qr`, from triangular factors
+  that tasks merge, which keeps the digits that squared sums lose;
 * ridge (M2) and lasso (M3) paths over a penalty grid with k-fold choice: the
   statistics of "all folds but f" are the run total minus fold f, so 100
   penalties x 5 folds cost no extra pass over the data;
 * scoring of a fold from its own sums (SSE is a quadratic form of the sums).
 
 Per-group solves run in ``applyInPandas`` on groups of a handful of rows, so
-nothing heavy crosses the driver.  Wide tables (hundreds of features) use
-:func:`gram_sums_wide`, a tree-aggregate-like path: per-task partial matrices in
-``mapInPandas`` then a grouped sum of matrix cells.
+nothing heavy crosses the driver.  :func:`sums` uses :func:`gram_sums_wide`, whatever the
+number of features: per-task partial matrices in ``mapInPandas``, then a grouped sum of
+matrix cells.
 
 Penalty conventions (to match the usual library objectives):
 ridge minimises ``||y - a - Xb||^2 + alpha ||b||^2``;
@@ -30,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trellis.session import cut_lineage
+
 
 def logspace_alphas(lo: float = -4.0, hi: float = 4.0, num: int = 100) -> list[float]:
     """Penalty grid ``10^lo .. 10^hi`` (num points), as used by the CV models."""
@@ -293,9 +296,11 @@ def cv_path(fold_sums: DataFrame, p: int, group_cols: list[str], alphas: list[fl
 
 
 def cv_fit(fold_sums: DataFrame, p: int, group_cols: list[str], alphas: list[float],
-           kind: str = "ridge", fold_col: str = "fold") -> DataFrame:
+           kind: str = "ridge", fold_col: str = "fold", digits: int = 9) -> DataFrame:
     """Chosen penalty and refit on all folds: ridge by highest mean R2, lasso by
-    lowest mean MSE (ties to the larger penalty, the simpler model)."""
+    lowest mean MSE.  Scores that agree in ``digits`` decimals are ties, and go to the
+    larger penalty, the simpler model; so the choice does not hang on the last bits of a
+    flat path."""
     schema = _coef_schema(fold_sums, group_cols, [T.StructField("alpha", T.DoubleType())])
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -303,10 +308,10 @@ def cv_fit(fold_sums: DataFrame, p: int, group_cols: list[str], alphas: list[flo
         stats = [unpack(r, p) for _, r in pdf.iterrows()]
         total, rows = _cv_path(stats, alphas, kind)
         if kind == "ridge":
-            best = max(rows, key=lambda r: (r[2], r[1]))
+            best = max(rows, key=lambda r: (round(r[2], digits), r[1]))
             a, b = fit_ridge(total, best[1])
         else:
-            best = min(rows, key=lambda r: (r[3], -r[1]))
+            best = min(rows, key=lambda r: (round(r[3], digits), -r[1]))
             a, b = fit_lasso(total, best[1])
         out = {c: [pdf[c].iloc[0]] for c in group_cols}
         out.update(alpha=[best[1]], intercept=[a], coef=[b.tolist()])
@@ -346,16 +351,92 @@ def unshift_intercept(fits: DataFrame, features: list[str], shifts: dict,
     return fits.withColumn("intercept", a)
 
 
-WIDE_THRESHOLD = 40
-
-
 def sums(df: DataFrame, features: list[str], label: str = "label",
          group_cols: list[str] | None = None) -> DataFrame:
-    """Sufficient statistics by the cheaper path: column expressions for a few
-    features, per-task partial matrices (:func:`gram_sums_wide`) for many --
-    p(p+1)/2 aggregate columns stop being reasonable long before p = 200."""
-    if len(features) <= WIDE_THRESHOLD:
-        return gram_sums(df, features, label, group_cols)
-    arr = df.select(*(group_cols or []), F.array(*[F.col(f).cast("double") for f in features])
-                    .alias("_feats"), F.col(label).cast("double").alias(label))
-    return gram_sums_wide(arr, "_feats", len(features), label, group_cols)
+    """Sufficient statistics of any number of features, by per-task partial matrices."""
+    return gram_sums_wide(_as_array(df, features, label, group_cols), "_feats", len(features), label, group_cols)
+
+
+def _as_array(df: DataFrame, features: list[str], label: str, group_cols: list[str] | None) -> DataFrame:
+    return df.select(*(group_cols or []), F.array(*[F.col(f).cast("double") for f in features]).alias("_feats"),
+                     F.col(label).cast("double").alias(label))
+
+
+# ---------------------------------------------------------------- least squares by QR
+
+#: triangular factors that one task merges
+MERGED = 16
+
+
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """R of the rows, no taller than it is wide."""
+    return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
+
+
+def qr_factors(df: DataFrame, features: list[str], label: str, group_cols: list[str]) -> DataFrame:
+    """``(group..., r)``: the R factor of ``[1, features, label]`` over each group's rows, row
+    by row in one array of doubles.
+
+    A task reduces its rows to one small triangle a group as it reads them; triangles are
+    stacked and reduced again, ``MERGED`` at a time, until each group has one.  What is
+    shuffled depends on tasks and features, not on rows.
+    """
+    q, g = len(features) + 2, list(group_cols)
+    kinds = T.StructType([df.schema[c] for c in g] + [T.StructField("_task", T.LongType()), T.StructField("r", T.ArrayType(T.DoubleType()))])
+
+    def reduce_rows(batches):
+        held: dict = {}
+        for pdf in batches:
+            rows = np.c_[np.ones(len(pdf)), np.vstack(pdf["_feats"].to_numpy()).astype(float), pdf[label].to_numpy(float)] if len(pdf) else None
+            if rows is None:
+                continue
+            found = pdf.groupby(g, sort=False, dropna=False).indices if g else {(): np.arange(len(pdf))}
+            for k, at in found.items():
+                k = k if isinstance(k, tuple) else (k,)
+                for a in range(0, len(at), 4 * q):
+                    held[k] = _triangle(np.vstack([held[k], rows[at[a:a + 4 * q]]]) if k in held else rows[at[a:a + 4 * q]])
+        if held:
+            from pyspark import TaskContext
+            out = pd.DataFrame(list(held), columns=g) if g else pd.DataFrame(index=range(1))
+            out["_task"] = TaskContext.get().partitionId()
+            out["r"] = [r.ravel() for r in held.values()]
+            yield out[[*g, "_task", "r"]]
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.iloc[:1].copy()
+        out["_task"] = out["_task"] // MERGED
+        out["r"] = [_triangle(np.vstack([np.asarray(r).reshape(-1, q) for r in pdf.sort_values("_task")["r"]])).ravel()]
+        return out[[*g, "_task", "r"]]
+
+    factors = cut_lineage(_as_array(df, features, label, g).mapInPandas(reduce_rows, kinds))
+    while factors.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        factors = cut_lineage(factors.groupBy(*g, F.floor(F.col("_task") / MERGED).alias("_part")).applyInPandas(
+            lambda pdf: merge(pdf.drop(columns="_part")), kinds))
+    return factors.drop("_task")
+
+
+def fit_triangle(r: np.ndarray) -> tuple[float, np.ndarray]:
+    """Intercept and coefficients from R of ``[1, X, y]``; minimum norm where features
+    outnumber rows.  What lies right of and below the first entry is R of the centred rows."""
+    inner = r[1:, 1:-1]
+    if not len(inner):
+        return float(r[0, -1] / r[0, 0]), np.zeros(r.shape[1] - 2)
+    d = np.sqrt((inner ** 2).sum(axis=0))
+    d[d == 0] = 1.0
+    beta = np.linalg.lstsq(inner / d, r[1:, -1], rcond=1e-13)[0] / d
+    return float((r[0, -1] - r[0, 1:-1] @ beta) / r[0, 0]), beta
+
+
+def ols_qr(df: DataFrame, features: list[str], label: str, group_cols: list[str]) -> DataFrame:
+    """M1 per group for any number of features: ``(group..., intercept, coef array)``."""
+    q = len(features) + 2
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a group of fewer rows than columns has them as they are: make the first column [r, 0, 0, ...]
+        r = np.linalg.qr(np.asarray(pdf["r"].iloc[0]).reshape(-1, q), mode="r")
+        a, b = fit_triangle(r)
+        out = {c: [pdf[c].iloc[0]] for c in group_cols}
+        return pd.DataFrame({**out, "intercept": [a], "coef": [b.tolist()]})
+
+    factors = qr_factors(df, features, label, group_cols)
+    return factors.groupBy(*group_cols).applyInPandas(fn, _coef_schema(factors, group_cols, []))

@@ -53,9 +53,7 @@ def linear_predictions(d: DataFrame, features: list[str], label: str,
     p = len(features)
     fits = []
     if "ols" in models:
-        sums = L.sums(train, features, label, ["run"])
-        fits.append(L.ols_from_sums(sums, p, ["run"]).withColumn("model",
-                                                                  F.lit("Linear Regression")))
+        fits.append(L.ols_qr(train, features, label, ["run"]).withColumn("model", F.lit("Linear Regression")))
     if "ridge" in models or "lasso" in models:
         fold_sums = L.sums(train, features, label, ["run", "fold"])
         for kind, name in (("ridge", "Ridge"), ("lasso", "Lasso")):

@@ -43,18 +43,9 @@ def ols_by_segment(spark, sf_dir):
     j = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
         F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("x"),
         F.col("o_totalprice").alias("label"))
-    sums = L.gram_sums(j, ["x"], "label", ["segment"])
-    # one row per segment (bounded by the category count): computed once, then
-    # used by the fit and by the R2 below without re-running the join
-    sums = spark.createDataFrame(sums.collect(), sums.schema)
-    fits = L.ols_from_sums(sums, 1, ["segment"])
-    # R2 of a one-feature fit from the same sums: b * Cxy / Cyy
-    cxy = F.col("sxy_0") - F.col("sx_0") * F.col("sy") / F.col("n")
-    cyy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    out = fits.join(sums, "segment").select(
-        "segment", F.col("n").cast("bigint").alias("n"), "intercept",
-        F.col("coef")[0].alias("slope"), (F.col("coef")[0] * cxy / cyy).alias("r2"))
-    return rounded(out)
+    return rounded(j.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"), F.regr_intercept("label", "x").alias("intercept"),
+        F.regr_slope("label", "x").alias("slope"), F.regr_r2("label", "x").alias("r2")))
 
 
 # ------------------------------------------------------------ two-feature OLS per run
@@ -195,6 +186,44 @@ def lasso_path(spark, sf_dir):
     return rounded(path)
 
 
+def _choice_sql(kind: str) -> str:
+    """The path's best penalty of each run and its refit on all training rows."""
+    path = _path_sql(kind)
+    at = path.rindex("SELECT run, alpha_idx")
+    score = "-round(avg(1 - sse / sst), 6)" if kind == "ridge" else "round(avg(sse / fn), 6)"
+    if kind == "ridge":
+        slope = "(tsxy - tsx * tsy / tn) / ((tsxx - tsx * tsx / tn) + alpha)"
+    else:
+        z = "((tsxy - tsx * tsy / tn) / tn)"
+        slope = f"sign({z}) * greatest(abs({z}) - alpha, 0) / ((tsxx - tsx * tsx / tn) / tn)"
+    return f"""{path[:at].rstrip()},
+scored AS (SELECT run, alpha_idx, alpha, {score} AS score FROM ev GROUP BY run, alpha_idx, alpha),
+best AS (SELECT run, alpha FROM scored
+         QUALIFY row_number() OVER (PARTITION BY run ORDER BY score, alpha DESC) = 1),
+refit AS (SELECT run, alpha, {slope} AS slope, tsx / tn AS mx, tsy / tn AS my FROM best JOIN tot USING (run))
+SELECT run, {r6('alpha', 'alpha')}, {r6('my - slope * mx', 'intercept')}, {r6('slope', 'slope')} FROM refit
+"""
+
+
+def _choice(spark, sf_dir, kind: str):
+    fits = L.cv_fit(_fold_sums(spark, sf_dir), 1, ["run"], ALPHAS, kind, digits=6)
+    return rounded(fits.select("run", "alpha", "intercept", F.col("coef")[0].alias("slope")))
+
+
+@query("ridge_choice", _choice_sql("ridge"))
+def ridge_choice(spark, sf_dir):
+    """The ridge penalty of highest mean R2 over five folds of each run, and the fit
+    with it on all training rows."""
+    return _choice(spark, sf_dir, "ridge")
+
+
+@query("lasso_choice", _choice_sql("lasso"))
+def lasso_choice(spark, sf_dir):
+    """The lasso penalty of lowest mean squared error over five folds of each run,
+    and the fit with it on all training rows."""
+    return _choice(spark, sf_dir, "lasso")
+
+
 # ------------------------------------------------------------ extrapolation by range split
 
 EXTRAPOLATION_SQL = f"""
@@ -239,37 +268,70 @@ def range_split_extrapolation(spark, sf_dir):
 
 # ------------------------------------------------------------ linear contributions
 
-CONTRIB_SQL = f"""
-WITH {_TWO_FEATURE_CTES},
+_CONTRIB_CTES = f"""
+{_TWO_FEATURE_CTES},
 ph AS (
-  SELECT fit.a + fit.b1 * fit.m1 + fit.b2 * fit.m2 + mu.gy AS base_value,
+  SELECT run, fit.a + fit.b1 * fit.m1 + fit.b2 * fit.m2 + mu.gy AS base_value,
+         x1 + g1 AS price, x2 + g2 AS discount,
          b1 * (x1 - m1) AS phi_price, b2 * (x2 - m2) AS phi_discount
-  FROM r JOIN fit USING (run) CROSS JOIN mu WHERE run = 1 AND role = 'test'),
+  FROM r JOIN fit USING (run) CROSS JOIN mu WHERE role = 'test')
+"""
+
+CONTRIB_SQL = f"""
+WITH {_CONTRIB_CTES},
 lng AS (
-  SELECT 'l_extendedprice' AS feature, phi_price AS phi, base_value FROM ph
-  UNION ALL SELECT 'l_discount', phi_discount, base_value FROM ph),
-agg AS (SELECT feature, count(*) AS n, avg(abs(phi)) AS mean_abs_phi, avg(phi) AS mean_phi,
+  SELECT run, 'l_extendedprice' AS feature, phi_price AS phi, base_value FROM ph
+  UNION ALL SELECT run, 'l_discount', phi_discount, base_value FROM ph),
+agg AS (SELECT run, feature, count(*) AS n, avg(abs(phi)) AS mean_abs_phi, avg(phi) AS mean_phi,
                min(phi) AS min_phi, max(phi) AS max_phi, min(base_value) AS base_value
-        FROM lng GROUP BY feature)
-SELECT feature, n, {r6('mean_abs_phi', 'mean_abs_phi')}, {r6('mean_phi', 'mean_phi')},
+        FROM lng GROUP BY run, feature)
+SELECT run, feature, n, {r6('mean_abs_phi', 'mean_abs_phi')}, {r6('mean_phi', 'mean_phi')},
        {r6('min_phi', 'min_phi')}, {r6('max_phi', 'max_phi')}, {r6('base_value', 'base_value')},
-       row_number() OVER (ORDER BY mean_abs_phi DESC) AS importance_rank
+       row_number() OVER (PARTITION BY run ORDER BY mean_abs_phi DESC) AS importance_rank
 FROM agg
 """
 
 
-@query("linear_contributions", CONTRIB_SQL)
-def linear_contributions(spark, sf_dir):
-    """Exact additive contributions of the run-1 two-feature line on its
-    test rows, summarised by feature (mean |phi| order)."""
-    rows, shifts = _two_feature_rows(spark, sf_dir, runs=1)  # run 1 only: seed 42
+def _contributions(spark, sf_dir):
+    """(run, feature, value, phi, base_value) of the test rows of all runs."""
+    rows, shifts = _two_feature_rows(spark, sf_dir)
     train = rows.where(F.col("role") == "train")
     fits = _two_feature_fit(train)
     means = train.groupBy("run").agg(*[F.avg(f).alias(f) for f in TWO_FEATURES])
-    test = rows.where(F.col("role") == "test")
-    phi = X.linear_contributions(test, fits, means, TWO_FEATURES, ["run"])
-    phi = phi.withColumn("base_value", F.col("base_value") + shifts["label"])
-    summ = X.contribution_summary(phi)
-    return rounded(summ.withColumn(
-        "importance_rank",
-        F.row_number().over(Window.orderBy(F.col("mean_abs_phi").desc())).cast("bigint")))
+    phi = X.linear_contributions(rows.where(F.col("role") == "test"), fits, means, TWO_FEATURES, ["run"])
+    return phi.withColumn("base_value", F.col("base_value") + shifts["label"]), shifts
+
+
+@query("linear_contributions", CONTRIB_SQL)
+def linear_contributions(spark, sf_dir):
+    """Exact additive contributions of each run's two-feature line on its test
+    rows, summarised by feature (mean |phi| order)."""
+    phi, _ = _contributions(spark, sf_dir)
+    summ = X.contribution_summary(phi, ["run"])
+    # the window holds one run's features
+    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.col("mean_abs_phi").desc()))
+    return rounded(summ.withColumn("importance_rank", rank.cast("bigint")))
+
+
+SPREAD_SQL = f"""
+WITH {_CONTRIB_CTES},
+lng AS (
+  SELECT 'l_extendedprice' AS feature, round(price, 2) AS value, phi_price AS phi FROM ph
+  UNION ALL SELECT 'l_discount', round(discount, 2), phi_discount FROM ph),
+cut AS (SELECT feature, quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) AS q, min(phi) AS lo, max(phi) AS hi
+        FROM lng GROUP BY feature)
+SELECT feature, CAST(1 + (value > q[1])::INT + (value > q[2])::INT + (value > q[3])::INT + (value > q[4])::INT AS BIGINT) AS value_bin,
+       CAST(least(floor((phi - lo) / ((hi - lo) / 5.0)) + 1, 5) AS BIGINT) AS phi_bin, count(*) AS n,
+       {r6('min(value)', 'min_value')}, {r6('max(value)', 'max_value')},
+       {r6('min(phi)', 'min_phi')}, {r6('max(phi)', 'max_phi')}, {r6('avg(phi)', 'mean_phi')}
+FROM lng JOIN cut USING (feature) GROUP BY ALL
+"""
+
+
+@query("contribution_spread", SPREAD_SQL)
+def contribution_spread(spark, sf_dir):
+    """How contributions spread over the values of a feature, on the test rows of all
+    runs: fifths of the values against five equal ranges of the contribution."""
+    phi, shifts = _contributions(spark, sf_dir)
+    back = F.when(F.col("feature") == TWO_FEATURES[0], shifts[TWO_FEATURES[0]]).otherwise(shifts[TWO_FEATURES[1]])
+    return rounded(X.contribution_spread(phi.withColumn("value", F.round(F.col("value") + back, 2)), 5, 5))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.operators import summary as U
+from trellis.operators.explain import contribution_spread
 from trellis.operators.ranking import exact_quantiles
 
 
@@ -96,6 +97,7 @@ FIGURES = {                     # V9: figure name -> builder of its table(s)
     "extrapolation": extrapolation_curve,
     "coefficients": coefficient_bars,
     "contributions": contribution_dots,
+    "contribution_spread": contribution_spread,
 }
 
 
