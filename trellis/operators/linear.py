@@ -411,7 +411,7 @@ def qr_factors(df: DataFrame, features: list[str], label: str, group_cols: list[
     factors = cut_lineage(_as_array(df, features, label, g).mapInPandas(reduce_rows, kinds))
     while factors.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         factors = cut_lineage(factors.groupBy(*g, F.floor(F.col("_task") / MERGED).alias("_part")).applyInPandas(
-            lambda pdf: merge(pdf.drop(columns="_part")), kinds))
+            merge, kinds))
     return factors.drop("_task")
 
 
