@@ -24,7 +24,7 @@ from trellis.plans.registry import query, rounded
 from trellis.session import cut_lineage, table
 
 RUNS = 30
-#: the reference experiments' forests: 100 trees of any depth (30 is Spark ML's limit)
+#: forests of 100 trees of any depth (30 is Spark ML's limit)
 FOREST = {"num_trees": 100, "max_depth": 30}
 #: two boosted flavours: trees bounded by depth, and by leaves with a part of the features a split
 BOOSTED = {"Boosted Trees (depth)": {"max_iter": 50, "step_size": 0.2, "max_depth": 4},

@@ -17,7 +17,7 @@ BOOSTED = {"max_iter": 100, "step_size": 0.1, "max_depth": 6}
 
 
 def linearity(spark: SparkSession, runs: int = 30, n: int = 10000, **kw):
-    """ex1: low-rank linear data; linear models should win."""
+    """Low-rank linear data; linear models should win."""
     df = SY.linear_table(spark, n=n)
     feats = [c for c in df.columns if c.startswith("feature_")]
     return compare(df, feats, runs=runs, forest=kw.get("forest", FOREST),
@@ -25,7 +25,7 @@ def linearity(spark: SparkSession, runs: int = 30, n: int = 10000, **kw):
 
 
 def low_interaction(spark: SparkSession, runs: int = 30, n: int = 10000, **kw):
-    """ex2: Friedman-1; boosted trees should beat the forest."""
+    """Friedman-1; boosted trees should beat the forest."""
     df = SY.friedman1(spark, n=n)
     feats = [c for c in df.columns if c.startswith("feature_")]
     return compare(df, feats, runs=runs, forest=kw.get("forest", FOREST),
@@ -34,7 +34,7 @@ def low_interaction(spark: SparkSession, runs: int = 30, n: int = 10000, **kw):
 
 
 def extrapolation(spark: SparkSession, runs: int = 30, n: int = 500, **kw):
-    """ex3: train on |x| <= 1, test outside; trees stay flat, lines do not."""
+    """Train on |x| <= 1, test outside; trees stay flat, lines do not."""
     df = SY.grid_line(spark, n=n).drop("region")
     return compare(df, ["feature_0"], runs=runs, forest=kw.get("forest", FOREST),
                    boosted=kw.get("boosted", BOOSTED),
@@ -43,7 +43,7 @@ def extrapolation(spark: SparkSession, runs: int = 30, n: int = 500, **kw):
 
 
 def small_sample(spark: SparkSession, runs: int = 30, n: int = 100, p: int = 200, **kw):
-    """ex4: more features than rows; compare overfitting factors."""
+    """More features than rows; compare overfitting factors."""
     df = SY.wide_table(spark, n=n, p=p)
     df = df.select("row_id", "label", *[F.col("features")[j].alias(f"feature_{j}")
                                         for j in range(p)])
@@ -55,7 +55,7 @@ def small_sample(spark: SparkSession, runs: int = 30, n: int = 100, p: int = 200
 
 
 def interpretability(spark: SparkSession, runs: int = 30, n: int = 1000, **kw):
-    """ex5: two classes, numeric and binned categorical columns; logistic models
+    """Two classes, numeric and binned categorical columns; logistic models
     against forests and boosting on AUC, plus the coefficient table."""
     from trellis.plans.compare_classify import compare_classification
     df = SY.two_class_mixed(spark, n=n)
