@@ -47,10 +47,11 @@ def test_compare_timings_table(spark):
     df = SY.friedman1(spark, n=300)
     feats = [c for c in df.columns if c.startswith("feature_")]
     out = compare(df, feats, runs=2, forest={"num_trees": 3, "max_depth": 3},
-                  test_pair=("Random Forest", "Lasso"))
+                  test_pair=("Random Forest", "Lasso"), explain=True)
     t = out["timings"].toPandas()
-    assert set(t["phase"]) == {"train", "inference"}
-    assert (t["seconds"] >= 0).all() and len(t[t["model"] == "Random Forest"]) == 4
+    assert set(t["phase"]) == {"train", "inference", "explanation"}
+    assert (t["seconds"] >= 0).all() and len(t[t["model"] == "Random Forest"]) == 6
+    assert sorted(t[t["model"] == "all linear models"]["phase"]) == ["explanation", "inference", "train"]
 
 
 def test_compare_custom_estimator(spark):

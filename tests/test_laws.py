@@ -152,6 +152,72 @@ def test_logistic_l2_stationary(spark):
     assert np.max(np.abs(grad)) < 1e-6
 
 
+@pytest.mark.parametrize("penalty", ["l2", "l1"])
+def test_logistic_of_all_runs_equals_one_by_one(spark, penalty):
+    rng = np.random.default_rng(11)
+    n, runs = 300, 3
+    x = rng.normal(size=(n, 2)) * [3, 0.5] + [10, 0]
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] - 10 + x[:, 1])))).astype(int)
+    mask = rng.integers(0, 1 << runs, n)
+    rows = [(*map(float, r), int(t), int(m)) for r, t, m in zip(x, y, mask)]
+    df = spark.createDataFrame(rows, "a double, b double, y int, m bigint").repartition(4)
+    fits = {r["run"]: r for r in LG.fit_logistic_runs(df, ["a", "b"], "y", runs, "m", penalty, scale=["a"]).collect()}
+    for run in range(1, runs + 1):
+        train = (mask >> (run - 1)) & 1 == 0
+        a = x[train, 0]
+        z = np.c_[(a - a.mean()) / a.std(), x[train, 1]]
+        one = spark.createDataFrame([(run, *map(float, r), int(t)) for r, t in zip(z, y[train])], "run int, a double, b double, y int")
+        want = LG.fit_logistic(one, ["a", "b"], "y", ["run"], penalty).first()
+        got = fits[run]
+        assert got["converged"] and np.allclose(got["coef"], want["coef"], atol=1e-6)
+        assert got["intercept"] == pytest.approx(want["intercept"], abs=1e-6)
+        plain = x[train] @ np.array(got["raw_coef"]) + got["raw_intercept"]
+        assert np.allclose(plain, z @ np.array(got["coef"]) + got["intercept"])
+
+
+def test_masks_hold_the_roles_of_the_splits(spark):
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 3).cast("int").alias("label"))
+    d = S.add_key_hash(df, "k")
+    per_run = S.with_runs(d, 5)
+    want = {(r["run"], r["k"]): r["role"] for r in S.stratified_split(per_run, "key_hash", "k", "label", 0.2, "seed", ["run"]).collect()}
+    got = S.exact_mask(d, "key_hash", "k", 0.2, 5, by=["label"]).collect()
+    assert {(run, r["k"]): "test" if (r["test_mask"] >> (run - 1)) & 1 else "train" for r in got for run in range(1, 6)} == want
+    drawn = {(r["run"], r["k"]): r["role"] for r in S.holdout(per_run, "key_hash", 0.2, "seed").collect()}
+    bits = d.withColumn("m", S.draw_mask("key_hash", 5, 0.2)).collect()
+    assert {(run, r["k"]): "test" if (r["m"] >> (run - 1)) & 1 else "train" for r in bits for run in range(1, 6)} == drawn
+    # a second cut among what the first left, and a cut that falls among equal rows
+    two = S.exact_mask(S.exact_mask(d, "key_hash", "k", 0.2, 5, by=["label"]), "key_hash", "k", 0.25, 5, ["label"], "test_mask", "valid_mask").collect()
+    for run in range(5):
+        assert not any((r["test_mask"] >> run) & (r["valid_mask"] >> run) & 1 for r in two)
+        for label in range(3):
+            own = [r for r in two if r["label"] == label and not (r["test_mask"] >> run) & 1]
+            assert sum((r["valid_mask"] >> run) & 1 for r in own) == int(len(own) * 0.25 + 0.5)
+    same = S.exact_mask(S.add_key_hash(spark.range(50).select(F.lit(1).alias("k")), "k"), "key_hash", "k", 0.2, 4).collect()
+    assert [sum((r["test_mask"] >> run) & 1 for r in same) for run in range(4)] == [10] * 4
+
+
+def test_search_takes_up_finished_trials(spark, tmp_path):
+    spaces = {"A": {"x": ("float", 0, 1)}, "B": {"x": ("log", 0.1, 1), "n": ("int", 1, 5)}}
+    calls = []
+
+    def losses(flavour, p):
+        if len(calls) == 5:
+            raise RuntimeError("the driver is lost")
+        calls.append((flavour, p["trial"]))
+        return {"loss": (p["x"] - 0.3) ** 2}
+
+    folder = str(tmp_path / "trials")
+    with pytest.raises(RuntimeError):
+        TR.search(spark, spaces, 4, losses, threads=1, folder=folder)
+    first = list(calls)
+    calls.clear()
+    again = TR.search(spark, spaces, 4, losses, threads=1, folder=folder)
+    assert len(first) == 5 and not set(first) & set(calls) and len(calls) == 3
+    calls.clear()
+    whole = TR.search(spark, spaces, 4, lambda f, p: {"loss": (p["x"] - 0.3) ** 2}, threads=2)
+    assert sorted(map(str, again.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_signed_rank_normal_matches_known_value(spark):
     # 30 pairs all positive: W+ = 465, z = 4.78, p about 8.67e-07 (no continuity term)
     d = spark.createDataFrame([(1, float(i)) for i in range(1, 31)], "t int, d double")

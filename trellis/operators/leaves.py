@@ -173,9 +173,9 @@ def _node_leaves(nodes: list[dict], classifier: bool, weight: float) -> list[dic
     return out
 
 
-def leaf_model(model, features: int, trees: int | None = None) -> Model:
+def leaf_model(model, features: int, trees: int | None = None, spark: SparkSession | None = None) -> Model:
     """The leaves of a fitted Spark ML forest or boosted model, or of its first ``trees``."""
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession()         # a thread of its own has no active one
     path = shared_path(spark, f"trellis-model-{uuid.uuid4().hex}")
     model.write().overwrite().save(path)
     classifier = isinstance(model, RandomForestClassificationModel)
@@ -208,7 +208,7 @@ def explain_path_dependent(df: DataFrame, model, feature_names: list[str], id_co
                            features_col: str = "features") -> DataFrame:
     """Long table ``(id..., feature, value, phi, base_value, prediction)``; per row
     ``base_value + sum(phi) = prediction``."""
-    leaves = leaf_model(model, len(feature_names))
+    leaves = leaf_model(model, len(feature_names), spark=df.sparkSession)
     return _explained(df, leaves, feature_names, id_cols, features_col, leaves.base, leaves.contributions)
 
 
@@ -317,7 +317,7 @@ def explain_interventional(df: DataFrame, model, feature_names: list[str], id_co
                            background: DataFrame, features_col: str = "features") -> DataFrame:
     """Shapley values against all rows of ``background``, as
     :func:`explain_path_dependent` gives them; the base is the mean background prediction."""
-    leaves = leaf_model(model, len(feature_names))
+    leaves = leaf_model(model, len(feature_names), spark=df.sparkSession)
     spark = df.sparkSession
     path = shared_path(spark, f"trellis-patterns-{uuid.uuid4().hex}")
     background_patterns(background, leaves, features_col).write.parquet(path)

@@ -132,16 +132,17 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, group_cols: lis
 
 def fit_logistic_runs(df: DataFrame, features: list[str], label: str, runs: int, test_mask: str,
                       penalty: str = "l2", C: float = 1.0, max_iter: int = 50, tol: float = 1e-9,
-                      scale: bool = False) -> DataFrame:
+                      scale: list[str] | None = None) -> DataFrame:
     """As :func:`fit_logistic` with one group a run, from one copy of the rows: a row trains
     run r where bit r - 1 of ``test_mask`` is not set.  Returns ``(run, coef array,
-    intercept, iterations, converged)``.
+    intercept, raw_coef array, raw_intercept, iterations, converged)``.
 
     A Newton step is one pass: each task multiplies its rows with the weights of all runs
     and returns one array of partial sums a run, so nothing is copied and what is shuffled
-    does not depend on the rows.  ``scale``: features are taken less the mean of the run's
-    training rows and over their population deviation, as is usual before a penalty; the
-    coefficients are of the scaled features.
+    does not depend on the rows.  ``scale`` names features that are taken less the mean of
+    the run's training rows and over their population deviation, as is usual before a
+    penalty; ``coef`` is of the scaled features, ``raw_coef`` gives the same predictions
+    from the features as they are.
     """
     spark = df.sparkSession
     q = len(features) + 1
@@ -176,7 +177,8 @@ def fit_logistic_runs(df: DataFrame, features: list[str], label: str, runs: int,
         center = first[:, :q] / n
         spread = np.sqrt(np.maximum(first[:, q:] / n - center ** 2, 0.0))
         spread[spread <= 1e-12 * np.maximum(1.0, np.abs(center))] = 1.0
-        center[:, -1], spread[:, -1] = 0.0, 1.0              # the bias
+        as_is = np.array([c not in scale for c in features] + [True])     # and the bias
+        center[:, as_is], spread[:, as_is] = 0.0, 1.0
     w = np.zeros((runs, q))
     done, steps = np.zeros(runs, bool), np.zeros(runs, int)
     for it in range(1, max_iter + 1):
@@ -201,14 +203,20 @@ def fit_logistic_runs(df: DataFrame, features: list[str], label: str, runs: int,
         if done.all():
             break
     data.unpersist()
+    raw = w / spread
+    bias = w[:, -1] - (raw[:, :-1] * center[:, :-1]).sum(axis=1)
     return spark.createDataFrame(
-        [(r + 1, [float(v) for v in w[r, :-1]], float(w[r, -1]), int(steps[r]), bool(done[r])) for r in range(runs)],
-        "run bigint, coef array<double>, intercept double, iterations int, converged boolean")
+        [(r + 1, w[r, :-1].tolist(), float(w[r, -1]), raw[r, :-1].tolist(), float(bias[r]), int(steps[r]), bool(done[r]))
+         for r in range(runs)],
+        "run bigint, coef array<double>, intercept double, raw_coef array<double>, raw_intercept double, iterations int, "
+        "converged boolean")
 
 
 def predict_logistic(df: DataFrame, fits: DataFrame, features: list[str],
                      group_cols: list[str]) -> DataFrame:
     """``probability`` of class 1 and ``prediction`` at 0.5."""
+    if "raw_coef" in fits.columns:
+        fits = fits.select(*group_cols, F.col("raw_coef").alias("coef"), F.col("raw_intercept").alias("intercept"))
     z = F.col("intercept")
     for j, f in enumerate(features):
         z = z + F.col("coef")[j] * F.col(f).cast("double")

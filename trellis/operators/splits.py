@@ -130,6 +130,17 @@ def in_mask(mask: str, run: Column | int) -> Column:
     return F.call_function("shiftright", F.col(mask), (run - 1).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
+def role_rows(rows: DataFrame, run: int, role: str, test_mask: str = "test_mask", valid_mask: str = "valid_mask") -> DataFrame:
+    """The rows of a role (``test``, ``train``, ``valid``, ``fit``) in one run, by two masks."""
+    test, valid = in_mask(test_mask, run), in_mask(valid_mask, run)
+    return rows.where({"test": test, "train": ~test, "valid": ~test & valid, "fit": ~test & ~valid}[role])
+
+
+def runs_of(mask: str, runs: int) -> Column:
+    """One row per run whose bit is set: the runs that a row is a test row of."""
+    return F.explode(F.filter(F.sequence(F.lit(1).cast("bigint"), F.lit(runs).cast("bigint")), lambda r: in_mask(mask, r)))
+
+
 def _mask(runs: int, member) -> Column:
     if not 1 <= runs <= 62:
         raise ValueError("a mask holds 1 to 62 runs")

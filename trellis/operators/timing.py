@@ -1,9 +1,10 @@
-"""Timed fit / score / explain (E11-E13) and part shapes.
+"""Timed fit, score and explain (E11-E13) and part shapes.
 
-Wall-clock seconds are measured on the driver around a Spark action.  Inputs
-are materialised first (so the time is the fit, not the scan), and scoring is
-timed into Spark's no-op sink so nothing is collected.  Times are their own
-table and never compared by an oracle.
+Wall-clock seconds are measured on the driver around a Spark action.  Inputs are
+materialised first, so the time is the fit, not the scan; scoring and explaining are
+timed into Spark's no-op sink, so nothing is collected.  Each row of the table is one job
+that ran, with its scope: run 0 is a job for all runs at once.  Times are their own table
+and never compared by an oracle.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ def timed(fn, *args, **kw):
     return out, time.perf_counter() - t0
 
 
-
+def written(df: DataFrame) -> float:
+    """Seconds to work out all rows of ``df``, into the no-op sink."""
+    return timed(df.write.format("noop").mode("overwrite").save)[1]
 
 
 def timing_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:

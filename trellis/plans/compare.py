@@ -18,12 +18,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.operators import explain as X
+from trellis.operators import leaves as LV
 from trellis.operators import linear as L
 from trellis.operators import metrics as M
 from trellis.operators import paired as P
 from trellis.operators import splits as S
 from trellis.operators import summary as U
 from trellis.operators import trees as TR
+from trellis.operators.timing import timing_table, written
+from trellis.session import cut_lineage
 
 BOOSTED = "Boosted Trees"
 LINEAR_MODELS = {"Linear Regression": "ols", "Ridge": "ridge", "Lasso": "lasso"}
@@ -71,47 +75,56 @@ def linear_predictions(d: DataFrame, features: list[str], label: str,
     pred = d.join(F.broadcast(allfits), "run").withColumn(
         "prediction", L.linear_prediction(features))
     out = pred.select("run", "model", "role", F.col(label).alias("label"), "prediction")
-    return out, secs
+    return out, allfits, secs
 
 
-def tree_predictions(d: DataFrame, features: list[str], label: str, runs: int,
-                     forest: dict | None, boosted: dict | None, timings: list,
-                     custom: dict | None = None) -> DataFrame:
-    va = VectorAssembler(inputCols=features, outputCol="features")
-    data = va.transform(d.withColumnRenamed(label, "label")).select(
-        "run", "role", "features", "label").persist()
-    outs = []
+def tree_rows(df: DataFrame, features: list[str], label: str, key: str, runs: int, test_frac: float = 0.2,
+              valid_frac: float = 0.2, predicate=None) -> DataFrame:
+    """(features, label, test_mask, valid_mask): the roles of :func:`prepare` for all runs as
+    two bits a run, so that one copy of the rows serves all fits."""
+    d = S.add_key_hash(df, key)
+    d = S.add_key_hash(d, key, "valid_hash", salt="valid")
+    every = F.lit((1 << runs) - 1).cast("bigint")
+    test = S.draw_mask("key_hash", runs, test_frac) if predicate is None else F.when(predicate, F.lit(0).cast("bigint")).otherwise(every)
+    d = d.withColumn("test_mask", test).withColumn("valid_mask", S.draw_mask("valid_hash", runs, valid_frac))
+    d = VectorAssembler(inputCols=features, outputCol="features").transform(d.withColumnRenamed(label, "label"))
+    return d.select("features", "label", "test_mask", "valid_mask")
+
+
+def tree_predictions(data: DataFrame, features: list[str], runs: int, forest: dict | None, boosted: dict | None,
+                     timings: list, custom: dict | None = None, explain: bool = False) -> DataFrame:
+    """Fits per run on ``data`` of :func:`tree_rows`, which is materialised and released here;
+    fit, scoring and, if ``explain``, explanation seconds go to ``timings``."""
+    data = data.persist()
+    data.count()
+    spark = data.sparkSession
 
     def fit_one(args):
         run, kind = args
-        mine = data.where(F.col("run") == run)
         t0 = time.perf_counter()
         if kind in (custom or {}):          # N3: any Spark ML estimator, fit on train rows
-            model = custom[kind].copy().fit(mine.where(F.col("role") != "test"))
-            name = kind
+            model, name = custom[kind].copy().fit(S.role_rows(data, run, "train")), kind
         elif kind == "forest":
-            model = TR.forest_regressor(seed=41 + run, **(forest or {})).fit(
-                mine.where(F.col("role") != "test"))
+            model = TR.forest_regressor(seed=41 + run, **(forest or {})).fit(S.role_rows(data, run, "train"))
             name = "Random Forest"
         else:
             est = TR.boosted("regression", seed=41 + run, **(boosted or {}))
-            model, _ = TR.fit_boosted_early_stop(est, mine.where(F.col("role") == "fit"),
-                                                 mine.where(F.col("role") == "valid"))
+            model, _ = TR.fit_boosted_early_stop(est, S.role_rows(data, run, "fit"), S.role_rows(data, run, "valid"))
             name = BOOSTED
-        fit_secs = time.perf_counter() - t0
-        scored = model.transform(mine)
-        t0 = time.perf_counter()
-        scored.where(F.col("role") == "test").write.format("noop").mode("overwrite").save()
-        score_secs = time.perf_counter() - t0
-        timings.append((run, name, "train", fit_secs))
-        timings.append((run, name, "inference", score_secs))
-        return scored.select("run", F.lit(name).alias("model"), "role", "label", "prediction")
+        timings.append((run, name, "train", time.perf_counter() - t0))
+        test = S.role_rows(data, run, "test")
+        timings.append((run, name, "inference", written(model.transform(test).select("prediction"))))
+        if explain and kind in ("forest", "boosted"):
+            timings.append((run, name, "explanation", written(LV.explain_path_dependent(test, model, features, []))))
+        role = F.when(S.in_mask("test_mask", run), "test").when(S.in_mask("valid_mask", run), "valid").otherwise("fit")
+        scored = model.transform(data).select(F.lit(run).cast("bigint").alias("run"), F.lit(name).alias("model"),
+                                              role.alias("role"), "label", "prediction")
+        return cut_lineage(scored)           # written at once, so the rows can be released
 
     kinds = [k for k, cfg in (("forest", forest), ("boosted", boosted)) if cfg is not None]
     kinds += list(custom or {})
-    jobs = [(r, k) for r in range(1, runs + 1) for k in kinds]
-    for p in TR.fit_per_run(jobs, fit_one):
-        outs.append(p)
+    outs = TR.fit_per_run([(r, k) for r in range(1, runs + 1) for k in kinds], fit_one)
+    data.unpersist()
     res = outs[0]
     for o in outs[1:]:
         res = res.unionByName(o)
@@ -122,24 +135,32 @@ def compare(df: DataFrame, features: list[str], label: str = "label", key: str =
             runs: int = 30, linear=("ols", "ridge", "lasso"), forest: dict | None = None,
             boosted: dict | None = None, alphas: list[float] | None = None,
             predicate=None, test_pair=("Lasso", "Boosted Trees"), metric: str = "r2",
-            alternative: str = "greater", custom: dict | None = None) -> dict[str, DataFrame]:
+            alternative: str = "greater", custom: dict | None = None, explain: bool = False) -> dict[str, DataFrame]:
     """Returns ``predictions``, ``results`` (run x model metrics, train and test),
     ``summary`` (mean / std by model), ``test`` (signed-rank on ``metric``) and
     ``timings``.  ``custom`` maps a model name to any Spark ML estimator reading
-    ``features`` / ``label``; it is fitted per run like the forest."""
+    ``features`` / ``label``; it is fitted per run like the forest.  ``explain`` also times
+    the explanation of each model's test rows."""
     alphas = alphas or L.logspace_alphas()
     t0 = time.time()
     d = prepare(df, key, runs, predicate=predicate)
     preds = []
     timings: list = []
     if linear:
-        lin, secs = linear_predictions(d, features, label, list(linear), alphas)
+        lin, fits, secs = linear_predictions(d, features, label, list(linear), alphas)
         preds.append(lin)
         # one grouped job fits all runs and models: one row, under run 0
-        timings.append((0, "all linear models", "train", secs))
+        every = "all linear models"
+        timings.append((0, every, "train", secs))
+        timings.append((0, every, "inference", written(lin.where(F.col("role") == "test"))))
+        if explain:
+            means = d.where(F.col("role") != "test").groupBy("run").agg(*[F.avg(f).alias(f) for f in features])
+            models = fits.join(means.select("run"), "run")
+            phi = X.linear_contributions(d.where(F.col("role") == "test"), models, means, features, ["run"])
+            timings.append((0, every, "explanation", written(phi)))
     if forest is not None or boosted is not None or custom:
-        preds.append(tree_predictions(d, features, label, runs, forest, boosted, timings,
-                                      custom))
+        preds.append(tree_predictions(tree_rows(df, features, label, key, runs, predicate=predicate), features, runs,
+                                      forest, boosted, timings, custom, explain))
     pred = preds[0]
     for p in preds[1:]:
         pred = pred.unionByName(p)
@@ -159,7 +180,6 @@ def compare(df: DataFrame, features: list[str], label: str = "label", key: str =
     test = P.signed_rank(diffs.withColumn("test", F.lit(f"{a} vs {b}")), ["test"], "d",
                          alternative)
     test = test.drop("_max_tie")
-    from trellis.operators.timing import timing_table
     return {"predictions": pred, "results": results, "summary": summary, "test": test,
             "timings": timing_table(df.sparkSession, timings),
             "setup_seconds": time.time() - t0}

@@ -47,17 +47,11 @@ def _doc_rows(spark, sf_dir):
     return rows, ["log_chars", *[f"lang_{x}" for x in langs]]
 
 
-def _test_rows(rows, *cols):
-    """One row per run that a row is a test row of."""
-    runs = F.filter(F.sequence(F.lit(1).cast("bigint"), F.lit(RUNS).cast("bigint")), lambda r: S.in_mask("test_mask", r))
-    return rows.select(*cols, F.explode(runs).alias("run"))
-
-
 def _logistic(spark, sf_dir, penalty: str, name: str):
     rows, features = _doc_rows(spark, sf_dir)
     rows = cut_lineage(rows)                                 # one row a document, whatever the runs
     fits = LG.fit_logistic_runs(rows, features, "label", RUNS, "test_mask", penalty)
-    test = LG.predict_logistic(_test_rows(rows, "label", *features), fits, features, ["run"])
+    test = LG.predict_logistic(rows.select("label", *features, S.runs_of("test_mask", RUNS).alias("run")), fits, features, ["run"])
     cm = M.classification_metrics(test, ["run"])
     auc = M.roc_auc(test, ["run"], "label", "probability")
     out = cm.join(auc, "run").join(fits.select("run", "converged"), "run").select(
@@ -108,11 +102,6 @@ def _masked(rows, key: str):
                        S.draw_mask("valid_hash", RUNS, 0.2).alias("valid_mask"))
 
 
-def _role(rows, run: int, role: str):
-    test, valid = S.in_mask("test_mask", run), S.in_mask("valid_mask", run)
-    return rows.where({"test": test, "train": ~test, "valid": ~test & valid, "fit": ~test & ~valid}[role])
-
-
 def _small(rows):
     """``rows`` persisted in as few parts as their number needs: a fit is many short jobs."""
     rows = rows.persist()
@@ -134,11 +123,11 @@ def _tree_fits(rows, kind: str, task: str, runs=range(1, RUNS + 1)):
         name, run = job
         if kind == "forest":
             make = TR.forest_regressor if task == "regression" else TR.forest_classifier
-            model, rounds = make(seed=41 + run, **FOREST).fit(_role(rows, run, "train")), None
+            model, rounds = make(seed=41 + run, **FOREST).fit(S.role_rows(rows, run, "train")), None
         else:
             est = TR.boosted(task, seed=41 + run, **BOOSTED[name])
-            model, rounds = TR.fit_boosted_early_stop(est, _role(rows, run, "fit"), _role(rows, run, "valid"))
-        scored = model.transform(_role(rows, run, "test"))
+            model, rounds = TR.fit_boosted_early_stop(est, S.role_rows(rows, run, "fit"), S.role_rows(rows, run, "valid"))
+        scored = model.transform(S.role_rows(rows, run, "test"))
         more = [] if task == "regression" else [vector_to_array("probability")[1].alias("probability")]
         # written at once, so that no model is kept for later
         return cut_lineage(scored.select(F.lit(name).alias("model"), F.lit(run).cast("bigint").alias("run"),
@@ -203,7 +192,7 @@ def search_best_trial(spark, sf_dir):
     """50 seeded trials of each boosted flavour, scored by test RMSE, train RMSE
     and their ratio on run 1; the best trial of each flavour and loss flagged."""
     rows = _small(_part_rows(spark, sf_dir))
-    fit, valid, test = (_role(rows, 1, role) for role in ("fit", "valid", "test"))
+    fit, valid, test = (S.role_rows(rows, 1, role) for role in ("fit", "valid", "test"))
     rmse = F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))
 
     def losses(flavour: str, p: dict) -> dict:
@@ -230,7 +219,7 @@ def _explained_forest(spark, sf_dir, **forest):
     names = [f"emb_{j}" for j in range(64)]
 
     def fit_one(run):
-        return run, TR.forest_classifier(seed=41 + run, **forest).fit(_role(rows, run, "train"))
+        return run, TR.forest_classifier(seed=41 + run, **forest).fit(S.role_rows(rows, run, "train"))
 
     return rows, names, TR.fit_per_run(list(range(1, RUNS + 1)), fit_one, THREADS)
 
@@ -252,7 +241,7 @@ def tree_contributions(spark, sf_dir):
     """Path-dependent contributions of a forest classifier of 100 trees (class-1
     probability) for the test rows of 30 runs, summarised by run and feature."""
     rows, names, models = _explained_forest(spark, sf_dir, num_trees=100, max_depth=5)
-    return _contribution_report([(run, LV.explain_path_dependent(_role(rows, run, "test"), model, names, ["vec_id"]))
+    return _contribution_report([(run, LV.explain_path_dependent(S.role_rows(rows, run, "test"), model, names, ["vec_id"]))
                                  for run, model in models], rows)
 
 
@@ -261,5 +250,5 @@ def tree_contributions_background(spark, sf_dir):
     """Contributions against all training rows as the background, for the test rows of 30
     runs."""
     rows, names, models = _explained_forest(spark, sf_dir, num_trees=20, max_depth=4)
-    return _contribution_report([(run, LV.explain_interventional(_role(rows, run, "test"), model, names, ["vec_id"],
-                                                                 _role(rows, run, "train"))) for run, model in models], rows)
+    return _contribution_report([(run, LV.explain_interventional(S.role_rows(rows, run, "test"), model, names, ["vec_id"],
+                                                                 S.role_rows(rows, run, "train"))) for run, model in models], rows)
