@@ -154,8 +154,9 @@ def leaks(names: np.ndarray, tests: Tests, coverage: float) -> list[dict]:
 
 
 def each_block(tests: DataFrame, id_col: str, text_col: str, one_pass: Callable) -> list[DataFrame]:
-    """``one_pass`` of a broadcast of each block of at most about ``BLOCK_WORDS`` words; of
-    several, each result is written and its block released before the next."""
+    """``one_pass`` of a broadcast of each block of at most about ``BLOCK_WORDS`` words and the
+    result of the block before (None at first); of several blocks, each result is written
+    and its block released before the next."""
     tests = columns(tests, item_id=id_col, text=text_col)
     total = tests.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     blocks, out = int(total // BLOCK_WORDS) + 1, []
@@ -164,9 +165,10 @@ def each_block(tests: DataFrame, id_col: str, text_col: str, one_pass: Callable)
             F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         block = tests.sparkSession.sparkContext.broadcast(
             Tests([(r["item_id"], r["text"]) for r in rows.toLocalIterator()]))
+        found = one_pass(block, out[-1] if out else None)
         if blocks == 1:
-            return [one_pass(block)]
-        out.append(stored(one_pass(block)))
+            return [found]
+        out.append(stored(found))
         block.destroy()
     return out
 
@@ -189,7 +191,7 @@ def contamination(docs: DataFrame, tests: DataFrame, coverage: float = COVERAGE,
     schema = f"doc_id {kind}, item_id {test_kind}, coverage double, n_tiles int, longest int"
     item_type = to_arrow_type(tests.schema[test_id_col].dataType)
 
-    def one_pass(block):
+    def one_pass(block, _):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = PlainNames()
             for batch in batches:
@@ -219,9 +221,9 @@ def decontaminated(docs: DataFrame, tests: DataFrame, coverage: float = COVERAGE
     tiled whole; without tests all rows stay; an empty table gives an empty table; clashing
     column names are kept.
     """
-    at, left = docs.columns.index(text_col), [docs]
+    at = docs.columns.index(text_col)
 
-    def one_pass(block):
+    def one_pass(block, before):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = PlainNames()
             for batch in batches:
@@ -229,13 +231,6 @@ def decontaminated(docs: DataFrame, tests: DataFrame, coverage: float = COVERAGE
                 yield batch.filter(pa.array(
                     [not leaks(names.array((t.as_py() or b"").split()), block.value, coverage)
                      for t in texts], pa.bool_()))
-        left.append(left[-1].mapInArrow(keep, docs.schema))
-        return left[-1]
+        return (docs if before is None else before).mapInArrow(keep, docs.schema)
 
-    # of several blocks each pass reads what the one before it left, as it was written
-    def following(block):
-        if len(left) > 1:
-            left.append(stored(left.pop()))
-        return one_pass(block)
-
-    return each_block(tests, test_id_col, test_text_col, following)[-1]
+    return each_block(tests, test_id_col, test_text_col, one_pass)[-1]
