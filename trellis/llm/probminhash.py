@@ -295,8 +295,10 @@ def prefix_pairs(labelled: DataFrame, shingled: DataFrame, least: float) -> Data
     For plain Jaccard shingles count one each, for the probability Jaccard by their share
     of the text, since that similarity is at most the sum of the smaller shares.  A shingle
     belongs to a text's prefix if it and those after it are ``least`` of the text; two
-    similar texts share a prefix shingle, and after the first such have enough left.  In
-    the list of a shingle only texts that are not of its largest class look for partners.
+    similar texts share a prefix shingle.  What comes before the first such is in one text
+    only: with the shares r and s from it on, either similarity is at most
+    1 / (1 / r + 1 / s - 1).  In the list of a shingle only texts that are not of its
+    largest class look for partners.
     """
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +318,7 @@ def prefix_pairs(labelled: DataFrame, shingled: DataFrame, least: float) -> Data
     n, total = F.count(F.lit(1)).over(whole), F.sum("times").over(whole)
     placed = rows.join(often, "shingle").select(
         "node", "label", "shingle", "often", n.alias("n"), F.row_number().over(back).alias("left"),
-        (F.col("times") / total).alias("share"), (F.sum("times").over(after) / total).alias("rest"))
+        (F.sum("times").over(after) / total).alias("rest"))
     near = least - 1e-9
     placed = (placed.withColumn("plain", F.col("left") >= near * F.col("n")).withColumn("massed", F.col("rest") >= near)
               .filter("often > 1 AND (plain OR massed)").drop("often"))
@@ -329,8 +331,7 @@ def prefix_pairs(labelled: DataFrame, shingled: DataFrame, least: float) -> Data
     partners = ((F.col("x.label") != F.col("y.label"))
                 & ((F.col("y.label") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
                 & ((F.col("x.plain") & F.col("y.plain") & (F.least("x.left", "y.left") >= need * (F.col("x.n") + F.col("y.n"))))
-                   | (F.col("x.massed") & F.col("y.massed")
-                      & (F.least("x.share", "y.share") + F.least(F.col("x.rest") - F.col("x.share"), F.col("y.rest") - F.col("y.share")) >= near))))
+                   | (F.col("x.massed") & F.col("y.massed") & (1 / F.col("x.rest") + 1 / F.col("y.rest") <= 1 + 1 / F.lit(near)))))
     out = stored(own.join(placed.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & partners)
                  .select(F.least("x.node", "y.node").alias("center"), F.greatest("x.node", "y.node").alias("node")).distinct())
     discard(placed)
