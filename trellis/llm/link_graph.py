@@ -26,7 +26,7 @@ from trellis.llm.common import columns, discard, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
-DAMPING, CUT_EVERY, RATIO = 0.85, 4, 2.0
+DAMPING, CUT_EVERY, RATIO = 0.85, 8, 2.0
 #: rules that become one expression; more are joined
 MANY_RULES = 200
 #: ranks are settled when none changes by more than this part of itself in ``CUT_EVERY``
