@@ -28,8 +28,8 @@ RUNS = 30
 #: which makes a pass for each group of nodes; the README has the figures
 FOREST = {"num_trees": 100, "max_depth": 10}
 #: two boosted flavours: trees bounded by depth, and by leaves with a part of the features a split
-BOOSTED = {"Boosted Trees (depth)": {"max_iter": 50, "step_size": 0.2, "max_depth": 4},
-           "Boosted Trees (leaves)": {"max_iter": 50, "step_size": 0.2, "num_leaves": 8, "feature_subset": "0.8"}}
+BOOSTED = {"Boosted Trees (depth)": {"max_iter": 30, "step_size": 0.2, "max_depth": 4},
+           "Boosted Trees (leaves)": {"max_iter": 30, "step_size": 0.2, "num_leaves": 8, "feature_subset": "0.8"}}
 #: fits submitted at a time
 THREADS = 6
 
