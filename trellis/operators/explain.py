@@ -61,6 +61,7 @@ def contribution_spread(phi: DataFrame, value_bins: int = 5, phi_bins: int = 5)
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(phi_bins))
     value_bin = (F.size(F.filter("_cuts", lambda c: F.col("value") > c)) + 1).cast("bigint")
     phi_bin = F.when(width > 0, F.least(F.floor((F.col("phi") - F.col("_lo")) / width) + 1, F.lit(phi_bins))).otherwise(1).cast("bigint")
-    return (phi.join(known, "feature").groupBy("feature", value_bin.alias("value_bin"), phi_bin.alias("phi_bin"))
+    # a row a feature, so a broadcast: a join by feature would leave each feature's rows to one task
+    return (phi.join(F.broadcast(known), "feature").groupBy("feature", value_bin.alias("value_bin"), phi_bin.alias("phi_bin"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
                  F.min("phi").alias("min_phi"), F.max("phi").alias("max_phi"), F.avg("phi").alias("mean_phi")))
