@@ -248,11 +248,12 @@ def background_patterns(background: DataFrame, leaves: Model, features_col: str
             x = _matrix(batch.column(0), model.features)
             for group in model.groups:
                 for some in group.pieces(len(x)):
-                    code = patterns(some.met(x))
-                    leaf = np.broadcast_to(some.number, code.shape)
-                    both, count = np.unique(np.stack([leaf.ravel(), code.ravel()]), axis=1, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(count)],
-                                                     ["leaf", "pattern", "n"])
+                    code, d = patterns(some.met(x)), group.conditions
+                    both = (np.arange(len(some.number)) << d) + code
+                    found, _, count = distinct(both.ravel(), len(some.number) << d)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some.number[found >> d]), pa.array(found & ((1 << d) - 1)), pa.array(count)],
+                        ["leaf", "pattern", "n"])
 
     rows = _with_arrays(background, [], features_col).mapInArrow(run, "leaf bigint, pattern bigint, n bigint")
     return rows.groupBy("leaf", "pattern").agg(F.sum("n").alias("n"))
@@ -263,6 +264,17 @@ def patterns(met: np.ndarray) -> np.ndarray:
     return met @ (1 << np.arange(met.shape[2], dtype=np.int64))
 
 
+def distinct(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ``keys`` (whole numbers under ``below``) in order, the place of each key
+    among them, and how often each comes; counted, not sorted, if few keys are possible."""
+    if below > CELLS:
+        return np.unique(keys, return_inverse=True, return_counts=True)
+    count = np.bincount(keys, minlength=below)
+    found = np.flatnonzero(count)
+    place = np.cumsum(count > 0) - 1
+    return found, place[keys], count[found]
+
+
 @lru_cache(maxsize=None)
 def shapley_weight(x_only: int, b_only: int) -> float:
     """Weight of one coalition that holds the row's own conditions and none of the
@@ -300,16 +312,17 @@ class Against:
             if not group.conditions:
                 continue
             for some in group.part(np.array([n in self.counts for n in group.number], bool)).pieces(len(x)):
-                code = patterns(some.met(x))
-                parts = np.zeros((*code.shape, group.conditions))
-                for k, number in enumerate(some.number):
-                    seen, n = self.counts[int(number)]
-                    own, which = np.unique(code[:, k], return_inverse=True)
-                    for r in own:
-                        if (number, r) not in self.known:
-                            self.known[number, r] = pattern_contributions(int(r), seen, n / self.rows, group.conditions)
-                    parts[:, k] = np.stack([self.known[number, r] for r in own])[which] * some.value[k]
-                some.spread(out, parts)
+                code, d = patterns(some.met(x)), group.conditions
+                if not code.size:
+                    continue
+                own, which, _ = distinct(((np.arange(len(some.number)) << d) + code).ravel(), len(some.number) << d)
+                found = np.empty((len(own), d))
+                for k, (number, r) in enumerate(zip(some.number[own >> d].tolist(), (own & ((1 << d) - 1)).tolist())):
+                    if (number, r) not in self.known:
+                        seen, n = self.counts[number]
+                        self.known[number, r] = pattern_contributions(r, seen, n / self.rows, d)
+                    found[k] = self.known[number, r]
+                some.spread(out, found[which].reshape(*code.shape, d) * some.value[:, None])
         return out
 
 
