@@ -323,6 +323,27 @@ def test_prefix_join_holds_all_links_between_classes(spark):
     assert prefix_pairs(one, shingled, 0.8).isEmpty()
 
 
+def test_prefix_join_leaves_out_copies_that_are_not_near_enough(spark):
+    """Copies whose own parts are frequent words: they share rare shingles, but not enough."""
+    import random
+
+    from trellis.llm.common import stored
+    from trellis.llm.probminhash import prefix_pairs, verified, with_shingles
+    draw, base = random.Random(8), [f"w{k}" for k in range(100)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in draw.sample(range(100), 3):
+            words[at] = f"v{draw.randrange(2)}"
+        texts.append(" ".join(words))
+    shingled = stored(with_shingles(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")))
+    labelled = spark.createDataFrame([(k, k) for k in range(len(texts))], "node bigint, label bigint")
+    pairs = prefix_pairs(labelled, shingled, 0.8)
+    want = {(i, j) for i, j in true_links(texts)}
+    assert want <= {tuple(r) for r in pairs.collect()} and pairs.count() <= len(want) + 120
+    assert {tuple(r) for r in verified(pairs, shingled, 0.8).collect()} == want
+
+
 def test_prefix_join_finds_what_no_star_does(spark):
     """A text that is similar to a member of a class but not to the class's center."""
     from trellis.llm.common import stored

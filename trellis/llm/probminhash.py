@@ -34,6 +34,8 @@ only where that happens and no other link joins the two classes.  Texts are told
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ COMPONENTS = BANDS * ROWS
 SCREEN = 56 / COMPONENTS / SIMILAR
 #: shingles sketched at a time
 CHUNK = 300_000
+#: numbers of 64 bits in the picture of a text's shingles, one bit for each by its name
+PICTURE = 16
 
 
 def shingles(text: bytes, names: WordNames) -> np.ndarray:
@@ -276,8 +280,8 @@ def _joined(open_: DataFrame, same: DataFrame) -> DataFrame:
 def hub_stars(open_: DataFrame) -> DataFrame:
     """Pairs (center, node, a, b: their labels) of the text of each bucket of ``open_`` (key,
     node, label) that lies in most of its buckets with those of other labels."""
-    often = open_.groupBy("node").agg(F.count(F.lit(1)).alias("often"))
-    centers = (open_.join(often, "node").groupBy("key")
+    often = F.count(F.lit(1)).over(Window.partitionBy("node"))             # of its band keys
+    centers = (open_.withColumn("often", often).groupBy("key")
                .agg(F.max_by(F.struct("node", "label"), F.struct("often", "node")).alias("c"))
                .select("key", F.col("c.node").alias("center"), F.col("c.label").alias("center_label")))
     forward = F.col("center") < F.col("node")
@@ -288,6 +292,13 @@ def hub_stars(open_: DataFrame) -> DataFrame:
             .distinct())
 
 
+def picture(names: np.ndarray) -> np.ndarray:
+    """``PICTURE`` numbers whose bits are set where a name's last digits point."""
+    bits = np.zeros(PICTURE * 64, np.uint8)
+    bits[(mix(names) % np.uint64(PICTURE * 64)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def prefix_pairs(labelled: DataFrame, shingled: DataFrame, least: float) -> DataFrame:
     """Pairs (center, node) of ``labelled`` (node, label) with different labels that can be
     similar, by the order of their shingles: a superset of the links between them.
@@ -297,19 +308,25 @@ def prefix_pairs(labelled: DataFrame, shingled: DataFrame, least: float) -> Data
     belongs to a text's prefix if it and those after it are ``least`` of the text; two
     similar texts share a prefix shingle.  What comes before the first such is in one text
     only: with the shares r and s from it on, either similarity is at most
-    1 / (1 / r + 1 / s - 1).  In the list of a shingle only texts that are not of its
-    largest class look for partners.
+    1 / (1 / r + 1 / s - 1).  The same holds for the shares r and s that are left without
+    what only one of the two can hold: a bit of its picture (``PICTURE``) that the other's
+    has not stands for one shingle or more of its own.  In the list of a shingle only texts
+    that are not of its largest class look for partners.
     """
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, label, bag in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 found, times = np.unique(np.frombuffer(bag, np.uint64), return_counts=True)
+                bits = picture(found)
+                alone = lambda value: [value] + [None] * (len(found) - 1)  # noqa: E731  on one row of a text
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(found), node)), pa.array(np.full(len(found), label)),
-                     pa.array(found.view(np.int64)), pa.array(times, pa.int64())], ["node", "label", "shingle", "times"])
+                     pa.array(found.view(np.int64)), pa.array(times, pa.int64()), pa.array(alone(bits), pa.list_(pa.int64())),
+                     pa.array(alone(int(np.bitwise_count(bits.view(np.uint64)).sum())), pa.int64())],
+                    ["node", "label", "shingle", "times", "bits", "ones"])
 
     rows = labelled.join(shingled, "node").select("node", "label", "bag").mapInArrow(
-        spread, "node bigint, label bigint, shingle bigint, times bigint")
+        spread, "node bigint, label bigint, shingle bigint, times bigint, bits array<bigint>, ones bigint")
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     whole = Window.partitionBy("node")
     # from the most frequent shingle back, so that what comes after one is a running sum
@@ -317,8 +334,8 @@ def prefix_pairs(labelled: DataFrame, shingled: DataFrame, least: float) -> Data
     after = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n, total = F.count(F.lit(1)).over(whole), F.sum("times").over(whole)
     placed = rows.join(often, "shingle").select(
-        "node", "label", "shingle", "often", n.alias("n"), F.row_number().over(back).alias("left"),
-        (F.sum("times").over(after) / total).alias("rest"))
+        "node", "label", "shingle", "often", n.alias("n"), total.alias("total"), F.max("bits").over(whole).alias("bits"),
+        F.max("ones").over(whole).alias("ones"), F.row_number().over(back).alias("left"), (F.sum("times").over(after) / total).alias("rest"))
     near = least - 1e-9
     placed = (placed.withColumn("plain", F.col("left") >= near * F.col("n")).withColumn("massed", F.col("rest") >= near)
               .filter("often > 1 AND (plain OR massed)").drop("often"))
@@ -328,10 +345,22 @@ def prefix_pairs(labelled: DataFrame, shingled: DataFrame, least: float) -> Data
              .filter("labels > 1").select("shingle", "main"))
     own = placed.join(lists, "shingle").filter("label != main").alias("x")
     need = near / (1 + near)
+
+    both = reduce(add, [F.bit_count(F.col("x.bits")[k].bitwiseAND(F.col("y.bits")[k])) for k in range(PICTURE)])
+    nx, ny, ox, oy = (F.col(c) for c in ("x.n", "y.n", "x.ones", "y.ones"))
+    # least bits of both, so that what either may hold in common is enough: for the shares the
+    # root of (x - ox + b) and (y - oy + b) put into the bound
+    bits_plain = need * (nx + ny) + F.greatest(ox - nx, oy - ny)
+    tx, ty, most = F.col("x.total"), F.col("y.total"), F.lit(1 + 1 / near)
+    a, b = tx - ox, ty - oy
+    half, rest = most * (a + b) - tx - ty, most * a * b - tx * b - ty * a
+    bits_massed = (F.sqrt(F.greatest(half * half - 4 * most * rest, F.lit(0.0))) - half) / (2 * most)
+    plain = F.col("x.plain") & F.col("y.plain") & (F.least("x.left", "y.left") >= need * (nx + ny))
+    massed = F.col("x.massed") & F.col("y.massed") & (1 / F.col("x.rest") + 1 / F.col("y.rest") <= most)
     partners = ((F.col("x.label") != F.col("y.label"))
                 & ((F.col("y.label") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
-                & ((F.col("x.plain") & F.col("y.plain") & (F.least("x.left", "y.left") >= need * (F.col("x.n") + F.col("y.n"))))
-                   | (F.col("x.massed") & F.col("y.massed") & (1 / F.col("x.rest") + 1 / F.col("y.rest") <= 1 + 1 / F.lit(near)))))
+                & (plain | massed)
+                & (both + 1e-6 >= F.least(F.when(plain, bits_plain), F.when(massed, bits_massed))))
     out = stored(own.join(placed.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & partners)
                  .select(F.least("x.node", "y.node").alias("center"), F.greatest("x.node", "y.node").alias("node")).distinct())
     discard(placed)
