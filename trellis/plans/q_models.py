@@ -32,6 +32,8 @@ BOOSTED = {"Boosted Trees (depth)": {"max_iter": 30, "step_size": 0.2, "max_dept
            "Boosted Trees (leaves)": {"max_iter": 30, "step_size": 0.2, "num_leaves": 8, "feature_subset": "0.8"}}
 #: fits submitted at a time
 THREADS = 6
+#: rows of a part: at least, and at most once the parts are half as many as cores
+PART_ROWS = (50_000, 1_000_000)
 
 
 def _doc_rows(spark, sf_dir):
@@ -104,10 +106,16 @@ def _masked(rows, key: str):
 
 
 def _small(rows):
-    """``rows`` persisted in as few parts as their number needs: a fit is many short jobs."""
+    """``rows`` persisted in as few parts as their number needs: a fit is many short jobs.
+
+    Every task of a job sends its result to the driver and, for a forest, the sums of all
+    open nodes to a shuffle, however few its rows.  Fits run ``THREADS`` at a time, so parts
+    for half the cores keep all busy; there are more only where one held too many rows."""
     rows = rows.persist()
     n = rows.count()
-    parts = min(rows.rdd.getNumPartitions(), n // 50_000 + 1)
+    few, many = PART_ROWS
+    busy = max(1, rows.sparkSession.sparkContext.defaultParallelism // 2)
+    parts = min(rows.rdd.getNumPartitions(), max(min(n // few + 1, busy), n // many + 1))
     out = rows.coalesce(parts).persist()
     out.count()
     rows.unpersist()
