@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,6 +82,14 @@ def seeded_hash(key_hash: Column | str, seed: Column | str | int) -> Column:
     return mix32((h + s.cast("bigint") * F.lit(SEED_STEP)) % F.lit(MOD32))
 
 
+def seeded_draws(key_hash: np.ndarray, seed: int) -> np.ndarray:
+    """The draws of :func:`seeded_hash` for an array of row hashes (bigint)."""
+    x = np.fmod(key_hash + np.int64(seed * SEED_STEP), np.int64(MOD32))
+    for _ in range(2):
+        x = np.fmod(((x >> 16) ^ x) * np.int64(MIX_MULT), np.int64(MOD32))
+    return (x >> 16) ^ x
+
+
 def sql_mix32(x: str) -> str:
     for _ in range(2):
         x = f"((xor(({x}) >> 16, ({x})) * {MIX_MULT}) % {MOD32})"

@@ -8,10 +8,14 @@ DuckDB can recompute every role for the oracle.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.functions.random import TWO32, hash32, seeded_hash
+from trellis.functions.random import TWO32, hash32, seeded_draws, seeded_hash
 from trellis.session import cut_lineage, spread
 
 FEW = 200_000           # rows of a group that one task ranks to find an exact cut
@@ -121,7 +125,7 @@ def exact_split(df: DataFrame, key_hash: str, tie: Column | str, test_frac: floa
 def draw_mask(key_hash: str, runs: int, frac: float) -> Column:
     """Roles of all runs in one number: bit r - 1 is set where the row's draw for run r falls
     below ``frac``, as :func:`holdout` draws it.  Up to 62 runs."""
-    return _mask(runs, lambda run: seeded_hash(key_hash, run + F.lit(SEED_BASE).cast("bigint")) < F.lit(frac * TWO32))
+    return _mask(runs, lambda run: seeded_hash(key_hash, run + SEED_BASE) < F.lit(frac * TWO32))
 
 
 def in_mask(mask: str, run: Column | int) -> Column:
@@ -144,10 +148,9 @@ def runs_of(mask: str, runs: int) -> Column:
 def _mask(runs: int, member) -> Column:
     if not 1 <= runs <= 62:
         raise ValueError("a mask holds 1 to 62 runs")
-    bit = lambda run: F.call_function("shiftleft", F.lit(1).cast("bigint"), (run - 1).cast("int"))
-    seq = F.sequence(F.lit(1).cast("bigint"), F.lit(runs).cast("bigint"))
-    return F.aggregate(seq, F.lit(0).cast("bigint"),
-                       lambda acc, run: F.when(member(run), acc.bitwiseOR(bit(run))).otherwise(acc))
+    # one expression a run, which Spark compiles; a lambda over the runs would be interpreted
+    bits = [F.when(member(run), F.lit(1 << (run - 1)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for run in range(1, runs + 1)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def exact_mask(df: DataFrame, key_hash: str, tie: Column | str, frac: float, runs: int,
@@ -177,24 +180,47 @@ def exact_mask(df: DataFrame, key_hash: str, tie: Column | str, frac: float, run
         numbered = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
         numbered = numbered.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).drop("_n")
         return exact_mask(numbered, key_hash, tie, frac, runs, by, among, mask_col).drop("_copy")
-    cuts = _small_side(cut.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_run", "_last"))).alias("_cuts")))
+    cuts = cut.groupBy(*by).agg(F.array(*[
+        F.max(F.when(F.col("_run") == run, F.col("_last"))) for run in range(1, runs + 1)]).alias("_cuts"))
+    cuts = _small_side(cuts.withColumn("_draws", F.transform("_cuts", lambda c: c["_h"])))
     on = [F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] or [F.lit(True)]
     joined = rows.alias("r").join(cuts.alias("c"), on, "left").select(
-        *[F.col(f"r.{c}") for c in [*names, "_k", "_x"]], "_cuts")
+        *[F.col(f"r.{c}") for c in [*names, "_k", "_x"]], "_cuts", "_draws")
+    none = F.array(*[F.lit(-1).cast("bigint")] * runs)
+    joined = joined.withColumn("_m", _against(runs)(F.col(key_hash).cast("bigint"), F.coalesce("_draws", none)))
+
+    def member(run: int) -> Column:                          # rows of a cut's own draw, which are few
+        last = F.col("_cuts")[run - 1]
+        return in_mask("_at", run) & (F.struct("_k", "_x") <= F.struct(last["_k"].alias("_k"), last["_x"].alias("_x")))
+
+    mask = F.when(F.col("_at") == 0, F.col("_below")).otherwise(F.col("_below").bitwiseOR(_mask(runs, member)))
+    mask = mask.bitwiseAND(F.coalesce(F.bitwise_not(F.col(among)), F.lit(0).cast("bigint"))) if among else mask
+    return joined.withColumns({"_below": F.col("_m.below"), "_at": F.col("_m.at")}).withColumn(mask_col, mask).select(*names, mask_col)
+
 
-    def member(run: Column) -> Column:
-        draw = F.coalesce(seeded_hash(key_hash, run + F.lit(SEED_BASE)), F.lit(0)).cast("bigint")
-        here = F.struct(draw.alias("_h"), F.col("_k"), F.col("_x")) <= F.element_at("_cuts", run)
-        return F.coalesce((here & ~in_mask(among, run)) if among else here, F.lit(False))
+def _against(runs: int):
+    """(row hash, a draw for each run) to two masks of the runs: in which the row's draw, as
+    :func:`seeded_hash` gives it and 0 for null, is below that draw, and in which equal."""
+    def masks(keys: pa.Array, cuts: pa.Array) -> pa.Array:
+        known = np.asarray(keys.is_valid().to_numpy(zero_copy_only=False), bool)
+        key = keys.fill_null(0).to_numpy(zero_copy_only=False)
+        last = cuts.flatten().fill_null(-1).to_numpy(zero_copy_only=False).reshape(-1, runs)
+        below, at = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        for k in range(runs):
+            draw = np.where(known, seeded_draws(key, k + 1 + SEED_BASE), 0)
+            below |= (draw < last[:, k]).astype(np.int64) << k
+            at |= (draw == last[:, k]).astype(np.int64) << k
+        return pa.StructArray.from_arrays([pa.array(below), pa.array(at)], ["below", "at"])
 
-    return joined.withColumn(mask_col, _mask(runs, member)).select(*names, mask_col)
+    return F.arrow_udf(masks, "below bigint, at bigint")
 
 
 def _digits() -> list[Column]:
-    """Order-preserving digits of (_h, _x), most significant first: 12, 10 and 10 bits of
-    the draw, then 16 bits at a time of the hash of all columns (signed order)."""
+    """Order-preserving digits of (_h, _x), most significant first: 8 bits at a time of the
+    draw, so that the counts of many groups stay few in a task, then 16 bits at a time of the
+    hash of all columns (signed order)."""
     h, x = F.col("_h"), F.col("_x").bitwiseXOR(F.lit(-2 ** 63))
-    return [F.shiftright(h, 20), F.shiftright(h, 10).bitwiseAND(F.lit(1023)), h.bitwiseAND(F.lit(1023)),
+    return [*[F.shiftright(h, s).bitwiseAND(F.lit(255)) for s in (24, 16, 8, 0)],
             *[F.shiftrightunsigned(x, s).bitwiseAND(F.lit(65535)) for s in (48, 32, 16, 0)]]
 
 
@@ -222,7 +248,7 @@ def _cut_of(rows: DataFrame, by: list[str], test_frac: float) -> DataFrame:
 
     open_rows = rows.select(*by, "_h", "_k", "_x", F.lit(0).cast("bigint").alias("_need"))
     share = F.round(F.lit(float(test_frac)) * F.col("_total")).cast("bigint")
-    for level in range(3):
+    for level in range(4):
         cut = _small_side(narrowed(open_rows, digits[level], share if level == 0 else F.col("_need")))
         open_rows = inside(cut)
         if (cut.agg(F.max("_size")).first()[0] or 0) <= FEW:
@@ -234,7 +260,7 @@ def _cut_of(rows: DataFrame, by: list[str], test_frac: float) -> DataFrame:
                       .select(*by, F.col("_k").alias("_key"), (F.col("_need") - F.col("_before")).alias("_want")))
     open_rows = open_rows.drop("_need").alias("r").join(key.alias("c"), on).where("_k = _key").select(
         *[F.col(f"r.{c}") for c in [*by, "_h", "_k", "_x"]], F.col("_want").alias("_need"))
-    for level in range(3, len(digits)):
+    for level in range(4, len(digits)):
         cut = _small_side(narrowed(open_rows, digits[level], F.col("_need")))
         open_rows = inside(cut)
         if (cut.agg(F.max("_size")).first()[0] or 0) <= FEW:

@@ -12,7 +12,7 @@ from trellis.plans import price_models as PM
 from trellis.plans.registry import query, rounded
 from trellis.plans.sqlbits import (LINEITEM_KEY, RUNS, RUNS_CTE, TEST_CUT, h32, keyed, r6,
                                    seeded, v)
-from trellis.session import table
+from trellis.session import cut_lineage, table
 
 # ------------------------------------------------------------ holdout_compare
 
@@ -242,15 +242,20 @@ def exact_split_repeated_keys(spark, sf_dir):
     """Exactly round(0.2 n) test lines per run and return flag, by order keys that
     several lines share; at most one key of a group lies on both sides of the cut."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    li = S.add_key_hash(li, "l_orderkey")
-    r = S.exact_split(S.with_runs(li, RUNS), "key_hash", "l_orderkey", 0.2, "seed", by=["run", "l_returnflag"])
-    test = F.col("role") == "test"
-    per_key = r.groupBy("run", "l_returnflag", "l_orderkey").agg(
-        F.count(F.lit(1)).alias("rows"), F.count(F.when(test, 1)).alias("test_rows"))
-    return per_key.groupBy("run", "l_returnflag").agg(
-        F.sum("rows").alias("n_rows"), F.sum("test_rows").alias("n_test"),
-        F.sum(F.col("l_orderkey") * F.col("test_rows")).alias("test_key_sum"),
-        F.count(F.when((F.col("test_rows") > 0) & (F.col("test_rows") < F.col("rows")), 1)).alias("keys_on_both_sides"))
+    li = S.exact_mask(S.add_key_hash(li, "l_orderkey"), "key_hash", "l_orderkey", 0.2, RUNS, by=["l_returnflag"])
+    # the lines of a key with the same roles in all runs are one row, before any is copied once a run
+    alike = cut_lineage(li.groupBy("l_returnflag", "l_orderkey", "test_mask").agg(F.count(F.lit(1)).alias("rows")))
+    run = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(RUNS).cast("bigint"))).alias("run")
+    test_rows = F.when(S.in_mask("test_mask", F.col("run")), F.col("rows")).otherwise(F.lit(0).cast("bigint"))
+    sums = alike.select("*", run).groupBy("run", "l_returnflag").agg(
+        F.sum("rows").alias("n_rows"), F.sum(test_rows).alias("n_test"), F.sum(F.col("l_orderkey") * test_rows).alias("test_key_sum"))
+    # a run's bit is set in some of a key's masks and not in others: the key lies on both sides
+    sides = alike.groupBy("l_returnflag", "l_orderkey").agg(F.bit_or("test_mask").bitwiseXOR(F.bit_and("test_mask")).alias("both"))
+    cut = sides.where("both <> 0").select("l_returnflag", S.runs_of("both", RUNS).alias("run")).groupBy(
+        "run", "l_returnflag").agg(F.count(F.lit(1)).alias("n_both"))
+    on = (F.col("s.run") == F.col("c.run")) & F.col("s.l_returnflag").eqNullSafe(F.col("c.l_returnflag"))
+    return sums.alias("s").join(cut.alias("c"), on, "left").select(
+        "s.run", "s.l_returnflag", "n_rows", "n_test", "test_key_sum", F.coalesce("n_both", F.lit(0).cast("bigint")).alias("keys_on_both_sides"))
 
 
 FOLD_COUNTS_SQL = f"""
