@@ -7,6 +7,8 @@ from __future__ import annotations
 from functools import reduce
 from math import inf
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,7 @@ from trellis.operators import leaves as LV
 from trellis.operators import logistic as LG
 from trellis.operators import metrics as M
 from trellis.operators import splits as S
+from trellis.operators import task_trees as TT
 from trellis.operators import trees as TR
 from trellis.operators.features import levels
 from trellis.plans.registry import query, rounded
@@ -99,10 +102,11 @@ def _embedding_rows(spark, sf_dir):
 
 
 def _masked(rows, key: str):
-    """(key, features, label) with ``test_mask`` and ``valid_mask``, two bits a run."""
+    """(key, features, label) with ``test_mask`` and ``valid_mask``, two bits a run, and the hash
+    that bootstrap draws come from."""
     rows = rows.withColumn("key_hash", hash32(F.col(key))).withColumn("valid_hash", hash32(F.col(key), F.lit("valid")))
     return rows.select(key, "features", "label", S.draw_mask("key_hash", RUNS, 0.2).alias("test_mask"),
-                       S.draw_mask("valid_hash", RUNS, 0.2).alias("valid_mask"))
+                       S.draw_mask("valid_hash", RUNS, 0.2).alias("valid_mask"), hash32(F.col(key), F.lit("draw")).alias("draw_hash"))
 
 
 def _small(rows):
@@ -125,8 +129,7 @@ def _small(rows):
 def _tree_fits(rows, kind: str, task: str, runs=range(1, RUNS + 1)):
     """Predictions (model, run, rounds, label, prediction[, probability]) on the test rows of
     all runs: forests train on all other rows, boosted models on the fit rows and stop on
-    the validation rows.  One copy of the rows serves all fits."""
-    rows = _small(rows)
+    the validation rows.  One copy of the rows serves all fits; it is released here."""
 
     def fit_one(job):
         name, run = job
@@ -148,10 +151,59 @@ def _tree_fits(rows, kind: str, task: str, runs=range(1, RUNS + 1)):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _cuts(rows, role: str, seeds: dict[int, int], max_bins: int):
+    """The cuts of each run's fit, by run."""
+    runs = list(seeds)
+    found = TR.fit_per_run(runs, lambda run: TT.sampled_cuts(S.role_rows(rows, run, role), max_bins, seeds[run]), THREADS)
+    return dict(zip(runs, TT.all_cuts(found)))
+
+
+def _task_fits(rows, kind: str, runs=range(1, RUNS + 1)):
+    """The predictions of :func:`_tree_fits` for regression, each fit in one task over the arrays
+    of all rows, which every worker gets once."""
+    spark = rows.sparkSession
+    cuts = _cuts(rows, "train" if kind == "forest" else "fit", {run: 41 + run for run in runs}, 64 if kind == "forest" else 32)
+    names = ["Random Forest"] if kind == "forest" else list(BOOSTED)
+    jobs = [(n, r) for n in names for r in runs]
+    every = cuts[jobs[0][1]].every
+    settings = {} if kind == "forest" else {(n, r): TT.boosted_settings(TR.boosted("regression", seed=41 + r, **BOOSTED[n]), len(every))
+                                            for n, r in jobs}
+    data = spark.sparkContext.broadcast(TT.gathered(rows, every, "draw_hash" if kind == "forest" else None))
+
+    def fit(batches):
+        have = data.value
+        for k in (k for batch in batches for k in batch.column(0).to_pylist()):
+            name, run = jobs[k]
+            if kind == "forest":
+                at = np.flatnonzero(have.where(run, "train"))
+                trees = TT.forest_trees(cuts[run].bins(have.codes[at]), cuts[run].widths, have.label[at], have.row_hash[at], seed=41 + run, **FOREST)
+                rounds = None
+            else:
+                trees, rounds = TT.fit_boosted(have, cuts[run], run, settings[name, run], TR.best_rounds)
+            at = np.flatnonzero(have.where(run, "test"))
+            for some in np.array_split(at, len(at) // 100_000 + 1):
+                n = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(name), n), pa.repeat(pa.scalar(run, pa.int64()), n), pa.repeat(pa.scalar(rounds, pa.int32()), n),
+                     pa.array(have.label[some]), pa.array(TT.score(trees, cuts[run].bins(have.codes[some])))],
+                    names=["model", "run", "rounds", "label", "prediction"])
+
+    return spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(
+        fit, "model string, run bigint, rounds int, label double, prediction double"), data
+
+
 def _tree_regression(spark, sf_dir, kind: str):
-    preds = _tree_fits(_part_rows(spark, sf_dir), kind, "regression")
-    return rounded(preds.groupBy("model", "run", "rounds").agg(*M.regression_aggs()).select(
+    rows = _small(_part_rows(spark, sf_dir))
+    n = rows.count()
+    metrics = lambda preds: rounded(preds.groupBy("model", "run", "rounds").agg(*M.regression_aggs()).select(
         "model", "run", "rounds", "n", "rmse", "mae", "r2"))
+    if n > TT.TASK_ROWS or kind == "forest":
+        return metrics(_tree_fits(rows, kind, "regression"))
+    preds, data = _task_fits(rows, kind)
+    out = cut_lineage(metrics(preds))                       # fitted once: a row a fit
+    data.unpersist()
+    rows.unpersist()
+    return out
 
 
 @query("forest_regression")
@@ -169,7 +221,7 @@ def boosted_regression(spark, sf_dir):
 
 
 def _tree_classification(spark, sf_dir, kind: str):
-    preds = _tree_fits(_embedding_rows(spark, sf_dir), kind, "classification")
+    preds = _tree_fits(_small(_embedding_rows(spark, sf_dir)), kind, "classification")
     cm = M.classification_metrics(preds, ["model", "run"])
     auc = M.roc_auc(preds, ["model", "run"], "label", "probability")
     return rounded(cm.join(auc, ["model", "run"]).select("model", "run", "n", "accuracy", "f1", "roc_auc", "brier"))
