@@ -101,3 +101,10 @@ def test_boosted_fits_take_no_job_a_level(spark, tmp_path):
     assert _jobs(spark) - before < 300                     # 60 fits of 30 rounds of 3 or 4 levels
     assert sorted((r["model"], r["run"]) for r in rows) == sorted((m, r) for m in Q.BOOSTED for r in range(1, 31))
     assert all(1 <= r["rounds"] <= 30 and r["rmse"] > 0 for r in rows)
+
+
+def test_trials_take_a_job_each(spark, tmp_path):
+    before = _jobs(spark)
+    rows = Q.search_best_trial(spark, _tables(spark, tmp_path)).collect()
+    assert len(rows) == 100 and _jobs(spark) - before < 300
+    assert sum(r["best_by"].count("rmse_test") for r in rows) == 2

@@ -248,21 +248,59 @@ SEARCH_SPACE = {
                                "subsampling_rate": ("float", 0.5, 1.0), "max_iter": ("int", 5, 20)}}
 
 
-@query("search_best_trial")
-def search_best_trial(spark, sf_dir):
-    """50 seeded trials of each boosted flavour, scored by test RMSE, train RMSE
-    and their ratio on run 1; the best trial of each flavour and loss flagged."""
-    rows = _small(_part_rows(spark, sf_dir))
+def _trial(p: dict):
+    return TR.boosted("regression", seed=42, **{k: v for k, v in p.items() if k != "trial"})
+
+
+def _judged(rounds: int, test: float, train: float) -> dict:
+    return {"rounds": rounds, "rmse_test": test, "rmse_train": train, "overfitting": test / train if train else inf}
+
+
+def _spark_losses(rows):
+    """Losses of a trial by Spark ML, whose fits are spread over tasks."""
     fit, valid, test = (S.role_rows(rows, 1, role) for role in ("fit", "valid", "test"))
     rmse = F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))
 
     def losses(flavour: str, p: dict) -> dict:
-        est = TR.boosted("regression", seed=42, **{k: v for k, v in p.items() if k != "trial"})
-        model, rounds = TR.fit_boosted_early_stop(est, fit, valid)
-        out = {k: float(model.transform(r).agg(rmse).first()[0]) for k, r in (("rmse_test", test), ("rmse_train", fit))}
-        return {"rounds": rounds, **out, "overfitting": out["rmse_test"] / out["rmse_train"] if out["rmse_train"] else inf}
+        model, rounds = TR.fit_boosted_early_stop(_trial(p), fit, valid)
+        return _judged(rounds, *(float(model.transform(r).agg(rmse).first()[0]) for r in (test, fit)))
+
+    return losses, THREADS, None
+
+
+def _task_losses(rows):
+    """The same, a trial in one task: trials are submitted for all cores."""
+    spark = rows.sparkSession
+    cuts = _cuts(rows, "fit", {1: 42}, 32)[1]
+    data = spark.sparkContext.broadcast(TT.gathered(rows, cuts.every))
+
+    def losses(flavour: str, p: dict) -> dict:
+        settings = TT.boosted_settings(_trial(p), len(cuts.every))
+
+        def fit(batches):
+            have = data.value
+            for _ in batches:
+                trees, rounds = TT.fit_boosted(have, cuts, 1, settings, TR.best_rounds)
+                rmse = []
+                for role in ("test", "fit"):
+                    at = np.flatnonzero(have.where(1, role))
+                    rmse.append(float(np.sqrt(np.mean((have.label[at] - TT.score(trees, cuts.bins(have.codes[at]))) ** 2))))
+                yield pa.RecordBatch.from_arrays([pa.array([rounds], pa.int32()), *(pa.array([x]) for x in rmse)], names=["r", "test", "train"])
+
+        return _judged(*spark.range(0, 1, 1, 1).mapInArrow(fit, "r int, test double, train double").first())
+
+    return losses, max(THREADS, spark.sparkContext.defaultParallelism), data
 
-    scored = TR.search(spark, SEARCH_SPACE, TRIALS, losses, THREADS)
+
+@query("search_best_trial")
+def search_best_trial(spark, sf_dir):
+    """50 seeded trials of each boosted flavour, scored by test RMSE, train RMSE
+    and their ratio on run 1; the best trial of each flavour and loss flagged."""
+    rows = _small(_part_rows(spark, sf_dir))
+    losses, threads, data = (_task_losses if rows.count() <= TT.TASK_ROWS else _spark_losses)(rows)
+    scored = TR.search(spark, SEARCH_SPACE, TRIALS, losses, threads)
+    if data is not None:
+        data.unpersist()
     rows.unpersist()
     best = reduce(DataFrame.unionByName, [
         scored.groupBy("flavour").agg(F.min_by("trial", F.struct(loss, "trial")).alias("trial")).select(
